@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP6_SQL, op6_decontamination
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op6_decontamination": op6_decontamination,
     "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+}
