@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .pii import op5_pii
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op9_sharding": op9_sharding,
 }
