@@ -5,8 +5,10 @@ from __future__ import annotations
 from .decontamination import OP6_SQL, op6_decontamination
 from .pii import op5_pii
 from .sharding import op9_sharding
+from .simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op9_sharding": op9_sharding,
