@@ -6,8 +6,10 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .pii import op5_pii
 from .sharding import op9_sharding
 from .simhash import op1_simhash
+from .sstable import op8_sstable
 
 QUERIES = {
+    "op8_sstable": op8_sstable,
     "op1_simhash": op1_simhash,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
