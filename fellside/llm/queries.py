@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .packing import op4_packing
 from .pii import op5_pii
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .sstable import op8_sstable
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op8_sstable": op8_sstable,
     "op1_simhash": op1_simhash,
     "op5_pii": op5_pii,
