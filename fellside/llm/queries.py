@@ -8,8 +8,10 @@ from .pii import op5_pii
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .sstable import op8_sstable
+from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op10_token_counts": op10_token_counts,
     "op4_packing": op4_packing,
     "op8_sstable": op8_sstable,
     "op1_simhash": op1_simhash,
