@@ -9,8 +9,10 @@ from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .sstable import op8_sstable
 from .token_counts import op10_token_counts
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op10_token_counts": op10_token_counts,
     "op4_packing": op4_packing,
     "op8_sstable": op8_sstable,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op6_decontamination": OP6_SQL,
 }
