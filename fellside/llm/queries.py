@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP6_SQL, op6_decontamination
 from .packing import op4_packing
 from .pii import op5_pii
+from .quality import op7_quality
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .sstable import op8_sstable
@@ -12,6 +13,7 @@ from .token_counts import op10_token_counts
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op7_quality": op7_quality,
     "op2_warc": op2_warc,
     "op10_token_counts": op10_token_counts,
     "op4_packing": op4_packing,
