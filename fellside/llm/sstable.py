@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, scratch, ship, table, text_or_empty, tokenizer_path
-from .tokens import coder
+from .tokens import coder, encoded
 
 BLOCK_BYTES = 1 << 16
 RESTART = 16
@@ -240,7 +240,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
         first = next((b for b in batches if len(b)), None)
         if first is None:
             return
-        code, tail = coder(vocabulary), np.array([end_id], "<u4")
+        code = coder(vocabulary)
         part = TaskContext.get().partitionId()
         store, root = _place(path)
         store.create_dir(root, recursive=True)
@@ -248,8 +248,9 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
         with store.open_output_stream(draft, compression=None) as sink:
             out = Writer(sink)
             while first is not None:
-                for i, raw in zip(first.column(0).to_pylist(), code.encode(first.column(1).to_pylist()), strict=True):
-                    out.add(key_of(i), np.concatenate([np.frombuffer(raw, "<u4"), tail]))
+                for slice_, ids in encoded(first, 1, code, end_id):
+                    for i, x in zip(slice_.column(0).to_pylist(), ids, strict=True):
+                        out.add(key_of(i), x)
                 first = next((b for b in batches if len(b)), None)
             out.close()
         store.move(draft, final)
@@ -262,8 +263,8 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
     return [r.asDict() for r in sorted(made, key=lambda r: r["part"])]
 
 
-def read_tables(spark, path: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start (ids before it in all shards), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
+def read_tables(spark, path: str, manifest: list[dict], keep_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before it in all shards), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit; null unless kept)."""
     ship(spark)
     bases = np.concatenate([[0], np.cumsum([m["ids"] for m in manifest], dtype=np.int64)]).tolist()
     files = [(m["file"], b) for m, b in zip(manifest, bases, strict=False)]
@@ -278,10 +279,10 @@ def read_tables(spark, path: str, manifest: list[dict]) -> DataFrame:
                     held, size = [], 0
                     for key, ids in Shard(source).scan():
                         raw = ids.tobytes()
-                        held.append((id_of(key), start, len(ids), zlib.crc32(raw), raw))
+                        held.append((id_of(key), start, len(ids), zlib.crc32(raw), raw if keep_ids else None))
                         start += len(ids)
-                        size += len(raw)
-                        if size > 1 << 24:
+                        size += len(raw) if keep_ids else 64
+                        if size > 1 << 22:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
                             held, size = [], 0
                     if held:
@@ -294,4 +295,4 @@ def read_tables(spark, path: str, manifest: list[dict]) -> DataFrame:
 def op8_sstable(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "sstables")
     made = write_tables(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
-    return read_tables(spark, path, made).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tables(spark, path, made, False).select("doc_id", "start", "n_tokens", "ids_crc32")
