@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, ship, table, text_or_empty, tokenizer_path, written
-from .tokens import coder
+from .tokens import coder, encoded
 
 CAPACITY = 4096
 CLASSES = 64
@@ -226,13 +226,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tail, step = coder(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        code, step = coder(vocabulary), 4 * capacity
         for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
+            for part, coded in encoded(b, 1, code, end_id):
                 at, rows = [], []
-                for i, raw in enumerate(code.encode(part.column(1).to_pylist())):
-                    raw += tail
+                for i, ids in enumerate(coded):
+                    raw = ids.tobytes()
                     for n, s in enumerate(range(0, len(raw), step)):
                         x = raw[s : s + step]
                         at.append(i)
@@ -249,6 +248,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 def packed(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """What :func:`pieces` returns, with sequence_id and offset."""
     order = [F.col("length"), F.col(id_col), F.col("piece"), F.col("ids_crc32")]
+    cut, _ = written(cut, "cut")  # sorting by ranges reads its input twice
     rows, _ = written(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     sizes = dict(rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())  # a row for each sorted part
