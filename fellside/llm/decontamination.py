@@ -132,8 +132,9 @@ def judged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that share no window with the benchmark."""
     bad = overlaps(docs, bench, window, id_col=id_col, text_col=text_col).where(F.size("hits") > 0).select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key"))
-    key = F.md5(text_or_empty(text_col).cast("binary"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.md5(text_or_empty(text_col).cast("binary")).alias("key"))
+    left = rows.join(bad, rows["id"].eqNullSafe(bad["_bad_id"]) & (rows["key"] == bad["_bad_key"]), "left_anti")
+    return left.select("row.*")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

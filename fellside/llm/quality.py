@@ -186,10 +186,12 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, that pass. Statistics depend on the text, verdicts on text and group, so these
     name the rows to drop."""
-    mark = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_key"), "text", "lang", "source")
-    bad = judged(mark, ("_key", "lang", "source")).where(~F.col("kept")).select("_key", F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return docs.join(bad, (key == F.col("_key")) & docs["lang"].eqNullSafe(F.col("_lang")) & docs["source"].eqNullSafe(F.col("_source")), "left_anti")
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("key")
+    bad = judged(docs.select(key, "text", "lang", "source"), ("key", "lang", "source")).where(~F.col("kept"))
+    bad = bad.select(F.col("key").alias("bad_key"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key, "lang", "source")
+    same = (rows["key"] == bad["bad_key"]) & rows["lang"].eqNullSafe(bad["bad_lang"]) & rows["source"].eqNullSafe(bad["bad_source"])
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

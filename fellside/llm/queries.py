@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP6_SQL, op6_decontamination
+from .lines import op3_line_dedup
 from .packing import op4_packing
 from .pii import op5_pii
 from .quality import op7_quality
@@ -13,6 +14,7 @@ from .token_counts import op10_token_counts
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op7_quality": op7_quality,
     "op2_warc": op2_warc,
     "op10_token_counts": op10_token_counts,
