@@ -24,7 +24,6 @@ often; an empty table gives no rows; other columns aren't looked at by ``near_du
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,46 +33,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, ship, table, written
+from .common import ship, table, written
 from .components import Forest, components
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 RUN = 512
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HASHES = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Of one text. Hashes are counted in pieces, so memory is the text's own."""
-    words = _WORD.findall((text or "").translate(_LOWER))
+    words = (text or "").encode().lower().split()  # of bytes: only A-Z, and only at ASCII white space
     if not words:
         return 0
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(" ".join(words), SEED)
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     total = len(words) - shingle + 1
     counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for lo in range(0, total, _HASHES):
         part = words[lo : lo + _HASHES + shingle - 1]
-        h = np.array([digest(" ".join(x), SEED) for x in zip(*(part[j:] for j in range(shingle)), strict=False)], np.uint64)
+        h = np.array([digest(b" ".join(x), SEED) for x in zip(*(part[j:] for j in range(shingle)), strict=False)], np.uint64)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, len(b))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64), pa.int64())], ["id", "print"])
+        prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, len(b))
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints.view(np.int64), pa.int64())], names=[*b.schema.names[1:], "print"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and print, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``keep`` and print, the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    return picked(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, f"id {kind}, print long").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{k}`").alias(k) for k in keep])
+    return rows.mapInArrow(_fingerprints, ", ".join([*(f"`{n}` {k}" for n, k in rows.dtypes[1:]), "print long"]))
 
 
 def _deletion_variants() -> list[tuple[int, int, int]]:
@@ -178,19 +175,34 @@ def linked(prints: DataFrame, run: int = RUN) -> DataFrame:
     return components(edges)
 
 
+def classes(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """``rows``: what :func:`fingerprints` returns, written. Distinct print, with root: the least print of its component."""
+    prints = rows.select("print").distinct()
+    roots = linked(prints, run)
+    known = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+    return written(known, "roots")[0]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """``id_col``, fingerprint (16 hexadecimal digits), component_id (the least identifier of the component)."""
-    rows, _ = written(fingerprints(docs, id_col, text_col), "prints")
-    entries = rows.groupBy("print").agg(F.min(id_col).alias("_low"))
-    roots = linked(entries.select("print"), run)
-    known = entries.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "_low", F.coalesce("root", "print").alias("_root"))
-    known, _ = written(known, "roots")
-    names = known.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    return (
-        rows.join(known.select("print", "_root"), "print")
-        .join(names, "_root")
-        .select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    rows, _ = written(fingerprints(docs, (id_col,), text_col), "prints")
+    known = classes(rows, run)
+    lows = rows.groupBy("print").agg(F.min(id_col).alias("low"))
+    names = known.join(lows, "print").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = known.join(names, "root").select("print", "component_id")
+    return rows.join(named, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that with the least identifier (null last), then the
+    least MD5 of its text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key"), text.alias("text"))
+    rows, _ = written(fingerprints(keyed, ("id", "key"), "text"), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    stays = rows.join(classes(rows, run), "print").groupBy("root").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.key").alias("stay_key"))
+    left = keyed.join(stays, keyed["id"].eqNullSafe(stays["stay_id"]) & (keyed["key"] == stays["stay_key"]), "left_semi")
+    return left.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
