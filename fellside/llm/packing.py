@@ -239,6 +239,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(at)), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["id", "piece", "start", "length", "ids_crc32", "ids"]
                 )
+        code.forget()
 
     rows = picked(docs, id_col, text_col).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("id", id_col)

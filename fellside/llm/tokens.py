@@ -13,6 +13,7 @@ batch to batch is bounded by ``REMEMBER`` words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -62,6 +63,12 @@ class WordCoder:
         raw = ids.tobytes()
         return [raw[s:e] for s, e in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
 
+    def forget(self) -> None:
+        """Gives back what is remembered, so that an idle worker leaves room for what runs next in its executor."""
+        self.known = {}
+        pa.default_memory_pool().release_unused()
+        _trim()
+
     def _of_cores(self, cores: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(cores), AT_ONCE):
@@ -150,10 +157,29 @@ def in_pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
+def _lean() -> None:
+    """Large buffers go back to the system when they are freed (glibc; elsewhere nothing happens). Otherwise a worker keeps
+    what its largest batch took, beside the executor's heap."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def coder(vocabulary: str) -> WordCoder:
     """The worker's own, kept for its next tasks."""
     if vocabulary not in _CODERS:
         _CODERS.clear()
+        _lean()
         _CODERS[vocabulary] = WordCoder(vocabulary)
     return _CODERS[vocabulary]
 
@@ -164,3 +190,4 @@ def encoded(batch: pa.RecordBatch, column: int, code: WordCoder, end_id: int) ->
     for part in in_pieces(batch, column):
         ids, at = code.encode(part.column(column))
         yield part, [np.concatenate([ids[s:e], tail]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        pa.default_memory_pool().release_unused()
