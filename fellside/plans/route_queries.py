@@ -196,7 +196,7 @@ def _exact(spark, sf_dir):
     return G.segments(j, 4.0).groupBy("route", "class_id").agg(F.round(F.sum("distance_m"), 6).alias("distance_m"))
 
 
-@query("route_similarity", f"WITH {ROUTES}, c AS (SELECT DISTINCT route, cr, cc FROM steps), n AS (SELECT route, count(*) AS n FROM c GROUP BY route), k AS (SELECT a.route AS a, b.route AS b, count(*) AS both FROM c a JOIN c b ON a.cr = b.cr AND a.cc = b.cc AND a.route < b.route GROUP BY ALL) SELECT k.a, k.b, round(both / least(x.n, y.n), 6) AS similarity FROM k JOIN n x ON x.route = k.a JOIN n y ON y.route = k.b")
+@query("route_similarity", f"WITH {ROUTES}, c AS (SELECT DISTINCT route, cr, cc FROM steps), n AS (SELECT route, count(*) AS n FROM c GROUP BY route), k AS (SELECT a.route AS a, b.route AS b, count(*) AS nb FROM c a JOIN c b ON a.cr = b.cr AND a.cc = b.cc AND a.route < b.route GROUP BY ALL) SELECT k.a, k.b, round(nb / least(x.n, y.n), 6) AS similarity FROM k JOIN n x ON x.route = k.a JOIN n y ON y.route = k.b")
 def route_similarity(spark, sf_dir):
     c = steps(spark, sf_dir).select("route", "cr", "cc").distinct()
     n = c.groupBy("route").agg(F.count("*").alias("n"))
