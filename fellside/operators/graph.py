@@ -165,7 +165,8 @@ def k_routes(cells: DataFrame, pairs: DataFrame, k: int = dims.ROUTES, factor: f
         work, kept, rows = plain.copy(), [], []
         one = pdf.iloc[0]
         start, goal = (int(one.sr), int(one.sc)), (int(one.gr), int(one.gc))
-        for _ in range(max(4 * k, k + 2)):
+        free = all(0 <= r < plain.shape[0] and 0 <= c < plain.shape[1] and plain[r, c] < np.inf for r, c in (start, goal))
+        for _ in range(max(4 * k, k + 2) if free else 0):
             if len(kept) == k:
                 break
             _, parent, _ = search(work, start, goal)

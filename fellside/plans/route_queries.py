@@ -212,7 +212,7 @@ def corridor_inflate(spark, sf_dir):
 
 @query("k_routes")
 def k_routes(spark, sf_dir):
-    pair = spark.createDataFrame([(0, 0, 0, 0, 11, 11)], "map_id int, pair int, sr int, sc int, gr int, gc int")
+    pair = spark.createDataFrame([(0, 0, 0, 0, 2, 11)], "map_id int, pair int, sr int, sc int, gr int, gc int")
     return G.k_routes(cells(spark, sf_dir), pair).withColumn("time_s", F.round("time_s", 6))
 
 
