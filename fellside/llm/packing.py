@@ -5,7 +5,7 @@ The plan is made in the driver from the histogram of lengths alone, at most ``ca
 documents there are:
 
 1. *Patterns.* Lengths are put into ``CLASSES`` classes of equal width. Every way to fill a sequence with up
-   to ``PARTS`` classes is a pattern.
+   to two classes, or three, is a pattern; of the two plans the one with fewer sequences is taken.
 2. *Fit.* Non-negative least squares gives repeat counts of patterns that come nearest to the histogram of classes; an
    active-set method solves it, so at most as many patterns are used as there are classes. Short classes weigh
    less, as what is left of them fills gaps.
@@ -40,7 +40,7 @@ from .tokens import coder, encoded
 
 CAPACITY = 4096
 CLASSES = 64
-PARTS = 3
+PARTS = (2, 3)
 SHORT_WEIGHT = 0.1
 
 
@@ -122,8 +122,13 @@ def _filled(stock: _Stock, n: int, parts: tuple, gap: int, done: list) -> None:
             open_.append((n - now, parts, gap))
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, parts: int = PARTS) -> list[tuple[int, tuple]]:
-    """Runs: how many equal sequences, and the lengths in each with how often, in order."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, parts: tuple[int, ...] = PARTS) -> list[tuple[int, tuple]]:
+    """Runs: how many equal sequences, and the lengths in each with how often, in order. Of the plans with patterns of up to
+    each of ``parts`` lengths, the one with the fewest sequences."""
+    return min((_plan(counts, capacity, classes, p) for p in parts), key=lambda runs: sum(n for n, _ in runs))
+
+
+def _plan(counts: dict[int, int], capacity: int, classes: int, parts: int) -> list[tuple[int, tuple]]:
     stock = _Stock(counts)
     done: list[tuple[int, tuple, int]] = []
     classes = min(classes, capacity)
