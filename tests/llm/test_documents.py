@@ -145,6 +145,19 @@ def test_lines(spark, corpus):
     assert lines.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_similarity_by_packed_shingles():
+    random.seed(6)
+    for _ in range(3000):
+        a = "".join(random.choice("ab é") for _ in range(random.randint(1, 60))) + ("中" if random.random() < 0.05 else "")
+        b = list(a)
+        for _ in range(random.randint(0, 2)):
+            i = random.randrange(len(b) + 1)
+            b[i : i + random.randint(0, 3)] = random.choice(["", "x", "ab", "q r"])
+        b = "".join(b) or "z"
+        x, y = lines.shingles(a), lines.shingles(b)
+        assert lines.similar(a, b, lines._packed(a), lines._packed(b)) == (len(x & y) >= 0.8 * len(x | y))
+
+
 def test_line_signatures_estimate_similarity():
     random.seed(1)
     near = 0
