@@ -6,7 +6,7 @@ is the sum over its own pre-tokens of frequency times pieces. No ids are kept.
 
 1. Tasks list the distinct pre-tokens of their documents; an aggregation makes one table of these.
 2. Pieces are counted for each row of it, and the table is written to the shared folder.
-3. The ``HEAD`` most frequent pre-tokens are broadcast, a number fixed by that parameter. A task counts a
+3. The most frequent pre-tokens are broadcast, ``HEAD`` of them at most. A task counts a
    document's pre-tokens and sums up those of the head at once. The rest, each too rare to be a hot key, leave as rows (document,
    pre-token, frequency) and are joined to the table, and sums come together by document.
 
@@ -84,13 +84,27 @@ def pre_token_table(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
     return written(seen.groupBy("pre").agg(F.sum("n").alias("n")).mapInArrow(count, "pre string, n long, pieces long"), "pre-tokens")[0]
 
 
+def _frequent(pieces: DataFrame, head: int) -> list[tuple[str, int]]:
+    """The most frequent pre-tokens and their pieces: whole classes of frequency (sixteenths of a power of two) from the top, as
+    long as they come to ``head`` rows at most. The driver sees the sizes of the classes, about a thousand, and these rows."""
+    level = F.floor(16 * F.log2("n")).cast("int")
+    least, total = None, 0
+    for n, size in sorted(pieces.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += size
+        if total > head:
+            break
+        least = n
+    if least is None:
+        return []
+    return [(r[0], r[1]) for r in pieces.where(level >= least).select("pre", "pieces").collect()]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``id_col``, n_bytes, n_tokens."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     pieces = pre_token_table(docs, vocabulary, text_col)
-    # at most `head` rows reach the driver and the broadcast
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in pieces.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").collect()})
+    known = spark.sparkContext.broadcast(dict(_frequent(pieces, head)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = known.value
