@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = classes(rows, run)
     lows = rows.groupBy("print").agg(F.min(id_col).alias("low"))
     names = known.join(lows, "print").groupBy("root").agg(F.min("low").alias("component_id"))
+    names, _ = written(names, "names")  # both sides of the next join are plain exchanges, so a hot root can be split
     named = known.join(names, "root").select("print", "component_id")
     return rows.join(named, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
