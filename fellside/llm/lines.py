@@ -9,12 +9,18 @@ number; every other occurrence is removed, exact repeats within a document inclu
    bins borrow from bins that a fixed order names. At similarity 0.8 a pair shares one of eight bands of three with
    probability 0.997.
 2. *Candidates.* Band keys are dealt out and sorted, equal lines fall together, and a line is paired with the first and
-   with the ``LAGS`` lines before it under its key: all pairs of a key with few lines, a bounded number for each
-   line of a hot key. Its lines agree in many bands, so what one key leaves out others and chains supply.
+   with the ``LAGS`` lines before it under its key: all pairs of a key with few lines. Every line of a key with more is
+   marked; step 5 finds the pairs that such keys leave out.
 3. *Verification.* Only texts of lines in pairs are fetched: a bitmap of fixed size, built from their hashes, filters the
    documents' lines in the task that reads them. A pair that shares too few bins is dropped, any other's similarity is computed
    exactly.
 4. *Components* come from the distributed union-find of ``components``.
+5. *Marked lines* go to an exact second index. Shingles are ordered from rare to common among the marked lines (by counts in
+   ``2**SKETCH_BITS`` slots; any order is right). Two lines at the similarity share one of the first ``n - ceil(SIMILARITY * n) + 1``
+   of their n shingles, so lines are joined on these. Only lines that nothing links yet are compared, first by bounds
+   on the common shingles that refuse no pair at the similarity, then exactly; a task passes on links that were verified. A shingle of many lines is dealt out as blocks against blocks of about
+   ``BLOCK`` lines. Nothing is capped: work grows with the square of a group whose lines share a rare-most shingle and
+   aren't linked already.
 
 Lines are named by 64 bits of XXH3; a billion distinct lines make 0.03 coincidences expected.
 
@@ -43,6 +49,9 @@ LAGS = 4
 BITMAP_BITS = 25
 PIECE_CHARS = 1 << 14
 ALIKE = 11  # of the bins, that lines must share to be compared
+SKETCH_BITS = 18
+BLOCK = 512
+MAP_BITS = 12
 NO_ID = -9223372036854775809
 _BINS = BANDS * ROWS
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,8 +86,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _ORDER = np.random.default_rng(7).integers(0, _BINS, (64, _BINS))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of ``_BINS`` least hashes for each line (normal form, none empty)."""
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every shingle of each line (normal form, none empty), repeats included."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
     up, down = _powers(len(codes) + 1)
@@ -93,6 +102,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     h *= _MIX
     h ^= h >> np.uint64(29)
     h *= _MIX
+    return row, h
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of ``_BINS`` least hashes for each line (normal form, none empty)."""
+    row, h = _hashed(lines)
     slot = row * _BINS + ((h >> np.uint64(40)) * np.uint64(_BINS) >> np.uint64(24)).astype(np.int64)
     out = np.full(len(lines) * _BINS, _NONE)
     np.minimum.at(out, slot, (h << np.uint64(24)) | (h >> np.uint64(40)))
@@ -167,7 +182,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (band, h): pairs (a, b), a > b, of lines that share a band."""
+    """Over rows sorted by (band, h): pairs (a, b), a > b, of lines that share a band, and (h, h) for each line of a band
+    that not all pairs are given of."""
     held = (np.empty(0, np.int64), np.empty(0, np.int64))
     first = None  # (band, h) of the run that the held rows end in, if its first row isn't among them
     for b in batches:
@@ -183,7 +199,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[band[at] == band[at - lag]]
             out_a.append(h[at])
             out_b.append(h[at - lag])
-        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.empty(0, np.int64)
         leader = np.repeat(h[starts], np.diff(np.append(starts, len(band))))
         if first is not None and len(band) and band[0] == first[0]:
             leader[: starts[1] if len(starts) > 1 else len(band)] = first[1]
@@ -194,9 +210,10 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(band):
             first = (band[-1], leader[-1])
             held = (band[-LAGS:], h[-LAGS:])
+        marked = np.concatenate([leader[far], *(h[far - lag] for lag in range(LAGS + 1))])
         x, y = np.concatenate(out_a), np.concatenate(out_b)
         real = x != y
-        x, y = x[real], y[real]
+        x, y = np.concatenate([x[real], marked]), np.concatenate([y[real], marked])
         pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -273,6 +290,173 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _distinct(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct shingles of each line, by row and hash."""
+    row, h = _hashed(lines)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))
+    return row[new], h[new]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows (h, root, text) in pieces of bounded text."""
+    for b in batches:
+        size = at = 0
+        texts = b.column(2).to_pylist()
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > PIECE_CHARS or i == len(texts) - 1:
+                yield b.slice(at, i + 1 - at), texts[at : i + 1]
+                size, at = 0, i + 1
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for _, texts in _pieces(batches):
+        total += np.bincount(_slots(_distinct(texts)[1]), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+
+def least_common(n):
+    """Of the n shingles of a line, how many another must share, at the least, to be similar."""
+    return np.ceil(SIMILARITY * n - 1e-9).astype(np.int64)
+
+
+def _posted(counts: bytes):
+    """Rows (token, h, root, n) of each of a line's rare-most shingles; n: how many it has."""
+    weight = np.frombuffer(counts, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in _pieces(batches):
+            row, h = _distinct(texts)
+            n = np.bincount(row, minlength=len(texts))
+            order = np.lexsort((h, weight[_slots(h)], row))
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            own = rank < np.repeat(n - least_common(n) + 1, n)
+            token, take = h[order][own], pa.array(row[own])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(n.astype(np.int32)).take(take)], ["token", "h", "root", "n"])
+
+    return run
+
+
+def _bits(line: str) -> np.ndarray:
+    """A bit for each shingle of a line, the same for equal shingles."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = b""
+    if SHINGLE == 8 and len(raw) >= 8:
+        every = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    else:
+        one_byte = lambda x: max(x) < "\u0100"
+        every = np.array([int.from_bytes(x.encode("latin-1"), "little") & 0xFFFFFFFFFFFFFFFF if one_byte(x) else line_hash(x) & 0xFFFFFFFFFFFFFFFF for x in shingles(line)], np.uint64)
+    return (every * np.uint64(_BASE)) >> np.uint64(64 - MAP_BITS)
+
+
+def _maps(texts: list[str], n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A small and a large map of each line's shingles, and how many more than the map's bits they are (n: the shingles)."""
+    on = np.zeros((len(texts), 1 << MAP_BITS), bool)
+    for i, t in enumerate(texts):
+        on[i, _bits(t)] = True
+    large = np.packbits(on, axis=1).view(np.uint64)
+    small = np.bitwise_or.reduce(large.reshape(len(texts), 8, -1), axis=1)
+    return [(x, n - np.bitwise_count(x).sum(1, dtype=np.int64)) for x in (small, large)]
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (token, low, high, block, h, root, n, text) sorted by cell, which the first three name: links (a, b), a > b, that join
+    whatever similar lines of a cell join; lines of one block only meet in the cell of that block alone."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        token, low, high, block, h, root, size = (rows.column(i).to_numpy() for i in range(7))
+        hs, first, line = np.unique(h, return_index=True, return_inverse=True)
+        texts = rows.column(7).take(pa.array(first)).to_pylist()
+        n = size[first].astype(np.int64)
+        maps = _maps(texts, n)
+        packed: dict[int, np.ndarray | None] = {}
+        roots, label = np.unique(root[first], return_inverse=True)  # lines of equal label are linked
+        up = list(range(len(roots)))
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        cell = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        across = low != high
+        now, out, at, lag = label, [], np.arange(len(cell)), 0
+        while True:
+            lag += 1
+            at = at[at >= lag]
+            at = at[cell[at] == cell[at - lag]]
+            if not len(at):
+                break
+            meets = ~across[at] | (block[at] != block[at - lag])
+            x, y = line[at[meets]], line[at[meets] - lag]
+            fits = (now[x] != now[y]) & (np.minimum(n[x], n[y]) >= least_common(np.maximum(n[x], n[y])))
+            x, y = x[fits], y[fits]
+            for bits, spare in maps:
+                common = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+                # both * (1 + similarity) >= similarity * (n + n)
+                fits = common * (1 + SIMILARITY) >= SIMILARITY * (n[x] + n[y]) - 1e-6
+                x, y = x[fits], y[fits]
+            before = len(out)
+            for i, j in set(zip(x.tolist(), y.tolist(), strict=True)):
+                a, b = find(int(label[i])), find(int(label[j]))
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in packed:
+                        packed[k] = _packed(texts[k])
+                if similar(texts[i], texts[j], packed[i], packed[j]):
+                    up[max(a, b)] = min(a, b)
+                    out.append((i, j))
+            if len(out) > before:
+                now = np.array([find(k) for k in range(len(up))])[label]
+        pairs = hs[np.array(out, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token, low, high = (b.column(i).to_numpy() for i in range(3))
+        last = np.flatnonzero((token != token[-1]) | (low != low[-1]) | (high != high[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut or (held and any(held[-1].column(i)[-1].as_py() != b.column(i)[0].as_py() for i in range(3))):
+            rows = [*held, b.slice(0, cut)] if cut else held
+            yield links(pa.Table.from_batches(rows))
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
+def _missed(known: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join every two similar marked lines of different components."""
+    lines = known.join(marked, "h", "left_semi").join(roots.select(F.col("node").alias("h"), "root"), "h", "left")
+    lines, _ = written(lines.select("h", F.coalesce("root", "h").alias("root"), "text"), "line-marked")
+    got = lines.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
+    if not len(got):
+        return None
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    posted, _ = written(lines.mapInArrow(_posted(counts.tobytes()), "token long, h long, root long, n int"), "line-posted")
+    tokens = posted.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "blocks")
+    dealt = posted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "h", "root", "n")
+    dealt = dealt.join(lines.select("h", "text"), "h").select("token", "low", "high", "block", "h", "root", "n", "text")
+    cells = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return cells.mapInArrow(_crossed, "a long, b long").distinct()
+
+
 def _bitmap(hashes: DataFrame) -> bytes:
     """Which of 2**BITMAP_BITS slots the hashes take: a fixed number of bytes, however many hashes."""
     slot = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
@@ -288,7 +472,8 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     bands = texts.mapInArrow(_banded, "band long, h long").repartition(F.col("band")).sortWithinPartitions("band", "h")
-    pairs, _ = written(bands.mapInArrow(_paired, "a long, b long").distinct(), "line-pairs")
+    both, _ = written(bands.mapInArrow(_paired, "a long, b long").distinct(), "line-pairs")
+    pairs, marked = both.where("a <> b"), both.where("a = b").select(F.col("a").alias("h"))
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
     known = texts.mapInArrow(_fetch(_bitmap(ends)), "h long, text string, marks binary").groupBy("h").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
     known, _ = written(known, "line-texts")
@@ -297,7 +482,12 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one = known.select(F.col("h").alias("a"), F.col("text").alias("s"))
     other = known.select(F.col("h").alias("b"), F.col("text").alias("t"))
     both = near.join(one, "a").join(other, "b").select("a", "b", "s", "t")
-    return components(both.mapInArrow(_verified, "a long, b long"))
+    roots = components(both.mapInArrow(_verified, "a long, b long"))
+    missed = _missed(known, marked, roots)
+    if missed is None:
+        return roots
+    more, _ = written(missed, "line-missed")
+    return roots if more.isEmpty() else components(more.union(roots))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,6 +145,39 @@ def test_lines(spark, corpus):
     assert lines.without_repeats(docs(spark, [])).count() == 0
 
 
+def template_lines():
+    """Lines that share most of a template: (number, line); some are near copies of others."""
+    random.seed(11)
+    rest = lambda n: "".join(random.choice("0123456789abcdef") for _ in range(n))
+    one = lambda v: f"gateway request finished with status ok for the session of the user in region {v}"
+    two = lambda v: f"{v[:11]} listing: two rooms, balcony, quiet street, near the station; offer {v[11:]} see the agent"
+    out = []
+    for form, size in ((one, 44), (two, 22), (two, 40)):
+        for _ in range(500):
+            v = rest(size)
+            out.append(form(v))
+            if random.random() < 0.5:
+                i = random.choice((1, size - 2, size // 2))
+                out.append(form(v[:i] + "#" + v[i + 1 :]))
+    random.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_lines_of_templates(spark, monkeypatch):
+    rows = template_lines()
+    expected = lines_expected(rows)
+    assert 200 < sum(not t for _, t in expected) < 2000
+    assert as_set(lines.without_repeats(docs(spark, rows)).select("doc_id", "text").collect()) == expected
+    monkeypatch.setattr(lines, "BLOCK", 7)  # shingles dealt out in blocks
+    assert as_set(lines.without_repeats(docs(spark, rows)).select("doc_id", "text").collect()) == expected
+
+
+def test_equal_shingles_have_equal_bits():
+    for a, b in (("abcdefgh", "abcdefgh中"), ("café au lait", "café au lait 中"), ("short", "short")):
+        for x in lines.shingles(a) & lines.shingles(b):
+            assert set(lines._bits(x)) <= set(lines._bits(a)) & set(lines._bits(b))
+
+
 def test_similarity_by_packed_shingles():
     random.seed(6)
     for _ in range(3000):
