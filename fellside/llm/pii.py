@@ -10,7 +10,7 @@ which splitting by the same pattern gives. Patterns are written so that Java's e
 goes back over a run of characters: repeated groups are possessive where nothing follows them that could
 need what they took, and a match can only start at the first character of its run or where the last match
 ended (``\\G``). So a text of one endless number or word takes linear time. A pattern runs only on texts that
-hold the character it needs, and splitting only on texts that match.
+hold what each of its matches must hold, and splitting only on texts that match.
 
 DataFrame functions only; nothing is shuffled, and each row is worked on alone, whole.
 
@@ -37,7 +37,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}+)?)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+NEEDS = {"email": "@", "ip": ".", "card": r"[0-9][\x20-]?[0-9]", "phone": "+", "iban": "[0-9][0-9]", "ssn": "-"}
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write)\b",
     "ip": r"\b(?:ip|host|server|address|client)\b",
@@ -93,7 +93,7 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _hits(kind: str, text: Column) -> Column:
-    needs = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9][0-9]")
+    needs = text.rlike(NEEDS[kind]) if kind in ("card", "iban") else F.contains(text, F.lit(NEEDS[kind]))
     return F.when(needs, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 

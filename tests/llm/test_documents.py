@@ -265,6 +265,14 @@ def test_pii(spark, corpus):
         assert got == as_set((i, "as_text", brute.pii(t)[2]) for i, t in data)
 
 
+def test_pii_cards_of_parted_digits(spark):
+    card = "4111111111111111"
+    data = [(1, " ".join(card)), (2, "-".join(card)), (3, f"pay {' '.join(card)} now"), (4, f"12 or {'-'.join(card)}"), (5, " ".join(card[:-1] + "2")), (6, "1  2"), (7, "one 1"), (8, "  ".join(card))]
+    got = as_set((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.base)) for r in pii.find_spans(docs(spark, data)).collect())
+    assert got == as_set((i, brute.pii(t)[2]) for i, t in data)
+    assert sum("card" in x for _, x in got) == 4
+
+
 def test_pii_digest(spark):
     out = {r.doc_id: r for r in pii.op5_pii.__globals__["find_spans"](docs(spark, PII)).collect()}
     assert [s.kind for s in out[1].spans] == ["phone", "email", "card"]
