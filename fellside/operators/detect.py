@@ -77,6 +77,14 @@ def trimmed_median(values: DataFrame, by: str, value: str) -> DataFrame:
     return kept.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("kept"))
 
 
+def ring_radius(images: DataFrame, rings: DataFrame) -> DataFrame:
+    """``images``: image, height, width; ``rings``: image, radius. The trimmed median of each image's rings; without rings, 0.018 of its
+    longer side, within 12 and 40."""
+    known = trimmed_median(rings, "image", "radius").select("image", "median")
+    usual = F.least(F.greatest(F.greatest("height", "width") * F.lit(0.018), F.lit(12.0)), F.lit(40.0))
+    return images.join(known, "image", "left").select("image", F.coalesce("median", usual).alias("radius"))
+
+
 def ring_quality(rings: DataFrame, mask: DataFrame, angles: int = 48, scales: tuple[float, ...] = (0.85, 1.0, 1.15)) -> DataFrame:
     """``rings``: map_id, ring, x, y, radius; ``mask``: map_id, r, c. Share of directions with a mask pixel on one of three circles,
     share of the inner disk (half the radius) that is mask, and the difference: an equi-join on pixels for each."""

@@ -69,6 +69,13 @@ def iqr_median_radius(spark, sf_dir):
     return X.trimmed_median(v, "course", "radius")
 
 
+@query("ring_radius")
+def ring_radius(spark, sf_dir):
+    """An image for each part; those numbered as courses have rings."""
+    im = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_size") * 17).alias("height"), (200 + F.col("p_size") * 23).alias("width"))
+    return X.ring_radius(im, D.detections(spark, sf_dir).select(F.col("course").alias("image"), (F.col("seq") * 7 % 61).cast("double").alias("radius")))
+
+
 @query("pink_overlap", f"WITH {D.LABEL}, {IMAGE}, {BOXES.replace('bx AS', 'bq AS')}, bx AS (SELECT id, CAST(x0 % 80 AS INT) AS x0, CAST(y0 % 100 AS INT) AS y0 FROM bq WHERE id < 200), pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25) SELECT id, round(count(r) / 100.0, 6) AS share FROM bx LEFT JOIN pk ON r >= y0 AND r < y0 + 10 AND c >= x0 AND c < x0 + 10 GROUP BY id")
 def pink_overlap(spark, sf_dir):
     """Share of a box's pixels that are mask: boxes as pixels, an equi-join."""

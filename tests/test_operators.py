@@ -30,6 +30,14 @@ def test_overlays_take_the_nearest(spark):
     assert {r.class_id for r in far} == {5} and len(far) == 13
 
 
+def test_images_without_rings_have_a_radius(spark):
+    from fellside.operators import detect
+
+    images = spark.createDataFrame([(1, 100, 90), (2, 100, 90), (3, 1000, 700), (4, 700, 9000)], "image int, height int, width int")
+    rings = spark.createDataFrame([(1, r) for r in (20.0, 21.0, 22.0, 90.0)], "image int, radius double")
+    assert {r.image: round(r.radius, 9) for r in detect.ring_radius(images, rings).collect()} == {1: 21.0, 2: 12.0, 3: 18.0, 4: 40.0}
+
+
 def test_cost(spark):
     r = raster.cost_grid(pixels(spark, [[2, 2], [2, 11]]), 2).first()
     assert (r.density, r.time_s, r.passable) == (0.25, 3.0, True)
