@@ -47,7 +47,11 @@ def parse_number(text: Column, low: int = 0, high: int = 999) -> Column:
 
 
 def distance_text(metres: Column) -> Column:
-    return F.when(metres >= 1000, F.format_string("%.2f km", metres / 1000)).otherwise(F.format_string("%.0f m", metres))
+    """Whole metres, or kilometres with two decimals from 1,000 on; halves go to the even neighbour."""
+    whole = F.rint(metres).cast("long").cast("string")
+    cents = F.rint(metres / 1000 * 100).cast("long")
+    km = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(metres >= 1000, F.concat(km, F.lit(" km"))).otherwise(F.concat(whole, F.lit(" m")))
 
 
 def learning_rate(step: Column, total: int, warm: int, base: float, power: float | None) -> Column:

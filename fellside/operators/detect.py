@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,93 @@ def best_per_number(det: DataFrame) -> DataFrame:
     return det.groupBy("course", "number").agg(F.max_by(F.struct("seq", "x", "y", "score"), F.struct("score", -F.col("seq"))).alias("b")).select("course", "number", "b.*")
 
 
-def vote(hits: DataFrame) -> DataFrame:
-    """``hits``: ring, number, score. The number with the largest sum, then the best single score, then the smaller."""
-    s = hits.groupBy("ring", "number").agg(F.round(F.sum("score"), 9).alias("total"), F.max("score").alias("top"))
-    w = Window.partitionBy("ring").orderBy(F.desc("total"), F.desc("top"), "number")
-    return s.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+def digit_candidates(hits: DataFrame, least_conf: float = 0.25) -> DataFrame:
+    """``hits``: ring, rx, ry, radius, seq, number, conf, x0, y0, x1, y1, cx, cy: a number read near a ring. Those that can be its number, with score: two digits
+    or three up to 199, read surely enough, beside the ring and not on it, of a digit's size and shape. A longer number is worth more, and so is one to the right."""
+    digits = F.length(F.col("number").cast("string"))
+    sure = F.when(digits >= 3, F.greatest(F.lit(least_conf), F.lit(0.85))).otherwise(F.greatest(F.lit(least_conf), F.lit(0.25)))
+    away = F.hypot(F.col("cx") - F.col("rx"), F.col("cy") - F.col("ry"))
+    covers = F.col("rx").between(F.col("x0") - 3, F.col("x1") + 3) & F.col("ry").between(F.col("y0") - 3, F.col("y1") + 3)
+    w, h, r = F.col("x1") - F.col("x0"), F.greatest(F.col("y1") - F.col("y0"), F.lit(1)), F.col("radius")
+    fits = (digits == 2) | ((digits >= 3) & (F.col("number") <= 199))
+    shaped = (h >= 0.45 * r) & (h <= 2.2 * r) & (w <= 4.5 * r) & (w / h <= 2.8)
+    kept = hits.where(fits & (F.col("conf") >= sure) & (away >= 0.75 * r) & (away <= 3.5 * r) & ~covers & shaped)
+    return kept.withColumn("score", F.col("conf") + 0.15 * (F.length(F.col("number").cast("string")) - 1) + F.when(F.col("cx") > F.col("rx"), 0.05).otherwise(0.0))
+
+
+def vote(candidates: DataFrame) -> DataFrame:
+    """``candidates``: ring, seq, number, score. The number with the largest sum of scores (then the better single score, then the smaller number) and the seq of its best reading."""
+    s = candidates.groupBy("ring", "number").agg(F.round(F.sum("score"), 9).alias("total"), F.max("score").alias("top"), F.max_by("seq", F.struct("score", -F.col("seq"))).alias("seq"))
+    best = F.max_by(F.struct("number", "total", "top", "seq"), F.struct("total", "top", -F.col("number")))
+    return s.groupBy("ring").agg(best.alias("b")).select("ring", "b.*")
+
+
+def ring_near_digit(digits: DataFrame, rings: DataFrame, search: float, tile: float = 90.0) -> DataFrame:
+    """``digits``: image, digit, cx, cy, x0, y0, x1, y1 (a number's box); ``rings``: image, ring, x, y, radius, hollow. The best ring of each digit: of a fitting size, near
+    but not on the digit; nearness counts more than how hollow it is. Met by tiles of the farthest reach, so an equi-join."""
+    h = F.col("y1") - F.col("y0")
+    reach = F.floor(F.least(F.greatest(F.lit(search), 2.2 * h), 3.5 * h, F.lit(90.0)))
+    d = digits.withColumn("_h", h).withColumn("_reach", reach)
+    cell = lambda c: F.floor(F.col(c) / tile)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    d = d.select("*", F.explode(around).alias("_a")).select("*", F.explode(around).alias("_b")).withColumn("_tx", cell("cx") + F.col("_a")).withColumn("_ty", cell("cy") + F.col("_b"))
+    j = d.join(rings.withColumn("_tx", cell("x")).withColumn("_ty", cell("y")), ["image", "_tx", "_ty"])
+    away, pad = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), F.greatest(F.lit(2.0), F.floor(0.15 * F.col("_h")))
+    on = F.col("x").between(F.col("x0") - pad, F.col("x1") + pad) & F.col("y").between(F.col("y0") - pad, F.col("y1") + pad)
+    j = j.where(F.col("radius").between(0.45 * F.col("_h"), 0.95 * F.col("_h")) & ~on & (away <= F.col("_reach")))
+    score = F.round(F.col("hollow") - 1.25 * away / F.greatest(F.col("_reach"), F.lit(1.0)), 9)
+    return j.groupBy("image", "digit").agg(F.max_by(F.struct("ring", score.alias("score")), F.struct(score, -F.col("ring"))).alias("b")).select("image", "digit", "b.*")
+
+
+def snapped(points: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
+    """``points``: image, seq, x, y, score; ``rings``: image, ring, rx, ry, radius, hollow (candidates). Each point at the ring that is best within reach, hollowness first, then
+    nearness and the expected ``radius``; its score falls with how filled the ring is, and source tells whether it was moved. Met by tiles, an equi-join."""
+    low = max(8, round(0.7 * radius))
+    high = max(low + 2, round(1.35 * radius))
+    reach = max(2.2 * radius, 1.5 * high)
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    p = points.select("image", "seq", "x", "y", F.explode(around).alias("_a")).select("*", F.explode(around).alias("_b")).withColumn("_tx", cell("x") + F.col("_a")).withColumn("_ty", cell("y") + F.col("_b"))
+    fit = rings.where(F.col("radius").between(low, high)).withColumn("_tx", cell("rx")).withColumn("_ty", cell("ry"))
+    away = F.hypot(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"))
+    worth = F.round(2 * F.col("hollow") - 0.35 * away / max(reach, 1.0) - 0.35 * F.abs(F.col("radius") - radius) / max(radius, 1.0), 9)
+    best = p.join(fit, ["image", "_tx", "_ty"]).where(away <= reach).groupBy("image", "seq").agg(F.max_by(F.struct("rx", "ry", "hollow"), F.struct(worth, -F.col("ring"))).alias("b"))
+    j = points.join(best, ["image", "seq"], "left")
+    moved = F.col("b").isNotNull()
+    score = F.when(moved, F.col("score") * (0.55 + 0.45 * F.least(F.col("b.hollow"), F.lit(1.0)))).otherwise(F.col("score"))
+    rest = [c for c in points.columns if c not in ("x", "y", "score")]
+    return j.select(*rest, F.coalesce("b.rx", "x").alias("x"), F.coalesce("b.ry", "y").alias("y"), score.alias("score"), F.when(moved, "circle").otherwise("vlm").alias("source"))
+
+
+def merged_tiles(replies: DataFrame, rings: DataFrame, radius: float, least: float = 0.35) -> DataFrame:
+    """``replies``: image, tile, x0, y0, width, height, seq, number, x, y, score (places as shares of the tile). Hits of all tiles of an image in its pixels, moved to rings;
+    of each number the best, the first of equals (by tile, then seq)."""
+    sure = replies.where(F.col("score") >= least).select("image", F.struct("tile", "seq").alias("seq"), "number", (F.col("x0") + F.col("x") * F.col("width")).alias("x"), (F.col("y0") + F.col("y") * F.col("height")).alias("y"), "score")
+    put = snapped(sure, rings, radius)
+    first = Window.partitionBy("image", "number").orderBy(F.desc("score"), "seq")
+    return put.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("image", "number", "x", "y", "score", "source")
+
+
+def clustered_glyphs(boxes: DataFrame, dy: float = 0.45, gap: float = 0.55) -> DataFrame:
+    """``boxes``: image, id, x0, y0, x1, y1. Boxes that stand in one line and nearly touch, and whatever these lead to, are one: image, cluster (its first id in reading order), n and the box around. An
+    image's glyphs are few, and a task takes an image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = pdf.assign(cy=(pdf.y0 + pdf.y1) / 2, cx=(pdf.x0 + pdf.x1) / 2).sort_values(["cy", "cx", "id"])
+        high, name = np.maximum((b.y1 - b.y0).to_numpy(float), 1.0), np.arange(len(b))
+        mean = (high[:, None] + high[None]) / 2
+        near = (np.abs(b.cy.to_numpy()[:, None] - b.cy.to_numpy()[None]) <= dy * mean) & (np.maximum(0, np.maximum(b.x0.to_numpy()[None] - b.x1.to_numpy()[:, None], b.x0.to_numpy()[:, None] - b.x1.to_numpy()[None])) <= gap * mean)
+        while True:  # every box takes the least name among its neighbours
+            low = np.where(near, name[None], len(b)).min(1)
+            if (low == name).all():
+                break
+            name = low
+        b = b.assign(cluster=b.id.to_numpy()[name])
+        out = b.groupby("cluster").agg(n=("id", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max")).reset_index()
+        out.insert(0, "image", pdf["image"].iloc[0])
+        return out
+
+    return boxes.groupBy("image").applyInPandas(run, "image long, cluster long, n long, x0 double, y0 double, x1 double, y1 double")
 
 
 def iou(a: str, b: str) -> Column:
@@ -49,22 +132,28 @@ def suppress(rings: DataFrame, least: float) -> DataFrame:
 
 
 def merge_hits(hits: DataFrame, near: float = 28.0, overlap: float = 0.15) -> DataFrame:
-    """Text hits (image, seq, text, conf, x0..y1, cx, cy): the better ranked of two that overlap or lie close stays, two digits rank higher."""
+    """``hits``: image, seq, number, conf, x0, y0, x1, y1, cx, cy. From the surest down (two digits count 0.15, and first among equals; then seq), each is held against the
+    kept ones in turn; the first that it overlaps, or lies near in x and in y, decides: what is a part of that one's number goes; what holds that one's number in it takes its place if
+    it's as sure; else the surer stays. An image's hits are few, and a task takes an image."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = lambda h: h.conf + (0.15 if len(h.text) == 2 else 0.0)
+        two = pdf["number"].between(10, 99).astype(int)
+        ranked = pdf.assign(_rank=[*zip(pdf["conf"] + 0.15 * two, two, pdf["conf"], strict=True)], _back=-pdf["seq"])
         kept: list = []
-        for h in pdf.sort_values("seq").itertuples(index=False):
+        for h in ranked.sort_values(["_rank", "_back"], ascending=False).itertuples(index=False):
             for n, k in enumerate(kept):
-                w = max(0.0, min(h.x1, k.x1) - max(h.x0, k.x0)) * max(0.0, min(h.y1, k.y1) - max(h.y0, k.y0))
-                union = (h.x1 - h.x0) * (h.y1 - h.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - w
-                if (union > 0 and w / union > overlap) or ((h.cx - k.cx) ** 2 + (h.cy - k.cy) ** 2) ** 0.5 < near:
-                    if len(h.text) > len(k.text) and k.text in h.text or (not (k.text != h.text and h.text in k.text) and rank(h) > rank(k)):
+                inner = max(0, min(h.x1, k.x1) - max(h.x0, k.x0)) * max(0, min(h.y1, k.y1) - max(h.y0, k.y0))
+                outer = max(1, (h.x1 - h.x0) * (h.y1 - h.y0)) + max(1, (k.x1 - k.x0) * (k.y1 - k.y0)) - inner
+                if inner / outer > overlap or (abs(h.cx - k.cx) < near and abs(h.cy - k.cy) < near):
+                    mine, other = str(h.number), str(k.number)
+                    longer = mine != other and other in mine and h[-2] >= k[-2]
+                    part = mine != other and mine in other
+                    if not part and (longer or (mine != other and h[-2] > k[-2])):
                         kept[n] = h
                     break
             else:
                 kept.append(h)
-        return pd.DataFrame(kept, columns=pdf.columns)
+        return pd.DataFrame([k[:-2] for k in kept], columns=pdf.columns)
 
     return hits.groupBy("image").applyInPandas(run, hits.schema)
 
@@ -73,7 +162,7 @@ def trimmed_median(values: DataFrame, by: str, value: str) -> DataFrame:
     """The median of what lies within 1.5 interquartile ranges (at least 1.5) of the quartiles."""
     q = values.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     fence = 1.5 * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1.0))
-    kept = values.join(F.broadcast(q) if False else q, by).where((F.col(value) >= F.col("q")[0] - fence) & (F.col(value) <= F.col("q")[1] + fence))
+    kept = values.join(q, by).where((F.col(value) >= F.col("q")[0] - fence) & (F.col(value) <= F.col("q")[1] + fence))
     return kept.groupBy(by).agg(F.percentile(value, 0.5).alias("median"), F.count("*").alias("kept"))
 
 
@@ -111,9 +200,19 @@ def parse_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
     number = F.expr("try_cast(h.number AS int)")
     x, y, conf = (F.expr(f"try_cast(h.{n} AS double)") for n in ("x", "y", "confidence"))
     out = c.select(*replies.columns, number.alias("number"), x.alias("x"), y.alias("y"), F.least(F.greatest(F.coalesce(conf, F.lit(0.7)), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    # places outside the image are dropped
     return out.where(F.col("number").between(10, 199) & F.col("x").between(0, 1) & F.col("y").between(0, 1)).drop(text)
 
 
+def parse_starts(replies: DataFrame, text: str = "reply") -> DataFrame:
+    """The start of each JSON reply that has one inside the image: x, y and score, 0.7 if it isn't given and kept within 0 and 1."""
+    raw = F.regexp_extract(F.col(text), r"(?s)(\{.*\})", 1)
+    s = replies.select(*[c for c in replies.columns if c != text], F.from_json(raw, "start struct<x: string, y: string, confidence: string>")["start"].alias("s"))
+    x, y, conf = (F.expr(f"try_cast(s.{n} AS double)") for n in ("x", "y", "confidence"))
+    out = s.withColumn("x", x).withColumn("y", y).withColumn("score", F.least(F.greatest(F.coalesce(conf, F.lit(0.7)), F.lit(0.0)), F.lit(1.0))).drop("s")
+    return out.where(F.col("x").between(0, 1) & F.col("y").between(0, 1))
+
+
 def compared(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     """Three detectors side by side by number, with the distances between them."""
     named = [d.select("number", F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}")) for n, d in zip("abc", (a, b, c), strict=True)]

@@ -1,8 +1,8 @@
 """The 8-connected cell graph, shortest times, routes and their description.
 
 Cells are (map_id, cr, cc, time_s); walls have no time. Edges come from equi-joins on shifted coordinates. One-to-all search is a heap kernel
-for each (map, source): sources are independent, so they spread over the cluster, and a task holds one map's passable
-cells. ``relax`` gives the same times by joins alone, for maps too large for a task.
+for each map and a few of its sources: sources are independent, so they spread over the cluster, and a task holds one map's passable
+cells. Ways between two places are found by A*. ``relax`` gives the same times by joins alone, for maps too large for a task.
 """
 
 from __future__ import annotations
@@ -37,23 +37,34 @@ def edges(cells: DataFrame) -> DataFrame:
     return straight.unionByName(slant)
 
 
+TILE = 16
+
+
 def snap(points: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     """``points`` (map_id, i, x, y): the nearest passable cell of each, by the distance of cells; ties go to the smaller row, then
-    column. Cells are looked at in rings that double, each an equi-join."""
-    free = cells.where(F.col("time_s").isNotNull()).select(*CELL)
+    column. Passable cells are met by tiles of ``TILE`` cells: first those round a point's own tile, then rings of twice the reach for points without one
+    near enough to be the nearest for sure. A point on a map without any is an error."""
+    free = cells.where(F.col("time_s").isNotNull()).select(*CELL, F.floor(F.col("cr") / TILE).alias("tr"), F.floor(F.col("cc") / TILE).alias("tc"))
     edge = cells.groupBy("map_id").agg(F.max("cr").alias("h"), F.max("cc").alias("w"))
-    todo = points.join(F.broadcast(edge), "map_id").select("map_id", "i", F.least(F.greatest(F.floor(F.floor("y") / size), F.lit(0)), F.col("h")).cast("int").alias("pr"), F.least(F.greatest(F.floor(F.floor("x") / size), F.lit(0)), F.col("w")).cast("int").alias("pc"))
-    out, radius = None, 2
+    todo = points.join(edge, "map_id").select("map_id", "i", F.least(F.greatest(F.floor(F.floor("y") / size), F.lit(0)), F.col("h")).cast("int").alias("pr"), F.least(F.greatest(F.floor(F.floor("x") / size), F.lit(0)), F.col("w")).cast("int").alias("pc"))
+    far = cells.agg(F.greatest(F.max("cr"), F.max("cc"))).first()[0] or 0
+    out, reach = None, 1
     while True:
-        span = F.sequence(F.lit(-radius), F.lit(radius))
-        near = todo.select("*", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc")).withColumn("d2", F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).where(F.col("d2") <= radius * radius)
-        near = near.withColumn("cr", F.col("pr") + F.col("dr")).withColumn("cc", F.col("pc") + F.col("dc")).join(free, CELL, "left_semi")
-        got = near.groupBy("map_id", "i").agg(F.min(F.struct("d2", "cr", "cc")).alias("b")).select("map_id", "i", "b.cr", "b.cc", "b.d2")
+        span = F.sequence(F.lit(-reach), F.lit(reach))
+        near = todo.select("*", F.explode(span).alias("a")).select("*", F.explode(span).alias("b"))
+        near = near.select("map_id", "i", "pr", "pc", (F.floor(F.col("pr") / TILE) + F.col("a")).alias("tr"), (F.floor(F.col("pc") / TILE) + F.col("b")).alias("tc")).join(free, ["map_id", "tr", "tc"])
+        d2 = (F.col("cr") - F.col("pr")) * (F.col("cr") - F.col("pr")) + (F.col("cc") - F.col("pc")) * (F.col("cc") - F.col("pc"))
+        got = near.groupBy("map_id", "i").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc")).alias("b")).select("map_id", "i", "b.cr", "b.cc", "b.d2")
+        whole = reach * TILE > far
+        if not whole:  # nothing outside the ring is nearer than its width
+            got = got.where(F.col("d2") <= (reach * TILE) ** 2)
         out = got if out is None else out.unionByName(got)
         todo = todo.join(got, ["map_id", "i"], "left_anti")
-        if radius > 4096 or todo.isEmpty():
+        if todo.isEmpty():
             return out
-        radius *= 4
+        if whole:
+            raise ValueError("a point's map has no passable cell")
+        reach *= 2
 
 
 def _grid(pdf: pd.DataFrame) -> np.ndarray:
@@ -63,37 +74,48 @@ def _grid(pdf: pd.DataFrame) -> np.ndarray:
     return grid
 
 
-def search(grid: np.ndarray, start: tuple[int, int], goal: tuple[int, int] | None = None, speed: float | None = None):
-    """Times from ``start``, parents and the order of visits. With a goal and the largest speed (cells a second) it is A*: the straight line's time to the goal
+def search(grid: np.ndarray, start: tuple[int, int], goal: tuple[int, int] | None = None):
+    """Times from ``start``, parents and the order of visits. With a goal it is A*: the straight line's time to the goal at the fastest cell's speed
     is added, and the search ends there."""
     h, w = grid.shape
-    best = np.full((h, w), np.inf)
-    parent = np.full((h, w, 2), -1, np.int32)
-    visit = np.full((h, w), -1, np.int64)
-    best[start] = 0.0
-    rest = (lambda r, c: np.hypot(r - goal[0], c - goal[1]) / speed) if goal and speed else (lambda r, c: 0.0)
-    heap = [(rest(*start), start[1], start[0])]
-    n = 0
+    wide = w + 2  # a frame of walls, so that no step needs its ends checked
+    framed = np.full((h + 2, wide), np.inf)
+    framed[1:-1, 1:-1] = grid
+    time = framed.ravel().tolist()
+    inf, slant = float("inf"), dims.DIAGONAL
+    best, parent, visit = [inf] * len(time), [-1] * len(time), [-1] * len(time)
+    at = (start[0] + 1) * wide + start[1] + 1
+    aim = (goal[0] + 1) * wide + goal[1] + 1 if goal else -1
+    if goal:
+        y, x = np.divmod(np.arange(len(time)), wide)
+        least = float(grid.min()) if grid.size else inf
+        rest = (np.hypot(y - goal[0] - 1, x - goal[1] - 1) * (least if least < inf else 0.0) * (1 - 1e-11)).tolist()
+    else:
+        rest = [0.0] * len(time)
+    best[at] = 0.0
+    heap, n = [(rest[at], start[1], start[0])], 0
     while heap:
         _, c, r = heapq.heappop(heap)
-        if visit[r, c] >= 0:
+        k = (r + 1) * wide + c + 1
+        if visit[k] >= 0:
             continue
-        visit[r, c] = n
+        visit[k] = n
         n += 1
-        if (r, c) == goal:
+        if k == aim:
             break
+        own, reached = time[k], best[k]
         for dr, dc in STEPS:
-            y, x = r + dr, c + dc
-            if not (0 <= y < h and 0 <= x < w) or grid[y, x] == np.inf or visit[y, x] >= 0:
+            j = k + dr * wide + dc
+            if time[j] == inf or visit[j] >= 0 or (dr and dc and time[k + dc] == inf and time[k + dr * wide] == inf):
                 continue
-            if dr and dc and grid[r, x] == np.inf and grid[y, c] == np.inf:
-                continue
-            t = best[r, c] + (grid[r, c] + grid[y, x]) / 2 * (dims.DIAGONAL if dr and dc else 1.0)
-            if t < best[y, x]:
-                best[y, x] = t
-                parent[y, x] = (r, c)
-                heapq.heappush(heap, (t + rest(y, x), x, y))
-    return best, parent, visit
+            t = reached + (own + time[j]) / 2 * (slant if dr and dc else 1.0)
+            if t < best[j]:
+                best[j] = t
+                parent[j] = k
+                heapq.heappush(heap, (t + rest[j], c + dc, r + dr))
+    inner = lambda v, kind: np.array(v, kind).reshape(h + 2, wide)[1:-1, 1:-1]
+    up = inner(parent, np.int64)
+    return inner(best, float), np.where((up >= 0)[..., None], np.stack([up // wide - 1, up % wide - 1], -1), -1), inner(visit, np.int64)
 
 
 def trail(parent: np.ndarray, start: tuple[int, int], goal: tuple[int, int]) -> list[tuple[int, int]]:
@@ -106,17 +128,57 @@ def trail(parent: np.ndarray, start: tuple[int, int], goal: tuple[int, int]) ->
     return out[::-1]
 
 
+SOURCES_A_TASK = 4
+
+
 def times_from(cells: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sources``: map_id, i, cr, cc. map_id, i, cr, cc, time_s, visit for every reached cell."""
-    jobs = sources.select("map_id", "i", F.col("cr").alias("sr"), F.col("cc").alias("sc"))
-    spread = cells.select(*CELL, "time_s").join(jobs, "map_id")
+    """``sources``: map_id, i, cr, cc. map_id, i, cr, cc, time_s, visit for every reached cell. A task has one map's cells and up to about ``SOURCES_A_TASK`` of its sources."""
+    share = F.floor(F.row_number().over(Window.partitionBy("map_id").orderBy("i")) / SOURCES_A_TASK).cast("int")
+    jobs = sources.select("map_id", share.alias("part"), "i", "cr", "cc")
+    spread = cells.select(*CELL, "time_s").join(jobs.select("map_id", "part").distinct(), "map_id")
+
+    def run(key, own: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        grid, out = _grid(own), []
+        for s in starts.itertuples(index=False):
+            best, _, visit = search(grid, (int(s.cr), int(s.cc)))
+            r, c = np.nonzero(visit >= 0)
+            out.append(pd.DataFrame({"map_id": key[0], "i": s.i, "cr": r, "cc": c, "time_s": best[r, c], "visit": visit[r, c]}))
+        return pd.concat(out)
+
+    return spread.groupBy("map_id", "part").cogroup(jobs.toDF(*jobs.columns).groupBy("map_id", "part")).applyInPandas(run, "map_id int, i int, cr int, cc int, time_s double, visit long")
+
+
+def _walked(grid: np.ndarray, path: list[tuple[int, int]]) -> tuple[float, float]:
+    """Time and length (cells) of a path."""
+    steps = [(a, b, dims.DIAGONAL if a[0] != b[0] and a[1] != b[1] else 1.0) for a, b in zip(path, path[1:], strict=False)]
+    return float(sum((grid[a] + grid[b]) / 2 * f for a, b, f in steps)), float(sum(f for *_, f in steps))
+
+
+def legs(cells: DataFrame, waypoints: DataFrame) -> DataFrame:
+    """``waypoints``: map_id, tour, place, cr, cc. The cells of the fastest way from each place to the next, by A*: map_id, tour, leg (from 1), seq, cr, cc, and the
+    leg's time_s and length (in cells). A leg that can't be walked has one row, with an infinite time."""
+    order = Window.partitionBy("map_id", "tour").orderBy("place")
+    ends = waypoints.select("map_id", "tour", F.row_number().over(order).cast("int").alias("leg"), F.col("cr").alias("sr"), F.col("cc").alias("sc"), F.lead("cr").over(order).alias("gr"), F.lead("cc").over(order).alias("gc")).where(F.col("gr").isNotNull())
+    columns = ["map_id", "tour", "leg", "seq", "cr", "cc", "time_s", "length"]
+
+    def run(key, own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        grid, rows = _grid(own), []
+        for e in ends.itertuples(index=False):
+            start, goal = (int(e.sr), int(e.sc)), (int(e.gr), int(e.gc))
+            path = trail(search(grid, start, goal)[1], start, goal)
+            time, length = _walked(grid, path) if path else (float("inf"), 0.0)
+            rows += [(key[0], key[1], e.leg, n, r, c, time, length) for n, (r, c) in enumerate(path or [start])]
+        return pd.DataFrame(rows, columns=columns)
+
+    spread = cells.select(*CELL, "time_s").join(ends.select("map_id", "tour").distinct(), "map_id")
+    return spread.groupBy("map_id", "tour").cogroup(ends.toDF(*ends.columns).groupBy("map_id", "tour")).applyInPandas(run, "map_id int, tour int, leg int, seq int, cr int, cc int, time_s double, length double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        best, _, visit = search(_grid(pdf), (int(pdf["sr"].iloc[0]), int(pdf["sc"].iloc[0])))
-        r, c = np.nonzero(visit >= 0)
-        return pd.DataFrame({"map_id": pdf["map_id"].iloc[0], "i": pdf["i"].iloc[0], "cr": r, "cc": c, "time_s": best[r, c], "visit": visit[r, c]})
 
-    return spread.groupBy("map_id", "i").applyInPandas(run, "map_id int, i int, cr int, cc int, time_s double, visit long")
+def polylines(legs_: DataFrame, size: int) -> DataFrame:
+    """A tour's pixel centres in order, each leg without its first place if another went before: map_id, tour, pixels (array of x, y)."""
+    at = F.struct("leg", "seq", ((F.col("cc") + 0.5) * size).alias("x"), ((F.col("cr") + 0.5) * size).alias("y"))
+    kept = legs_.where((F.col("leg") == 1) | (F.col("seq") > 0))
+    return kept.groupBy("map_id", "tour").agg(F.transform(F.array_sort(F.collect_list(at)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pixels"))
 
 
 def relax(cells: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
@@ -138,7 +200,7 @@ def relax(cells: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFr
 def time_matrix(cells: DataFrame, points: DataFrame) -> DataFrame:
     """``points``: map_id, i, cr, cc. Time from each point to each other by one search for each source."""
     to = points.select("map_id", F.col("i").alias("j"), "cr", "cc")
-    return times_from(cells, points).join(F.broadcast(to), CELL).select("map_id", "i", "j", "time_s")
+    return times_from(cells, points).join(to, CELL).select("map_id", "i", "j", "time_s")
 
 
 def retimed(steps: DataFrame, cells: DataFrame) -> DataFrame:
@@ -169,14 +231,13 @@ def k_routes(cells: DataFrame, pairs: DataFrame, k: int = dims.ROUTES, factor: f
         for _ in range(max(4 * k, k + 2) if free else 0):
             if len(kept) == k:
                 break
-            _, parent, _ = search(work, start, goal)
-            path = trail(parent, start, goal)
+            path = trail(search(work, start, goal)[1], start, goal)
             if not path:
                 break
             own = set(path)
             if all(len(own & o) / min(len(own), len(o)) < similarity for o in kept):
                 kept.append(own)
-                time = sum((plain[a] + plain[b]) / 2 * (dims.DIAGONAL if a[0] != b[0] and a[1] != b[1] else 1.0) for a, b in zip(path, path[1:], strict=False))
+                time, _ = _walked(plain, path)
                 rows += [(one.map_id, one.pair, len(kept) - 1, time, n, r, c) for n, (r, c) in enumerate(path)]
             mask = np.zeros(work.shape, bool)
             for r, c in path:

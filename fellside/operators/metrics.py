@@ -43,45 +43,63 @@ def summary(scores: DataFrame, *by: str, exclude: tuple[int, ...] = (0, *dims.EM
     )
 
 
-def class_weights(balance: DataFrame, mode: str, low: float = 0.25, high: float = 10.0, beta: float = 0.9999, boost: dict[int, float] | None = None, classes: int = CLASSES) -> DataFrame:
-    """``balance``: class_id, pixels. Weights normalised by the active classes' mean, clipped; background 1, empty classes 0;
-    boosts multiply after that and are clipped again. Sixteen rows, so one window over all is bounded."""
+def class_weights(balance: DataFrame, mode: str, low: float = 0.25, high: float = 10.0, beta: float = 0.9999, boost: dict[int, float] | None = None, empty: float = 0.0, classes: int = CLASSES) -> DataFrame:
+    """``balance``: class_id, pixels. Classes with pixels, but for background and the empty ones, are active: their weights are over their mean, then
+    clipped. Empty classes have ``empty``, all others 1, as all have in mode none. Boosts multiply after that; active classes are clipped again.
+    Sixteen rows, so one window over all is bounded."""
     spark = balance.sparkSession
     p = spark.range(classes).select(F.col("id").cast("int").alias("class_id")).join(balance, "class_id", "left").fillna(0.0, ["pixels"])
-    active = ~F.col("class_id").isin(0, *dims.EMPTY) & (F.col("pixels") > 0)
-    total = F.sum(F.when(active, F.col("pixels"))).over(Window.partitionBy())
-    f = F.col("pixels") / total
-    if mode == "none":
-        raw = F.lit(1.0)
-    elif mode == "inverse_freq":
-        raw = 1 / f
-    elif mode == "inverse_sqrt_freq":
-        raw = 1 / F.sqrt(f)
-    elif mode == "effective_number":
-        raw = (1 - beta) / (1 - F.pow(F.lit(beta), F.greatest(f * 10000, F.lit(1.0))))
-    else:
+    nothing = F.col("class_id").isin(*dims.EMPTY)
+    active = ~nothing & (F.col("class_id") != 0) & (F.col("pixels") > 0)
+    f = F.greatest(F.col("pixels") / F.sum(F.when(active, F.col("pixels"))).over(Window.partitionBy()), F.lit(1e-12))
+    raw = {
+        "none": F.lit(1.0),
+        "inverse_freq": 1 / f,
+        "inverse_sqrt_freq": 1 / F.sqrt(f),
+        "effective_number": (1 - beta) / (1 - F.pow(F.lit(beta), F.greatest(f * 10000, F.lit(1.0)))),
+    }
+    if mode not in raw:
         raise ValueError(f"no such mode: {mode}")
-    w = p.select("class_id", active.alias("_a"), F.when(active, raw).alias("_raw"))
-    mean = F.avg("_raw").over(Window.partitionBy())
+    w = p.select("class_id", nothing.alias("_e"), active.alias("_a"), F.when(active, raw[mode]).alias("_raw"))
     clip = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
-    value = clip(F.col("_raw") / mean)
+    value = F.lit(1.0) if mode == "none" else F.when(F.col("_a"), clip(F.col("_raw") / F.avg("_raw").over(Window.partitionBy()))).otherwise(1.0)
     if boost:
-        value = clip(value * F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boost.items() for x in kv]), F.col("class_id")), F.lit(1.0)))
-    return w.select("class_id", F.when(F.col("class_id") == 0, 1.0).when(F.col("_a"), value).otherwise(0.0).alias("weight"))
+        value = value * F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boost.items() for x in kv]), F.col("class_id")), F.lit(1.0))
+        value = F.when(F.col("_a"), clip(value)).otherwise(value)
+    return w.select("class_id", F.when(F.col("_e"), F.lit(empty)).otherwise(value).alias("weight"))
 
 
-def soft_dice(pixels: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """1 - mean Dice; ``pixels``: class_id, prob, hit (1 where the class is the truth)."""
+def soft_dice(pixels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """One less Dice, the mean over classes, weighted by ``weights`` (class_id, weight) over those above 0 if any is; ``pixels``: class_id, prob, hit (1 where the
+    class is the truth)."""
     each = pixels.groupBy("class_id").agg(F.sum(F.col("prob") * F.col("hit")).alias("i"), F.sum(F.col("prob") + F.col("hit")).alias("u"))
-    return each.agg((1 - F.avg((2 * F.col("i") + 1) / (F.col("u") + 1))).alias("loss"))
+    each = each.withColumn("one", 1 - (2 * F.col("i") + EPS) / (F.col("u") + EPS))
+    if weights is None:
+        return each.agg(F.avg("one").alias("loss"))
+    each = each.join(weights.where("weight > 0"), "class_id", "left")
+    return each.agg(F.coalesce(F.sum(F.col("one") * F.col("weight")) / F.sum("weight"), F.avg("one")).alias("loss"))
 
 
 def weighted_ce(pixels: DataFrame, weights: DataFrame) -> DataFrame:
     """``pixels``: gt, p; the weighted mean of -ln p."""
-    j = pixels.join(F.broadcast(weights), F.col("gt") == F.col("class_id"))
+    j = pixels.join(F.broadcast(weights), F.col("gt") == F.col("class_id"))  # a row for each class
     return j.agg((F.sum(F.col("weight") * -F.log("p")) / F.sum("weight")).alias("loss"))
 
 
+def combined_loss(probs: DataFrame, weights: DataFrame, ce: float = 0.5, dice: float = 0.5, lovasz_part: float = 0.0) -> DataFrame:
+    """``probs``: pixel, gt, class_id, prob; every class of each pixel. loss, ce, dice, lovasz: cross-entropy and Dice by the same class weights, and the
+    mean Lovász loss of the classes that are present, each times its share. A row each, so joining them is no product."""
+    hit = (F.col("gt") == F.col("class_id")).cast("int")
+    parts = [
+        weighted_ce(probs.where(hit == 1).select("gt", F.col("prob").alias("p")), weights).select(F.lit(1).alias("k"), F.col("loss").alias("ce")),
+        soft_dice(probs.withColumn("hit", hit), weights).select(F.lit(1).alias("k"), F.col("loss").alias("dice")),
+        lovasz(probs.select("class_id", F.abs(hit - F.col("prob")).alias("err"), hit.alias("fg"))).agg(F.avg("loss").alias("lovasz")).withColumn("k", F.lit(1)),
+    ]
+    all_ = parts[0].join(parts[1], "k").join(parts[2], "k")
+    total = ce * F.col("ce") + dice * F.col("dice") + (lovasz_part * F.col("lovasz") if lovasz_part > 0 else F.lit(0.0))
+    return all_.select(total.alias("loss"), "ce", "dice", "lovasz")
+
+
 def lovasz(pixels: DataFrame) -> DataFrame:
     """Lovász-softmax of classes that are present; ``pixels``: class_id, err, fg. A class's errors are ranked over the cluster's
     distinct error values, so a window has a row for each value, not each pixel; pixels with equal errors may be

@@ -46,7 +46,7 @@ def cost_image(costs: DataFrame) -> DataFrame:
     """Costs as grey levels: 255 for walls, else in proportion to the largest passable cost of the map (1 at least)."""
     top = costs.where(F.col("cost") < dims.WALL_TIME).groupBy("map_id").agg(F.greatest(F.max("cost"), F.lit(1.0)).alias("top"))
     grey = F.when(F.col("cost") >= dims.WALL_TIME, 255).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("cost") / F.coalesce("top", F.lit(1.0)) * 255)))).cast("int")
-    return costs.join(F.broadcast(top), "map_id", "left").select(*KEY, grey.alias("grey"))
+    return costs.join(top, "map_id", "left").select(*KEY, grey.alias("grey"))
 
 
 def _shifted(df: DataFrame, offsets: list[tuple[int, int]], *keep: str) -> DataFrame:
@@ -71,24 +71,37 @@ def close_linear(label: DataFrame) -> DataFrame:
     return label.join(closed, KEY, "left").select(*KEY, F.when((F.col("class_id") == 0) & F.col("fill").isNotNull(), F.col("fill")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def resolve_overlays(label: DataFrame, radius: int = 4) -> DataFrame:
-    """Overlay classes take the class of the nearest other pixel; ties go to the smaller row, then column. Overlays without one
-    within ``radius`` are looked at again with twice the radius, until none is left or the map has none (then open land)."""
+def _beside(pixels: DataFrame, line: str, along: str) -> DataFrame:
+    """``pixels`` (map_id, r, c, class_id; null where nothing is known) with before and after: place (``along``) and class of the nearest pixels of a class that
+    isn't an overlay, at or before and at or after each one, in its own ``line``."""
+    own = Window.partitionBy("map_id", line)
+    upto = lambda order: own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # noqa: E731 a frame that grows; one that shrinks is summed up anew for every row
+    real = F.when(~F.col("class_id").isin(*dims.OVERLAY), F.struct(F.col(along).alias("at"), "class_id"))
+    return pixels.withColumn("before", F.last(real, True).over(upto(F.asc(along)))).withColumn("after", F.last(real, True).over(upto(F.desc(along))))
+
+
+def resolve_overlays(label: DataFrame) -> DataFrame:
+    """Overlay classes take the class of the nearest other pixel; ties go to the smaller row, then column; a map without one is open land.
+
+    Windows along rows and columns give each overlay pixel the nearest pixel of its own row and column, so a bound on the distance. Only rows within that
+    bound can hold a nearer one: it is looked for in each by one more window along rows, over the pixels and the places asked for. So work grows with
+    the distance, not with its square, and no distance is too large. A pixel whose row and column hold overlays only asks all rows of its map."""
     real = label.where(~F.col("class_id").isin(*dims.OVERLAY))
-    todo = label.where(F.col("class_id").isin(*dims.OVERLAY)).select(*KEY)
-    found = None
-    known = real.select("map_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("class_id").alias("near"))
-    while True:
-        span = F.sequence(F.lit(-radius), F.lit(radius))
-        near = todo.select("*", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc")).where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
-        near = near.select("*", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2")).join(known, ["map_id", "nr", "nc"])
-        got = near.groupBy(*KEY).agg(F.min_by("near", F.struct("d2", "nr", "nc")).alias("class_id"))
-        found = got if found is None else found.unionByName(got)
-        todo = todo.join(got, KEY, "left_anti").join(real.select("map_id").distinct(), "map_id", "left_semi")
-        if radius > 256 or todo.isEmpty():
-            break
-        radius *= 2
-    lost = label.where(F.col("class_id").isin(*dims.OVERLAY)).select(*KEY).join(found, KEY, "left")
+    gap = lambda side, at: F.abs(F.col(f"{side}.at") - F.col(at))
+    wide = _beside(label.select(*KEY, "class_id"), "r", "c").withColumn("_x", F.least(gap("before", "c"), gap("after", "c"))).drop("before", "after")
+    both = _beside(wide, "c", "r").withColumn("_y", F.least(gap("before", "r"), gap("after", "r"))).where(F.col("class_id").isin(*dims.OVERLAY))
+    todo = both.select(*KEY, F.least("_x", "_y").alias("_bound"))
+    extent = real.groupBy("map_id").agg(F.min("r").alias("_low"), F.max("r").alias("_high"))
+    todo = todo.join(extent, "map_id", "left")
+    first = F.when(F.col("_bound").isNull(), F.col("_low")).otherwise(F.greatest(F.col("r") - F.col("_bound"), F.col("_low")))
+    last = F.when(F.col("_bound").isNull(), F.col("_high")).otherwise(F.least(F.col("r") + F.col("_bound"), F.col("_high")))
+    asked = todo.where(F.col("_low").isNotNull() & (first <= last)).select("map_id", F.col("r").alias("_r"), "c", F.explode(F.sequence(first, last)).alias("r"))
+    mixed = real.select(*KEY, "class_id", F.lit(None).cast("int").alias("_r")).unionByName(asked.select(*KEY, F.lit(dims.OVERLAY[0]).alias("class_id"), "_r"))
+    near = _beside(mixed, "r", "c").where(F.col("_r").isNotNull())
+    found = near.select("map_id", F.col("_r").alias("r"), "c", F.col("r").alias("_row"), F.explode(F.array("before", "after")).alias("_n")).where(F.col("_n").isNotNull())
+    d2 = (F.col("r") - F.col("_row")) * (F.col("r") - F.col("_row")) + (F.col("c") - F.col("_n.at")) * (F.col("c") - F.col("_n.at"))
+    best = found.groupBy(*KEY).agg(F.min_by("_n.class_id", F.struct(d2, F.col("_row"), F.col("_n.at"))).alias("class_id"))
+    lost = label.where(F.col("class_id").isin(*dims.OVERLAY)).select(*KEY).join(best, KEY, "left")
     return real.select(*KEY, "class_id").unionByName(lost.select(*KEY, F.coalesce("class_id", F.lit(dims.OPEN_LAND)).alias("class_id")))
 
 
@@ -96,7 +109,7 @@ def _cells(label: DataFrame, size: int) -> DataFrame:
     """Pixels with their cell (cr, cc); what doesn't fill a whole cell at the right and lower edge is left out."""
     edge = label.groupBy("map_id").agg((F.floor((F.max("r") + 1) / size)).cast("int").alias("_h"), (F.floor((F.max("c") + 1) / size)).cast("int").alias("_w"))
     cells = label.select("*", F.floor(F.col("r") / size).cast("int").alias("cr"), F.floor(F.col("c") / size).cast("int").alias("cc"))
-    return cells.join(F.broadcast(edge), "map_id").where((F.col("cr") < F.col("_h")) & (F.col("cc") < F.col("_w"))).drop("_h", "_w")
+    return cells.join(edge, "map_id").where((F.col("cr") < F.col("_h")) & (F.col("cc") < F.col("_w"))).drop("_h", "_w")
 
 
 def downsample(label: DataFrame, size: int) -> DataFrame:
@@ -139,7 +152,7 @@ def speed_field(label: DataFrame) -> DataFrame:
     """Speed of each pixel, overlays resolved, an unknown class 0, over the map's largest positive speed (else 1), within 0 and 1."""
     speeds = resolve_overlays(label).join(dim(label).select("class_id", "speed"), "class_id", "left").select(*KEY, F.coalesce("speed", F.lit(0.0)).alias("speed"))
     top = speeds.groupBy("map_id").agg(F.coalesce(F.max(F.when(F.col("speed") > 0, F.col("speed"))), F.lit(1.0)).alias("top"))
-    return speeds.join(F.broadcast(top), "map_id").select(*KEY, "speed", F.least(F.greatest(F.col("speed") / F.col("top"), F.lit(0.0)), F.lit(1.0)).alias("level"))
+    return speeds.join(top, "map_id").select(*KEY, "speed", F.least(F.greatest(F.col("speed") / F.col("top"), F.lit(0.0)), F.lit(1.0)).alias("level"))
 
 
 def class_share(label: DataFrame) -> DataFrame:

@@ -28,13 +28,36 @@ def label_regions(mask: DataFrame, width: int = 1 << 20) -> DataFrame:
     return px.join(now, ["map_id", "id"]).select("map_id", "r", "c", "region")
 
 
-def region_stats(labelled: DataFrame, least: int = 8) -> DataFrame:
-    """Area, box, centre and fill of the regions with at least ``least`` pixels, and what kind of mark each may be."""
-    s = labelled.groupBy("map_id", "region").agg(F.count("*").alias("area"), F.min("c").alias("x0"), F.max("c").alias("x1"), F.min("r").alias("y0"), F.max("r").alias("y1"), F.avg("c").alias("cx"), F.avg("r").alias("cy")).where(F.col("area") >= least)
-    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
-    s = s.withColumn("fill", F.col("area") / (w * h))
-    kind = F.when(F.greatest(w, h) >= 4 * F.least(w, h), "line").when((F.col("fill") < 0.45) & (F.abs(w - h) <= 2), "circle").when(F.col("area") < 20, "noise").otherwise("digit")
-    return s.withColumn("kind", kind)
+DIAMOND = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) <= 2]
+
+
+def hole_counts(labelled: DataFrame) -> DataFrame:
+    """map_id, region, holes: how many holes each region has after closing by a plus, twice (an image counts as going on beyond its edges). A closed region is in
+    one piece, so its holes follow from its Euler number, which is a sum over squares of two by two pixels: no background is searched."""
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in DIAMOND]))
+    spread = lambda px: px.select("map_id", "region", "r", "c", moves.alias("m")).select("map_id", "region", (F.col("r") + F.col("m.a")).alias("r"), (F.col("c") + F.col("m.b")).alias("c"))
+    grown = spread(labelled).distinct()
+    closed = spread(grown).groupBy("map_id", "region", "r", "c").agg(F.count("*").alias("n")).where(F.col("n") == len(DIAMOND))
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1 << (2 * i + j)).alias("bit")) for i in (0, 1) for j in (0, 1)]))
+    squares = closed.select("map_id", "region", "r", "c", corners.alias("q")).groupBy("map_id", "region", (F.col("r") - F.col("q.i")).alias("qr"), (F.col("c") - F.col("q.j")).alias("qc")).agg(F.sum("q.bit").alias("bits"))
+    n = F.bit_count("bits")
+    turn = F.when(n == 1, 1).when(n == 3, -1).when(F.col("bits").isin(6, 9), -2).otherwise(0)
+    return squares.groupBy("map_id", "region").agg((1 - F.sum(turn) / 4).cast("int").alias("holes"))
+
+
+def region_stats(labelled: DataFrame, images: DataFrame, least: int = 8) -> DataFrame:
+    """Area, box (ends exclusive), centre, fill, radius and holes of the regions with at least ``least`` pixels, and what kind of mark each may be.
+    ``images``: map_id, height, width. A circle is told by its hole alone; how round a contour without one is, isn't measured."""
+    s = labelled.groupBy("map_id", "region").agg(F.count("*").alias("area"), F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"), F.min("r").alias("y0"), (F.max("r") + 1).alias("y1"), F.avg("c").alias("cx"), F.avg("r").alias("cy")).where(F.col("area") >= least)
+    s = s.join(hole_counts(labelled.join(s.select("map_id", "region"), ["map_id", "region"], "left_semi")), ["map_id", "region"]).join(images.select("map_id", "height", "width"), "map_id")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    long, short = F.greatest(w, h), F.least(w, h)
+    s = s.withColumn("fill", F.col("area") / (w * h)).withColumn("radius", short / 2)
+    aspect = long / short
+    line = ((aspect >= 4.0) & (F.col("fill") < 0.35) & (F.col("area") < 0.02 * F.col("height") * F.col("width"))) | ((aspect >= 3.0) & (short <= 6) & (long >= 40))
+    circle = (F.abs(w - h) <= 0.4 * long) & (short >= 26) & (F.col("area") >= 220) & (F.col("holes") > 0)
+    digit = F.col("area").between(12, 8000) & (aspect <= 3.5) & (F.col("fill") >= 0.15) & (long <= 120)
+    return s.withColumn("kind", F.when(line, "line").when(circle, "circle").when(digit, "digit").otherwise("noise")).drop("height", "width")
 
 
 def annulus_centres(rings: DataFrame, mask: DataFrame, least: int = 12) -> DataFrame:

@@ -20,7 +20,7 @@ def windows(images: DataFrame, window: int, step: int) -> DataFrame:
 def weights(window: int, mode: str, spark) -> DataFrame:
     """i, j, weight of each pixel of a window."""
     at = lambda n: F.when(F.lit(window) == 1, F.lit(-1.0)).otherwise(-1 + 2 * F.col(n) / (window - 1))
-    one = {"average": lambda n: F.lit(1.0), "cosine": lambda n: F.cos(at(n) * 3.141592653589793 / 2), "gaussian": lambda n: F.exp(-(at(n) * at(n)) / (2 * 0.35 * 0.35))}[mode]
+    one = {"average": lambda n: F.lit(1.0), "cosine": lambda n: 0.5 * (1 + F.cos(at(n) * 3.141592653589793)), "gaussian": lambda n: F.exp(-(at(n) * at(n)) / (2 * 0.35 * 0.35))}[mode]
     side = spark.range(window)
     return side.select(F.col("id").alias("i")).crossJoin(side.select(F.col("id").alias("j"))).select("i", "j", (one("i") * one("j")).alias("weight"))
 
@@ -33,7 +33,14 @@ def reflected(index: Column, size: Column) -> Column:
 
 
 def variants(pixels: DataFrame, size: int) -> DataFrame:
-    """The seven test-time variants' source positions of each pixel (r, c) of a square image."""
+    """The seven test-time variants' source positions (vr, vc) of each pixel (r, c) of square images; other columns stay."""
     r, c, n = F.col("r"), F.col("c"), size - 1
     kinds = [("identity", r, c), ("h", r, n - c), ("v", n - r, c), ("hv", n - r, n - c), ("rot90", c, n - r), ("rot180", n - r, n - c), ("rot270", n - c, r)]
-    return pixels.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), a.cast("int").alias("vr"), b.cast("int").alias("vc")) for k, a, b in kinds])).alias("v")).select("r", "c", "v.variant", "v.vr", "v.vc")
+    moves = F.array(*[F.struct(F.lit(k).alias("variant"), a.cast("int").alias("vr"), b.cast("int").alias("vc")) for k, a, b in kinds])
+    return pixels.select("*", F.explode(moves).alias("v")).select(*pixels.columns, "v.variant", "v.vr", "v.vc")
+
+
+def undone(predicted: DataFrame) -> DataFrame:
+    """What was predicted at (r, c) of a variant belongs to its source pixel (vr, vc): rows at these, ready to be averaged."""
+    rest = [c for c in predicted.columns if c not in ("r", "c", "vr", "vc", "variant")]
+    return predicted.select(*rest, F.col("vr").alias("r"), F.col("vc").alias("c"))

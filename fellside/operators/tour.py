@@ -15,7 +15,7 @@ from .. import dims
 
 def exact_states(matrix: DataFrame, budget: float) -> DataFrame:
     """``matrix``: i, j, time_s over points 0..n. Feasible states: mask, last, time_s, size, parent."""
-    legs = F.broadcast(matrix.where((F.col("i") != F.col("j")) & (F.col("j") > 0)).select("i", "j", F.col("time_s").alias("leg")))
+    legs = F.broadcast(matrix.where((F.col("i") != F.col("j")) & (F.col("j") > 0)).select("i", "j", F.col("time_s").alias("leg")))  # at most EXACT_LIMIT + 1 squared
     n = matrix.agg(F.max("j")).first()[0] or 0
     bit = F.expr("shiftleft(1L, j - 1)")
     level = legs.where(F.col("i") == 0).where(F.col("leg") <= budget).select(bit.alias("mask"), F.col("j").alias("last"), F.col("leg").alias("time_s"), F.lit(0).alias("parent"))
@@ -31,12 +31,27 @@ def exact_states(matrix: DataFrame, budget: float) -> DataFrame:
 
 
 def tours(states: DataFrame, matrix: DataFrame, points: DataFrame, budget: float) -> DataFrame:
-    """Closed feasible tours: mask, last, size, total_s, points."""
+    """Closed feasible tours: mask, last, size, total_s, points. What a set is worth is the sum over its own bits, looked up in one array of all points."""
     back = matrix.where(F.col("j") == 0).select(F.col("i").alias("last"), F.col("time_s").alias("home"))
-    t = states.join(F.broadcast(back), "last").select("mask", "last", "size", (F.col("time_s") + F.col("home")).alias("total_s")).where(F.col("total_s") <= budget)
-    p = points.select("i", "points")
-    worth = t.select("mask").distinct().crossJoin(F.broadcast(p)).where(F.expr("(mask & shiftleft(1L, i - 1)) != 0")).groupBy("mask").agg(F.sum("points").alias("points"))
-    return t.join(worth, "mask")
+    t = states.join(F.broadcast(back), "last").select("mask", "last", "size", (F.col("time_s") + F.col("home")).alias("total_s")).where(F.col("total_s") <= budget)  # a row for each point
+    worth = {int(r["i"]): int(r["points"]) for r in points.where(F.col("i") > 0).collect()}  # a row for each point
+    bits = F.array(*[F.lit(worth.get(i, 0)).cast("long") for i in range(1, max(worth, default=0) + 1)]) if worth else F.array().cast("array<long>")
+    own = F.transform(bits, lambda v, k: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2.0), k).cast("long")) != 0, v).otherwise(F.lit(0).cast("long")))
+    return t.withColumn("points", F.aggregate(own, F.lit(0).cast("long"), lambda a, v: a + v))
+
+
+def improvements(tours_: DataFrame, bucket: int = 64) -> DataFrame:
+    """Tours that beat all before them in the order of (mask, last): more points, or as many in less time. Sets are cut into ranges of ``bucket``; a range is
+    compared with the best of all earlier ranges, which takes a row for each range, and then within itself."""
+    v = F.col("points") * 1000000 - F.col("total_s")
+    t = tours_.withColumn("_v", v).withColumn("_b", F.floor(F.col("mask") / bucket))
+    tops = t.groupBy("_b").agg(F.max("_v").alias("_top"))
+    # whatever the sets, only ranges that hold a tour have a row here, each a maximum
+    before = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    inside = Window.partitionBy("_b").orderBy("mask", "last").rowsBetween(Window.unboundedPreceding, -1)
+    held = t.join(before, "_b").withColumn("_own", F.max("_v").over(inside))
+    past = F.greatest("_before", "_own")
+    return held.where(past.isNull() | (F.col("_v") > past)).drop("_v", "_b", "_before", "_own")
 
 
 def best(tours_: DataFrame, *by: str) -> DataFrame:

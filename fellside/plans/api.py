@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,30 +13,58 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.scalars import points
 from ..operators import detect, graph, metrics, raster, tour
+from ..sources import files
 
 
-def plan_course(label: DataFrame, controls: DataFrame, start: tuple[float, float], budget_s: float, open_land: float = 1.0, size: int = dims.CELL_SIZE, m_per_px: float = 1.0) -> dict:
-    """``label``: one map; ``controls``: i (1..n), number, x, y. Cost grid, snapped points, time matrix, tour. Exact up to ``EXACT_LIMIT`` controls,
-    heuristic beyond. The plan: method, order (numbers), points, time_s."""
+def plan_course(label: DataFrame, controls: DataFrame, start: tuple[float, float], budget_s: float, open_land: float = 1.0, size: int = dims.CELL_SIZE, m_per_px: float = 1.0, with_legs: bool = True) -> dict:
+    """``label``: one map; ``controls``: i (1..n), number, x, y. Cost grid, snapped points, time matrix, tour; exact up to ``EXACT_LIMIT`` controls, heuristic beyond; then the
+    legs from the start over the chosen controls and back, by A*. Returned are the plan's record (method, order of numbers, points, time_s: of the legs if all can be walked,
+    n_legs, distance_m, cumulative_s after each leg) and, under legs, the table of their cells (None without legs)."""
     spark = label.sparkSession
     map_id = label.select("map_id").first()[0]
     cells = raster.cost_grid(label, size, m_per_px).select("map_id", "cr", "cc", "time_s")
     cells = cells.withColumn("time_s", F.col("time_s") / open_land)
     n = controls.count()
+    empty = {"start": list(start), "budget_s": budget_s, "order": [], "points": 0, "time_s": 0.0, "n_legs": 0, "distance_m": 0.0, "cumulative_s": [], "legs": None}
     if n == 0 or budget_s <= 0:
-        return {"method": "empty", "order": [], "points": 0, "time_s": 0.0}
+        return empty | {"method": "empty"}
     at = controls.select(F.lit(map_id).alias("map_id"), "i", "x", "y").unionByName(spark.createDataFrame([(map_id, 0, *map(float, start))], "map_id int, i int, x double, y double"))
-    matrix = graph.time_matrix(cells, graph.snap(at, cells, size)).select("i", "j", "time_s").persist()
+    snapped = graph.snap(at, cells, size).persist()
+    matrix = graph.time_matrix(cells, snapped).select("i", "j", "time_s").persist()
     worth = controls.select("i", points(F.col("number")).alias("points"))
     number = {r.i: r.number for r in controls.select("i", "number").collect()}
     if n <= dims.EXACT_LIMIT:
         states = tour.exact_states(matrix, budget_s).persist()
         top = tour.best(tour.tours(states, matrix, worth, budget_s)).first()
-        if top is None:
-            return {"method": "dp", "order": [], "points": 0, "time_s": 0.0}
-        return {"method": "dp", "order": [number[i] for i in tour.order_of(states, top["mask"], top["last"])], "points": top["points"], "time_s": top["total_s"]}
-    rows = tour.heuristic(matrix.withColumn("problem", F.lit(0)), worth.withColumn("problem", F.lit(0)), budget_s).orderBy("place").collect()
-    return {"method": "greedy_local", "order": [number[r.i] for r in rows], "points": rows[0].total_points if rows else 0, "time_s": rows[0].total_s if rows else 0.0}
+        order = tour.order_of(states, top["mask"], top["last"]) if top else []
+        plan = empty | {"method": "dp", "points": top["points"] if top else 0, "time_s": top["total_s"] if top else 0.0}
+        states.unpersist()
+    else:
+        rows = tour.heuristic(matrix.withColumn("problem", F.lit(0)), worth.withColumn("problem", F.lit(0)), budget_s).orderBy("place").collect()
+        order = [r.i for r in rows]
+        plan = empty | {"method": "greedy_local", "points": rows[0].total_points if rows else 0, "time_s": rows[0].total_s if rows else 0.0}
+    plan["order"] = [number[i] for i in order]
+    if order and with_legs:
+        places = spark.createDataFrame(list(enumerate([0, *order, 0])), "place int, i int")
+        way = graph.legs(cells, snapped.join(places, "i").select("map_id", F.lit(0).alias("tour"), "place", "cr", "cc")).persist()
+        each = way.where("seq = 0").orderBy("leg").select("time_s", "length").collect()  # a row for each leg
+        times = [r["time_s"] for r in each]
+        if all(t < float("inf") for t in times):
+            plan["time_s"] = sum(times)
+        plan |= {"legs": way, "n_legs": len(each), "distance_m": sum(r["length"] for r in each) * size * m_per_px, "cumulative_s": list(accumulate(times))}
+    matrix.unpersist()
+    snapped.unpersist()
+    return plan
+
+
+def controls_table(plan: dict) -> list[dict]:
+    """A row for each chosen control: order, number, points, and the time until it (without the way back), in seconds and minutes."""
+    return [{"order": n + 1, "number": k, "points": int(str(abs(k))[0]), "time_s": round(t, 1), "time_min": round(t / 60, 2)} for n, (k, t) in enumerate(zip(plan["order"], plan["cumulative_s"], strict=False))]
+
+
+def plan_json(plan: dict) -> str:
+    """The plan's record without its table of cells."""
+    return json.dumps({k: v for k, v in plan.items() if k != "legs"}, sort_keys=True)
 
 
 def compute_routes(label: DataFrame, start: tuple[float, float], goal: tuple[float, float], k: int = dims.ROUTES, size: int = dims.CELL_SIZE, m_per_px: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +82,21 @@ def compute_routes(label: DataFrame, start: tuple[float, float], goal: tuple[flo
     return steps, graph.smoothed(runs)
 
 
+def find_routes(source: DataFrame, start: tuple[float, float], goal: tuple[float, float], cache: str | None = None, model: Callable | None = None, version: str = "", **params) -> tuple[DataFrame, DataFrame]:
+    """Routes on a map given as labels (map_id, r, c, class_id), or as anything else with a ``model`` that makes labels of it. With ``cache`` the labels are
+    kept under a key of the input's content, ``version`` (of the model) and nothing else, so that other data are never served."""
+    label = source if {"map_id", "r", "c", "class_id"} <= set(source.columns) else None
+    if label is None:
+        if model is None:
+            raise ValueError("neither labels nor a model to make them with")
+        label = model(source)
+        if cache:
+            # order doesn't matter to the sum; rows are counted too
+            seen = source.agg(F.count("*"), F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)"))).first()
+            label = files.cached(label, cache, content=[str(v) for v in seen], columns=source.columns, version=version)
+    return compute_routes(label, start, goal, **params)
+
+
 def evaluate(pixels: DataFrame, *by: str) -> DataFrame:
     return metrics.summary(metrics.class_scores(metrics.confusion(pixels, *by), *by), *by)
 

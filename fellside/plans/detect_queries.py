@@ -19,18 +19,28 @@ def best_per_number(spark, sf_dir):
     return X.best_per_number(D.detections(spark, sf_dir))
 
 
-@query("digit_vote", f"WITH {D.DETECTIONS}, s AS (SELECT seq % 40 AS ring, number % 12 AS number, round(sum(score), 9) AS total, max(score) AS top FROM det WHERE score >= 0.25 GROUP BY ALL) SELECT ring, number, total, top FROM (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY total DESC, top DESC, number) AS k FROM s) WHERE k = 1 AND total >= 0.85")
+READINGS = f"{D.DETECTIONS}, hit AS (SELECT seq % 40 AS ring, CAST(500 AS DOUBLE) AS rx, CAST(350 AS DOUBLE) AS ry, CAST(12 + seq % 40 AS DOUBLE) AS radius, seq, CAST(seq * 7 % 230 AS INT) AS number, seq * 17 % 101 / 100 AS conf, 500 + (seq * 13 % 121 - 60) - (4 + seq % 37) AS x0, 350 + (seq * 29 % 81 - 40) - (4 + seq % 19) AS y0, 500 + (seq * 13 % 121 - 60) + (4 + seq % 37) AS x1, 350 + (seq * 29 % 81 - 40) + (4 + seq % 19) AS y1 FROM det), hc AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, len(CAST(number AS VARCHAR)) AS nd FROM hit), ca AS (SELECT *, conf + 0.15 * (nd - 1) + CASE WHEN cx > rx THEN 0.05 ELSE 0.0 END AS score FROM hc WHERE nd >= 2 AND (nd = 2 OR number <= 199) AND conf >= CASE WHEN nd >= 3 THEN 0.85 ELSE 0.25 END AND sqrt((cx - rx) ** 2 + (cy - ry) ** 2) BETWEEN 0.75 * radius AND 3.5 * radius AND NOT (rx BETWEEN x0 - 3 AND x1 + 3 AND ry BETWEEN y0 - 3 AND y1 + 3) AND y1 - y0 BETWEEN 0.45 * radius AND 2.2 * radius AND x1 - x0 <= 4.5 * radius AND (x1 - x0) / (y1 - y0) <= 2.8)"
+
+
+def readings(spark, sf_dir):
+    """A number read near a ring for each event; rings of many sizes, boxes of many shapes."""
+    s = F.col("seq")
+    x, y, w, h = 500 + (s * 13 % 121 - 60), 350 + (s * 29 % 81 - 40), 4 + s % 37, 4 + s % 19
+    base = D.detections(spark, sf_dir).select((s % 40).alias("ring"), F.lit(500.0).alias("rx"), F.lit(350.0).alias("ry"), (12 + s % 40).cast("double").alias("radius"), "seq", (s * 7 % 230).cast("int").alias("number"), (s * 17 % 101 / 100).alias("conf"), (x - w).alias("x0"), (y - h).alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+    return base.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+
+
+@query("digit_vote", f"WITH {READINGS}, s AS (SELECT ring, number, round(sum(score), 9) AS total, max(score) AS top, arg_max(seq, {{'s': score, 'q': -seq}}) AS seq FROM ca GROUP BY ALL) SELECT ring, number, total, round(top, 9) AS top, seq FROM (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY total DESC, top DESC, number) AS k FROM s) WHERE k = 1")
 def digit_vote(spark, sf_dir):
-    h = D.detections(spark, sf_dir).where("score >= 0.25").select((F.col("seq") % 40).alias("ring"), (F.col("number") % 12).alias("number"), "score")
-    return X.vote(h).where("total >= 0.85")
+    return X.vote(X.digit_candidates(readings(spark, sf_dir))).withColumn("top", F.round("top", 9))
 
 
-BOXES = f"{D.DETECTIONS}, bx AS (SELECT course, seq AS id, x AS x0, y AS y0, x + 10 + seq % 30 AS x1, y + 8 + seq % 20 AS y1 FROM det WHERE seq < 2000)"
+BOXES = f"{D.DETECTIONS}, bx AS (SELECT course, seq AS id, x AS x0, y AS y0, x + 10 + seq % 30 AS x1, y + 8 + seq % 20 AS y1 FROM det)"
 
 
 def boxes(spark, sf_dir):
     s = F.col("seq")
-    return D.detections(spark, sf_dir).where("seq < 2000").select("course", s.alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10 + s % 30).alias("x1"), (F.col("y") + 8 + s % 20).alias("y1"))
+    return D.detections(spark, sf_dir).select("course", s.alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10 + s % 30).alias("x1"), (F.col("y") + 8 + s % 20).alias("y1"))
 
 
 @query("bbox_iou", f"WITH {BOXES}, p AS (SELECT a.course, a.id AS a_id, b.id AS b_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM bx a JOIN bx b ON a.course = b.course AND a.id < b.id) SELECT course, a_id, b_id, round(i / (s - i), 6) AS iou FROM p WHERE i > 0")
@@ -76,10 +86,10 @@ def ring_radius(spark, sf_dir):
     return X.ring_radius(im, D.detections(spark, sf_dir).select(F.col("course").alias("image"), (F.col("seq") * 7 % 61).cast("double").alias("radius")))
 
 
-@query("pink_overlap", f"WITH {D.LABEL}, {IMAGE}, {BOXES.replace('bx AS', 'bq AS')}, bx AS (SELECT id, CAST(x0 % 80 AS INT) AS x0, CAST(y0 % 100 AS INT) AS y0 FROM bq WHERE id < 200), pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25) SELECT id, round(count(r) / 100.0, 6) AS share FROM bx LEFT JOIN pk ON r >= y0 AND r < y0 + 10 AND c >= x0 AND c < x0 + 10 GROUP BY id")
+@query("pink_overlap", f"WITH {D.LABEL}, {IMAGE}, {BOXES.replace('bx AS', 'bq AS')}, bx AS (SELECT id, CAST(x0 % 80 AS INT) AS x0, CAST(y0 % 100 AS INT) AS y0 FROM bq), pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25) SELECT id, round(count(r) / 100.0, 6) AS share FROM bx LEFT JOIN pk ON r >= y0 AND r < y0 + 10 AND c >= x0 AND c < x0 + 10 GROUP BY id")
 def pink_overlap(spark, sf_dir):
     """Share of a box's pixels that are mask: boxes as pixels, an equi-join."""
-    b = boxes(spark, sf_dir).where("id < 200").select("id", (F.col("x0") % 80).cast("int").alias("x0"), (F.col("y0") % 100).cast("int").alias("y0"))
+    b = boxes(spark, sf_dir).select("id", (F.col("x0") % 80).cast("int").alias("x0"), (F.col("y0") % 100).cast("int").alias("y0"))
     ten = F.sequence(F.lit(0), F.lit(9))
     px = b.select("id", F.explode(ten).alias("a"), "x0", "y0").select("*", F.explode(ten).alias("e")).select("id", (F.col("y0") + F.col("a")).alias("r"), (F.col("x0") + F.col("e")).alias("c"))
     pk = image(spark, sf_dir).where("map_id = 0").where(R.pink(F.col("red"), F.col("green"), F.col("blue"))).select("r", "c", F.lit(1).alias("on"))
@@ -102,10 +112,55 @@ def nms_rings(spark, sf_dir):
 @query("merge_hits")
 def merge_hits(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    h = b.select(F.col("course").alias("image"), F.col("id").alias("seq"), (10 + F.col("id") % 90).cast("string").alias("text"), (F.col("id") % 97 / 97).alias("conf"), "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    h = b.select(F.col("course").alias("image"), F.col("id").alias("seq"), (1 + F.col("id") * 7 % 199).cast("int").alias("number"), (F.col("id") % 97 / 97).alias("conf"), "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     return X.merge_hits(h)
 
 
+RINGS = "rg AS (SELECT course AS image, seq AS ring, x, y, CAST(8 + seq % 19 AS DOUBLE) AS radius, seq * 31 % 101 / 100 AS hollow FROM det WHERE seq % 2 = 1), dg AS (SELECT course AS image, seq AS digit, x + 5 + seq % 9 AS cx, y + 8 + seq % 7 AS cy, x AS x0, y AS y0, x + 10 + 2 * (seq % 9) AS x1, y + 16 + 2 * (seq % 7) AS y1 FROM det WHERE seq % 2 = 0)"
+
+
+def rings(spark, sf_dir):
+    """Odd events as ring candidates."""
+    s = F.col("seq")
+    return D.detections(spark, sf_dir).where("seq % 2 = 1").select(F.col("course").alias("image"), s.alias("ring"), "x", "y", (8 + s % 19).cast("double").alias("radius"), (s * 31 % 101 / 100).alias("hollow"))
+
+
+@query("ring_near_digit", f"WITH {D.DETECTIONS}, {RINGS}, j AS (SELECT image, digit, ring, radius, hollow, y1 - y0 AS h, x, y, x0, y0, x1, y1, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS away, floor(least(greatest(60.0, 2.2 * (y1 - y0)), 3.5 * (y1 - y0), 90.0)) AS reach, greatest(2.0, floor(0.15 * (y1 - y0))) AS pad FROM dg JOIN rg USING (image)), k AS (SELECT image, digit, ring, round(hollow - 1.25 * away / greatest(reach, 1.0), 9) AS score FROM j WHERE radius BETWEEN 0.45 * h AND 0.95 * h AND away <= reach AND NOT (x BETWEEN x0 - pad AND x1 + pad AND y BETWEEN y0 - pad AND y1 + pad)) SELECT image, digit, ring, score FROM (SELECT *, row_number() OVER (PARTITION BY image, digit ORDER BY score DESC, ring) AS n FROM k) WHERE n = 1")
+def ring_near_digit(spark, sf_dir):
+    s = F.col("seq")
+    digits = D.detections(spark, sf_dir).where("seq % 2 = 0").select(F.col("course").alias("image"), s.alias("digit"), (F.col("x") + 5 + s % 9).alias("cx"), (F.col("y") + 8 + s % 7).alias("cy"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10 + 2 * (s % 9)).alias("x1"), (F.col("y") + 16 + 2 * (s % 7)).alias("y1"))
+    return X.ring_near_digit(digits, rings(spark, sf_dir), 60.0)
+
+
+TILES = "tl AS (SELECT course AS image, CAST(seq % 6 AS INT) AS tile, seq, CAST(10 + seq * 3 % 60 AS INT) AS number, 300 * (seq % 6 % 3) + x / 1000 * 400 AS px, 300 * floor(seq % 6 / 3) + y / 700 * 400 AS py, score FROM det WHERE seq % 2 = 0 AND score >= 0.35)"
+
+
+@query("vlm_merge", f"WITH {D.DETECTIONS}, {RINGS}, {TILES}, j AS (SELECT t.image, tile, t.seq, t.number, score, px, py, ring, x, y, hollow, round(2 * hollow - 0.35 * sqrt((x - px) ** 2 + (y - py) ** 2) / 36.0 - 0.35 * abs(radius - 15) / 15.0, 9) AS worth FROM tl t JOIN rg USING (image) WHERE radius BETWEEN 10 AND 20 AND sqrt((x - px) ** 2 + (y - py) ** 2) <= 33.0), b AS (SELECT image, tile, seq, x, y, hollow FROM (SELECT *, row_number() OVER (PARTITION BY image, tile, seq ORDER BY worth DESC, ring) AS n FROM j) WHERE n = 1), s AS (SELECT image, tile, seq, number, coalesce(b.x, px) AS x, coalesce(b.y, py) AS y, CASE WHEN b.x IS NULL THEN score ELSE score * (0.55 + 0.45 * least(hollow, 1.0)) END AS score, CASE WHEN b.x IS NULL THEN 'vlm' ELSE 'circle' END AS source FROM tl LEFT JOIN b USING (image, tile, seq)) SELECT image, number, round(x, 6) AS x, round(y, 6) AS y, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY image, number ORDER BY score DESC, tile, seq) AS n FROM s) WHERE n = 1".replace("/ 36.0", "/ 33.0"))
+def vlm_merge(spark, sf_dir):
+    """Even events as hits in six tiles an image."""
+    s, t = F.col("seq"), (F.col("seq") % 6).cast("int")
+    hits = D.detections(spark, sf_dir).where("seq % 2 = 0").select(F.col("course").alias("image"), t.alias("tile"), (300 * (t % 3)).alias("x0"), (300 * F.floor(t / 3)).alias("y0"), F.lit(400).alias("width"), F.lit(400).alias("height"), "seq", (10 + s * 3 % 60).cast("int").alias("number"), (F.col("x") / 1000).alias("x"), (F.col("y") / 700).alias("y"), "score")
+    r = rings(spark, sf_dir).withColumnRenamed("x", "rx").withColumnRenamed("y", "ry")
+    return X.merged_tiles(hits, r, 15.0).select("image", "number", *[F.round(n, 6).alias(n) for n in ("x", "y", "score")], "source")
+
+
+@query("glyph_clusters")
+def glyph_clusters(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return X.clustered_glyphs(b.select(F.col("course").alias("image"), "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+
+
+STARTS = """sp AS (SELECT event_id, '{"controls":[]' || CASE WHEN event_id % 4 < 3 THEN ',"start":{"x":' || CAST(event_id % 17 AS VARCHAR) || '.5e-1,"y":' || CASE WHEN event_id % 7 = 0 THEN '"0.75"' ELSE '0.25' END || CASE WHEN event_id % 3 = 0 THEN ',"confidence":' || CAST(event_id % 5 - 1 AS VARCHAR) ELSE '' END || '}' ELSE ',"start":null' END || '}' AS reply FROM events)"""
+
+
+@query("vlm_start_parse", f"WITH {STARTS}, p AS (SELECT event_id, TRY_CAST(json_extract_string(reply, '$.start.x') AS DOUBLE) AS x, TRY_CAST(json_extract_string(reply, '$.start.y') AS DOUBLE) AS y, least(greatest(coalesce(TRY_CAST(json_extract_string(reply, '$.start.confidence') AS DOUBLE), 0.7), 0.0), 1.0) AS score FROM sp) SELECT event_id, round(x, 6) AS x, y, score FROM p WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1")
+def vlm_start_parse(spark, sf_dir):
+    e = F.col("event_id")
+    start = F.concat(F.lit(',"start":{"x":'), (e % 17).cast("string"), F.lit('.5e-1,"y":'), F.when(e % 7 == 0, '"0.75"').otherwise("0.25"), F.when(e % 3 == 0, F.concat(F.lit(',"confidence":'), (e % 5 - 1).cast("string"))).otherwise(""), F.lit("}"))
+    text = F.concat(F.lit('{"controls":[]'), F.when(e % 4 < 3, start).otherwise(F.lit(',"start":null')), F.lit("}"))
+    return X.parse_starts(D.table(spark, sf_dir, "events").select("event_id", text.alias("reply"))).withColumn("x", F.round("x", 6))
+
+
 REPLY = """rp AS (SELECT event_id, '{"controls":[{"number":' || CAST(event_id % 220 AS VARCHAR) || ',"x":' || CAST(event_id % 13 AS VARCHAR) || '.5e-1,"y":0.25' || CASE WHEN event_id % 3 = 0 THEN ',"confidence":' || CAST(event_id % 4 AS VARCHAR) ELSE '' END || '}]}' || CASE WHEN event_id % 11 = 0 THEN '' ELSE ' ' END AS reply FROM events)"""
 
 
@@ -123,9 +178,13 @@ def detector_compare(spark, sf_dir):
     return X.compared(*[d.where(F.col("course") == k).groupBy("number").agg(F.min("x").alias("x"), F.min("y").alias("y")) for k in (1, 2, 3)])
 
 
-@query("unused_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS} SELECT i, number FROM controls WHERE number NOT IN (SELECT number FROM det WHERE course = 4)")
+@query("unused_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS}, cs AS (SELECT DISTINCT course FROM det) SELECT course, i, number FROM cs, controls c WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.course = cs.course AND d.number = c.number)")
 def unused_controls(spark, sf_dir):
-    return D.controls(spark, sf_dir).join(D.detections(spark, sf_dir).where("course = 4").select("number"), "number", "left_anti").select("i", "number")
+    """The controls that each course doesn't use."""
+    d = D.detections(spark, sf_dir).select("course", "number")
+    all_ = D.controls(spark, sf_dir).agg(F.collect_list(F.struct("i", "number")).alias("c"))  # one course's controls
+    each = d.select("course").distinct().withColumn("k", F.lit(1)).join(all_.withColumn("k", F.lit(1)), "k").select("course", F.explode("c").alias("c")).select("course", "c.i", "c.number")
+    return each.join(d, ["course", "number"], "left_anti").select("course", "i", "number")
 
 
 @query("selected_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS} SELECT i, number FROM controls WHERE number IN (SELECT number FROM det WHERE course < 25)")
@@ -138,23 +197,23 @@ def parse_digits(spark, sf_dir):
     return D.table(spark, sf_dir, "part").select("p_partkey", parse_number(F.coalesce(F.get(F.split("p_brand", "#"), F.lit(1)), F.lit("")), 0, 199).alias("number"))
 
 
-@query("distance_text", "SELECT p_partkey, CASE WHEN p_retailprice >= 1000 THEN printf('%.2f km', p_retailprice / 1000) ELSE printf('%.0f m', p_retailprice) END AS text FROM part WHERE p_retailprice * 10 % 10 <> 5")
+@query("distance_text", "SELECT p_partkey, CASE WHEN p_retailprice >= 1000 THEN (CAST(round_even(p_retailprice / 1000 * 100, 0) AS BIGINT) // 100) || '.' || lpad(CAST(CAST(round_even(p_retailprice / 1000 * 100, 0) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' km' ELSE CAST(round_even(p_retailprice, 0) AS BIGINT) || ' m' END AS text FROM part")
 def distance_text_query(spark, sf_dir):
-    return D.table(spark, sf_dir, "part").where("p_retailprice * 10 % 10 <> 5").select("p_partkey", distance_text(F.col("p_retailprice")).alias("text"))
+    return D.table(spark, sf_dir, "part").select("p_partkey", distance_text(F.col("p_retailprice")).alias("text"))
 
 
-IMAGES = "im AS (SELECT p_partkey AS image, 300 + p_size * 17 AS height, 200 + p_size * 23 AS width FROM part WHERE p_partkey < 60)"
+IMAGES = "im AS (SELECT p_partkey AS image, 300 + p_size * 17 AS height, 200 + p_size * 23 AS width FROM part)"
 
 
 def images(spark, sf_dir):
-    return D.table(spark, sf_dir, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("image"), (300 + F.col("p_size") * 17).alias("height"), (200 + F.col("p_size") * 23).alias("width"))
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_size") * 17).alias("height"), (200 + F.col("p_size") * 23).alias("width"))
 
 
 for _name, _window, _step in (("window_grid", 512, 256), ("vlm_tiles", 400, 300)):
     query(_name, f"WITH {IMAGES}, ys AS (SELECT DISTINCT image, unnest(list_append(range(0, greatest(height - {_window}, 0) + 1, {_step}), greatest(height - {_window}, 0))) AS y FROM im), xs AS (SELECT DISTINCT image, unnest(list_append(range(0, greatest(width - {_window}, 0) + 1, {_step}), greatest(width - {_window}, 0))) AS x FROM im) SELECT image, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM ys JOIN xs USING (image)")(lambda spark, sf_dir, w=_window, s=_step: W.windows(images(spark, sf_dir), w, s))
 
 
-@query("blend_weight", "WITH g AS (SELECT i, j, -1 + 2 * i / 8 AS a, -1 + 2 * j / 8 AS b FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j)) SELECT i, j, round(exp(-a * a / (2 * 0.35 * 0.35)) * exp(-b * b / (2 * 0.35 * 0.35)), 6) AS gaussian, round(cos(a * 3.141592653589793 / 2) * cos(b * 3.141592653589793 / 2), 6) + 0.0 AS cosine FROM g")
+@query("blend_weight", "WITH g AS (SELECT i, j, -1 + 2 * i / 8 AS a, -1 + 2 * j / 8 AS b FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j)) SELECT i, j, round(exp(-a * a / (2 * 0.35 * 0.35)) * exp(-b * b / (2 * 0.35 * 0.35)), 6) AS gaussian, round(0.25 * (1 + cos(a * 3.141592653589793)) * (1 + cos(b * 3.141592653589793)), 6) + 0.0 AS cosine FROM g")
 def blend_weight(spark, sf_dir):
     g, c = W.weights(9, "gaussian", spark), W.weights(9, "cosine", spark)
     return g.select("i", "j", F.round("weight", 6).alias("gaussian")).join(c.select("i", "j", (F.round("weight", 6) + 0.0).alias("cosine")), ["i", "j"])
@@ -166,13 +225,26 @@ def reflect_pad(spark, sf_dir):
     return k.select("image", "k", W.reflected(F.col("k"), F.lit(50)).cast("int").alias("source"))
 
 
-@query("tta_variants", f"WITH {D.LABEL}, l AS (SELECT r, c, class_id FROM label WHERE map_id = 0 AND r < 50 AND c < 50) SELECT l.r, l.c, round(avg(CASE WHEN s.class_id = l.class_id THEN 1.0 ELSE 0.0 END), 6) AS agree FROM l, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k) JOIN l s ON s.r = CASE k WHEN 0 THEN l.r WHEN 1 THEN l.r WHEN 2 THEN 49 - l.r WHEN 3 THEN 49 - l.r WHEN 4 THEN l.c WHEN 5 THEN 49 - l.r ELSE 49 - l.c END AND s.c = CASE k WHEN 0 THEN l.c WHEN 1 THEN 49 - l.c WHEN 2 THEN l.c WHEN 3 THEN 49 - l.c WHEN 4 THEN 49 - l.r WHEN 5 THEN 49 - l.c ELSE l.r END GROUP BY l.r, l.c")
+TURNS = "CASE k WHEN 0 THEN r WHEN 1 THEN r WHEN 2 THEN 49 - r WHEN 3 THEN 49 - r WHEN 4 THEN c WHEN 5 THEN 49 - r ELSE 49 - c END AS vr, CASE k WHEN 0 THEN c WHEN 1 THEN 49 - c WHEN 2 THEN c WHEN 3 THEN 49 - c WHEN 4 THEN 49 - r WHEN 5 THEN 49 - c ELSE r END AS vc"
+
+
+@query("tta_variants", f"WITH {D.LABEL}, l AS (SELECT map_id, CAST(floor(r / 50) AS INT) AS y, CAST(floor(c / 50) AS INT) AS x, r % 50 AS r, c % 50 AS c, class_id FROM label), v AS (SELECT *, {TURNS} FROM l, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k)) SELECT v.map_id, v.y, v.x, v.r, v.c, round(avg(CASE WHEN s.class_id = v.class_id THEN 1.0 ELSE 0.0 END), 6) AS agree FROM v JOIN l s ON s.map_id = v.map_id AND s.y = v.y AND s.x = v.x AND s.r = vr AND s.c = vc GROUP BY ALL")
 def tta_variants(spark, sf_dir):
-    """How far seven flips and turns of a square agree with it, pixel by pixel."""
-    px = D.label(spark, sf_dir).where("map_id = 0 AND r < 50 AND c < 50").select("r", "c", "class_id")
-    src = px.select(F.col("r").alias("vr"), F.col("c").alias("vc"), F.col("class_id").alias("seen"))
-    v = W.variants(px.select("r", "c"), 50).join(src, ["vr", "vc"]).join(px, ["r", "c"])
-    return v.groupBy("r", "c").agg(F.round(F.avg((F.col("seen") == F.col("class_id")).cast("double")), 6).alias("agree"))
+    """How far seven flips and turns of each square of 50 agree with it, pixel by pixel; what falls outside the map isn't asked."""
+    r, c = F.col("r"), F.col("c")
+    px = D.label(spark, sf_dir).select("map_id", F.floor(r / 50).cast("int").alias("y"), F.floor(c / 50).cast("int").alias("x"), (r % 50).alias("r"), (c % 50).alias("c"), "class_id")
+    src = px.select("map_id", "y", "x", F.col("r").alias("vr"), F.col("c").alias("vc"), F.col("class_id").alias("seen"))
+    v = W.variants(px, 50).join(src, ["map_id", "y", "x", "vr", "vc"])
+    return v.groupBy("map_id", "y", "x", "r", "c").agg(F.round(F.avg((F.col("seen") == F.col("class_id")).cast("double")), 6).alias("agree"))
+
+
+@query("tta_average", f"WITH {D.LABEL}, l AS (SELECT map_id, CAST(floor(r / 50) AS INT) AS y, CAST(floor(c / 50) AS INT) AS x, r % 50 AS r, c % 50 AS c, (r * 7 + c * 3 + class_id * 11) % 100 / 100 AS prob FROM label), v AS (SELECT *, {TURNS} FROM l, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k)) SELECT map_id, y, x, vr AS r, vc AS c, round(avg(prob), 6) AS prob FROM v GROUP BY ALL")
+def tta_average(spark, sf_dir):
+    """Predictions on the seven variants turned back to their own pixels and averaged."""
+    r, c = F.col("r"), F.col("c")
+    p = D.label(spark, sf_dir).select("map_id", F.floor(r / 50).cast("int").alias("y"), F.floor(c / 50).cast("int").alias("x"), (r % 50).alias("r"), (c % 50).alias("c"), ((r * 7 + c * 3 + F.col("class_id") * 11) % 100 / 100).alias("prob"))
+    back = W.undone(W.variants(p, 50))
+    return back.groupBy("map_id", "y", "x", "r", "c").agg(F.round(F.avg("prob"), 6).alias("prob"))
 
 
 @query("tile_index_filter", "SELECT doc_id, source AS map_id, CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split, round(n_chars / 20000, 6) AS fg_ratio FROM documents WHERE doc_id % 10 < 8 AND lang IN ('en', 'de') AND n_chars / 20000 >= 0.1")

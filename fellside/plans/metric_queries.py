@@ -58,11 +58,12 @@ def miou_grouping_sets(spark, sf_dir):
     return rounded(M.summary(M.class_scores(gs, "map_id"), "map_id"), "miou", "mdice", "critical_iou", "pixel_acc")
 
 
-@query("batch_metrics", f"WITH {D.PREDICTIONS}, b AS (SELECT pixel % 20 AS batch, avg(-ln(p)) AS loss, avg(CASE WHEN gt = pred THEN 1.0 ELSE 0.0 END) AS acc FROM pred GROUP BY ALL) SELECT round(avg(loss), 6) AS loss, round(avg(acc), 6) AS acc, count(*) AS batches FROM b")
+@query("batch_metrics", f"WITH {CONF}, b AS (SELECT pixel % 20 AS batch, avg(-ln(p)) AS loss FROM pred GROUP BY ALL) SELECT (SELECT round(avg(loss), 6) FROM b) AS loss, (SELECT round(sum(CASE WHEN gt = pred THEN n ELSE 0 END) / sum(n), 6) FROM conf) AS acc, (SELECT count(*) FROM b) AS batches")
 def batch_metrics(spark, sf_dir):
-    """The loss is the mean of the batches' mean losses, each batch alike."""
-    b = D.predictions(spark, sf_dir).groupBy((F.col("pixel") % 20).alias("batch")).agg(F.avg(-F.log("p")).alias("loss"), F.avg((F.col("gt") == F.col("pred")).cast("double")).alias("acc"))
-    return b.agg(F.round(F.avg("loss"), 6).alias("loss"), F.round(F.avg("acc"), 6).alias("acc"), F.count("*").alias("batches"))
+    """The loss is the mean of the batches' mean losses, each batch alike; the accuracy is that of the counts of all batches together."""
+    ok = (F.col("gt") == F.col("pred")).cast("long")
+    b = D.predictions(spark, sf_dir).groupBy((F.col("pixel") % 20).alias("batch")).agg(F.avg(-F.log("p")).alias("loss"), F.sum(ok).alias("right"), F.count("*").alias("n"))
+    return b.agg(F.round(F.avg("loss"), 6).alias("loss"), F.round(F.sum("right") / F.sum("n"), 6).alias("acc"), F.count("*").alias("batches"))
 
 
 @query("focused_confusion_topk", f"WITH {CONF} SELECT pred, n, round(n * 100.0 / (SELECT sum(n) FROM conf WHERE gt = 8), 6) AS share FROM conf WHERE gt = 8 ORDER BY n DESC, pred LIMIT 5")
@@ -81,11 +82,12 @@ BALANCE = f"{D.PREDICTIONS}, bal AS (SELECT CAST(c AS INT) AS class_id, coalesce
 
 
 def weights_sql(mode: str, boost: str = "") -> str:
+    """Of classes 13 and 15, which have no pixels here but aren't among the empty ones, the weight is 1; classes 1, 7 and 14 are empty."""
     raw = {"none": "1.0", "inverse_freq": "1 / f", "inverse_sqrt_freq": "1 / sqrt(f)", "effective_number": "(1 - CAST(0.9999 AS DOUBLE)) / (1 - pow(CAST(0.9999 AS DOUBLE), greatest(f * 10000, 1)))"}[mode]
-    v = "least(greatest(raw / m, 0.25), 10.0)"
-    v = f"least(greatest({v} * CASE WHEN class_id = 8 THEN 2.0 ELSE 1.0 END, 0.25), 10.0)" if boost else v
+    v = "1.0" if mode == "none" else "CASE WHEN raw IS NULL THEN 1.0 ELSE least(greatest(raw / m, 0.25), 10.0) END"
+    v = f"CASE b.class_id WHEN 8 THEN least(greatest(2.0 * {v}, 0.25), 10.0) WHEN 13 THEN 3.0 * {v} ELSE {v} END" if boost else v
     return f"""WITH {BALANCE}, act AS (SELECT class_id, CAST(px AS DOUBLE) / (SELECT sum(px) FROM bal WHERE class_id NOT IN (0, 1, 7, 14)) AS f FROM bal WHERE class_id NOT IN (0, 1, 7, 14) AND px > 0), w AS (SELECT class_id, CAST({raw} AS DOUBLE) AS raw FROM act),
-mm AS (SELECT avg(raw) AS m FROM w) SELECT b.class_id, round(CASE WHEN b.class_id = 0 THEN 1.0 WHEN raw IS NULL THEN 0.0 ELSE {v.replace('class_id', 'b.class_id')} END, 6) AS weight FROM bal b LEFT JOIN w ON w.class_id = b.class_id, mm"""
+mm AS (SELECT avg(raw) AS m FROM w) SELECT b.class_id, round(CASE WHEN b.class_id IN (1, 7, 14) THEN 0.0 ELSE {v} END, 6) AS weight FROM bal b LEFT JOIN w ON w.class_id = b.class_id, mm"""
 
 
 def _weights(mode, boost=None):
@@ -98,17 +100,17 @@ def _weights(mode, boost=None):
 
 for _mode in ("none", "inverse_freq", "inverse_sqrt_freq", "effective_number"):
     query(f"class_weights_{_mode}", weights_sql(_mode))(_weights(_mode))
-query("class_weights_boosted", weights_sql("inverse_sqrt_freq", "8"))(_weights("inverse_sqrt_freq", {8: 2.0}))
+query("class_weights_boosted", weights_sql("inverse_sqrt_freq", "8"))(_weights("inverse_sqrt_freq", {8: 2.0, 13: 3.0}))
 
 
 def probabilities(spark, sf_dir):
-    """vec, px (0..3), class_id, prob: a softmax over sixteen values of an embedding for each of four pixels."""
+    """vec, px (from 0), class_id, prob: a softmax over each sixteen values of an embedding, a pixel each."""
     e = D.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
-    x = e.select("vec_id", F.floor(F.col("k") / 16).cast("int").alias("px"), (F.col("k") % 16).cast("int").alias("class_id"), F.exp(F.col("v").cast("double")).alias("e")).where(F.col("px") < 4)
+    x = e.select("vec_id", F.floor(F.col("k") / 16).cast("int").alias("px"), (F.col("k") % 16).cast("int").alias("class_id"), F.exp(F.col("v").cast("double")).alias("e"))
     return x.withColumn("prob", F.col("e") / F.sum("e").over(Window.partitionBy("vec_id", "px"))).drop("e")
 
 
-PROBS = """ex AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding[1:64]) AS v FROM embeddings), xe AS (SELECT vec_id, CAST(k // 16 AS INT) AS px, CAST(k % 16 AS INT) AS class_id, exp(CAST(v AS DOUBLE)) AS e FROM ex),
+PROBS = """ex AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding) AS v FROM embeddings), xe AS (SELECT vec_id, CAST(k // 16 AS INT) AS px, CAST(k % 16 AS INT) AS class_id, exp(CAST(v AS DOUBLE)) AS e FROM ex),
 probs AS (SELECT vec_id, px, class_id, e / sum(e) OVER (PARTITION BY vec_id, px) AS prob FROM xe)"""
 
 
@@ -132,9 +134,32 @@ def truth(spark, sf_dir):
     return probabilities(spark, sf_dir).withColumn("gt", ((F.col("vec_id") + F.col("px")) % 16).cast("int"))
 
 
-@query("soft_dice", f"WITH {TRUTH}, d AS (SELECT class_id, sum(CASE WHEN gt = class_id THEN prob ELSE 0 END) AS i, sum(prob + CASE WHEN gt = class_id THEN 1 ELSE 0 END) AS u FROM tr GROUP BY ALL) SELECT round(1 - avg((2 * i + 1) / (u + 1)), 6) AS loss FROM d")
+DICE = "d AS (SELECT class_id, 1 - (2 * sum(CASE WHEN gt = class_id THEN prob ELSE 0 END) + 1e-6) / (sum(prob + CASE WHEN gt = class_id THEN 1 ELSE 0 END) + 1e-6) AS one FROM tr GROUP BY ALL), wt AS (SELECT class_id, CAST(greatest(priority - 3, 0) AS DOUBLE) AS weight FROM dim)"
+
+
+def class_weight_table(spark):
+    """A weight for each class; four are 0."""
+    return dims.dim_class(spark).select("class_id", F.greatest(F.col("priority") - 3, F.lit(0)).cast("double").alias("weight"))
+
+
+@query("soft_dice", f"WITH {TRUTH}, {DIM}, {DICE} SELECT round(sum(one * weight) / sum(weight), 6) AS loss, (SELECT round(avg(one), 6) FROM d) AS plain FROM d JOIN wt USING (class_id) WHERE weight > 0")
 def soft_dice(spark, sf_dir):
-    return rounded(M.soft_dice(truth(spark, sf_dir).withColumn("hit", (F.col("gt") == F.col("class_id")).cast("int"))), "loss")
+    t = truth(spark, sf_dir).withColumn("hit", (F.col("gt") == F.col("class_id")).cast("int"))
+    one = F.lit(1).alias("k")
+    plain = M.soft_dice(t).select(one, F.round("loss", 6).alias("plain"))
+    return M.soft_dice(t, class_weight_table(spark)).select(one, F.round("loss", 6).alias("loss")).join(plain, "k").drop("k")
+
+
+LOVASZ = """le AS (SELECT class_id, abs(CASE WHEN gt = class_id THEN 1.0 ELSE 0.0 END - prob) AS err, CASE WHEN gt = class_id THEN 1 ELSE 0 END AS fg, vec_id, px FROM tr),
+ls AS (SELECT class_id, err, sum(fg) OVER (PARTITION BY class_id) AS al, sum(fg) OVER w AS cf, row_number() OVER w AS cn FROM le WINDOW w AS (PARTITION BY class_id ORDER BY err DESC, vec_id, px ROWS UNBOUNDED PRECEDING)),
+lj AS (SELECT class_id, err, cn, 1 - (al - cf) / (al + cn - cf) AS jac FROM ls WHERE al > 0), lq AS (SELECT class_id, err * (jac - coalesce(lag(jac) OVER (PARTITION BY class_id ORDER BY cn), 0)) AS part FROM lj),
+lv AS (SELECT class_id, sum(part) AS loss FROM lq GROUP BY class_id)"""
+
+
+@query("combined_loss", f"WITH {TRUTH}, {DIM}, {DICE}, {LOVASZ}, c AS (SELECT sum(weight * -ln(prob)) / sum(weight) AS ce FROM tr JOIN wt USING (class_id) WHERE gt = class_id), di AS (SELECT sum(one * weight) / sum(weight) AS dice FROM d JOIN wt USING (class_id) WHERE weight > 0), lo AS (SELECT avg(loss) AS lovasz FROM lv) SELECT round(0.4 * ce + 0.4 * dice + 0.2 * lovasz, 6) AS loss, round(ce, 6) AS ce, round(dice, 6) AS dice, round(lovasz, 6) AS lovasz FROM c, di, lo")
+def combined_loss(spark, sf_dir):
+    t = truth(spark, sf_dir).select(F.struct("vec_id", "px").alias("pixel"), "gt", "class_id", "prob")
+    return rounded(M.combined_loss(t, class_weight_table(spark), 0.4, 0.4, 0.2), "loss", "ce", "dice", "lovasz")
 
 
 @query("weighted_ce", f"WITH {TRUTH}, {DIM} SELECT round(sum((1 + priority) * -ln(prob)) / sum(1 + priority), 6) AS loss FROM tr JOIN dim USING (class_id) WHERE gt = class_id")
@@ -160,10 +185,23 @@ def lr_schedule(spark, sf_dir):
     return spark.range(100).select(F.col("id").alias("step")).select("step", F.round(learning_rate(s, 100, 10, 0.001, 0.9), 9).alias("poly"), F.round(learning_rate(s, 100, 10, 0.001, None), 9).alias("cosine"))
 
 
-@query("ema", "SELECT vec_id, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), CAST(embedding[1:64] AS DOUBLE[])), lambda a, x: a * 0.9 + x * 0.1), 6) AS ema FROM embeddings")
+@query("ema", "SELECT vec_id, round(list_reduce(CAST(embedding AS DOUBLE[]), lambda a, x: a * 0.9 + x * 0.1), 6) AS ema FROM embeddings")
 def ema(spark, sf_dir):
-    """Exponential moving average of a value's updates, in order."""
-    return D.table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(F.slice("embedding", 1, 64), F.lit(0.0), lambda a, x: a * 0.9 + x.cast("double") * 0.1), 6).alias("ema"))
+    """Exponential moving average of a value's updates, in order, from the first one on."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rest = F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0)))
+    return D.table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(rest, F.get(e, F.lit(0)), lambda a, x: a * 0.9 + x * 0.1), 6).alias("ema"))
+
+
+@query("focused_confusion", f"WITH {CONF}, s AS (SELECT 'truth' AS side, gt AS class_id, pred AS other, n FROM conf UNION ALL SELECT 'prediction', pred, gt, n FROM conf), t AS (SELECT side, class_id, sum(n) AS total FROM s GROUP BY ALL), u AS (SELECT class_id, sum(CASE WHEN side = 'truth' THEN total ELSE 0 END) + sum(CASE WHEN side = 'prediction' THEN total ELSE 0 END) AS all_n FROM t GROUP BY ALL), hit AS (SELECT gt AS class_id, n AS tp FROM conf WHERE gt = pred) SELECT side, class_id, other, n, round(n * 100.0 / total, 6) AS share, round(coalesce(tp, 0) / (all_n - coalesce(tp, 0)), 6) AS iou FROM s JOIN t USING (side, class_id) JOIN u USING (class_id) LEFT JOIN hit USING (class_id)")
+def focused_confusion(spark, sf_dir):
+    """For each class, what it is taken for and what is taken for it, with shares and its IoU. At most classes x classes x 2 rows."""
+    c = confusion(spark, sf_dir)
+    s = c.select(F.lit("truth").alias("side"), F.col("gt").alias("class_id"), F.col("pred").alias("other"), "n").union(c.select(F.lit("prediction"), "pred", "gt", "n"))
+    own = F.sum("n").over(Window.partitionBy("side", "class_id"))
+    both = F.sum("n").over(Window.partitionBy("class_id"))
+    tp = F.sum(F.when((F.col("other") == F.col("class_id")) & (F.col("side") == "truth"), F.col("n")).otherwise(0)).over(Window.partitionBy("class_id"))
+    return s.select("side", "class_id", "other", "n", F.round(F.col("n") * 100.0 / own, 6).alias("share"), F.round(tp / (both - tp), 6).alias("iou"))
 
 
 @query("early_stopping", f"WITH {D.PREDICTIONS}, ep AS (SELECT CAST(pixel % 40 AS INT) AS epoch, round(avg(CASE WHEN gt = pred THEN 1.0 ELSE 0.0 END), 9) AS score FROM pred GROUP BY ALL), b AS (SELECT *, coalesce(max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best FROM ep), i AS (SELECT *, max(CASE WHEN score > best THEN epoch END) OVER (ORDER BY epoch) AS last FROM b) SELECT epoch, score, score > best AS improved, epoch - last AS waited FROM i")

@@ -20,8 +20,7 @@ def image(spark, sf_dir):
 IMAGE = "image AS (SELECT map_id, r, c, (r * 7 + c * 3) % 256 AS red, (r * 5 + c * 11) % 256 AS green, (r * 13 + c) % 256 AS blue FROM label)"
 #: Overlays resolved, cells, and the class of each cell.
 RESOLVED = """ov AS (SELECT map_id, r, c FROM label WHERE class_id IN (11, 15)), re AS (SELECT * FROM label WHERE class_id NOT IN (11, 15)),
-off AS (SELECT a.x AS dr, b.x AS dc FROM (SELECT unnest(range(-8, 9)) AS x) a, (SELECT unnest(range(-8, 9)) AS x) b WHERE a.x * a.x + b.x * b.x <= 64),
-nn AS (SELECT ov.map_id, ov.r, ov.c, arg_min(re.class_id, {'d': dr * dr + dc * dc, 'r': re.r, 'c': re.c}) AS class_id FROM ov, off JOIN re ON re.r = ov.r + off.dr AND re.c = ov.c + off.dc AND re.map_id = ov.map_id GROUP BY ALL),
+nn AS (SELECT ov.map_id, ov.r, ov.c, arg_min(re.class_id, {'d': (re.r - ov.r) * (re.r - ov.r) + (re.c - ov.c) * (re.c - ov.c), 'r': re.r, 'c': re.c}) AS class_id FROM ov JOIN re ON re.map_id = ov.map_id GROUP BY ALL),
 res AS (SELECT * FROM re UNION ALL SELECT ov.map_id, ov.r, ov.c, CAST(coalesce(nn.class_id, 2) AS INT) FROM ov LEFT JOIN nn USING (map_id, r, c))"""
 CELLS = """edge AS (SELECT map_id, CAST(floor((max(r) + 1) / 4) AS INT) AS h, CAST(floor((max(c) + 1) / 4) AS INT) AS w FROM label GROUP BY map_id)"""
 

@@ -11,13 +11,16 @@ from .detect_queries import BOXES, boxes
 from .registry import query
 from .route_queries import ROUTES, STEP, _checkpoints, cells, dijkstra_times, steps, times_sql
 
-MASK = f"{D.LABEL}, mk AS (SELECT map_id, r, c, CAST(r AS BIGINT) * 1048576 + c AS id FROM label WHERE class_id IN (6, 10) AND r < 24 AND c < 40)"
-REGION = """nb AS (SELECT a.id, b.id AS other FROM mk a JOIN mk b ON a.map_id = b.map_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+MASK = f"{D.LABEL}, mk AS (SELECT map_id, r, c, CAST(r AS BIGINT) * 1048576 + c AS id FROM label WHERE class_id IN (6, 10))"
+REGION = """mv(a, b) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), sh AS (SELECT id AS other, map_id, r + a AS r, c + b AS c FROM mk, mv), nb AS (SELECT mk.id, sh.other FROM mk JOIN sh USING (map_id, r, c)),
 rg(id, region) USING KEY (id) AS (SELECT id, id FROM mk UNION SELECT w.id, w.region FROM (SELECT nb.id, min(rg.region) AS region FROM rg JOIN nb ON nb.other = rg.id GROUP BY nb.id) w JOIN recurring.rg k ON k.id = w.id WHERE w.region < k.region)"""
+HOLES = """px AS (SELECT region, r, c FROM rg JOIN mk USING (id)), di(a, b) AS (SELECT x, y FROM (SELECT unnest(range(-2, 3)) AS x), (SELECT unnest(range(-2, 3)) AS y) WHERE abs(x) + abs(y) <= 2), gw AS (SELECT DISTINCT region, r + a AS r, c + b AS c FROM px, di),
+cl AS (SELECT region, r + a AS r, c + b AS c FROM gw, di GROUP BY ALL HAVING count(*) = 13), sq AS (SELECT region, r - i AS qr, c - j AS qc, sum(1 << (2 * i + j)) AS bits FROM cl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL),
+ho AS (SELECT region, CAST(1 - sum(CASE WHEN bits IN (1, 2, 4, 8) THEN 1 WHEN bits IN (7, 11, 13, 14) THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4 AS INT) AS holes FROM sq GROUP BY region)"""
 
 
 def mask(spark, sf_dir):
-    return D.label(spark, sf_dir).where("class_id IN (6, 10) AND r < 24 AND c < 40").select("map_id", "r", "c")
+    return D.label(spark, sf_dir).where("class_id IN (6, 10)").select("map_id", "r", "c")
 
 
 @query("connected_regions", f"WITH RECURSIVE {MASK}, {REGION} SELECT r, c, region FROM rg JOIN mk USING (id)")
@@ -26,11 +29,12 @@ def connected_regions(spark, sf_dir):
     return G.label_regions(mask(spark, sf_dir)).select("r", "c", "region")
 
 
-@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, s AS (SELECT region, count(*) AS area, min(c) AS x0, max(c) AS x1, min(r) AS y0, max(r) AS y1, avg(c) AS cx, avg(r) AS cy FROM rg JOIN mk USING (id) GROUP BY region HAVING count(*) >= 8), k AS (SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h FROM s) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(area / (w * h), 6) AS fill, CASE WHEN greatest(w, h) >= 4 * least(w, h) THEN 'line' WHEN area / (w * h) < 0.45 AND abs(w - h) <= 2 THEN 'circle' WHEN area < 20 THEN 'noise' ELSE 'digit' END AS kind FROM k")
+@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, {HOLES}, s AS (SELECT region, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1, avg(c) AS cx, avg(r) AS cy FROM px GROUP BY region HAVING count(*) >= 8), im AS (SELECT (max(r) + 1) * (max(c) + 1) AS size FROM label), k AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM s JOIN ho USING (region)), a AS (SELECT *, area / (w * h) AS fill, greatest(w, h) / least(w, h) AS aspect, least(w, h) AS lo, greatest(w, h) AS hi FROM k) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fill, 6) AS fill, lo / 2 AS radius, holes, CASE WHEN (aspect >= 4 AND fill < 0.35 AND area < 0.02 * size) OR (aspect >= 3 AND lo <= 6 AND hi >= 40) THEN 'line' WHEN abs(w - h) <= 0.4 * hi AND lo >= 26 AND area >= 220 AND holes > 0 THEN 'circle' WHEN area BETWEEN 12 AND 8000 AND aspect <= 3.5 AND fill >= 0.15 AND hi <= 120 THEN 'digit' ELSE 'noise' END AS kind FROM a, im")
 def region_stats(spark, sf_dir):
     _checkpoints(spark)
-    s = G.region_stats(G.label_regions(mask(spark, sf_dir)))
-    return s.select("region", "area", "x0", "x1", "y0", "y1", *[F.round(n, 6).alias(n) for n in ("cx", "cy", "fill")], "kind")
+    images = D.label(spark, sf_dir).groupBy("map_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+    s = G.region_stats(G.label_regions(mask(spark, sf_dir)), images)
+    return s.select("region", "area", "x0", "x1", "y0", "y1", *[F.round(n, 6).alias(n) for n in ("cx", "cy", "fill")], "radius", "holes", "kind")
 
 
 @query("annulus_centre", f"WITH {D.LABEL}, {D.CONTROLS}, m AS (SELECT r, c FROM label WHERE map_id = 0 AND class_id IN (8, 13)) SELECT i AS ring, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy, count(*) AS n FROM controls JOIN m ON 100 * ((c - CAST(x AS INT)) * (c - CAST(x AS INT)) + (r - CAST(y AS INT)) * (r - CAST(y AS INT))) BETWEEN 49 * 81 AND 169 * 81 GROUP BY i HAVING count(*) >= 12")
@@ -58,13 +62,6 @@ def path_steps(spark, sf_dir):
     return j.select("route", "seq", F.round((F.col("time_s") + F.col("t0")) / 2 * f, 6).alias("step_s"), F.round(f * 4.0, 6).alias("step_m"))
 
 
-@query("tour_polyline", f"WITH {ROUTES} SELECT route, string_agg(DISTINCT cc * 4 + 2 || ',' || cr * 4 + 2, ';' ORDER BY cc * 4 + 2 || ',' || cr * 4 + 2) AS pixels, count(DISTINCT (cr, cc)) AS n FROM steps GROUP BY route")
-def tour_polyline(spark, sf_dir):
-    """Pixel centres of a walk's cells, each once."""
-    s = steps(spark, sf_dir).select("route", F.concat_ws(",", (F.col("cc") * 4 + 2).cast("string"), (F.col("cr") * 4 + 2).cast("string")).alias("p")).distinct()
-    return s.groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("p")), ";").alias("pixels"), F.count("*").alias("n"))
-
-
 @query("wave_normalise", times_sql("SELECT i, cr, cc, round((row_number() OVER (PARTITION BY i ORDER BY round(t, 9), cc, cr) - 1) / greatest(count(*) OVER (PARTITION BY i) - 1, 1), 6) AS wave FROM tm"))
 def wave_normalise(spark, sf_dir):
     w = Window.partitionBy("i")
@@ -94,13 +91,14 @@ def backtrack(spark, sf_dir):
     return best.join(goal, ["map_id", "i", "nr", "nc"], "left_semi").select("i", F.col("nr").alias("cr"), F.col("nc").alias("cc"), F.col("b.cr").alias("pr"), F.col("b.cc").alias("pc"))
 
 
-@query("detection_union", f"WITH {D.DETECTIONS}, a AS (SELECT DISTINCT number FROM det WHERE course = 1), b AS (SELECT DISTINCT number FROM det WHERE course = 2) SELECT number FROM a UNION SELECT number FROM b")
+@query("detection_union", f"WITH {D.DETECTIONS} SELECT DISTINCT CAST(floor(course / 2) AS BIGINT) AS pair, number FROM det")
 def detection_union(spark, sf_dir):
-    d = D.detections(spark, sf_dir)
-    return d.where("course = 1").select("number").union(d.where("course = 2").select("number")).distinct()
+    """Two detectors' numbers (an even course and the odd one after it), each once."""
+    d = D.detections(spark, sf_dir).select(F.floor(F.col("course") / 2).alias("pair"), "course", "number")
+    return d.where("course % 2 = 0").select("pair", "number").union(d.where("course % 2 = 1").select("pair", "number")).distinct()
 
 
-@query("controls_sorted", f"WITH {D.DETECTIONS} SELECT number, seq, score, row_number() OVER (ORDER BY number, -score, seq) AS place FROM det WHERE course = 3")
+@query("controls_sorted", f"WITH {D.DETECTIONS} SELECT course, number, seq, score, row_number() OVER (PARTITION BY course ORDER BY number, -score, seq) AS place FROM det")
 def controls_sorted(spark, sf_dir):
-    """One course's controls in order; a course has at most a few hundred."""
-    return D.detections(spark, sf_dir).where("course = 3").select("number", "seq", "score", F.row_number().over(Window.orderBy("number", -F.col("score"), "seq")).cast("long").alias("place"))
+    """Each course's controls in order."""
+    return D.detections(spark, sf_dir).select("course", "number", "seq", "score", F.row_number().over(Window.partitionBy("course").orderBy("number", -F.col("score"), "seq")).cast("long").alias("place"))

@@ -13,28 +13,37 @@ from ..sources import derived as D
 from .raster_queries import GRID
 from .registry import query
 
-# The searches run on one corner of the map, so that their SQL ends in reasonable time; the operators take whole maps.
-CORNER = 12
-SMALL = f"{GRID}, cells AS (SELECT map_id, cr, cc, class_id, time_s FROM grid WHERE cr < {CORNER} AND cc < {CORNER})"
+CELLS = f"{GRID}, cells AS MATERIALIZED (SELECT map_id, cr, cc, class_id, time_s FROM grid)"
+
+
+def _checkpoints(spark):
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fellside-checkpoints-"))
 
 
 def cells(spark, sf_dir):
-    g = R.cost_grid(D.label(spark, sf_dir))
-    return g.where((F.col("cr") < CORNER) & (F.col("cc") < CORNER)).select("map_id", "cr", "cc", "class_id", "time_s")
+    """The cost grid of whole maps, computed once: searches read it several times."""
+    _checkpoints(spark)
+    return R.cost_grid(D.label(spark, sf_dir)).select("map_id", "cr", "cc", "class_id", "time_s").checkpoint()
 
 
-EDGES = """fr AS (SELECT * FROM cells WHERE time_s IS NOT NULL), ed AS (SELECT a.map_id, a.cr, a.cc, b.cr AS nr, b.cc AS nc, (a.time_s + b.time_s) / 2 * CASE WHEN a.cr <> b.cr AND a.cc <> b.cc THEN 1.41421356237 ELSE 1.0 END AS w
-FROM fr a JOIN fr b ON a.map_id = b.map_id AND abs(a.cr - b.cr) <= 1 AND abs(a.cc - b.cc) <= 1 AND (a.cr, a.cc) <> (b.cr, b.cc)
-WHERE a.cr = b.cr OR a.cc = b.cc OR EXISTS (SELECT 1 FROM fr s WHERE s.map_id = a.map_id AND s.cr = a.cr AND s.cc = b.cc) OR EXISTS (SELECT 1 FROM fr s WHERE s.map_id = a.map_id AND s.cr = b.cr AND s.cc = a.cc))"""
+EDGES = """fr AS MATERIALIZED (SELECT * FROM cells WHERE time_s IS NOT NULL), mv(a, b) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)), st AS (SELECT map_id, cr, cc, cr + a AS nr, cc + b AS nc, time_s AS t1, a * b <> 0 AS slant FROM fr, mv),
+ed AS MATERIALIZED (SELECT s.map_id, s.cr, s.cc, s.nr, s.nc, (s.t1 + f.time_s) / 2 * CASE WHEN slant THEN 1.41421356237 ELSE 1.0 END AS w FROM st s JOIN fr f ON f.map_id = s.map_id AND f.cr = s.nr AND f.cc = s.nc
+LEFT JOIN fr x ON x.map_id = s.map_id AND x.cr = s.cr AND x.cc = s.nc LEFT JOIN fr y ON y.map_id = s.map_id AND y.cr = s.nr AND y.cc = s.cc WHERE NOT slant OR x.cr IS NOT NULL OR y.cr IS NOT NULL)"""
 
 
-@query("edges", f"WITH {SMALL}, {EDGES} SELECT map_id, cr, cc, nr, nc, round(w, 6) AS w FROM ed")
+@query("edges", f"WITH {CELLS}, {EDGES} SELECT map_id, cr, cc, nr, nc, round(w, 6) AS w FROM ed")
 def edges(spark, sf_dir):
     return G.edges(cells(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
-SNAP = """pts AS (SELECT 0 AS map_id, i, number, least(greatest(floor(x / 8), 0), 11) AS pr, least(greatest(floor(y / 4), 0), 11) AS pc FROM controls),
-sn AS (SELECT i, number, cr, cc FROM (SELECT i, number, cr, cc, row_number() OVER (PARTITION BY i ORDER BY (cr - pr) * (cr - pr) + (cc - pc) * (cc - pc), cr, cc) AS k FROM pts, fr) WHERE k = 1)"""
+SNAP = """eg AS (SELECT max(cr) AS h, max(cc) AS w FROM cells), pts AS (SELECT 0 AS map_id, i, number, least(greatest(floor(x / 8), 0), h) AS pr, least(greatest(floor(y / 4), 0), w) AS pc FROM controls, eg),
+sn AS MATERIALIZED (SELECT i, number, cr, cc FROM (SELECT i, number, cr, cc, row_number() OVER (PARTITION BY i ORDER BY (cr - pr) * (cr - pr) + (cc - pc) * (cc - pc), cr, cc) AS k FROM pts, fr) WHERE k = 1)"""
 
 
 def snapped(spark, sf_dir, cs):
@@ -42,7 +51,7 @@ def snapped(spark, sf_dir, cs):
     return G.snap(p, cs, 4).join(p.select("map_id", "i", "number"), ["map_id", "i"])
 
 
-@query("snap_points", f"WITH {SMALL}, {EDGES}, {D.CONTROLS}, {SNAP} SELECT i, number, cr, cc FROM sn")
+@query("snap_points", f"WITH {CELLS}, {EDGES}, {D.CONTROLS}, {SNAP} SELECT i, number, cr, cc FROM sn")
 def snap_points(spark, sf_dir):
     return snapped(spark, sf_dir, cells(spark, sf_dir)).select("i", "number", "cr", "cc")
 
@@ -52,7 +61,7 @@ TIMES = """tm AS (SELECT i, cr, cc, CAST(0 AS DOUBLE) AS t FROM src UNION SELECT
 
 
 def times_sql(tail: str) -> str:
-    return f"WITH RECURSIVE {SMALL}, {EDGES}, {D.CONTROLS}, {SNAP}, {SOURCES}, {TIMES.replace('tm AS', 'tm(i, cr, cc, t) USING KEY (i, cr, cc) AS')} {tail}"
+    return f"WITH RECURSIVE {CELLS}, {EDGES}, {D.CONTROLS}, {SNAP}, {SOURCES}, {TIMES.replace('tm AS', 'tm(i, cr, cc, t) USING KEY (i, cr, cc) AS')} {tail}"
 
 
 @query("dijkstra_times", times_sql("SELECT i, cr, cc, round(t, 6) AS time_s FROM tm"))
@@ -68,22 +77,12 @@ def visit_order(spark, sf_dir):
     return G.times_from(cs, snapped(spark, sf_dir, cs)).select("i", "cr", "cc", (F.row_number().over(w) - 1).cast("long").alias("visit"))
 
 
-@query("relaxed_times", times_sql("SELECT i, cr, cc, round(t, 6) AS time_s FROM tm WHERE i = 1"))
+@query("relaxed_times", times_sql("SELECT i, cr, cc, round(t, 6) AS time_s FROM tm"))
 def relaxed_times(spark, sf_dir):
     """The pure-join cross-check of the kernel."""
     _checkpoints(spark)
     cs = cells(spark, sf_dir)
-    return G.relax(cs, snapped(spark, sf_dir, cs).where("i = 1")).select("i", "cr", "cc", F.round("time_s", 6).alias("time_s"))
-
-
-def _checkpoints(spark):
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fellside-checkpoints-"))
+    return G.relax(cs, snapped(spark, sf_dir, cs)).select("i", "cr", "cc", F.round("time_s", 6).alias("time_s"))
 
 
 @query("time_matrix", times_sql("SELECT a.i, b.i AS j, round(t, 6) AS time_s FROM tm a JOIN src b ON a.cr = b.cr AND a.cc = b.cc"))
@@ -127,10 +126,7 @@ def best_by_size(spark, sf_dir):
 @query("tour_improvements", f"WITH RECURSIVE {D.CONTROLS}, {PROBLEM}, {STATES}, o AS (SELECT *, max(points * 1000000 - total_s) OVER (ORDER BY mask, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tr) SELECT mask, last, total_s, CAST(points AS BIGINT) AS points FROM o WHERE before IS NULL OR points * 1000000 - total_s > before")
 def tour_improvements(spark, sf_dir):
     """Tours that beat all before them in the order of (set, last): more points, or as many in less time."""
-    value = F.col("points") * 1000000 - F.col("total_s")
-    w = Window.orderBy("mask", "last").rowsBetween(Window.unboundedPreceding, -1)
-    o = solved(spark, sf_dir).withColumn("v", value).withColumn("before", F.max("v").over(w))
-    return o.where(F.col("before").isNull() | (F.col("v") > F.col("before"))).select("mask", "last", "total_s", "points")
+    return T.improvements(solved(spark, sf_dir)).select("mask", "last", "total_s", "points")
 
 
 @query("tour_time", f"WITH {D.CONTROLS}, {PROBLEM}, w AS (SELECT unnest([0, 3, 1, 7, 5]) AS a, unnest([3, 1, 7, 5, 0]) AS b) SELECT sum(t) AS total_s, count(*) AS legs FROM w JOIN mx ON i = a AND j = b")
@@ -158,7 +154,7 @@ def plan_table(spark, sf_dir):
 
 # Routes for the descriptive queries: straight and bent walks over the corner.
 ROUTES = "steps AS (SELECT route, seq, 0 AS map_id, CAST(CASE route WHEN 0 THEN seq WHEN 1 THEN 5 ELSE least(seq, 6) END AS INT) AS cr, CAST(CASE route WHEN 0 THEN seq WHEN 1 THEN seq ELSE greatest(seq - 6, 0) END AS INT) AS cc FROM (SELECT CAST(unnest(range(3)) AS INT) AS route), (SELECT CAST(unnest(range(12)) AS INT) AS seq))"
-STEP = f"""WITH {SMALL}, {ROUTES}, sj AS (SELECT s.*, class_id, coalesce(time_s, 99.0) AS time_s FROM steps s JOIN cells USING (map_id, cr, cc)),
+STEP = f"""WITH {CELLS}, {ROUTES}, sj AS (SELECT s.*, class_id, coalesce(time_s, 99.0) AS time_s FROM steps s JOIN cells USING (map_id, cr, cc)),
 d AS (SELECT route, seq, class_id, CASE WHEN cr <> lag(cr) OVER o AND cc <> lag(cc) OVER o THEN 1.41421356237 ELSE 1.0 END AS f, (time_s + lag(time_s) OVER o) / 2 AS t FROM sj WINDOW o AS (PARTITION BY route ORDER BY seq))"""
 
 
@@ -188,10 +184,6 @@ def rle_segments(spark, sf_dir):
 
 @query("terrain_distance", f"{RLE} SELECT route, class_id, round(sum(f * 4.0), 6) AS distance_m FROM g GROUP BY ALL")
 def terrain_distance(spark, sf_dir):
-    return rle_segments(spark, sf_dir).groupBy("route", "class_id").agg(F.round(F.sum("distance_m"), 5).alias("d")).join(_exact(spark, sf_dir), ["route", "class_id"]).select("route", "class_id", "distance_m")
-
-
-def _exact(spark, sf_dir):
     j = steps(spark, sf_dir).join(timed_cells(spark, sf_dir), ["map_id", "cr", "cc"])
     return G.segments(j, 4.0).groupBy("route", "class_id").agg(F.round(F.sum("distance_m"), 6).alias("distance_m"))
 
@@ -205,7 +197,7 @@ def route_similarity(spark, sf_dir):
     return k.select("a", "b", F.round(F.col("both") / F.least("na", "nb"), 6).alias("similarity"))
 
 
-@query("corridor_inflate", f"WITH {SMALL}, {ROUTES}, k AS (SELECT DISTINCT c.map_id, c.cr, c.cc FROM cells c JOIN steps s ON s.route = 1 AND abs(c.cr - s.cr) <= 2 AND abs(c.cc - s.cc) <= 2) SELECT map_id, cr, cc, round(time_s * CASE WHEN k.map_id IS NULL THEN 1.0 ELSE 3.0 END, 6) AS time_s FROM cells LEFT JOIN k USING (map_id, cr, cc)".replace("k.map_id IS NULL", "k.cr IS NULL"))
+@query("corridor_inflate", f"WITH {CELLS}, {ROUTES}, k AS (SELECT DISTINCT c.map_id, c.cr, c.cc FROM cells c JOIN steps s ON s.route = 1 AND abs(c.cr - s.cr) <= 2 AND abs(c.cc - s.cc) <= 2) SELECT map_id, cr, cc, round(time_s * CASE WHEN k.map_id IS NULL THEN 1.0 ELSE 3.0 END, 6) AS time_s FROM cells LEFT JOIN k USING (map_id, cr, cc)".replace("k.map_id IS NULL", "k.cr IS NULL"))
 def corridor_inflate(spark, sf_dir):
     return G.inflate(cells(spark, sf_dir), steps(spark, sf_dir).where("route = 1"), 2, 3.0).select("map_id", "cr", "cc", F.round("time_s", 6).alias("time_s"))
 
@@ -216,6 +208,36 @@ def k_routes(spark, sf_dir):
     return G.k_routes(cells(spark, sf_dir), pair).withColumn("time_s", F.round("time_s", 6))
 
 
+WALK = "wk AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS leg, unnest([1, 3, 2, 7, 5]) AS a, unnest([3, 2, 7, 5, 1]) AS b)"
+
+
+def waypoints(spark, sf_dir, cs):
+    """One tour over the snapped points: 1, 3, 2, 7, 5, 1."""
+    order = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in (1, 3, 2, 7, 5, 1)])).alias("place", "i"))
+    return snapped(spark, sf_dir, cs).join(order, "i").select("map_id", F.lit(0).alias("tour"), "place", "cr", "cc")
+
+
+@query("tour_legs", times_sql(f"SELECT leg, round(t, 6) AS time_s, round(sum(t) OVER (ORDER BY leg), 6) AS upto_s FROM (WITH {WALK} SELECT leg, t FROM wk JOIN src p ON p.i = b JOIN tm ON tm.i = a AND tm.cr = p.cr AND tm.cc = p.cc)"))
+def tour_legs(spark, sf_dir):
+    """Each leg's fastest time, by A*, and the time up to its end."""
+    cs = cells(spark, sf_dir)
+    each = G.legs(cs, waypoints(spark, sf_dir, cs)).where("seq = 0").select("tour", "leg", "time_s")
+    return each.select("leg", F.round("time_s", 6).alias("time_s"), F.round(F.sum("time_s").over(Window.partitionBy("tour").orderBy("leg")), 6).alias("upto_s"))
+
+
+POLY = "p AS (SELECT route, seq, cr, cc FROM steps), l AS (SELECT route, seq, cr, cc, CAST(floor(seq / 4) AS INT) + 1 AS leg FROM p UNION ALL SELECT route, seq, cr, cc, CAST(floor(seq / 4) AS INT) FROM p WHERE seq % 4 = 0 AND seq > 0)"
+
+
+@query("tour_polyline", f"WITH {ROUTES}, {POLY}, k AS (SELECT route, leg, seq, cr, cc, row_number() OVER (PARTITION BY route, leg ORDER BY seq) AS n FROM l) SELECT route, string_agg(printf('%.1f,%.1f', (cc + 0.5) * 4, (cr + 0.5) * 4), ';' ORDER BY leg, seq) AS pixels FROM k WHERE leg = 1 OR n > 1 GROUP BY route")
+def tour_polyline(spark, sf_dir):
+    """Pixel centres of a walk in order, put together from legs of four steps that share their ends."""
+    p = steps(spark, sf_dir).withColumn("leg", (F.floor(F.col("seq") / 4) + 1).cast("int"))
+    shared = p.where("seq % 4 = 0 AND seq > 0").withColumn("leg", F.col("leg") - 1)
+    legs = p.union(shared).withColumn("seq", F.row_number().over(Window.partitionBy("route", "leg").orderBy("seq")) - 1)
+    lines = G.polylines(legs.withColumnRenamed("route", "tour"), 4)
+    return lines.select(F.col("tour").alias("route"), F.array_join(F.transform("pixels", lambda q: F.concat_ws(",", q["x"].cast("decimal(12,1)").cast("string"), q["y"].cast("decimal(12,1)").cast("string"))), ";").alias("pixels"))
+
+
 @query("smooth_segments")
 def smooth_segments(spark, sf_dir):
     return G.smoothed(rle_segments(spark, sf_dir).drop("share").withColumn("run", F.col("run").cast("int")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fellside import dims
 from fellside.functions import scalars
-from fellside.operators import graph, metrics, raster, tour
+from fellside.operators import detect, graph, metrics, raster, regions, tiling, tour
 from fellside.plans import api
 from fellside.sources import files
 from fellside.streaming import live
@@ -31,8 +31,6 @@ def test_overlays_take_the_nearest(spark):
 
 
 def test_images_without_rings_have_a_radius(spark):
-    from fellside.operators import detect
-
     images = spark.createDataFrame([(1, 100, 90), (2, 100, 90), (3, 1000, 700), (4, 700, 9000)], "image int, height int, width int")
     rings = spark.createDataFrame([(1, r) for r in (20.0, 21.0, 22.0, 90.0)], "image int, radius double")
     assert {r.image: round(r.radius, 9) for r in detect.ring_radius(images, rings).collect()} == {1: 21.0, 2: 12.0, 3: 18.0, 4: 40.0}
@@ -71,10 +69,143 @@ def test_times_agree_with_joins(spark, tmp_path):
 def test_goal_search_has_the_same_time():
     rng = np.random.default_rng(2)
     grid = rng.integers(1, 9, (15, 15)).astype(float)
+    grid[rng.random((15, 15)) < 0.15] = np.inf
+    grid[0, 0] = grid[14, 14] = 1.0
     full, *_ = graph.search(grid, (0, 0))
-    best, parent, visit = graph.search(grid, (0, 0), (14, 14), speed=1.0)
+    best, parent, visit = graph.search(grid, (0, 0), (14, 14))
     assert best[14, 14] == pytest.approx(full[14, 14]) and (visit >= 0).sum() <= 225
-    assert graph.trail(parent, (0, 0), (14, 14))[0] == (0, 0)
+    path = graph.trail(parent, (0, 0), (14, 14))
+    assert path[0] == (0, 0) and graph._walked(grid, path)[0] == pytest.approx(full[14, 14])
+    even = np.ones((15, 15))
+    assert (graph.search(even, (0, 0), (0, 14))[2] >= 0).sum() < 60  # the goal draws the search
+
+
+def test_far_overlays(spark):
+    """Distances over 600 pixels, and a place whose row and column hold overlays only."""
+    line = pixels(spark, [[11] * 650 + [5]])
+    assert {r.class_id for r in raster.resolve_overlays(line).collect()} == {5}
+    grid = [[15] * 7 for _ in range(7)]
+    grid[0][3], grid[5][6], grid[3][0] = 4, 8, 9
+    got = {(r.r, r.c): r.class_id for r in raster.resolve_overlays(pixels(spark, grid)).collect()}
+    real = [(r, c) for r in range(7) for c in range(7) if grid[r][c] != 15]
+    near = lambda r, c: min(real, key=lambda q: ((q[0] - r) ** 2 + (q[1] - c) ** 2, q))
+    assert got == {(r, c): grid[near(r, c)[0]][near(r, c)[1]] for r in range(7) for c in range(7)}
+
+
+def test_snapping_far_and_nowhere(spark):
+    grid = [[None] * 90 for _ in range(3)]
+    grid[1][88] = 2.0
+    p = spark.createDataFrame([(0, 1, 2.0, 2.0)], "map_id int, i int, x double, y double")
+    assert [(r.cr, r.cc) for r in graph.snap(p, cells(spark, grid), 4).collect()] == [(1, 88)]
+    with pytest.raises(ValueError, match="no passable cell"):
+        graph.snap(p, cells(spark, [[None, None]]), 4)
+
+
+def test_legs(spark):
+    c = cells(spark, [[1.0, 3.0, 1.0], [None, None, None]])
+    ways = spark.createDataFrame([(0, 0, n, 0, k) for n, k in enumerate((0, 2, 1))], "map_id int, tour int, place int, cr int, cc int")
+    way = graph.legs(c, ways)
+    assert [(r.leg, r.seq, r.cc, r.time_s, r.length) for r in way.orderBy("leg", "seq").collect()] == [(1, 0, 0, 4.0, 2.0), (1, 1, 1, 4.0, 2.0), (1, 2, 2, 4.0, 2.0), (2, 0, 2, 2.0, 1.0), (2, 1, 1, 2.0, 1.0)]
+    assert [(p["x"], p["y"]) for p in graph.polylines(way, 4).first().pixels] == [(2.0, 2.0), (6.0, 2.0), (10.0, 2.0), (6.0, 2.0)]
+
+
+def test_window_weights(spark):
+    """Half of one plus the cosine of pi times the place, -1 to 1: 0 at the ends, 1 in the middle."""
+    w = {(r.i, r.j): r.weight for r in tiling.weights(5, "cosine", spark).collect()}
+    assert w[2, 2] == pytest.approx(1) and w[0, 2] == pytest.approx(0) and w[1, 2] == pytest.approx(0.5) and w[1, 1] == pytest.approx(0.25)
+
+
+def test_dice_and_weights_by_hand(spark):
+    px = spark.createDataFrame([(0, 0.8, 1), (0, 0.4, 0), (1, 0.2, 0), (1, 0.6, 1), (2, 0.0, 0)], "class_id int, prob double, hit int")
+    one = [1 - (1.6 + 1e-6) / (2.2 + 1e-6), 1 - (1.2 + 1e-6) / (1.8 + 1e-6), 0.0]
+    assert metrics.soft_dice(px).first().loss == pytest.approx(sum(one) / 3)
+    w = spark.createDataFrame([(0, 2.0), (1, 1.0), (2, 0.0)], "class_id int, weight double")
+    assert metrics.soft_dice(px, w).first().loss == pytest.approx((2 * one[0] + one[1]) / 3)
+    none = spark.createDataFrame([(0, 0.0), (1, 0.0), (2, 0.0)], "class_id int, weight double")
+    assert metrics.soft_dice(px, none).first().loss == pytest.approx(sum(one) / 3)
+    b = spark.createDataFrame([(2, 100.0), (3, 300.0)], "class_id int, pixels double")
+    got = {r.class_id: r.weight for r in metrics.class_weights(b, "inverse_freq", boost={3: 0.1, 9: 20.0, 1: 5.0}).collect()}
+    assert (got[2], got[3], got[9], got[1], got[5], got[0]) == (1.5, 0.25, 20.0, 0.0, 1.0, 1.0)
+    assert {r.class_id: r.weight for r in metrics.class_weights(b, "none").collect()}[5] == 1.0
+
+
+HIT = "image int, seq int, number int, conf double, x0 int, y0 int, x1 int, y1 int, cx double, cy double"
+
+
+def hit(seq, number, conf, x, y=0, size=10):
+    return (1, seq, number, conf, x, y, x + size, y + size, x + size / 2, y + size / 2)
+
+
+@pytest.mark.parametrize(
+    ("hits", "want"),
+    [
+        ([hit(1, 31, 0.5, 0), hit(2, 31, 0.9, 5), hit(3, 31, 0.7, 500)], {2, 3}),  # the same number near: the surer
+        ([hit(1, 3, 0.9, 0), hit(2, 31, 0.8, 5)], {2}),  # two digits rank higher, and the part goes
+        ([hit(1, 131, 0.9, 0), hit(2, 31, 0.95, 5)], {2}),  # the longer one is less sure, so it's no better
+        ([hit(1, 131, 0.99, 0), hit(2, 31, 0.5, 5)], {1}),
+        ([hit(1, 45, 0.6, 0), hit(2, 67, 0.6, 5), hit(3, 89, 0.6, 27)], {1}),  # equals: the first; near in x and in y alike
+        ([hit(1, 45, 0.6, 0), hit(2, 67, 0.5, 27, 27), hit(3, 89, 0.4, 29, 0)], {1, 3}),  # 38 away, but within 28 in both
+    ],
+)
+def test_merging_hits(spark, hits, want):
+    assert {r.seq for r in detect.merge_hits(spark.createDataFrame(hits, HIT)).collect()} == want
+
+
+def test_votes_of_candidates(spark):
+    ring = (1, 0.0, 0.0, 20.0)
+    rows = [  # seq, number, conf, box
+        (1, 7, 0.9, 30, -8, 50, 8), (2, 31, 0.2, 30, -8, 50, 8), (3, 31, 0.5, 30, -8, 50, 8), (4, 45, 0.6, -50, -8, -30, 8), (5, 45, 0.3, -50, -8, -30, 8),
+        (6, 131, 0.8, 30, -8, 50, 8), (7, 231, 0.99, 30, -8, 50, 8), (8, 88, 0.99, -10, -8, 10, 8), (9, 88, 0.99, 80, -8, 99, 8), (10, 88, 0.99, 20, -2, 40, 2), (11, 88, 0.99, 22, -8, 80, 8),
+    ]
+    hits = spark.createDataFrame([(*ring, n, k, c, float(a), float(b), float(x), float(y), (a + x) / 2, (b + y) / 2) for n, k, c, a, b, x, y in rows], "ring int, rx double, ry double, radius double, seq int, number int, conf double, x0 double, y0 double, x1 double, y1 double, cx double, cy double")
+    cand = detect.digit_candidates(hits)
+    assert {r.seq: round(r.score, 6) for r in cand.collect()} == {3: 0.7, 4: 0.75, 5: 0.45}
+    assert tuple(detect.vote(cand).first()) == (1, 45, 1.2, pytest.approx(0.75), 4)
+
+
+def test_regions_have_holes(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    ring = {(r, c) for r in range(30) for c in range(30) if 11**2 <= (r - 14.5) ** 2 + (c - 14.5) ** 2 <= 14.6**2}
+    broken = {(r, c + 40) for r, c in ring if not (r > 14 and 14 <= c <= 15)}  # a gap of two is closed
+    open_ = {(r, c + 80) for r, c in ring if not (r > 14 and 8 <= c <= 21)}
+    bar = {(r, c) for r in range(40, 43) for c in range(60)}
+    digit = {(50 + r, c) for r in range(12) for c in range(5)}
+    dust = {(70, c) for c in range(9)}
+    px = spark.createDataFrame([(0, r, c) for r, c in ring | broken | open_ | bar | digit | dust], "map_id int, r int, c int")
+    got = {(r.x0, r.y0): (r.kind, r.holes) for r in regions.region_stats(regions.label_regions(px), spark.createDataFrame([(0, 100, 200)], "map_id int, height int, width int")).collect()}
+    assert got[0, 0] == ("circle", 1) and got[40, 0] == ("circle", 1) and got[80, 0][1] == 0 and got[80, 0][0] != "circle"
+    assert got[0, 40] == ("line", 0) and got[0, 50] == ("digit", 0) and got[0, 70][0] == "noise"
+
+
+def test_glyphs_of_a_number(spark):
+    rows = [(1, 1, 0.0, 0.0, 8.0, 16.0), (1, 2, 11.0, 1.0, 19.0, 16.0), (1, 3, 27.0, 0.0, 35.0, 16.0), (1, 4, 50.0, 0.0, 58.0, 16.0), (1, 5, 0.0, 30.0, 8.0, 46.0), (2, 6, 1.0, 0.0, 8.0, 16.0)]
+    got = detect.clustered_glyphs(spark.createDataFrame(rows, "image long, id long, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3, 0.0, 0.0, 35.0, 16.0), (1, 4, 1, 50.0, 0.0, 58.0, 16.0), (1, 5, 1, 0.0, 30.0, 8.0, 46.0), (2, 6, 1, 1.0, 0.0, 8.0, 16.0)]
+
+
+def test_suppression_of_rings(spark):
+    rows = [(1, 1, 0.0, 0.0, 0.9), (1, 2, 50.0, 0.0, 0.8), (1, 3, 100.0, 0.0, 0.7), (1, 4, 60.0, 0.0, 0.95), (2, 5, 0.0, 0.0, 0.1)]
+    got = detect.suppress(spark.createDataFrame(rows, "course int, seq int, x double, y double, score double"), 60.0)
+    assert {r.seq for r in got.collect()} == {4, 1, 5}
+
+
+def test_quality_of_rings(spark):
+    """A full circle of radius 10 is all rim and no filling; a disk is both."""
+    on = {(r, c) for r in range(40) for c in range(40) if 8**2 <= (r - 20) ** 2 + (c - 20) ** 2 <= 12**2} | {(r, c) for r in range(40) for c in range(60, 100) if (r - 20) ** 2 + (c - 80) ** 2 <= 12**2}
+    mask = spark.createDataFrame([(0, r, c) for r, c in on], "map_id int, r int, c int")
+    rings = spark.createDataFrame([(0, 1, 20.0, 20.0, 10.0), (0, 2, 80.0, 20.0, 10.0), (0, 3, 200.0, 20.0, 10.0)], "map_id int, ring int, x double, y double, radius double")
+    assert {r.ring: (r.rim, r.fill, r.hollow) for r in detect.ring_quality(rings, mask).collect()} == {1: (1.0, 0.0, 1.0), 2: (1.0, 1.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_routes_differ_and_start_with_the_fastest(spark):
+    c = cells(spark, [[1.0] * 12 for _ in range(12)])
+    pair = spark.createDataFrame([(0, 0, 0, 0, 0, 11)], "map_id int, pair int, sr int, sc int, gr int, gc int")
+    rows = graph.k_routes(c, pair).collect()
+    ways = {}
+    for r in sorted(rows, key=lambda r: (r["rank"], r.seq)):
+        ways.setdefault(r["rank"], []).append((r.cr, r.cc))
+    assert len(ways) == 3 and ways[0][0] == (0, 0) and ways[0][-1] == (0, 11) and {r.time_s for r in rows if r["rank"] == 0} == {11.0}
+    assert all(len(set(ways[a]) & set(ways[b])) / min(len(set(ways[a])), len(set(ways[b]))) < dims.SIMILARITY for a in ways for b in ways if a < b)
 
 
 def test_retime(spark):
@@ -181,9 +312,20 @@ def test_plan_and_routes(spark, tmp_path):
     controls = spark.createDataFrame([(1, 31, 30.0, 2.0), (2, 52, 30.0, 30.0)], "i int, number int, x double, y double")
     plan = api.plan_course(label, controls, (2.0, 2.0), 200.0)
     assert plan["method"] == "dp" and plan["points"] == 8 and set(plan["order"]) == {31, 52} and plan["time_s"] <= 200
+    assert plan["n_legs"] == 3 and plan["cumulative_s"][-1] == pytest.approx(plan["time_s"]) and plan["distance_m"] == pytest.approx(plan["time_s"])  # a metre a second
+    assert [r["order"] for r in api.controls_table(plan)] == [1, 2] and api.controls_table(plan)[0]["time_s"] == round(plan["cumulative_s"][0], 1) and '"n_legs": 3' in api.plan_json(plan)
     assert api.plan_course(label, controls.limit(0), (2.0, 2.0), 9.0)["method"] == "empty"
     steps, segs = api.compute_routes(label, (2.0, 2.0), (30.0, 30.0), 2)
     assert steps.where("rank = 0").count() == 8 and {r.class_id for r in segs.collect()} == {2}
+    calls = []
+    model = lambda df: calls.append(1) or df.select("map_id", "r", "c", F.lit(2).alias("class_id"))
+    image = label.select("map_id", "r", "c", F.lit(7).alias("red"))
+    for data in (image, image, image.withColumn("red", F.lit(8))):
+        steps, _ = api.find_routes(data, (2.0, 2.0), (30.0, 30.0), cache=f"file://{tmp_path}/labels", model=model, version="a", k=1)
+        assert steps.count() == 8
+    assert len(list((tmp_path / "labels").iterdir())) == 2
+    with pytest.raises(ValueError, match="model"):
+        api.find_routes(image, (2.0, 2.0), (30.0, 30.0))
 
 
 def test_hooks(spark):
