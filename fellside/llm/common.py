@@ -83,10 +83,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+HOT = 1024
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``facts``, which has each key once and in ``count`` how many rows hold it (``total`` in all). Fewer than
+    ``HOT`` keys hold more than one in ``HOT`` of the rows; these are broadcast, so that no task gets more than that share by one key."""
+    names = [c for c in facts.columns if c not in (key, count)]
+    share = total // HOT
+    hot = facts.where(F.col(count) > share).select(key, *[F.col(c).alias(f"_hot_{c}") for c in names], F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    first = marked.where(F.col("_hot")).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in names])
+    rest = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(facts.where(F.col(count) <= share).select(key, *names), key)
+    return first.unionByName(rest.select(*first.columns))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def computed(df: DataFrame, *new) -> DataFrame:
+    """``df`` with ``new`` columns computed once a row. A plain projection may be merged into the next one, and
+    an expression merged into a lambda would be computed again for every element."""
+    return df.select(F.inline(F.array(F.struct("*", *new))))
+
+
 def picked(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that columns of other names can't clash with the operator's own."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

@@ -101,8 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = written(clean.mapInArrow(_unite, FOREST).distinct(), "forest")
     while True:
         # stars: every node has one root, and no root is itself a node
-        inner = now.select("root").distinct().join(now.select(F.col("node").alias("root")).distinct(), "root", "left_semi")
-        if inner.isEmpty() and now.groupBy("node").count().where("count > 1").isEmpty():
+        seen = now.select(F.col("node").alias("at"), F.lit(1).alias("n"), F.lit(0).alias("r")).union(now.select("root", F.lit(0), F.lit(1)))
+        seen = seen.groupBy("at").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
+        if seen.where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("r") > 0))).isEmpty():
             break
         nxt, new_path = written(_star(now), "forest")
         drop_path(edges.sparkSession, path)

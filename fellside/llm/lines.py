@@ -6,19 +6,20 @@ shingle). Of each connected component one occurrence stays, the first by identif
 number; every other occurrence is removed, exact repeats within a document included.
 
 1. *Signatures.* A line's shingle hashes are dealt to ``BANDS * ROWS`` bins, each bin keeps its least (one-permutation MinHash), empty
-   bins borrow from bins that a fixed order names. At similarity 0.8 a pair shares one of eight bands of three with
-   probability 0.997.
-2. *Candidates.* Band keys are dealt out and sorted, equal lines fall together, and a line is paired with the first and
-   with the ``LAGS`` lines before it under its key: all pairs of a key with few lines. Every line of a key with more is
-   marked; step 5 finds the pairs that such keys leave out.
-3. *Verification.* Only texts of lines in pairs are fetched: a bitmap of fixed size, built from their hashes, filters the
-   documents' lines in the task that reads them. A pair that shares too few bins is dropped, any other's similarity is computed
-   exactly.
+   bins borrow from bins that a fixed order names. At similarity 0.8 a pair shares one of nine bands of three with
+   probability 0.998. A task gives the keys of a line when it first comes, not with every copy.
+2. *Candidates.* Band keys are dealt out and sorted, and a line is paired with the first and with the ``LAGS`` lines before it under
+   its key: all pairs of a key with few lines. Keys of more lines are handed on, line by line, to step 5, which finds the pairs that are
+   left out here. A slot of keys with more than one in ``HOT`` of all rows (there are at most ``HOT`` such slots, so their list is broadcast) is
+   dealt out over several tasks by the lines' hashes, and all of its lines are handed on.
+3. *Verification.* Only texts of lines in pairs are fetched: a bitmap of bounded size, built from their hashes, filters the
+   documents' lines in the task that reads them (once it's full every line's text is dealt by hash). The similarity of every pair is computed exactly.
 4. *Components* come from the distributed union-find of ``components``.
-5. *Marked lines* go to an exact second index. Shingles are ordered from rare to common among the marked lines (by counts in
+5. *Keys that were handed on* are looked at again unless all their lines are in one component by now. The lines of a key of at most ``BLOCK``
+   lines meet in one task, and every pair of different components is compared: first by bounds on the common shingles that refuse no pair at the
+   similarity, then exactly. Lines of larger keys go to an exact second index. Shingles are ordered from rare to common among them (by counts in
    ``2**SKETCH_BITS`` slots; any order is right). Two lines at the similarity share one of the first ``n - ceil(SIMILARITY * n) + 1``
-   of their n shingles, so lines are joined on these. Only lines that nothing links yet are compared, first by bounds
-   on the common shingles that refuse no pair at the similarity, then exactly; a task passes on links that were verified. A shingle of many lines is dealt out as blocks against blocks of about
+   of their n shingles, so lines are joined on these; a shingle of many lines is dealt out as blocks against blocks of about
    ``BLOCK`` lines. Nothing is capped: work grows with the square of a group whose lines share a rare-most shingle and
    aren't linked already.
 
@@ -32,6 +33,7 @@ only keep lines that they have at the same number; identifiers are whole numbers
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +41,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, ship, table, written
+from .common import HOT, picked, ship, table, with_facts, written
 from .components import components
 
 SHINGLE = 8
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 9, 3
 LAGS = 4
-BITMAP_BITS = 25
+BITMAP_BITS = 27  # at most
 PIECE_CHARS = 1 << 14
-ALIKE = 11  # of the bins, that lines must share to be compared
+FETCH_CHARS = 1 << 20
+SLOTS = 1 << 16
 SKETCH_BITS = 18
-BLOCK = 512
+BLOCK = 4096
+SEEN = 1 << 18
 MAP_BITS = 12
 NO_ID = -9223372036854775809
 _BINS = BANDS * ROWS
@@ -75,14 +79,20 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse modulo 2**64."""
+@lru_cache(maxsize=2)
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
     up[1:], down[1:] = np.uint64(_BASE), np.uint64(inverse)
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2**64."""
+    up, down = _all_powers(max(2 * PIECE_CHARS, 1 << (n - 1).bit_length()))
+    return up[:n], down[:n]
+
+
 _ORDER = np.random.default_rng(7).integers(0, _BINS, (64, _BINS))
 
 
@@ -136,124 +146,111 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, str]]:
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (id, key, text): a row (id, key, line, h, b0..) for each line that holds anything. A line has its band keys when it comes first among the
+    last ``SEEN`` different ones of the task."""
+    names = ["id", "key", "line", "h", *(f"b{j}" for j in range(BANDS))]
+    seen: set[int] = set()
     for b in batches:
-        for i, t in enumerate(b.column(column)):
-            yield b, i, t.as_py() or ""
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, key, line, h): the lines of each document that hold anything."""
-    for b in batches:
-        at, no, hs = [], [], []
+        at, no, hs, first, keys = [], [], [], [], []
+        piece, size = [], 0
         for i, t in enumerate(b.column(2)):
             for n, line in enumerate((t.as_py() or "").split("\n")):
                 x = normal(line)
                 if x:
+                    h = line_hash(x)
                     at.append(i)
                     no.append(n)
-                    hs.append(line_hash(x))
-        take = pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(hs, pa.int64())], ["id", "key", "line", "h"])
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, str] = {}
-    size = 0
-
-    def batch() -> pa.RecordBatch:
-        hs = np.fromiter(held, np.int64, len(held))
-        keys = band_keys(signatures(list(held.values())))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(hs, BANDS))], ["band", "h"])
-
-    for _, _, t in _texts(batches, 0):
-        for line in t.split("\n"):
-            x = normal(line)
-            if x:
-                h = line_hash(x)
-                if h not in held:
-                    held[h] = x
-                    size += len(x)
+                    if h not in seen:
+                        seen.add(h)
+                        first.append(len(hs))
+                        piece.append(x)
+                        size += len(x)
+                    hs.append(h)
                     if size > PIECE_CHARS:
-                        yield batch()
-                        held, size = {}, 0
-    if held:
-        yield batch()
+                        keys.append(band_keys(signatures(piece)))
+                        piece, size = [], 0
+        if piece:
+            keys.append(band_keys(signatures(piece)))
+        if len(seen) > SEEN:
+            seen = set()
+        values = np.zeros((len(hs), BANDS), np.uint64)
+        none = np.ones(len(hs), bool)
+        none[first] = False
+        if keys:
+            values[first] = np.concatenate(keys)
+        values = values.view(np.int64)
+        take = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(hs, pa.int64()), *(pa.array(np.ascontiguousarray(values[:, j]), mask=none) for j in range(BANDS))], names)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (band, h): pairs (a, b), a > b, of lines that share a band, and (h, h) for each line of a band
-    that not all pairs are given of."""
-    held = (np.empty(0, np.int64), np.empty(0, np.int64))
-    first = None  # (band, h) of the run that the held rows end in, if its first row isn't among them
-    for b in batches:
-        band, h = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held))
+    """Over rows (band, salt, h) sorted by these: pairs (a, b, null), a > b, of lines that share a band, and (h, null, band) for each
+    line of a band that not all pairs are given of: one of more than ``LAGS`` + 1 lines, or one that is dealt out by salt (0 or above)."""
+    held = tuple(np.empty(0, np.int64) for _ in range(5))  # band, salt, h, place in its run, first line of its run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
         new = len(held[0])
-        differs = np.append(True, (band[1:] != band[:-1]) | (h[1:] != h[:-1]))
-        differs[:new] = True  # these were distinct
-        band, h = band[differs], h[differs]
-        out_a, out_b = [], []
-        at = np.arange(new, len(band))
+        band, salt, h = (np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in enumerate(held[:3]))
+        other = np.append(True, (band[1:] != band[:-1]) | (salt[1:] != salt[:-1]))
+        differs = other | np.append(True, h[1:] != h[:-1])  # the held rows do, of each other
+        band, salt, h, other = band[differs], salt[differs], h[differs], other[differs]
+        starts = np.flatnonzero(other)
+        sizes = np.diff(np.append(starts, len(band)))
+        place = np.arange(len(band)) - np.repeat(starts, sizes)
+        leader = np.repeat(h[starts], sizes)
+        if new:
+            place[: sizes[0]] += held[3][0]
+            leader[: sizes[0]] = held[4][0]
+        fresh = np.arange(new, len(band))
+        x, y = [], []
         for lag in range(1, LAGS + 1):
-            at = at[at >= lag]
-            at = at[band[at] == band[at - lag]]
-            out_a.append(h[at])
-            out_b.append(h[at - lag])
-        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.empty(0, np.int64)
-        leader = np.repeat(h[starts], np.diff(np.append(starts, len(band))))
-        if first is not None and len(band) and band[0] == first[0]:
-            leader[: starts[1] if len(starts) > 1 else len(band)] = first[1]
-        far = np.arange(new, len(band))
-        far = far[(far - np.repeat(starts, np.diff(np.append(starts, len(band))))[far] > LAGS) | (leader[far] != h[np.repeat(starts, np.diff(np.append(starts, len(band))))[far]])]
-        out_a.append(h[far])
-        out_b.append(leader[far])
-        if len(band):
-            first = (band[-1], leader[-1])
-            held = (band[-LAGS:], h[-LAGS:])
-        marked = np.concatenate([leader[far], *(h[far - lag] for lag in range(LAGS + 1))])
-        x, y = np.concatenate(out_a), np.concatenate(out_b)
-        real = x != y
-        x, y = np.concatenate([x[real], marked]), np.concatenate([y[real], marked])
-        pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            at = fresh[place[fresh] >= lag]
+            x.append(h[at])
+            y.append(h[at - lag])
+        far = fresh[place[fresh] > LAGS]
+        x.append(h[far])
+        y.append(leader[far])
+        # the line after the window brings those before it along
+        turn = far[(place[far] == LAGS + 1) & (salt[far] < 0)]
+        mine = np.concatenate([fresh[(place[fresh] > LAGS) | (salt[fresh] >= 0)], *(turn - lag for lag in range(1, LAGS + 1))])
+        lines, bands = np.concatenate([h[mine], leader[turn]]), np.concatenate([band[mine], band[turn]])
+        x, y = np.concatenate(x), np.concatenate(y)
+        none = pa.nulls(len(lines), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(lines), none, pa.array(bands)], ["a", "b", "band"])
+        held = tuple(c[-LAGS:] for c in (band, salt, h, place, leader))
 
 
 def _fetch(bits: bytes):
-    """Lines whose slot is set: h, text, and marks, two bytes of each bin's least hash."""
-    mask = (1 << BITMAP_BITS) - 1
+    """The lines whose slot is set: h, text."""
+    mask = 8 * len(bits) - 1
 
     def batch(found: dict[int, str]) -> pa.RecordBatch:
-        texts = list(found.values())
-        marks = signatures(texts).astype("<u2").view(f"S{2 * _BINS}") if texts else np.empty((0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string()), pa.array([x.tobytes() for x in marks], pa.binary())], ["h", "text", "marks"])
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(list(found.values()), pa.string())], ["h", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, str] = {}
         size = 0
-        for _, _, t in _texts(batches, 0):
-            for line in t.split("\n"):
-                x = normal(line)
-                if x:
-                    h = line_hash(x)
-                    s = h & mask
-                    if bits[s >> 3] >> (s & 7) & 1 and h not in found:
-                        found[h] = x
-                        size += len(x)
-                        if size > PIECE_CHARS:
-                            yield batch(found)
-                            found, size = {}, 0
+        for b in batches:
+            for t in b.column(0):
+                for line in (t.as_py() or "").split("\n"):
+                    x = normal(line)
+                    if x:
+                        h = line_hash(x)
+                        s = h & mask
+                        if bits[s >> 3] >> (s & 7) & 1 and h not in found:
+                            found[h] = x
+                            size += len(x)
+                            if size > FETCH_CHARS:
+                                yield batch(found)
+                                found, size = {}, 0
         yield batch(found)
 
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (a, b, marks of a, marks of b): pairs that share enough bins. At similarity 0.8 about one in 50,000 doesn't."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, _BINS) for i in (2, 3))
-        yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE))
-
-
 def _packed(line: str) -> np.ndarray | None:
     """The distinct shingles of a line as sorted numbers, if each is eight one-byte characters: the eight bytes themselves."""
     try:
@@ -274,6 +271,8 @@ def similar(a: str, b: str, p: np.ndarray | None, q: np.ndarray | None) -> bool:
     if p is None or q is None:
         x, y = shingles(a), shingles(b)
         n, both = len(x) + len(y), len(x & y)
+    elif min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
+        return False
     else:
         all_ = np.sort(np.concatenate([p, q]))
         n, both = len(all_), int(np.count_nonzero(all_[1:] == all_[:-1]))
@@ -286,7 +285,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if x != last:  # rows come sorted by b
                 last, one = x, _packed(t)
-            keep.append(similar(t, s, one, _packed(s)))
+            if one is not None and max(1, len(s) - SHINGLE + 1) < SIMILARITY * len(one):
+                keep.append(False)  # too short to hold enough of the other's shingles
+            else:
+                keep.append(similar(t, s, one, _packed(s)))
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -359,27 +361,36 @@ def _bits(line: str) -> np.ndarray:
     return (every * np.uint64(_BASE)) >> np.uint64(64 - MAP_BITS)
 
 
-def _maps(texts: list[str], n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A small and a large map of each line's shingles, and how many more than the map's bits they are (n: the shingles)."""
-    on = np.zeros((len(texts), 1 << MAP_BITS), bool)
-    for i, t in enumerate(texts):
-        on[i, _bits(t)] = True
-    large = np.packbits(on, axis=1).view(np.uint64)
+def _sketched(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many distinct shingles each line has; a small and a large map of them, with how many more than the map's bits they are."""
+    counts, larges, at = [], [], 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and end - at < 512 and size + len(texts[end]) <= PIECE_CHARS:
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        counts.append(np.bincount(_distinct(part)[0], minlength=len(part)))
+        on = np.zeros((len(part), 1 << MAP_BITS), bool)
+        for i, t in enumerate(part):
+            on[i, _bits(t)] = True
+        larges.append(np.packbits(on, axis=1).view(np.uint64))
+        at = end
+    n, large = np.concatenate(counts), np.concatenate(larges)
     small = np.bitwise_or.reduce(large.reshape(len(texts), 8, -1), axis=1)
-    return [(x, n - np.bitwise_count(x).sum(1, dtype=np.int64)) for x in (small, large)]
+    return n, [(x, n - np.bitwise_count(x).sum(1, dtype=np.int64)) for x in (small, large)]
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (token, low, high, block, h, root, n, text) sorted by cell, which the first three name: links (a, b), a > b, that join
+    """Over rows (token, low, high, block, h, root, text) sorted by cell, which the first three name: links (a, b) of roots, a > b, that join
     whatever similar lines of a cell join; lines of one block only meet in the cell of that block alone."""
     held: list[pa.RecordBatch] = []
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        token, low, high, block, h, root, size = (rows.column(i).to_numpy() for i in range(7))
-        hs, first, line = np.unique(h, return_index=True, return_inverse=True)
-        texts = rows.column(7).take(pa.array(first)).to_pylist()
-        n = size[first].astype(np.int64)
-        maps = _maps(texts, n)
+        token, low, high, block, h, root = (rows.column(i).to_numpy() for i in range(6))
+        _, first, line = np.unique(h, return_index=True, return_inverse=True)
+        texts = rows.column(6).take(pa.array(first)).to_pylist()
+        n, maps = _sketched(texts)
         packed: dict[int, np.ndarray | None] = {}
         roots, label = np.unique(root[first], return_inverse=True)  # lines of equal label are linked
         up = list(range(len(roots)))
@@ -417,10 +428,10 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         packed[k] = _packed(texts[k])
                 if similar(texts[i], texts[j], packed[i], packed[j]):
                     up[max(a, b)] = min(a, b)
-                    out.append((i, j))
+                    out.append((label[i], label[j]))
             if len(out) > before:
                 now = np.array([find(k) for k in range(len(up))])[label]
-        pairs = hs[np.array(out, np.int64).reshape(-1, 2)]
+        pairs = roots[np.array(out, np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], ["a", "b"])
 
     for b in batches:
@@ -438,10 +449,8 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(pa.Table.from_batches(held))
 
 
-def _missed(known: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Links (a, b) that join every two similar marked lines of different components."""
-    lines = known.join(marked, "h", "left_semi").join(roots.select(F.col("node").alias("h"), "root"), "h", "left")
-    lines, _ = written(lines.select("h", F.coalesce("root", "h").alias("root"), "text"), "line-marked")
+def _by_tokens(lines: DataFrame) -> DataFrame | None:
+    """``lines``: distinct h, root, text, written. Cells of lines that share a rare-most shingle."""
     got = lines.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
     if not len(got):
         return None
@@ -451,61 +460,111 @@ def _missed(known: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame
     tokens = posted.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "blocks")
     dealt = posted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "h", "root", "n")
-    dealt = dealt.join(lines.select("h", "text"), "h").select("token", "low", "high", "block", "h", "root", "n", "text")
-    cells = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "h", "root")
+    return dealt.join(lines.select("h", "text"), "h").select("token", "low", "high", "block", "h", "root", "text")
+
+
+def _missed(known: DataFrame, handed: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """``handed``: distinct band, h. Links (a, b) that join every two similar lines of a band that aren't in one component; a and b are roots."""
+    rows = handed.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+    rows, _ = written(rows, "line-handed")
+    open_ = rows.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", (F.col("k") > BLOCK).alias("large"))
+    rows, _ = written(rows.join(open_, "band"), "line-open")
+    if rows.isEmpty():
+        return None
+    small = rows.where(~F.col("large")).select(F.col("band").alias("token"), *[F.lit(0).alias(c) for c in ("low", "high", "block")], "h", "root").join(known, "h")
+    cells = small.select("token", "low", "high", "block", "h", "root", "text")
+    large = rows.where("large").select("h", "root").distinct().join(known, "h").select("h", "root", "text")
+    large, _ = written(large, "line-large")
+    more = _by_tokens(large)
+    cells = cells if more is None else cells.unionByName(more)
+    cells = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     return cells.mapInArrow(_crossed, "a long, b long").distinct()
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
-    """Which of 2**BITMAP_BITS slots the hashes take: a fixed number of bytes, however many hashes."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    """Which slots the hashes take: sixteen bits for each of them, and 2**BITMAP_BITS at the most."""
+    bits = min(BITMAP_BITS, max(12, (16 * hashes.count()).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select((F.shiftright(slot, 6)).alias("w"), F.expr(f"shiftleft(1L, cast(h & {63} as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     got = words.toPandas()  # at most 2**(BITMAP_BITS - 6) rows
     out[got["w"].to_numpy()] = got["bits"].to_numpy()
     return out.tobytes()
 
 
-def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (node, root), both hashes of lines, for every line that is linked to another."""
-    ship(docs.sparkSession)
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    bands = texts.mapInArrow(_banded, "band long, h long").repartition(F.col("band")).sortWithinPartitions("band", "h")
-    both, _ = written(bands.mapInArrow(_paired, "a long, b long").distinct(), "line-pairs")
-    pairs, marked = both.where("a <> b"), both.where("a = b").select(F.col("a").alias("h"))
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
-    known = texts.mapInArrow(_fetch(_bitmap(ends)), "h long, text string, marks binary").groupBy("h").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (band, salt, h), dealt out and sorted; salt is -1 but for the slots of hot keys."""
+    bands = rows.where(F.col("b0").isNotNull()).select(F.explode(F.array(*[F.col(f"b{j}") for j in range(BANDS)])).alias("band"), "h")
+    slot = F.pmod("band", F.lit(SLOTS))
+    counts = bands.groupBy(slot.alias("slot")).agg(F.count("*").alias("k")).toPandas()  # at most SLOTS rows
+    # at most HOT slots hold more than one in HOT of all rows; on less than a million rows a slot of HOT rows isn't hot
+    share = max(int(counts["k"].sum()) // HOT, HOT)
+    hot = [(int(x), -(-int(k) // share)) for x, k in zip(counts["slot"], counts["k"], strict=True) if k > share]
+    if hot:
+        salts = F.broadcast(bands.sparkSession.createDataFrame(hot, "slot long, salts int"))
+        dealt = bands.withColumn("slot", slot).join(salts, "slot", "left").select("band", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("h"), F.col("salts"))).cast("int").alias("salt"), "h")
+    else:
+        dealt = bands.select("band", F.lit(-1).alias("salt"), "h")
+    return dealt.repartition("band", "salt").sortWithinPartitions("band", "salt", "h")
+
+
+def _rooted(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """``lines``: h, b0..; ``texts``: text. Rows (node, root), both hashes of lines, for every line that is linked to another."""
+    both, _ = written(_dealt(lines).mapInArrow(_paired, "a long, b long, band long").distinct(), "line-pairs")
+    pairs = both.where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
+    handed = both.where(F.col("b").isNull()).select("band", F.col("a").alias("h"))
+    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(handed.select("h"))
+    known = texts.mapInArrow(_fetch(_bitmap(ends)), "h long, text string").groupBy("h").agg(F.first("text").alias("text"))
     known, _ = written(known, "line-texts")
-    near = pairs.join(known.select(F.col("h").alias("a"), F.col("marks").alias("s")), "a").join(known.select(F.col("h").alias("b"), F.col("marks").alias("t")), "b")
-    near, _ = written(near.select("a", "b", "s", "t").mapInArrow(_alike, "a long, b long"), "line-near")
     one = known.select(F.col("h").alias("a"), F.col("text").alias("s"))
     other = known.select(F.col("h").alias("b"), F.col("text").alias("t"))
-    both = near.join(one, "a").join(other, "b").select("a", "b", "s", "t")
-    roots = components(both.mapInArrow(_verified, "a long, b long"))
-    missed = _missed(known, marked, roots)
+    compared = pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t")
+    roots = components(compared.mapInArrow(_verified, "a long, b long"))
+    missed = _missed(known, handed, roots)
     if missed is None:
         return roots
-    more, _ = written(missed, "line-missed")
-    return roots if more.isEmpty() else components(more.union(roots))
+    more = components(missed)
+    if more.isEmpty():
+        return roots
+    # what was linked later is told by the roots of that time
+    later = more.select(F.col("node").alias("root"), F.col("root").alias("low"))
+    moved = roots.join(later, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+    return moved.union(later.select(F.col("root").alias("node"), F.col("low").alias("root")).join(roots.select("node"), "node", "left_anti"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key (a hash of the text), removed (numbers from 0 of lines to remove): a row for each document that loses lines."""
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, key, line, h, b0..) of all lines, written."""
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     keyed = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    rows, _ = written(keyed.mapInArrow(_numbered, "id long, key long, line int, h long"), "lines")
-    # identifier and line number in one number: null is below the least identifier
+    return written(keyed.mapInArrow(_lined, f"id long, key long, line int, h long, {', '.join(f'b{j} long' for j in range(BANDS))}"), "lines")[0]
+
+
+def _place():
+    """Identifier and line number in one number: null is below the least identifier."""
     place = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(NO_ID)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    place = place.cast("decimal(38,0)")
-    firsts = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    roots = line_components(docs, text_col).withColumnRenamed("node", "h")
-    lines = firsts.join(roots, "h", "left").where(F.col("root").isNotNull() | (F.col("n") > 1)).select("h", "first", F.coalesce("root", "h").alias("root"))
+    return place.cast("decimal(38,0)")
+
+
+def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (node, root), both hashes of lines, for every line that is linked to another."""
+    texts = picked(docs, text_col).select(F.col(text_col).cast("string").alias("text"))
+    return _rooted(_read(texts.withColumn("id", F.lit(0)), "id", "text"), texts)
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key (a hash of the text), removed (numbers from 0 of lines to remove): a row for each document that loses lines."""
+    all_ = _read(docs, id_col, text_col)
+    roots = _rooted(all_, picked(docs, text_col).select(F.col(text_col).cast("string").alias("text"))).withColumnRenamed("node", "h")
+    rows = all_.select("id", "key", "line", "h")
+    firsts = rows.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    lines = firsts.join(roots, "h", "left").where(F.col("root").isNotNull() | (F.col("n") > 1)).select("h", "first", "n", F.coalesce("root", "h").alias("root"))
     lines, _ = written(lines, "line-classes")
     stays, _ = written(lines.groupBy("root").agg(F.min("first").alias("stays")), "line-stays")  # so that a hot root can be split in the join
-    repeated = lines.join(stays, "root").select("h", "stays")
-    gone = rows.join(repeated, "h").where(place != F.col("stays"))
+    repeated, _ = written(lines.join(stays, "root").select("h", "n", "stays"), "line-repeated")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    gone = with_facts(rows, repeated, "h", "n", total).where(_place() != F.col("stays"))
     return gone.groupBy("id", "key").agg(F.collect_set("line").alias("removed"))
 
 

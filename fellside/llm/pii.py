@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, table, text_or_empty
+from .common import computed, picked, table, text_or_empty
 
 # Kinds in their order, patterns, context words and scores.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -97,21 +97,15 @@ def _hits(kind: str, text: Column) -> Column:
     return F.when(needs, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _computed(df: DataFrame, *new: Column) -> DataFrame:
-    """``df`` with ``new`` columns computed once a row. A plain projection may be merged into the next one, and
-    an expression merged into a lambda would be computed again for every element."""
-    return df.select(F.inline(F.array(F.struct("*", *new))))
-
-
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, spans: array of kind, start, end (code points, end exclusive), score, base; by start, then kind."""
     kinds = (*BASE_KINDS, *ADDED_KINDS)
     empty = F.array().cast("array<string>")
     df = picked(docs, id_col, text_col).select(F.col(id_col), text_or_empty(text_col).alias("_t"))
-    df = _computed(df, *[_hits(k, F.col("_t")).alias(f"_h_{k}") for k in kinds])
-    df = _computed(df, *[F.when(F.size(f"_h_{k}") > 0, F.split("_t", PATTERNS[k], -1)).otherwise(empty).alias(f"_s_{k}") for k in kinds]).drop("_t")
+    df = computed(df, *[_hits(k, F.col("_t")).alias(f"_h_{k}") for k in kinds])
+    df = computed(df, *[F.when(F.size(f"_h_{k}") > 0, F.split("_t", PATTERNS[k], -1)).otherwise(empty).alias(f"_s_{k}") for k in kinds]).drop("_t")
     # what each match and the text before it take; sums over blocks of matches; sums of blocks
-    df = _computed(df, *[F.zip_with(F.slice(f"_s_{k}", 1, F.size(f"_h_{k}")), f"_h_{k}", lambda a, b: (F.length(a) + F.length(b)).cast("long")).alias(f"_l_{k}") for k in kinds])
+    df = computed(df, *[F.zip_with(F.slice(f"_s_{k}", 1, F.size(f"_h_{k}")), f"_h_{k}", lambda a, b: (F.length(a) + F.length(b)).cast("long")).alias(f"_l_{k}") for k in kinds])
     add = lambda a, b: a + b
     zero = F.lit(0).cast("long")
 
@@ -122,8 +116,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def block_starts(k: str) -> Column:
         return F.transform(f"_b_{k}", lambda _, c: F.aggregate(F.slice(f"_b_{k}", F.lit(1), c), zero, add))
 
-    df = _computed(df, *[block_sums(k).alias(f"_b_{k}") for k in kinds])
-    df = _computed(df, *[block_starts(k).alias(f"_o_{k}") for k in kinds])
+    df = computed(df, *[block_sums(k).alias(f"_b_{k}") for k in kinds])
+    df = computed(df, *[block_starts(k).alias(f"_o_{k}") for k in kinds])
 
     def spans(rank: int, k: str) -> Column:
         def one(m: Column, i: Column) -> Column:
