@@ -34,6 +34,37 @@ def vote(candidates: DataFrame) -> DataFrame:
     return s.groupBy("ring").agg(best.alias("b")).select("ring", "b.*")
 
 
+def arbitrated(rings: DataFrame, beside: DataFrame, around: DataFrame, expected: float = 14.5) -> DataFrame:
+    """``rings``: image, ring, x, y, radius, hollow; ``beside`` and ``around``: image, ring, number, conf (the number read in the windows beside a ring, and in the wide one). Which of both
+    counts, and its score, for rings that are hollow enough. The one beside counts if it's sure; the wide one beats it only if it's nearly certain and far surer; else the surer."""
+    side = lambda d, p: d.select("image", "ring", F.struct("number", "conf").alias(p))
+    j = rings.join(side(beside, "b"), ["image", "ring"], "left").join(side(around, "a"), ["image", "ring"], "left")
+    b, a = F.col("b.conf"), F.col("a.conf")
+    surer = F.when(b >= a, F.col("b")).otherwise(F.col("a"))
+    hit = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).when(F.col("b.number") == F.col("a.number"), surer).when(b >= 0.9, F.col("b")).when((a >= 0.95) & (a >= b + 0.15), F.col("a")).otherwise(surer)
+    j = j.withColumn("hit", hit).where(F.col("hit").isNotNull())
+    conf, hollow = F.col("hit.conf"), F.col("hollow")
+    score = conf * (0.55 + 0.45 * F.least(hollow, F.lit(1.0)))
+    poor = ((hollow < 0.55) & (conf < 0.9)) | ((F.col("radius") > max(17.5, 1.15 * expected)) & (hollow < 0.7)) | (score < 0.45)
+    return j.where(~poor).select("image", "ring", F.col("hit.number").alias("number"), "x", "y", score.alias("score"))
+
+
+def placed_controls(candidates: DataFrame, near: float = 14.0) -> DataFrame:
+    """``candidates``: image, ring, number, x, y, score. In the order of rings, a candidate is skipped if a kept one lies nearer than ``near``; of a number the best is kept, and its
+    place is free again if a better one is found. An image's rings are few, and a task takes an image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: dict[int, tuple] = {}
+        for c in pdf.sort_values("ring").itertuples(index=False):
+            old = kept.get(c.number)
+            taken = any((c.x - k.x) ** 2 + (c.y - k.y) ** 2 < near * near for k in kept.values())
+            if not taken and (old is None or c.score > old.score):
+                kept[c.number] = c
+        return pd.DataFrame(list(kept.values()), columns=pdf.columns)
+
+    return candidates.groupBy("image").applyInPandas(run, candidates.schema)
+
+
 def ring_near_digit(digits: DataFrame, rings: DataFrame, search: float, tile: float = 90.0) -> DataFrame:
     """``digits``: image, digit, cx, cy, x0, y0, x1, y1 (a number's box); ``rings``: image, ring, x, y, radius, hollow. The best ring of each digit: of a fitting size, near
     but not on the digit; nearness counts more than how hollow it is. Met by tiles of the farthest reach, so an equi-join."""

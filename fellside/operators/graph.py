@@ -194,6 +194,7 @@ def relax(cells: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFr
         front = both.where("better").select("map_id", "i", "cr", "cc", F.col("t").alias("time_s"))
         if front.isEmpty():
             break
+    graph.unpersist()
     return best
 
 

@@ -132,6 +132,24 @@ def ring_near_digit(spark, sf_dir):
     return X.ring_near_digit(digits, rings(spark, sf_dir), 60.0)
 
 
+@query("ring_arbitration", f"WITH {D.DETECTIONS}, {RINGS}, b AS (SELECT course AS image, seq AS ring, CAST(10 + seq * 7 % 50 AS INT) AS bn, seq * 13 % 101 / 100 AS bc FROM det WHERE seq % 3 <> 0), a AS (SELECT course AS image, seq AS ring, CAST(10 + seq * CASE WHEN seq % 4 = 1 THEN 7 ELSE 11 END % 50 AS INT) AS an, seq * 29 % 101 / 100 AS ac FROM det WHERE seq % 5 <> 0), j AS (SELECT rg.*, bn, bc, an, ac, CASE WHEN bn IS NULL THEN false WHEN an IS NULL THEN true WHEN bn = an THEN bc >= ac WHEN bc >= 0.9 THEN true WHEN ac >= 0.95 AND ac >= bc + 0.15 THEN false ELSE bc >= ac END AS first FROM rg LEFT JOIN b USING (image, ring) LEFT JOIN a USING (image, ring) WHERE bn IS NOT NULL OR an IS NOT NULL), h AS (SELECT image, ring, x, y, radius, hollow, CASE WHEN first THEN bn ELSE an END AS number, CASE WHEN first THEN bc ELSE ac END AS conf FROM j) SELECT image, ring, number, x, y, round(conf * (0.55 + 0.45 * least(hollow, 1.0)), 6) AS score FROM h WHERE NOT ((hollow < 0.55 AND conf < 0.9) OR (radius > 17.5 AND hollow < 0.7) OR conf * (0.55 + 0.45 * least(hollow, 1.0)) < 0.45)")
+def ring_arbitration(spark, sf_dir):
+    return _arbitrated(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+def _arbitrated(spark, sf_dir):
+    s = F.col("seq")
+    d = D.detections(spark, sf_dir)
+    beside = d.where("seq % 3 <> 0").select(F.col("course").alias("image"), s.alias("ring"), (10 + s * 7 % 50).cast("int").alias("number"), (s * 13 % 101 / 100).alias("conf"))
+    around = d.where("seq % 5 <> 0").select(F.col("course").alias("image"), s.alias("ring"), (10 + s * F.when(s % 4 == 1, 7).otherwise(11) % 50).cast("int").alias("number"), (s * 29 % 101 / 100).alias("conf"))
+    return X.arbitrated(rings(spark, sf_dir), beside, around)
+
+
+@query("placed_controls")
+def placed_controls(spark, sf_dir):
+    return X.placed_controls(_arbitrated(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 TILES = "tl AS (SELECT course AS image, CAST(seq % 6 AS INT) AS tile, seq, CAST(10 + seq * 3 % 60 AS INT) AS number, 300 * (seq % 6 % 3) + x / 1000 * 400 AS px, 300 * floor(seq % 6 / 3) + y / 700 * 400 AS py, score FROM det WHERE seq % 2 = 0 AND score >= 0.35)"
 
 

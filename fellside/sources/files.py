@@ -42,9 +42,12 @@ def read_class_balance(spark, path: str) -> DataFrame:
     return rows.groupBy(F.col("class_index").alias("class_id")).agg(F.max_by("pixels", "n").alias("pixels"))
 
 
+PART_BYTES = 1 << 24
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, channel: int):
-        self.path, self.channel = path, channel
+    def __init__(self, path: str, channel: int, first: int, last: int):
+        self.path, self.channel, self.first, self.last = path, channel, first, last
 
 
 def _header(f) -> tuple[tuple[int, ...], np.dtype, bool, int]:
@@ -65,11 +68,12 @@ class ChannelsReader(DataSourceReader):
 
         store, path = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(path) as f:
-            shape, *_ = _header(f)
-        return [_Part(self.path, c) for c in range(shape[0])]
+            shape, kind, *_ = _header(f)
+        rows = max(1, PART_BYTES // max(1, shape[2] * kind.itemsize))
+        return [_Part(self.path, c, r, min(r + rows, shape[1])) for c in range(shape[0]) for r in range(0, shape[1], rows)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        """One channel, by its place in the file."""
+        """Some rows of one channel, by their place in the file."""
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(part.path)
@@ -77,15 +81,15 @@ class ChannelsReader(DataSourceReader):
             shape, kind, fortran, at = _header(f)
             if fortran or len(shape) != 3:
                 raise ValueError("a C-ordered array of channels, rows and columns is expected")
-            size = shape[1] * shape[2] * kind.itemsize
-            f.seek(at + part.channel * size)
-            plane = np.frombuffer(f.read(size), kind).reshape(shape[1:])
+            wide = shape[2] * kind.itemsize
+            f.seek(at + (part.channel * shape[1] + part.first) * wide)
+            plane = np.frombuffer(f.read((part.last - part.first) * wide), kind).reshape(-1, shape[2])
         r, c = np.nonzero(plane)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), part.channel, np.int32)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(plane[r, c].astype(np.int32))], ["channel", "r", "c", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), part.channel, np.int32)), pa.array((r + part.first).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(plane[r, c].astype(np.int32))], ["channel", "r", "c", "value"])
 
 
 class ChannelsSource(DataSource):
-    """``spark.read.format("channels_npy").load(path)``: the cells above 0 of a [C, H, W] array, a task for each channel."""
+    """``spark.read.format("channels_npy").load(path)``: the cells above 0 of a [C, H, W] array, a task for each ``PART_BYTES`` of a channel."""
 
     @classmethod
     def name(cls) -> str:

@@ -286,6 +286,23 @@ def test_channels_source(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, 2, 3, 7), (2, 0, 0, 1)]
 
 
+def test_channels_in_bands(tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 3, (2, 9, 6)).astype(np.uint8)
+    np.save(tmp_path / "channels.npy", a)
+    monkeypatch.setattr(files, "PART_BYTES", 14)  # two rows a part
+    reader = files.ChannelsReader(f"file://{tmp_path}/channels.npy")
+    assert len(reader.partitions()) == 10
+    got = sorted(tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist())
+    assert got == sorted((c, y, x, int(a[c, y, x])) for c, y, x in zip(*np.nonzero(a), strict=True))
+
+
+def test_centres_are_taken_once(spark):
+    rows = [(1, 1, 31, 0.0, 0.0, 0.6), (1, 2, 45, 10.0, 0.0, 0.9), (1, 3, 31, 100.0, 0.0, 0.8), (1, 4, 45, 3.0, 0.0, 0.5), (1, 5, 31, 200.0, 0.0, 0.7), (2, 6, 31, 0.0, 0.0, 0.5)]
+    got = detect.placed_controls(spark.createDataFrame(rows, "image long, ring long, number int, x double, y double, score double"))
+    assert sorted((r.image, r.number, r.ring) for r in got.collect()) == [(1, 31, 3), (1, 45, 4), (2, 31, 6)]
+
+
 def test_index_meta_balance_cache(spark, tmp_path):
     (tmp_path / "i.csv").write_text("map,sample,split,kind,image,channels,label,fg_ratio\nm,a,train,tile,x/dataset/y.png,,,0.5\nm,b,train,tile,z.png,,,\n")
     index = files.tile_index(files.read_index(spark, str(tmp_path / "i.csv")), "train", ("tile",), 0.1)
