@@ -96,7 +96,7 @@ def pink_overlap(spark, sf_dir):
     return px.join(pk, ["r", "c"], "left").groupBy("id").agg(F.round(F.count("on") / 100.0, 6).alias("share"))
 
 
-@query("ring_quality")
+@query("ring_quality", f"WITH {D.LABEL}, {IMAGE}, {D.CONTROLS}, pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25), an AS (SELECT i AS ring, k, CAST(round_even(y + round(9 * s * sin(k * 6.283185307179586 / 48), 6), 0) AS INT) AS r, CAST(round_even(x + round(9 * s * cos(k * 6.283185307179586 / 48), 6), 0) AS INT) AS c FROM controls, (SELECT unnest(range(48)) AS k), (SELECT CAST(unnest([0.85, 1.0, 1.15]) AS DOUBLE) AS s)), o AS (SELECT ring, k, max(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS one FROM an LEFT JOIN pk USING (r, c) GROUP BY ALL), rm AS (SELECT ring, avg(one) AS rim FROM o GROUP BY ring), dk AS (SELECT i AS ring, CAST(y + a AS INT) AS r, CAST(x + b AS INT) AS c FROM controls, (SELECT unnest(range(-4, 5)) AS a), (SELECT unnest(range(-4, 5)) AS b) WHERE a * a + b * b <= 16), fl AS (SELECT ring, avg(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS fill FROM dk LEFT JOIN pk USING (r, c) GROUP BY ring) SELECT ring, round(rim, 6) AS rim, round(fill, 6) AS fill, round(rim - fill, 6) AS hollow FROM rm JOIN fl USING (ring)")
 def ring_quality(spark, sf_dir):
     mask = image(spark, sf_dir).where(R.pink(F.col("red"), F.col("green"), F.col("blue"))).select("map_id", "r", "c")
     rings = D.controls(spark, sf_dir).select(F.lit(0).alias("map_id"), F.col("i").alias("ring"), "x", "y", F.lit(9.0).alias("radius"))
