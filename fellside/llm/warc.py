@@ -4,12 +4,15 @@
 ``revisit_from`` bytes the one with the largest identifier is the response; the others are revisits that name
 it and have no body, but keep the HTTP header with the payload's length. Equal payloads are found from digests,
 without moving a page; only which pages are revisits is joined back, by identifier and digest, so copies
-of one page don't meet in one task. A task writes a file under a name of its own and renames it when complete.
+of one page don't meet in one task. A task writes a file under a name of its own, another one each time it's tried; the manifest, a table
+that Spark commits, says which files count.
 
-*Reading.* Files are cut into byte ranges, a task for each. A task looks for the gzip magic from the start of its range,
+*Reading.* Files of the manifest (of archives without one, all files that end in .warc.gz) are cut into byte ranges, rows of a table that are dealt
+to tasks. A task looks for the gzip magic from the start of its range,
 takes a place for a member only if what begins there unpacks to a WARC version line, and from then on goes from
 member to member. It owns the records that start inside its range, and reads past the end to finish the last
-one. What doesn't unpack is stepped over to the next member, and counted by ``damaged``. Payloads leave in
+one. Bytes behind a range's first record that belong to no record that unpacks are stepped over to the next member, and come back as a
+row of record_type ``damaged``: at is their place, payload_bytes their number inside the range. Payloads leave in
 batches of bounded size, so memory is that of one record and a batch.
 
 Defined results: a null page is the empty payload; a null identifier counts as smaller than any other, and is
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,14 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, scratch, ship, table
+from .common import picked, scratch, ship, table, written
 
 SPLIT_BYTES = 1 << 25
 CHUNK = 1 << 18
 BATCH_BYTES = 1 << 24
+RANGES = 1 << 17
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
+MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, at long"
 
@@ -74,7 +80,7 @@ def packed(data: bytes) -> bytes:
 def _place(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!/)", "file:///", path)))
 
 
 def with_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
@@ -89,20 +95,19 @@ def with_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
 
-def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> list[dict]:
-    """Writes archives under ``path``; their manifest: file, bytes, records."""
+def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> DataFrame:
+    """Writes archives under ``path``, and their manifest, which it returns: file, bytes, records; a row for each task that had pages."""
     ship(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if len(b)), None)
         if first is None:
             return
-        part = TaskContext.get().partitionId()
         store, root = _place(path)
         store.create_dir(root, recursive=True)
-        draft, name = f"{root}/_draft-{part:06d}-{uuid.uuid4().hex}", f"part-{part:06d}.warc.gz"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         size = records = 0
-        with store.open_output_stream(draft, compression=None) as sink:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
             info = b"software: fellside\r\nformat: WARC File Format 1.1\r\n"
             size += sink.write(packed(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_record_id(None, name)}\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"))
             while first is not None:
@@ -110,11 +115,11 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> list[dict]
                     size += sink.write(packed(record(page_id, url, bytes(html), refers_to, revisit)))
                     records += 1
                 first = next((b for b in batches if len(b)), None)
-        store.move(draft, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [records]})
 
-    made = with_revisits(pages, revisit_from).mapInArrow(write, "file string, bytes long, records long").collect()  # a row for each task
-    return sorted((r.asDict() for r in made), key=lambda r: r["file"])
+    made = with_revisits(pages, revisit_from).mapInArrow(write, "file string, bytes long, records long")
+    made.write.parquet(f"{path}/{MANIFEST}")
+    return pages.sparkSession.read.schema(made.schema).parquet(f"{path}/{MANIFEST}")
 
 
 class _Window:
@@ -190,31 +195,39 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("content-length", 0))]
 
 
-def records(source, start: int, end: int) -> Iterator[tuple[int, dict, bytes]]:
-    """Place, header fields and block of the records that start in [start, end)."""
+def records(source, start: int, end: int) -> Iterator[tuple[int, dict | None, bytes | int]]:
+    """Place, header fields and block of the records that start in [start, end); place, None and number of the bytes behind the first of these
+    that belong to none."""
     w = _Window(source, start)
+    after = None  # where the last record ended
     while w.seek_record(end):
         at = w.at
         data = w.member()
         if data is not None:
-            fields, block = parsed(data)
-            yield at, fields, block
-
-
-def splits(path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int, int]]:
-    """File, first and last byte (exclusive) of each range."""
-    from pyarrow import fs
-
-    store, root = _place(path)
-    found = sorted((f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith(".warc.gz"))
-    return [(name, lo, min(lo + split_bytes, size)) for name, size in found for lo in range(0, size, split_bytes)]
+            if after is not None and at > after:
+                yield after, None, at - after
+            after = w.at
+            yield at, *parsed(data)
+    if after is not None and after < end:
+        yield after, None, end - after
+
+
+def splits(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """file, start, stop (exclusive): a row for each byte range."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        files = spark.read.parquet(f"{path}/{MANIFEST}").select("file", "bytes")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    lows = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
+    return files.where("bytes > 0").select("file", "bytes", lows.alias("start")).select("file", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("stop"))
 
 
 def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The response and revisit records under ``path``, as ``SCHEMA``; a response's digest is that of the payload
+    """The response and revisit records under ``path``, as ``SCHEMA``, and rows of damaged bytes; a response's digest is that of the payload
     that was read, and must be the one its header names."""
     ship(spark)
-    ranges = splits(path, split_bytes)
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("at", pa.int64())])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,11 +236,13 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _place(path)
         for b in batches:
-            for i in b.column(0).to_pylist():
-                name, start, end = ranges[i]
+            for name, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows, size = [], 0
                 with store.open_input_file(f"{root}/{name}") as source:
                     for at, fields, block in records(source, start, end):
+                        if fields is None:
+                            rows.append((None, None, "damaged", None, block, None, None, name, at))
+                            continue
                         kind = fields.get("warc-type")
                         if kind not in ("response", "revisit"):
                             continue
@@ -245,13 +260,15 @@ def read_warc(spark, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return spark.range(0, len(ranges), 1, max(1, len(ranges))).mapInArrow(read, SCHEMA)
+    # few rows stand for many bytes: a task for each, as far as RANGES goes; whoever is dealt several takes them one after the other
+    ranges, _ = written(splits(spark, path, split_bytes), "warc-ranges")
+    return ranges.repartition(min(max(1, ranges.count()), RANGES)).mapInArrow(read, SCHEMA)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, path).where("record_type <> 'damaged'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
