@@ -244,8 +244,8 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
         part = TaskContext.get().partitionId()
         store, root = _place(path)
         store.create_dir(root, recursive=True)
-        draft, final = f"{root}/_draft-{part:06d}-{uuid.uuid4().hex}", f"{root}/part-{part:06d}.sst"
-        with store.open_output_stream(draft, compression=None) as sink:
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.sst"  # of this attempt alone; the manifest says which attempt counts
+        with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
             out = Writer(sink)
             while first is not None:
                 for slice_, ids in encoded(first, 1, code, end_id):
@@ -253,8 +253,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
                         out.add(key_of(i), x)
                 first = next((b for b in batches if len(b)), None)
             out.close()
-        store.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:06d}.sst"], "docs": [len(out.hashes)], "ids": [out.n_ids]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(out.hashes)], "ids": [out.n_ids]})
 
     rows = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     tie = F.xxhash64("text")
