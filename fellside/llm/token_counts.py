@@ -14,11 +14,13 @@ A special string inside a text is one token, as by the tokenizer's default: the
 
 Defined results: a null text is the empty text with no bytes and no tokens; repeated rows and null identifiers
 are rows like any other; texts of any length count whole; an empty table gives no rows; other columns aren't
-looked at.
+looked at; a vocabulary that cuts texts in another way is refused. Rows are numbered as a task reads them, so an input must come in the same order when it's read again, as from files:
+what comes from a shuffle is to be written first.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +50,17 @@ def _tokenizer(vocabulary: str):
     return _TOKENIZERS[vocabulary]
 
 
+def checked(vocabulary: str) -> str:
+    """The path again, if its file cuts texts as :func:`frequencies` does; what cuts in any other way is refused."""
+    with open(vocabulary, encoding="utf-8") as f:
+        held = json.load(f)
+    cut = held.get("pre_tokenizer") or {}
+    same = held.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    if not same or [t["content"] for t in held.get("added_tokens", [])] != [SPECIAL]:
+        raise ValueError(f"{vocabulary} has other pre-tokens or special strings than those that are counted here")
+    return vocabulary
+
+
 def frequencies(text: str) -> tuple[Counter, int]:
     """Of a text's pre-tokens, and how often the special string is in it."""
     parts = text.split(SPECIAL)
@@ -102,6 +115,7 @@ def _frequent(pieces: DataFrame, head: int) -> list[tuple[str, int]]:
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``id_col``, n_bytes, n_tokens."""
     spark = docs.sparkSession
+    checked(vocabulary)
     kind = dict(docs.dtypes)[id_col]
     pieces = pre_token_table(docs, vocabulary, text_col)
     known = spark.sparkContext.broadcast(dict(_frequent(pieces, head)))
