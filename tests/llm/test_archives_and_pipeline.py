@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ PAGES = [(i, f"http://x/{i}", f"page {i % 7} é" if i % 3 else f"unique {i} " *
 def written(spark, rows):
     path = scratch(spark, "test-warc")
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(1)).withColumn("_digest", F.lit("x"))
-    return path, warc.write_warc(df, path)
+    return path, warc.write_warc(df, path).orderBy("file").collect()
 
 
 @pytest.mark.parametrize("split", [1 << 25, 3000, 700])
@@ -44,10 +45,27 @@ def test_warc_empty_and_damaged(spark):
     name = f"{root}/{made[0]['file']}"
     data = bytearray(store.open_input_file(name).read())
     places = [at for at, *_ in warc.records(store.open_input_file(name), 0, len(data))]
+    assert not warc.read_warc(spark, path).where("record_type = 'damaged'").count()
     data[places[2] + 15 : places[2] + 25] = b"\x00" * 10
     with store.open_output_stream(name, compression=None) as sink:
         sink.write(bytes(data))
-    assert {at for at, *_ in warc.records(store.open_input_file(name), 0, len(data))} == set(places) - {places[2]}
+    found = list(warc.records(store.open_input_file(name), 0, len(data)))
+    assert {at for at, fields, _ in found if fields} == set(places) - {places[2]}
+    assert [(at, n) for at, fields, n in found if fields is None] == [(places[2], places[3] - places[2])]
+    for split in (1 << 25, 400):
+        bad = warc.read_warc(spark, path, split).where("record_type = 'damaged'").select("at", "payload_bytes").collect()
+        assert [tuple(r) for r in bad][:1] == [(places[2], places[3] - places[2])] if split > 400 else all(places[2] <= r.at < places[3] for r in bad)
+
+
+def test_warc_of_others(spark):
+    """Archives without a manifest; a file that a failed attempt has left behind isn't read where there's one."""
+    path, made = written(spark, PAGES[:20])
+    store, root = warc._place(path)
+    store.copy_file(f"{root}/{made[0]['file']}", f"{root}/part-left-behind.warc.gz")
+    n = warc.read_warc(spark, path).count()
+    assert n == 20
+    store.delete_dir(f"{root}/{warc.MANIFEST}")
+    assert warc.read_warc(spark, path).count() == n + made[0]["records"]
 
 
 def test_components(spark):
@@ -69,29 +87,131 @@ def test_components(spark):
     assert got == {n: find(n) for n in list(parent)}
 
 
-def test_pipeline_stages(spark):
-    """Each stage on what the last one kept, and its decisions against the operators' own verdicts."""
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    ids = lambda d: sorted(r[0] for r in d.select("doc_id").collect())
+def plain_words(text):
+    return (text or "").encode().lower().split()
+
+
+def plain_lines(rows):
+    """What is left of each text if every line but the first of its component goes; components by exact Jaccard of all pairs."""
+    places = {}
+    for i, t in rows:
+        for n, x in enumerate((t or "").split("\n")):
+            if lines.normal(x):
+                places.setdefault(lines.normal(x), []).append((i, n))
+    keys = sorted(places)
+    sets, parent = [lines.shingles(k) for k in keys], list(range(len(keys)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(range(len(keys)), key=lambda k: len(sets[k]))
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    first = {}
+    for k, x in enumerate(keys):
+        first[find(k)] = min([first.get(find(k), (1 << 70, 0)), *places[x]])
+    stays = {p for p in first.values()}
+    return sorted((i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not lines.normal(x) or (i, n) in stays)) for i, t in rows)
+
+
+def plain_near(rows):
+    """The least identifier of each component of fingerprints at most two bits apart."""
+    prints = [(i, simhash.fingerprint(t)) for i, t in rows]
+    parent = {i: i for i, _ in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, p) in enumerate(prints):
+        for j, q in prints[:n]:
+            if (p ^ q).bit_count() <= 2:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in parent})
+
+
+def plain_leaks(rows, items):
+    """Identifiers of texts that hold ten words in a row of an item (or all words of a shorter one)."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    windows = set()
+    for t in items:
+        w = split(t)
+        if w:
+            windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))}
+    sizes = {len(k) for k in windows}
+    return {i for i, t in rows for w in [split(t)] if any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+
+
+def run_stages(spark, sf, docs):
+    """What each stage was given and what it gave, with every stage's result written and read again."""
     before = docs
     for name, stage in corpus_pipeline.STAGES:
         path = scratch(spark, "test-stage")
         stage(spark, before, sf).write.parquet(path)
         after = spark.read.parquet(path)
+        yield name, before, after
+        before = after
+
+
+def test_pipeline_stages(spark):
+    """Each stage on what the last one kept, against plain versions."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, before, after in run_stages(spark, sf, docs):
+        texts = lambda d: sorted((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+        ids = [i for i, _ in texts(after)] if name != "packing" else None
         if name != "packing":
-            assert after.columns == columns
+            assert after.columns == docs.columns
         if name == "quality rules":
-            assert ids(after) == ids(quality.judged(before).where("kept"))
+            failed = {i for i, t in texts(before) for n, *_, rep in [quality.statistics(t)] if n < 10 or 100 * rep > 20 * n}
+            assert not failed & set(ids) and len(ids) > 0.8 * (before.count() - len(failed))
+            assert ids == sorted(r[0] for r in quality.judged(before).where("kept").select("doc_id").collect())
         elif name == "line dedup":
-            assert ids(after) == ids(before)
-            assert sorted(map(tuple, after.select("doc_id", "text").collect())) == sorted(map(tuple, lines.without_repeats(before).select("doc_id", "text").collect()))
+            assert texts(after) == plain_lines(texts(before))
+            assert all(r.n_chars == len(r.text or "") for r in after.collect())
         elif name == "near-dedup":
-            assert ids(after) == sorted({r.component_id for r in simhash.near_duplicates(before).collect()})
+            assert ids == plain_near(texts(before))
         elif name == "decontamination":
-            assert set(ids(after)) < set(ids(before))
+            gone = plain_leaks(texts(before), items)
+            assert gone and ids == [i for i, _ in texts(before) if i not in gone]
         else:
-            assert sorted(map(tuple, after.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, packing.pack_documents(before).select("doc_id", "piece", "length").collect()))
-        before = after
-    assert corpus_pipeline.run(spark, sf).count() == before.count()
+            from tokenizers import Tokenizer
+
+            from fellside.llm.common import tokenizer_path
+
+            rows = texts(before)
+            sizes = [len(e.ids) + 1 for e in Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+            want = sorted((i, n, min(4096, size - 4096 * n)) for (i, _), size in zip(rows, sizes, strict=True) for n in range(-(-size // 4096)))
+            assert sorted(map(tuple, after.select("doc_id", "piece", "length").collect())) == want
+            assert after.select("sequence_id").distinct().count() <= -(-sum(sizes) // 4096) + 3
+            last = after.count()
+    assert corpus_pipeline.run(spark, sf).count() == last
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing column names, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, id string, h string, hits string"
+    prose = "the river ran past the old mill and over the stones where children used to play in the long summer evenings before the war"
+    rows = [(1, prose, "en", "web"), (1, prose, "en", "web"), (2, None, None, None), (3, "", "en", None), (None, prose + " again", None, "web"), (None, None, None, None), (4, "word " * 40_000, "en", "web"), (5, "x" * 90_000, "en", "web"), (6, "\n\n" + prose.upper() + "\nsecond line of it", "en", "web")]
+    odd = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "a", None, "b", "c", "d") for r in rows], kinds)
+    for table in (odd, odd.limit(0)):
+        for name, before, after in run_stages(spark, sf, table):
+            assert name == "packing" or after.columns == odd.columns
+            if table is not odd:
+                assert after.count() == 0
+            elif name == "quality rules":
+                # texts of fewer than ten words, or that repeat themselves, go; rows alike stay alike
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in after.collect()) == [(False, 1), (False, 1), (False, 6), (True, 0)]
+            elif name == "near-dedup":
+                assert 1 <= after.count() <= before.count()
