@@ -1,5 +1,17 @@
 """Documents to packed training sequences, in stages. Each stage takes all that its predecessor kept, writes it as
-Parquet in the shared folder, and all but the last return the columns of documents."""
+Parquet in the shared folder, and all but the last return the columns of documents.
+
+Documents need the columns doc_id, text, lang, source and n_chars; any others, whatever their names, are carried along but by the last stage.
+
+Defined results, for each stage: a null or repeated identifier is one like any other, and rows alike in all columns are treated alike until near-dedup; an empty table
+gives an empty table; texts of any length are read whole.
+
+* quality rules: a null or empty text has no words and goes; a null language or source is a group of its own; copies share their verdict.
+* line dedup: a null text stays null; an empty one stays empty; of a line's copies, and of lines like it, the first by identifier (null first) and line number stays; n_chars
+  is counted anew where lines went.
+* near-dedup: null and empty texts are alike; of a group the least identifier stays (null last), of equals the least MD5 of the text, then the least hash of the row.
+* decontamination: a null or empty text is clean; copies share their verdict.
+* packing: a null text is the empty text, whose one piece is the end id; ties are ordered by identifier, piece and checksum."""
 
 from __future__ import annotations
 
@@ -17,7 +29,7 @@ from fellside.llm.simhash import representatives
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are outliers of their language and source, go."""
+    """Documents that fail the base rules, or are outliers of their lang and source (columns that documents must have), go."""
     return kept_documents(docs)
 
 
@@ -29,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (fingerprints of three-word shingles, two bits) stays."""
     return representatives(docs)
 
 
