@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance_text, parse_number
+from ..operators import batches as B
 from ..operators import detect as X
 from ..operators import raster as R
 from ..operators import tiling as W
@@ -294,6 +295,20 @@ def batch_loader(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1) / 16).alias("batch"))
 
 
+@query("batch_loader_shuffled", "WITH b AS (SELECT doc_id, lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 10007, doc_id) - 1) / 16) AS BIGINT) AS batch, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, batch FROM b WHERE batch < floor(n / 16)")
+def batch_loader_shuffled(spark, sf_dir):
+    """In another order, and without a last batch that isn't full."""
+    d = D.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return B.batched(d, 16, "lang", F.col("doc_id") * 7919 % 10007, F.col("doc_id"), drop_last=True).select("doc_id", "batch")
+
+
+@query("sampler_draws", "WITH w AS (SELECT doc_id, lang, CAST(greatest(n_chars, 20) AS BIGINT) AS weight FROM documents), c AS (SELECT *, CAST(sum(weight) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS upto FROM w), s AS (SELECT lang, CAST(sum(weight) AS BIGINT) AS total, count(*) AS n FROM w GROUP BY lang), d AS (SELECT lang, total, unnest(range(n)) AS draw FROM s) SELECT d.lang, draw, doc_id FROM d JOIN c ON c.lang = d.lang AND draw * 618033989 % total >= upto - weight AND draw * 618033989 % total < upto")
+def sampler_draws(spark, sf_dir):
+    """Draws with replacement, in proportion to length."""
+    w = D.table(spark, sf_dir, "documents").select("doc_id", "lang", F.greatest(F.col("n_chars"), F.lit(20)).cast("long").alias("weight"))
+    return B.drawn(w, "lang", "doc_id", F.col("draw") * 618033989)
+
+
 @query("plan_json", f"WITH {D.CONTROLS} SELECT i, '{{\"number\":' || number || ',\"x\":' || printf('%.1f', x) || ',\"y\":' || printf('%.1f', y) || '}}' AS json FROM controls")
 def plan_json(spark, sf_dir):
     return D.controls(spark, sf_dir).select("i", F.to_json(F.struct("number", "x", "y")).alias("json"))
