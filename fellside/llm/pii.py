@@ -3,7 +3,7 @@
 Base kinds are email, ip, card and phone. The method adds two: ``iban`` (confirmed by the remainder of 97) and
 ``ssn`` (three, two and four digits, which only words nearby can confirm). Base spans are always kept; an added
 span is kept if its score reaches ``ACCEPT``. A score is the kind's prior, plus what its checksum and a context
-word in the ``NEAR`` characters before it (back to the previous span of its kind) are worth.
+word in the ``NEAR`` characters before or behind it (up to the next span of its kind) are worth.
 
 A text's matches are the strings that the pattern extracts; their places follow from what lies between them,
 which splitting by the same pattern gives. Patterns are written so that Java's engine neither recurses nor
@@ -124,7 +124,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             block = F.floor(i / _BLOCK).cast("int")
             gap = F.element_at(f"_s_{k}", i + 1)
             start = F.element_at(f"_o_{k}", block + 1) + F.aggregate(F.slice(f"_l_{k}", block * _BLOCK + 1, i % _BLOCK), zero, add) + F.length(gap)
-            near = F.lower(F.right(gap, F.lit(NEAR))).rlike(CONTEXT[k])
+            behind = F.element_at(f"_s_{k}", i + 2)
+            near = F.lower(F.right(gap, F.lit(NEAR))).rlike(CONTEXT[k]) | F.lower(F.left(behind, F.lit(NEAR))).rlike(CONTEXT[k])
             score = F.lit(PRIOR[k] + CHECKED[k]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
             return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(k).alias("kind"), (start + F.length(m)).alias("end"), F.least(score, F.lit(1.0)).alias("score"), F.lit(k in BASE_KINDS).alias("base"), _valid(k, m).alias("valid"))
 
