@@ -7,6 +7,7 @@ from .lines import op3_line_dedup
 from .packing import op4_packing
 from .pii import op5_pii
 from .quality import op7_quality
+from .search import OP11_SQL, op11_search
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .sstable import op8_sstable
@@ -24,9 +25,11 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op9_sharding": op9_sharding,
+    "op11_search": op11_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op6_decontamination": OP6_SQL,
+    "op11_search": OP11_SQL,
 }
