@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regions import spread_labels
+from .shared import cut
+
 
 def best_per_number(det: DataFrame) -> DataFrame:
     """The highest score of each (course, number); the first of equals."""
@@ -36,12 +38,13 @@ def vote(candidates: DataFrame) -> DataFrame:
 
 def arbitrated(rings: DataFrame, beside: DataFrame, around: DataFrame, expected: float = 14.5) -> DataFrame:
     """``rings``: image, ring, x, y, radius, hollow; ``beside`` and ``around``: image, ring, number, conf (the number read in the windows beside a ring, and in the wide one). Which of both
-    counts, and its score, for rings that are hollow enough. The one beside counts if it's sure; the wide one beats it only if it's nearly certain and far surer; else the surer."""
+    counts, and its score, for rings that are hollow enough. Beside a sure one the wide window isn't looked at; otherwise equal numbers count as the surer reading, another number of the
+    wide window only if it's nearly certain and far surer, and else the surer."""
     side = lambda d, p: d.select("image", "ring", F.struct("number", "conf").alias(p))
     j = rings.join(side(beside, "b"), ["image", "ring"], "left").join(side(around, "a"), ["image", "ring"], "left")
     b, a = F.col("b.conf"), F.col("a.conf")
     surer = F.when(b >= a, F.col("b")).otherwise(F.col("a"))
-    hit = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).when(F.col("b.number") == F.col("a.number"), surer).when(b >= 0.9, F.col("b")).when((a >= 0.95) & (a >= b + 0.15), F.col("a")).otherwise(surer)
+    hit = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull() | (b >= 0.9), F.col("b")).when(F.col("b.number") == F.col("a.number"), surer).when((a >= 0.95) & (a >= b + 0.15), F.col("a")).otherwise(surer)
     j = j.withColumn("hit", hit).where(F.col("hit").isNotNull())
     conf, hollow = F.col("hit.conf"), F.col("hollow")
     score = conf * (0.55 + 0.45 * F.least(hollow, F.lit(1.0)))
@@ -102,35 +105,43 @@ def snapped(points: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
     return j.select(*rest, F.coalesce("b.rx", "x").alias("x"), F.coalesce("b.ry", "y").alias("y"), score.alias("score"), F.when(moved, "circle").otherwise("vlm").alias("source"))
 
 
+#: Fixed value: pixels a side from which on a tile is asked.
+LEAST_SIDE = 32
+
+
 def merged_tiles(replies: DataFrame, rings: DataFrame, radius: float, least: float = 0.35) -> DataFrame:
     """``replies``: image, tile, x0, y0, width, height, seq, number, x, y, score (places as shares of the tile). Hits of all tiles of an image in its pixels, moved to rings;
-    of each number the best, the first of equals (by tile, then seq)."""
-    sure = replies.where(F.col("score") >= least).select("image", F.struct("tile", "seq").alias("seq"), "number", (F.col("x0") + F.col("x") * F.col("width")).alias("x"), (F.col("y0") + F.col("y") * F.col("height")).alias("y"), "score")
+    of each number the best, the first of equals (by tile, then seq). Tiles with a side under ``LEAST_SIDE`` aren't asked."""
+    sure = replies.where((F.col("score") >= least) & (F.col("width") >= LEAST_SIDE) & (F.col("height") >= LEAST_SIDE)).select("image", F.struct("tile", "seq").alias("seq"), "number", (F.col("x0") + F.col("x") * F.col("width")).alias("x"), (F.col("y0") + F.col("y") * F.col("height")).alias("y"), "score")
     put = snapped(sure, rings, radius)
     first = Window.partitionBy("image", "number").orderBy(F.desc("score"), "seq")
     return put.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("image", "number", "x", "y", "score", "source")
 
 
 def clustered_glyphs(boxes: DataFrame, dy: float = 0.45, gap: float = 0.55) -> DataFrame:
-    """``boxes``: image, id, x0, y0, x1, y1. Boxes that stand in one line and nearly touch, and whatever these lead to, are one: image, cluster (its first id in reading order), n and the box around. An
-    image's glyphs are few, and a task takes an image."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf.assign(cy=(pdf.y0 + pdf.y1) / 2, cx=(pdf.x0 + pdf.x1) / 2).sort_values(["cy", "cx", "id"])
-        high, name = np.maximum((b.y1 - b.y0).to_numpy(float), 1.0), np.arange(len(b))
-        mean = (high[:, None] + high[None]) / 2
-        near = (np.abs(b.cy.to_numpy()[:, None] - b.cy.to_numpy()[None]) <= dy * mean) & (np.maximum(0, np.maximum(b.x0.to_numpy()[None] - b.x1.to_numpy()[:, None], b.x0.to_numpy()[:, None] - b.x1.to_numpy()[None])) <= gap * mean)
-        while True:  # every box takes the least name among its neighbours
-            low = np.where(near, name[None], len(b)).min(1)
-            if (low == name).all():
-                break
-            name = low
-        b = b.assign(cluster=b.id.to_numpy()[name])
-        out = b.groupby("cluster").agg(n=("id", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max")).reset_index()
-        out.insert(0, "image", pdf["image"].iloc[0])
-        return out
-
-    return boxes.groupBy("image").applyInPandas(run, "image long, cluster long, n long, x0 double, y0 double, x1 double, y1 double")
+    """``boxes``: image, id, x0, y0, x1, y1. Boxes that stand in one line and nearly touch, and whatever these lead to, are one: image, cluster (its first id in reading order), n and the box around.
+
+    A pair's reach is at most the taller box's height: that one is looked for on a grid of its height's power of two, on which every lower box lies as well, so an equi-join on grid and square. Equal boxes
+    are one before that. Pairs are joined to clusters by labels that spread and jump, as regions are."""
+    high = F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+    place = ["image", "x0", "y0", "x1", "y1"]
+    first = F.min(F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), "id"))
+    own = boxes.groupBy(*place).agg(first.alias("k"), F.count("*").alias("n")).select(*place, F.col("k.id").alias("id"), "k", "n", F.col("k.cy").alias("cy"), high.alias("h"), F.floor(F.log2(high)).cast("int").alias("grid")).transform(cut)
+    top = own.agg(F.max("grid")).first()[0] or 0
+    cell = lambda c, g: F.floor(c / F.pow(F.lit(2.0), F.col(g) + 1))
+    reach = F.pow(F.lit(2.0), F.col("grid") + 1)
+    tall = own.select("*", F.explode(F.sequence(cell(F.col("x0") - gap * reach, "grid"), cell(F.col("x1") + gap * reach, "grid"))).alias("tx")).select("*", F.explode(F.sequence(cell(F.col("cy") - dy * reach, "grid"), cell(F.col("cy") + dy * reach, "grid"))).alias("ty"))
+    tall = tall.select("image", "grid", "tx", "ty", *[F.col(c).alias(f"a_{c}") for c in ("id", "x0", "x1", "cy", "h")])
+    low = own.select("*", F.explode(F.sequence(F.col("grid"), F.lit(top))).alias("g")).select("*", F.explode(F.sequence(cell(F.col("x0"), "g"), cell(F.col("x1"), "g"))).alias("tx"))
+    low = low.select("image", F.col("g").alias("grid"), "tx", cell(F.col("cy"), "g").alias("ty"), *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "x1", "cy", "h")])
+    mean = (F.col("a_h") + F.col("b_h")) / 2
+    apart = F.greatest(F.lit(0.0), F.col("b_x0") - F.col("a_x1"), F.col("a_x0") - F.col("b_x1"))
+    met = tall.join(low, ["image", "grid", "tx", "ty"]).where((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_cy") - F.col("b_cy")) <= dy * mean) & (apart <= gap * mean))
+    pair = met.select("image", F.col("a_id").alias("id"), F.col("b_id").alias("other")).distinct()
+    links = pair.union(pair.select("image", "other", "id")).distinct()
+    labels = spread_labels(own.select("image", F.col("id"), F.struct("k.cy", "k.cx", "id").alias("label")), links, "image")
+    out = own.join(labels, ["image", "id"]).groupBy("image", "label")
+    return out.agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).select("image", F.col("label.id").alias("cluster"), "n", "x0", "y0", "x1", "y1")
 
 
 def iou(a: str, b: str) -> Column:
@@ -149,17 +160,33 @@ def overlapping(boxes: DataFrame, tile: float) -> DataFrame:
     return pairs.select("course", "a_id", "b_id", iou("a", "b").alias("iou")).where("iou > 0")
 
 
-def suppress(rings: DataFrame, least: float) -> DataFrame:
-    """Greedy: by score, then seq; a ring stays if no kept one of its course is nearer than ``least``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values(["score", "seq"], ascending=[False, True]).itertuples(index=False):
-            if all((r.x - k.x) ** 2 + (r.y - k.y) ** 2 >= least * least for k in kept):
-                kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return rings.groupBy("course").applyInPandas(run, rings.schema)
+def suppress(rings: DataFrame, least: float, *ties: str) -> DataFrame:
+    """``rings``: course, seq, x, y, score, and more. What a greedy pass keeps: by score, then ``ties`` ascending (``seq`` if none are given; all of them
+    together tell a course's rings apart), a ring stays if no kept one of its course is nearer than ``least``.
+
+    In rounds, without a pass: the best undecided ring of each square of half of ``least`` is its leader; a leader stays if no undecided ring near it is better, and what is near
+    a leader that stays goes. A ring meets the leaders of the squares around, so a crowded place costs no pairs among its own. The best ring of all is decided in each round, and with scores in no order of
+    place a few rounds decide all. Each round is written."""
+    ties = ties or ("seq",)
+    side = least / 2
+    key = ["course", *dict.fromkeys(ties)]
+    rank = F.struct(F.col("score").alias("s"), *[(-F.col(t)).alias(f"t{n}") for n, t in enumerate(ties)])
+    todo = rings.select(*dict.fromkeys([*key, "x", "y"]), rank.alias("rank"), F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty")).transform(cut)
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    kept = None
+    while not todo.isEmpty():
+        lead = todo.groupBy("course", "tx", "ty").agg(F.max_by(F.struct(*dict.fromkeys([*key, "x", "y"])), "rank").alias("l"), F.max("rank").alias("l_rank"))
+        lead = lead.select("*", around.alias("a")).select("*", around.alias("b")).select("course", (F.col("tx") + F.col("a")).alias("tx"), (F.col("ty") + F.col("b")).alias("ty"), "l", "l_rank")
+        met = todo.join(lead, ["course", "tx", "ty"]).where(F.pow(F.col("x") - F.col("l.x"), 2) + F.pow(F.col("y") - F.col("l.y"), 2) < least * least)
+        # a leader meets itself, so each is in here
+        stays = met.groupBy("course", "l", "l_rank").agg(F.max("rank").alias("top")).where(F.col("top") <= F.col("l_rank")).select("course", "l").transform(cut)
+        kept = stays if kept is None else kept.union(stays)
+        near = stays.select("course", "l", F.floor(F.col("l.x") / side).alias("tx"), F.floor(F.col("l.y") / side).alias("ty")).select("*", around.alias("a")).select("*", around.alias("b")).select("course", (F.col("tx") + F.col("a")).alias("tx"), (F.col("ty") + F.col("b")).alias("ty"), "l")
+        gone = todo.join(near, ["course", "tx", "ty"]).where(F.pow(F.col("x") - F.col("l.x"), 2) + F.pow(F.col("y") - F.col("l.y"), 2) < least * least).select(*key)
+        todo = todo.join(gone, key, "left_anti").transform(cut)
+    if kept is None:
+        return rings.limit(0)
+    return rings.join(kept.select(*[F.col(f"l.{k}").alias(k) for k in key]), key, "left_semi")
 
 
 def merge_hits(hits: DataFrame, near: float = 28.0, overlap: float = 0.15) -> DataFrame:
@@ -205,19 +232,60 @@ def ring_radius(images: DataFrame, rings: DataFrame) -> DataFrame:
     return images.join(known, "image", "left").select("image", F.coalesce("median", usual).alias("radius"))
 
 
-def ring_quality(rings: DataFrame, mask: DataFrame, angles: int = 48, scales: tuple[float, ...] = (0.85, 1.0, 1.15)) -> DataFrame:
-    """``rings``: map_id, ring, x, y, radius; ``mask``: map_id, r, c. Share of directions with a mask pixel on one of three circles,
-    share of the inner disk (half the radius) that is mask, and the difference: an equi-join on pixels for each."""
+def ring_quality(rings: DataFrame, mask: DataFrame, images: DataFrame, angles: int = 48, scales: tuple[float, ...] = (0.85, 1.0, 1.15)) -> DataFrame:
+    """``rings``: map_id, ring, x, y, radius; ``mask``: map_id, r, c; ``images``: map_id, height, width. Share of directions with a mask pixel on one of three circles;
+    share of the disk of half the radius (rounded half to even, at least one) that is mask, of its pixels inside the image (1 if it has none); and the difference. An equi-join on pixels for each."""
     step = 6.283185307179586 / angles
     a = rings.select("*", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("k")).select("*", F.explode(F.array(*[F.lit(s) for s in scales])).alias("s"))
-    a = a.select("map_id", "ring", "k", F.bround(F.col("y") + F.round(F.col("radius") * F.col("s") * F.sin(F.col("k") * step), 6)).cast("int").alias("r"), F.bround(F.col("x") + F.round(F.col("radius") * F.col("s") * F.cos(F.col("k") * step), 6)).cast("int").alias("c"))
+    reach = F.greatest(F.col("radius"), F.lit(1.0)) * F.col("s")
+    a = a.select("map_id", "ring", "k", F.bround(F.col("y") + F.round(reach * F.sin(F.col("k") * step), 6)).cast("int").alias("r"), F.bround(F.col("x") + F.round(reach * F.cos(F.col("k") * step), 6)).cast("int").alias("c"))
     pixels = mask.select("map_id", "r", "c", F.lit(1.0).alias("on"))
     rim = a.join(pixels, ["map_id", "r", "c"], "left").groupBy("map_id", "ring", "k").agg(F.max(F.coalesce("on", F.lit(0.0))).alias("on")).groupBy("map_id", "ring").agg(F.avg("on").alias("rim"))
-    half = F.floor(F.col("radius") / 2).cast("int")
-    d = rings.select("map_id", "ring", "x", "y", half.alias("h"), F.explode(F.sequence(-half, half)).alias("dr")).select("*", F.explode(F.sequence(-F.col("h"), F.col("h"))).alias("dc")).where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= F.col("h") * F.col("h"))
-    d = d.select("map_id", "ring", (F.col("y") + F.col("dr")).cast("int").alias("r"), (F.col("x") + F.col("dc")).cast("int").alias("c"))
+    half = F.greatest(F.bround(F.lit(0.5) * F.col("radius")), F.lit(1)).cast("int")
+    d = rings.select("map_id", "ring", "x", "y", half.alias("h"), F.explode(F.sequence(-half, half)).alias("dr")).select("*", F.explode(F.sequence(-F.col("h"), F.col("h"))).alias("dc"))
+    d = d.withColumn("r", F.col("y").cast("int") + F.col("dr")).withColumn("c", F.col("x").cast("int") + F.col("dc"))
+    d = d.where(F.pow(F.col("r") - F.col("y"), 2) + F.pow(F.col("c") - F.col("x"), 2) <= F.col("h") * F.col("h"))
+    d = d.join(images.select("map_id", "height", "width"), "map_id").where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("height")) & (F.col("c") < F.col("width"))).select("map_id", "ring", "r", "c")
     fill = d.join(pixels, ["map_id", "r", "c"], "left").groupBy("map_id", "ring").agg(F.avg(F.coalesce("on", F.lit(0.0))).alias("fill"))
-    return rim.join(fill, ["map_id", "ring"]).withColumn("hollow", F.col("rim") - F.col("fill"))
+    return rim.join(fill, ["map_id", "ring"], "left").withColumn("fill", F.coalesce("fill", F.lit(1.0))).withColumn("hollow", F.col("rim") - F.col("fill"))
+
+
+#: Fixed values of the search for control rings: radii, votes, shares of rim and filling, hollowness, distance between rings.
+RADII, LEAST_VOTES, LEAST_RIM, MOST_FILL, LEAST_HOLLOW, RINGS_APART = (11, 18), 8, 0.45, 0.35, 0.40, 16.0
+
+
+def circle_votes(mask: DataFrame, images: DataFrame, low: int = RADII[0], high: int = RADII[1]) -> DataFrame:
+    """map_id, r, c, radius, votes: how many of the mask's edge pixels lie on the circle of that radius (to half a pixel) around the pixel. An edge pixel has a side neighbour that is not mask."""
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
+    px = mask.select("map_id", "r", "c").distinct()
+    shut = px.select("map_id", sides.alias("m"), "r", "c").select("map_id", (F.col("r") + F.col("m.a")).alias("r"), (F.col("c") + F.col("m.b")).alias("c")).groupBy("map_id", "r", "c").agg(F.count("*").alias("n")).where("n = 4")
+    edge = px.join(shut, ["map_id", "r", "c"], "left_anti")
+    span = F.explode(F.sequence(F.lit(-high), F.lit(high)))
+    away = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    v = edge.select("*", span.alias("a")).select("*", span.alias("b")).select("map_id", (F.col("r") + F.col("a")).alias("r"), (F.col("c") + F.col("b")).alias("c"), F.floor(away + 0.5).cast("int").alias("radius")).where(F.col("radius").between(low, high))
+    v = v.join(images.select("map_id", "height", "width"), "map_id").where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("height")) & (F.col("c") < F.col("width")))
+    return v.groupBy("map_id", "r", "c", "radius").agg(F.count("*").alias("votes"))
+
+
+def hough_circles(mask: DataFrame, images: DataFrame, low: int = RADII[0], high: int = RADII[1], least: int = LEAST_VOTES) -> DataFrame:
+    """map_id, ring, x, y, radius, votes: places in the space of centres and radii with at least ``least`` votes and no more at any of the 26 neighbours (of equals the first by
+    row, column, radius). Passes with other limits of votes find a part of what the lowest finds, so there is one pass. ring names the circle: row, column, radius."""
+    at = circle_votes(mask, images, low, high).where(F.col("votes") >= least)
+    span = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    worth = F.struct("votes", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"), (-F.col("radius")).alias("radius"))
+    told = at.select("map_id", "r", "c", "radius", worth.alias("w"), span.alias("i")).select("*", span.alias("j")).select("*", span.alias("k"))
+    best = told.groupBy("map_id", (F.col("r") + F.col("i")).alias("r"), (F.col("c") + F.col("j")).alias("c"), (F.col("radius") + F.col("k")).alias("radius")).agg(F.max("w").alias("w"))
+    peaks = best.where((F.col("w.r") == -F.col("r")) & (F.col("w.c") == -F.col("c")) & (F.col("w.radius") == -F.col("radius")))
+    return peaks.select("map_id", F.struct("r", "c", "radius").alias("ring"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), F.col("radius").cast("double").alias("radius"), F.col("w.votes").alias("votes"))
+
+
+def control_rings(mask: DataFrame, images: DataFrame) -> DataFrame:
+    """map_id, x, y, radius, rim, fill, hollow, score: circles that are rim and not filled, the best (hollowness times rim) of those nearer than ``RINGS_APART``; of equals the first by row, column, radius."""
+    circles = hough_circles(mask, images).transform(cut)
+    q = circles.join(ring_quality(circles, mask, images), ["map_id", "ring"])
+    good = q.where((F.col("rim") >= LEAST_RIM) & (F.col("fill") <= MOST_FILL) & (F.col("hollow") >= LEAST_HOLLOW))
+    good = good.select(F.col("map_id").alias("course"), "x", "y", "radius", "rim", "fill", "hollow", F.round(F.col("hollow") * F.col("rim"), 9).alias("score"))
+    return suppress(good, RINGS_APART, "y", "x", "radius").withColumnRenamed("course", "map_id")
 
 
 HIT = "array<struct<number: string, x: string, y: string, confidence: string>>"
@@ -245,8 +313,8 @@ def parse_starts(replies: DataFrame, text: str = "reply") -> DataFrame:
 
 
 def compared(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
-    """Three detectors side by side by number, with the distances between them."""
-    named = [d.select("number", F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}")) for n, d in zip("abc", (a, b, c), strict=True)]
-    j = named[0].join(named[1], "number", "full_outer").join(named[2], "number", "full_outer")
+    """Three detectors side by side by image and number, with the distances between them."""
+    named = [d.select("image", "number", F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}")) for n, d in zip("abc", (a, b, c), strict=True)]
+    j = named[0].join(named[1], ["image", "number"], "full_outer").join(named[2], ["image", "number"], "full_outer")
     dist = lambda p, q: F.round(F.hypot(F.col(f"x_{p}") - F.col(f"x_{q}"), F.col(f"y_{p}") - F.col(f"y_{q}")), 6)
-    return j.select("number", *[(F.col(f"x_{n}").isNotNull()).alias(f"in_{n}") for n in "abc"], dist("a", "b").alias("d_ab"), dist("a", "c").alias("d_ac"), dist("b", "c").alias("d_bc"))
+    return j.select("image", "number", *[(F.col(f"x_{n}").isNotNull()).alias(f"in_{n}") for n in "abc"], dist("a", "b").alias("d_ab"), dist("a", "c").alias("d_ac"), dist("b", "c").alias("d_bc"))

@@ -2,7 +2,8 @@
 
 Cells are (map_id, cr, cc, time_s); walls have no time. Edges come from equi-joins on shifted coordinates. One-to-all search is a heap kernel
 for each map and a few of its sources: sources are independent, so they spread over the cluster, and a task holds one map's passable
-cells. Ways between two places are found by A*. ``relax`` gives the same times by joins alone, for maps too large for a task.
+cells. Ways between two places are found by A*. Maps of more than ``LARGE`` cells are searched tile by tile: a task has one tile, and what improves on a tile's
+border goes on to its neighbours, so rounds grow with tiles crossed. ``relax`` gives the same times by joins alone, a round for each cell of the longest way.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from .shared import cut
 
 CELL = ["map_id", "cr", "cc"]
 STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -74,9 +76,9 @@ def _grid(pdf: pd.DataFrame) -> np.ndarray:
     return grid
 
 
-def search(grid: np.ndarray, start: tuple[int, int], goal: tuple[int, int] | None = None):
+def search(grid: np.ndarray, start: tuple[int, int] | list[tuple[int, int, float]], goal: tuple[int, int] | None = None, goals: set[tuple[int, int]] | None = None):
     """Times from ``start``, parents and the order of visits. With a goal it is A*: the straight line's time to the goal at the fastest cell's speed
-    is added, and the search ends there."""
+    is added, and the search ends there. With ``goals`` it ends when all are visited. ``start`` may be several places (row, column, time already spent)."""
     h, w = grid.shape
     wide = w + 2  # a frame of walls, so that no step needs its ends checked
     framed = np.full((h + 2, wide), np.inf)
@@ -84,16 +86,21 @@ def search(grid: np.ndarray, start: tuple[int, int], goal: tuple[int, int] | Non
     time = framed.ravel().tolist()
     inf, slant = float("inf"), dims.DIAGONAL
     best, parent, visit = [inf] * len(time), [-1] * len(time), [-1] * len(time)
-    at = (start[0] + 1) * wide + start[1] + 1
-    aim = (goal[0] + 1) * wide + goal[1] + 1 if goal else -1
+    index = lambda p: (p[0] + 1) * wide + p[1] + 1
+    seeds = start if isinstance(start, list) else [(*start, 0.0)]
+    aims = {index(p) for p in ([goal] if goal else goals or ())}
+    bounded = bool(aims)
     if goal:
         y, x = np.divmod(np.arange(len(time)), wide)
         least = float(grid.min()) if grid.size else inf
         rest = (np.hypot(y - goal[0] - 1, x - goal[1] - 1) * (least if least < inf else 0.0) * (1 - 1e-11)).tolist()
     else:
         rest = [0.0] * len(time)
-    best[at] = 0.0
-    heap, n = [(rest[at], start[1], start[0])], 0
+    heap, n = [], 0
+    for r, c, t in seeds:
+        if t < best[index((r, c))]:
+            best[index((r, c))] = t
+            heapq.heappush(heap, (t + rest[index((r, c))], c, r))
     while heap:
         _, c, r = heapq.heappop(heap)
         k = (r + 1) * wide + c + 1
@@ -101,8 +108,10 @@ def search(grid: np.ndarray, start: tuple[int, int], goal: tuple[int, int] | Non
             continue
         visit[k] = n
         n += 1
-        if k == aim:
-            break
+        if bounded:
+            aims.discard(k)
+            if not aims:
+                break
         own, reached = time[k], best[k]
         for dr, dc in STEPS:
             j = k + dr * wide + dc
@@ -181,15 +190,15 @@ def polylines(legs_: DataFrame, size: int) -> DataFrame:
     return kept.groupBy("map_id", "tour").agg(F.transform(F.array_sort(F.collect_list(at)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pixels"))
 
 
-def relax(cells: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """The same times by joins: frontier to neighbours, least time of each cell, until nothing improves. Each round is written by checkpoint."""
+def relax(cells: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same times by joins: frontier to neighbours, least time of each cell, until nothing improves. Each round is written."""
     graph = edges(cells).persist()
     best = sources.select("map_id", "i", "cr", "cc", F.lit(0.0).alias("time_s"))
     front = best
-    for _ in range(rounds):
+    while True:
         reached = front.join(graph, CELL).groupBy("map_id", "i", F.col("nr").alias("cr"), F.col("nc").alias("cc")).agg(F.min(F.col("time_s") + F.col("w")).alias("new"))
         both = best.join(reached, ["map_id", "i", "cr", "cc"], "full_outer")
-        both = both.select("map_id", "i", "cr", "cc", F.least(F.coalesce("time_s", F.lit(float("inf"))), F.coalesce("new", F.lit(float("inf")))).alias("t"), (F.coalesce("new", F.lit(float("inf"))) < F.coalesce("time_s", F.lit(float("inf")))).alias("better")).checkpoint()
+        both = both.select("map_id", "i", "cr", "cc", F.least(F.coalesce("time_s", F.lit(float("inf"))), F.coalesce("new", F.lit(float("inf")))).alias("t"), (F.coalesce("new", F.lit(float("inf"))) < F.coalesce("time_s", F.lit(float("inf")))).alias("better")).transform(cut)
         best = both.select("map_id", "i", "cr", "cc", F.col("t").alias("time_s"))
         front = both.where("better").select("map_id", "i", "cr", "cc", F.col("t").alias("time_s"))
         if front.isEmpty():
@@ -198,10 +207,107 @@ def relax(cells: DataFrame, sources: DataFrame, rounds: int = 100_000) -> DataFr
     return best
 
 
-def time_matrix(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """``points``: map_id, i, cr, cc. Time from each point to each other by one search for each source."""
-    to = points.select("map_id", F.col("i").alias("j"), "cr", "cc")
-    return times_from(cells, points).join(to, CELL).select("map_id", "i", "j", "time_s")
+#: Cells of a map up to which a task searches it whole.
+LARGE = 1 << 20
+SIDE = 256
+
+
+def _tiles(cells: DataFrame, side: int) -> DataFrame:
+    """map_id, tr, tc, cells (array of place, time_s): squares of ``side`` + 1 free cells a side, whose outer rows and columns belong to both neighbours. So any step, and the
+    two cells beside a diagonal one, lie in one tile."""
+    free = cells.where(F.col("time_s").isNotNull())
+    rows = _in_tiles(free, side).select("map_id", "tr", "tc", F.struct(((F.col("cr") - F.col("tr") * side) * (side + 1) + F.col("cc") - F.col("tc") * side).cast("int").alias("place"), "time_s").alias("cell"))
+    return rows.groupBy("map_id", "tr", "tc").agg(F.collect_list("cell").alias("cells"))
+
+
+def _in_tiles(rows: DataFrame, side: int) -> DataFrame:
+    """Each row (map_id, cr, cc, ...) with every tile that has its cell: one, two on a shared line, four where lines meet."""
+    both = lambda c: F.when((F.col(c) % side == 0) & (F.col(c) > 0), F.array(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side))).otherwise(F.array(F.floor(F.col(c) / side)))
+    return rows.select("*", F.explode(both("cr")).alias("tr")).select("*", F.explode(both("cc")).alias("tc"))
+
+
+def _tile_search(side: int, whole: bool):
+    def run(frames):
+        for f in frames:
+            out = []
+            for t in f.itertuples(index=False):
+                grid = np.full((side + 1) ** 2, np.inf)
+                grid[[c["place"] for c in t.cells]] = [c["time_s"] for c in t.cells]
+                grid = grid.reshape(side + 1, side + 1)
+                best = search(grid, [(int(s["cr"]) - t.tr * side, int(s["cc"]) - t.tc * side, float(s["time_s"])) for s in t.seeds])[0]
+                known = best < np.inf
+                if whole:  # a shared line is told by the tile that begins with it
+                    known[side, :] = known[:, side] = False
+                else:
+                    known[1:-1, 1:-1] = False
+                r, c = np.nonzero(known)
+                out.append(pd.DataFrame({"map_id": t.map_id, "i": t.i, "cr": r + t.tr * side, "cc": c + t.tc * side, "time_s": best[r, c]}))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def tiled_times(cells: DataFrame, sources: DataFrame, goals: DataFrame | None = None, side: int = SIDE) -> DataFrame:
+    """As :func:`times_from` (without visits), for maps of any size: map_id, i, cr, cc, time_s. A task searches one tile for one source, from the places whose times are known to have improved; what that
+    improves on the tile's border is handed to the tiles beside it, until nothing improves, and then every tile is filled in from its border. With ``goals`` (map_id, tr, tc) only
+    these tiles are filled in. Each round is written."""
+    schema = "map_id int, i int, cr int, cc int, time_s double"
+    tiles = _tiles(cells, side).transform(cut)
+    first = sources.select(F.col("map_id").cast("int").alias("map_id"), F.col("i").cast("int").alias("i"), F.col("cr").cast("int").alias("cr"), F.col("cc").cast("int").alias("cc"), F.lit(0.0).alias("time_s")).transform(cut)
+
+    def from_seeds(seeds: DataFrame, whole: bool) -> DataFrame:
+        work = _in_tiles(seeds, side).groupBy("map_id", "tr", "tc", "i").agg(F.collect_list(F.struct("cr", "cc", "time_s")).alias("seeds"))
+        if whole and goals is not None:
+            work = work.join(goals.select("map_id", "tr", "tc").distinct(), ["map_id", "tr", "tc"], "left_semi")
+        return work.join(tiles, ["map_id", "tr", "tc"]).mapInPandas(_tile_search(side, whole), schema)
+
+    best = front = first
+    while not front.isEmpty():
+        reached = from_seeds(front, False).groupBy("map_id", "i", "cr", "cc").agg(F.min("time_s").alias("new"))
+        both = best.join(reached, ["map_id", "i", "cr", "cc"], "full_outer")
+        better = F.col("time_s").isNull() | (F.col("new") < F.col("time_s"))
+        both = both.select("map_id", "i", "cr", "cc", F.when(F.col("new").isNull(), F.col("time_s")).otherwise(F.least("time_s", "new")).alias("t"), (F.col("new").isNotNull() & better).alias("better")).transform(cut)
+        best = both.select("map_id", "i", "cr", "cc", F.col("t").alias("time_s"))
+        front = both.where("better").select("map_id", "i", "cr", "cc", F.col("t").alias("time_s"))
+    return from_seeds(best, True)
+
+
+def times_between(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """``points``: map_id, group, i, cr, cc. map_id, group, i, j, time_s for the points of each group that reach each other: one search for each point, which ends when it has met
+    its group. A task has one map's cells and a share of its groups."""
+    share = F.floor(F.dense_rank().over(Window.partitionBy("map_id").orderBy("group")) / SOURCES_A_TASK).cast("int")
+    jobs = points.select("map_id", share.alias("part"), "group", "i", "cr", "cc")
+    spread = cells.select(*CELL, "time_s").join(jobs.select("map_id", "part").distinct(), "map_id")
+
+    def run(key, own: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        grid, rows = _grid(own), []
+        for name, group in starts.groupby("group"):
+            at = [(int(p.i), (int(p.cr), int(p.cc))) for p in group.itertuples(index=False)]
+            for i, place in at:
+                best = search(grid, place, goals={p for _, p in at})[0]
+                rows += [(key[0], name, i, j, best[p]) for j, p in at if best[p] < np.inf]
+        return pd.DataFrame(rows, columns=["map_id", "group", "i", "j", "time_s"])
+
+    return spread.groupBy("map_id", "part").cogroup(jobs.toDF(*jobs.columns).groupBy("map_id", "part")).applyInPandas(run, "map_id int, group int, i int, j int, time_s double")
+
+
+def time_matrix(cells: DataFrame, points: DataFrame, large: int | None = None) -> DataFrame:
+    """``points``: map_id, i, cr, cc, and group if only times within groups are asked for. Time from each point to each other; maps of more than ``large`` cells tile by tile."""
+    large = LARGE if large is None else large
+    grouped = "group" in points.columns
+    points = points if grouped else points.withColumn("group", F.lit(0))
+    sizes = cells.groupBy("map_id").count()
+    big = sizes.where(F.col("count") > large).select("map_id")
+    small_cells, small_points = (d.join(big, "map_id", "left_anti") for d in (cells, points))
+    out = times_between(small_cells, small_points)
+    if not big.isEmpty():
+        far_cells, far_points = (d.join(big, "map_id", "left_semi") for d in (cells, points))
+        owner = far_points.select("map_id", F.floor(F.col("cr") / SIDE).alias("tr"), F.floor(F.col("cc") / SIDE).alias("tc"))
+        to = far_points.select("map_id", "group", F.col("i").alias("j"), "cr", "cc")
+        times = tiled_times(far_cells, far_points, owner, SIDE).join(far_points.select("map_id", "group", "i"), ["map_id", "i"])
+        out = out.unionByName(times.join(to, ["map_id", "group", "cr", "cc"]).select("map_id", "group", "i", "j", "time_s"))
+    return out if grouped else out.drop("group")
 
 
 def retimed(steps: DataFrame, cells: DataFrame) -> DataFrame:
@@ -212,11 +318,12 @@ def retimed(steps: DataFrame, cells: DataFrame) -> DataFrame:
     return s.where(F.col("dr").isNotNull()).groupBy("route").agg(F.sum((F.col("time_s") + F.col("t0")) / 2 * slant).alias("time_s"), F.sum(slant).alias("length"))
 
 
-def inflate(cells: DataFrame, route: DataFrame, width: int, factor: float) -> DataFrame:
-    """``cells`` with times multiplied where a route's cell is at most ``width`` away in rows and columns."""
+def inflate(cells: DataFrame, routes: DataFrame, width: int, factor: float) -> DataFrame:
+    """``cells`` with times multiplied once for each route (``routes``: route, map_id, cr, cc) that has a cell at most ``width`` away in rows and columns."""
     span = F.sequence(F.lit(-width), F.lit(width))
-    near = route.select("map_id", "cr", "cc", F.explode(span).alias("a")).select("*", F.explode(span).alias("b")).select("map_id", (F.col("cr") + F.col("a")).alias("cr"), (F.col("cc") + F.col("b")).alias("cc")).distinct().withColumn("in_corridor", F.lit(True))
-    return cells.join(near, CELL, "left").withColumn("time_s", F.when(F.col("in_corridor"), F.col("time_s") * factor).otherwise(F.col("time_s"))).drop("in_corridor")
+    near = routes.select("route", "map_id", "cr", "cc", F.explode(span).alias("a")).select("*", F.explode(span).alias("b")).select("route", "map_id", (F.col("cr") + F.col("a")).alias("cr"), (F.col("cc") + F.col("b")).alias("cc")).distinct()
+    times = near.groupBy(*CELL).agg(F.count("*").alias("n_corridors"))
+    return cells.join(times, CELL, "left").withColumn("time_s", F.col("time_s") * F.pow(F.lit(float(factor)), F.coalesce("n_corridors", F.lit(0)))).drop("n_corridors")
 
 
 def k_routes(cells: DataFrame, pairs: DataFrame, k: int = dims.ROUTES, factor: float = dims.PENALTY_FACTOR, width: int = dims.PENALTY_WIDTH, similarity: float = dims.SIMILARITY) -> DataFrame:

@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from .shared import cut
 
 
 def exact_states(matrix: DataFrame, budget: float) -> DataFrame:
-    """``matrix``: i, j, time_s over points 0..n. Feasible states: mask, last, time_s, size, parent."""
-    legs = F.broadcast(matrix.where((F.col("i") != F.col("j")) & (F.col("j") > 0)).select("i", "j", F.col("time_s").alias("leg")))  # at most EXACT_LIMIT + 1 squared
+    """``matrix``: problem, i, j, time_s over points 0..n. Feasible states of each problem: problem, mask, last, time_s, size, parent."""
+    legs = matrix.where((F.col("i") != F.col("j")) & (F.col("j") > 0)).select("problem", "i", "j", F.col("time_s").alias("leg"))
     n = matrix.agg(F.max("j")).first()[0] or 0
     bit = F.expr("shiftleft(1L, j - 1)")
-    level = legs.where(F.col("i") == 0).where(F.col("leg") <= budget).select(bit.alias("mask"), F.col("j").alias("last"), F.col("leg").alias("time_s"), F.lit(0).alias("parent"))
+    level = legs.where(F.col("i") == 0).where(F.col("leg") <= budget).select("problem", bit.alias("mask"), F.col("j").alias("last"), F.col("leg").alias("time_s"), F.lit(0).alias("parent"))
     out = level.withColumn("size", F.lit(1))
     for size in range(2, n + 1):
-        nxt = level.join(legs, F.col("last") == F.col("i")).where((F.col("mask").bitwiseAND(bit) == 0) & (F.col("time_s") + F.col("leg") <= budget))
-        nxt = nxt.select(F.col("mask").bitwiseOR(bit).alias("mask"), F.col("j"), F.struct((F.col("time_s") + F.col("leg")).alias("t"), F.col("last").alias("p")).alias("s"))
-        level = nxt.groupBy("mask", "j").agg(F.min("s").alias("s")).select("mask", F.col("j").alias("last"), F.col("s.t").alias("time_s"), F.col("s.p").alias("parent")).checkpoint()
+        nxt = level.join(legs.withColumnRenamed("i", "last"), ["problem", "last"]).where((F.col("mask").bitwiseAND(bit) == 0) & (F.col("time_s") + F.col("leg") <= budget))
+        nxt = nxt.select("problem", F.col("mask").bitwiseOR(bit).alias("mask"), F.col("j"), F.struct((F.col("time_s") + F.col("leg")).alias("t"), F.col("last").alias("p")).alias("s"))
+        level = nxt.groupBy("problem", "mask", "j").agg(F.min("s").alias("s")).select("problem", "mask", F.col("j").alias("last"), F.col("s.t").alias("time_s"), F.col("s.p").alias("parent")).transform(cut)
         if level.isEmpty():
             break
         out = out.unionByName(level.withColumn("size", F.lit(size)))
@@ -31,31 +32,31 @@ def exact_states(matrix: DataFrame, budget: float) -> DataFrame:
 
 
 def tours(states: DataFrame, matrix: DataFrame, points: DataFrame, budget: float) -> DataFrame:
-    """Closed feasible tours: mask, last, size, total_s, points. What a set is worth is the sum over its own bits, looked up in one array of all points."""
-    back = matrix.where(F.col("j") == 0).select(F.col("i").alias("last"), F.col("time_s").alias("home"))
-    t = states.join(F.broadcast(back), "last").select("mask", "last", "size", (F.col("time_s") + F.col("home")).alias("total_s")).where(F.col("total_s") <= budget)  # a row for each point
-    worth = {int(r["i"]): int(r["points"]) for r in points.where(F.col("i") > 0).collect()}  # a row for each point
-    bits = F.array(*[F.lit(worth.get(i, 0)).cast("long") for i in range(1, max(worth, default=0) + 1)]) if worth else F.array().cast("array<long>")
-    own = F.transform(bits, lambda v, k: F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2.0), k).cast("long")) != 0, v).otherwise(F.lit(0).cast("long")))
-    return t.withColumn("points", F.aggregate(own, F.lit(0).cast("long"), lambda a, v: a + v))
+    """Closed feasible tours: problem, mask, last, size, total_s, points (``points``: problem, i, points). What a set is worth is the sum over its own bits, looked up in its problem's array of at most
+    ``EXACT_LIMIT`` points."""
+    back = matrix.where(F.col("j") == 0).select("problem", F.col("i").alias("last"), F.col("time_s").alias("home"))
+    t = states.join(back, ["problem", "last"]).select("problem", "mask", "last", "size", (F.col("time_s") + F.col("home")).alias("total_s")).where(F.col("total_s") <= budget)
+    worth = points.where(F.col("i") > 0).groupBy("problem").agg(F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("i") - 1).cast("long").alias("bit"), F.col("points").cast("long").alias("v"))).alias("worth"))
+    own = F.aggregate("worth", F.lit(0).cast("long"), lambda a, w: a + F.when(F.col("mask").bitwiseAND(w["bit"]) != 0, w["v"]).otherwise(F.lit(0).cast("long")))
+    return t.join(worth, "problem").withColumn("points", own).drop("worth")
 
 
 def improvements(tours_: DataFrame, bucket: int = 64) -> DataFrame:
-    """Tours that beat all before them in the order of (mask, last): more points, or as many in less time. Sets are cut into ranges of ``bucket``; a range is
+    """Tours of a problem that beat all before them in the order of (mask, last): more points, or as many in less time. Sets are cut into ranges of ``bucket``; a range is
     compared with the best of all earlier ranges, which takes a row for each range, and then within itself."""
-    v = F.col("points") * 1000000 - F.col("total_s")
-    t = tours_.withColumn("_v", v).withColumn("_b", F.floor(F.col("mask") / bucket))
-    tops = t.groupBy("_b").agg(F.max("_v").alias("_top"))
+    t = tours_.withColumn("_v", F.struct("points", (-F.col("total_s")).alias("s"))).withColumn("_b", F.floor(F.col("mask") / bucket))
+    tops = t.groupBy("problem", "_b").agg(F.max("_v").alias("_top"))
     # whatever the sets, only ranges that hold a tour have a row here, each a maximum
-    before = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    inside = Window.partitionBy("_b").orderBy("mask", "last").rowsBetween(Window.unboundedPreceding, -1)
-    held = t.join(before, "_b").withColumn("_own", F.max("_v").over(inside))
-    past = F.greatest("_before", "_own")
-    return held.where(past.isNull() | (F.col("_v") > past)).drop("_v", "_b", "_before", "_own")
+    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy("problem").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    inside = Window.partitionBy("problem", "_b").orderBy("mask", "last").rowsBetween(Window.unboundedPreceding, -1)
+    held = t.join(before, ["problem", "_b"]).withColumn("_own", F.max("_v").over(inside))
+    beaten = lambda c: F.col(c).isNotNull() & (F.col("_v") <= F.col(c))
+    return held.where(~beaten("_before") & ~beaten("_own")).drop("_v", "_b", "_before", "_own")
 
 
 def best(tours_: DataFrame, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("points"), "total_s", "mask", "last")
+    """The best tour of each problem (and each value of ``by``)."""
+    w = Window.partitionBy("problem", *by).orderBy(F.desc("points"), "total_s", "mask", "last")
     return tours_.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
@@ -117,6 +118,8 @@ def heuristic(matrix: DataFrame, points: DataFrame, budget: float, rounds: int =
             for a in range(len(o)):
                 for b in range(a + 1, len(o)):
                     yield o[:a] + [o[b]] + o[a + 1 : b] + [o[a]] + o[b + 1 :]
+            for a in range(len(o)):  # no stretch is turned before every exchange has been tried
+                for b in range(a + 1, len(o)):
                     yield o[:a] + o[a : b + 1][::-1] + o[b + 1 :]
 
         for _ in range(rounds):

@@ -30,8 +30,8 @@ def plan_course(label: DataFrame, controls: DataFrame, start: tuple[float, float
         return empty | {"method": "empty"}
     at = controls.select(F.lit(map_id).alias("map_id"), "i", "x", "y").unionByName(spark.createDataFrame([(map_id, 0, *map(float, start))], "map_id int, i int, x double, y double"))
     snapped = graph.snap(at, cells, size).persist()
-    matrix = graph.time_matrix(cells, snapped).select("i", "j", "time_s").persist()
-    worth = controls.select("i", points(F.col("number")).alias("points"))
+    matrix = graph.time_matrix(cells, snapped).select(F.lit(0).alias("problem"), "i", "j", "time_s").persist()
+    worth = controls.select(F.lit(0).alias("problem"), "i", points(F.col("number")).alias("points"))
     number = {r.i: r.number for r in controls.select("i", "number").collect()}
     if n <= dims.EXACT_LIMIT:
         states = tour.exact_states(matrix, budget_s).persist()
@@ -40,7 +40,7 @@ def plan_course(label: DataFrame, controls: DataFrame, start: tuple[float, float
         plan = empty | {"method": "dp", "points": top["points"] if top else 0, "time_s": top["total_s"] if top else 0.0}
         states.unpersist()
     else:
-        rows = tour.heuristic(matrix.withColumn("problem", F.lit(0)), worth.withColumn("problem", F.lit(0)), budget_s).orderBy("place").collect()
+        rows = tour.heuristic(matrix, worth, budget_s).orderBy("place").collect()
         order = [r.i for r in rows]
         plan = empty | {"method": "greedy_local", "points": rows[0].total_points if rows else 0, "time_s": rows[0].total_s if rows else 0.0}
     plan["order"] = [number[i] for i in order]

@@ -12,6 +12,7 @@ from ..operators import raster as R
 from ..operators import tiling as W
 from ..sources import derived as D
 from .raster_queries import IMAGE, image
+from .registry import checkpoints as _checkpoints
 from .registry import query
 
 
@@ -61,11 +62,11 @@ def plausible_digit_size(spark, sf_dir):
     return boxes(spark, sf_dir).where(h.between(10, 25) & (w / h <= 1.6)).select("id")
 
 
-@query("ocr_windows", f"WITH {D.CONTROLS} SELECT i, kind, CAST(trunc(x + dx * 12) AS INT) AS x0, CAST(trunc(y + dy * 12) AS INT) AS y0 FROM controls, (VALUES ('right', 1.0, -0.5), ('left', -3.0, -0.5), ('up', -1.0, -2.5), ('down', -1.0, 1.0), ('around', -2.5, -2.5)) v(kind, dx, dy)")
+@query("ocr_windows", f"WITH {D.CONTROLS} SELECT course, i, kind, CAST(trunc(x + dx * 12) AS INT) AS x0, CAST(trunc(y + dy * 12) AS INT) AS y0 FROM controls, (VALUES ('right', 1.0, -0.5), ('left', -3.0, -0.5), ('up', -1.0, -2.5), ('down', -1.0, 1.0), ('around', -2.5, -2.5)) v(kind, dx, dy)")
 def ocr_windows(spark, sf_dir):
     kinds = [("right", 1.0, -0.5), ("left", -3.0, -0.5), ("up", -1.0, -2.5), ("down", -1.0, 1.0), ("around", -2.5, -2.5)]
     w = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("x") + a * 12).cast("int").alias("x0"), (F.col("y") + b * 12).cast("int").alias("y0")) for k, a, b in kinds]))
-    return D.controls(spark, sf_dir).select("i", w.alias("w")).select("i", "w.kind", "w.x0", "w.y0")
+    return D.controls(spark, sf_dir).select("course", "i", w.alias("w")).select("course", "i", "w.kind", "w.x0", "w.y0")
 
 
 @query("ring_bounds", "SELECT p_partkey, greatest(6, round_even(CAST(0.7 AS DOUBLE) * p_size, 0)) AS low, greatest(greatest(6, round_even(CAST(0.7 AS DOUBLE) * p_size, 0)) + 2, round_even(CAST(1.35 AS DOUBLE) * p_size, 0)) AS high FROM part")
@@ -80,36 +81,78 @@ def iqr_median_radius(spark, sf_dir):
     return X.trimmed_median(v, "course", "radius")
 
 
-@query("ring_radius")
+@query("ring_radius", f"WITH {D.DETECTIONS}, im AS (SELECT p_partkey AS image, 300 + p_size * 17 AS height, 200 + p_size * 23 AS width FROM part), v AS (SELECT course, CAST(seq * 7 % 61 AS DOUBLE) AS radius FROM det), q AS (SELECT course, quantile_cont(radius, 0.25) AS a, quantile_cont(radius, 0.75) AS b FROM v GROUP BY course), m AS (SELECT course, quantile_cont(radius, 0.5) AS median FROM v JOIN q USING (course) WHERE radius BETWEEN a - 1.5 * greatest(b - a, 1) AND b + 1.5 * greatest(b - a, 1) GROUP BY course) SELECT image, coalesce(median, least(greatest(greatest(height, width) * CAST(0.018 AS DOUBLE), 12.0), 40.0)) AS radius FROM im LEFT JOIN m ON course = image")
 def ring_radius(spark, sf_dir):
     """An image for each part; those numbered as courses have rings."""
     im = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_size") * 17).alias("height"), (200 + F.col("p_size") * 23).alias("width"))
     return X.ring_radius(im, D.detections(spark, sf_dir).select(F.col("course").alias("image"), (F.col("seq") * 7 % 61).cast("double").alias("radius")))
 
 
-@query("pink_overlap", f"WITH {D.LABEL}, {IMAGE}, {BOXES.replace('bx AS', 'bq AS')}, bx AS (SELECT id, CAST(x0 % 80 AS INT) AS x0, CAST(y0 % 100 AS INT) AS y0 FROM bq), pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25) SELECT id, round(count(r) / 100.0, 6) AS share FROM bx LEFT JOIN pk ON r >= y0 AND r < y0 + 10 AND c >= x0 AND c < x0 + 10 GROUP BY id")
+@query("pink_overlap", f"WITH {D.LABEL}, {IMAGE}, bx AS (SELECT event_id AS id, CAST(event_id * 3 // 2 // 10000 AS INT) AS map_id, CAST(event_id * 37 % 88 AS INT) AS x0, CAST(event_id * 3 // 2 % 10000 AS INT) AS y0, CAST(6 + event_id % 7 AS INT) AS w, CAST(8 + event_id % 5 AS INT) AS h FROM events), pk AS (SELECT map_id, r, c FROM image WHERE red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25) SELECT id, round(count(r) / any_value(w * h), 6) AS share FROM bx LEFT JOIN pk ON pk.map_id = bx.map_id AND r >= y0 AND r < y0 + h AND c >= x0 AND c < x0 + w GROUP BY id")
 def pink_overlap(spark, sf_dir):
-    """Share of a box's pixels that are mask: boxes as pixels, an equi-join."""
-    b = boxes(spark, sf_dir).select("id", (F.col("x0") % 80).cast("int").alias("x0"), (F.col("y0") % 100).cast("int").alias("y0"))
-    ten = F.sequence(F.lit(0), F.lit(9))
-    px = b.select("id", F.explode(ten).alias("a"), "x0", "y0").select("*", F.explode(ten).alias("e")).select("id", (F.col("y0") + F.col("a")).alias("r"), (F.col("x0") + F.col("e")).alias("c"))
-    pk = image(spark, sf_dir).where("map_id = 0").where(R.pink(F.col("red"), F.col("green"), F.col("blue"))).select("r", "c", F.lit(1).alias("on"))
-    return px.join(pk, ["r", "c"], "left").groupBy("id").agg(F.round(F.count("on") / 100.0, 6).alias("share"))
+    """Share of a box's pixels that are mask, a box for each event over all maps: boxes as pixels, an equi-join."""
+    e = F.col("event_id")
+    down = F.floor(e * 3 / 2)
+    b = D.table(spark, sf_dir, "events").select(e.alias("id"), F.floor(down / 10000).cast("int").alias("map_id"), (e * 37 % 88).cast("int").alias("x0"), (down % 10000).cast("int").alias("y0"), (6 + e % 7).cast("int").alias("w"), (8 + e % 5).cast("int").alias("h"))
+    px = b.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("e"))
+    px = px.select("id", "map_id", (F.col("y0") + F.col("a")).alias("r"), (F.col("x0") + F.col("e")).alias("c"))
+    pk = image(spark, sf_dir).where(R.pink(F.col("red"), F.col("green"), F.col("blue"))).select("map_id", "r", "c", F.lit(1).alias("on"))
+    return px.join(pk, ["map_id", "r", "c"], "left").groupBy("id").agg(F.round(F.count("on") / F.count("*"), 6).alias("share"))
+
 
+#: From rings rq (map_id, ring, x, y, radius) and a mask pk (map_id, r, c): qu (ring, rim, fill).
+QUALITY = """an AS (SELECT map_id, ring, k, CAST(round_even(y + round(greatest(radius, 1.0) * s * sin(k * (6.283185307179586 / 48)), 6), 0) AS INT) AS r, CAST(round_even(x + round(greatest(radius, 1.0) * s * cos(k * (6.283185307179586 / 48)), 6), 0) AS INT) AS c FROM rq, (SELECT unnest(range(48)) AS k), (SELECT CAST(unnest([0.85, 1.0, 1.15]) AS DOUBLE) AS s)),
+oq AS (SELECT map_id, ring, k, max(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS one FROM an LEFT JOIN pk USING (map_id, r, c) GROUP BY ALL), rm AS (SELECT map_id, ring, avg(one) AS rim FROM oq GROUP BY ALL),
+hf AS (SELECT *, CAST(greatest(round_even(CAST(0.5 AS DOUBLE) * radius, 0), 1) AS INT) AS h FROM rq), dk AS (SELECT map_id, ring, CAST(trunc(y) AS INT) + a AS r, CAST(trunc(x) AS INT) + b AS c FROM hf, (SELECT unnest(range(-20, 21)) AS a), (SELECT unnest(range(-20, 21)) AS b) WHERE abs(a) <= h AND abs(b) <= h AND (trunc(y) + a - y) ** 2 + (trunc(x) + b - x) ** 2 <= h * h),
+di AS (SELECT dk.* FROM dk JOIN im USING (map_id) WHERE r >= 0 AND c >= 0 AND r < height AND c < width), fl AS (SELECT map_id, ring, avg(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS fill FROM di LEFT JOIN pk USING (map_id, r, c) GROUP BY ALL),
+qu AS (SELECT map_id, ring, rim, coalesce(fill, 1.0) AS fill, rim - coalesce(fill, 1.0) AS hollow FROM rm LEFT JOIN fl USING (map_id, ring))"""
+IM = "im AS (SELECT map_id, max(r) + 1 AS height, max(c) + 1 AS width FROM label GROUP BY map_id)"
 
-@query("ring_quality", f"WITH {D.LABEL}, {IMAGE}, {D.CONTROLS}, pk AS (SELECT r, c FROM image WHERE map_id = 0 AND red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25), an AS (SELECT i AS ring, k, CAST(round_even(y + round(9 * s * sin(k * 6.283185307179586 / 48), 6), 0) AS INT) AS r, CAST(round_even(x + round(9 * s * cos(k * 6.283185307179586 / 48), 6), 0) AS INT) AS c FROM controls, (SELECT unnest(range(48)) AS k), (SELECT CAST(unnest([0.85, 1.0, 1.15]) AS DOUBLE) AS s)), o AS (SELECT ring, k, max(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS one FROM an LEFT JOIN pk USING (r, c) GROUP BY ALL), rm AS (SELECT ring, avg(one) AS rim FROM o GROUP BY ring), dk AS (SELECT i AS ring, CAST(y + a AS INT) AS r, CAST(x + b AS INT) AS c FROM controls, (SELECT unnest(range(-4, 5)) AS a), (SELECT unnest(range(-4, 5)) AS b) WHERE a * a + b * b <= 16), fl AS (SELECT ring, avg(CASE WHEN pk.r IS NULL THEN 0.0 ELSE 1.0 END) AS fill FROM dk LEFT JOIN pk USING (r, c) GROUP BY ring) SELECT ring, round(rim, 6) AS rim, round(fill, 6) AS fill, round(rim - fill, 6) AS hollow FROM rm JOIN fl USING (ring)")
+
+@query("ring_quality", f"WITH {D.LABEL}, {IMAGE}, {IM}, {D.CONTROLS}, pk AS (SELECT map_id, r, c FROM image WHERE red > 90 AND blue > 70 AND green < 0.85 * least(red, blue) AND (red + blue) / 2 - green > 25), rq AS (SELECT map_id, point AS ring, x + point % 3 / 4 AS x, y - 1 + point % 5 / 2 AS y, CAST(5 + point % 13 AS DOUBLE) AS radius FROM controls), {QUALITY} SELECT ring, round(rim, 6) AS rim, round(fill, 6) AS fill, round(hollow, 6) AS hollow FROM qu")
 def ring_quality(spark, sf_dir):
+    """Rings of many sizes around all controls, between pixels and over the edge too."""
     mask = image(spark, sf_dir).where(R.pink(F.col("red"), F.col("green"), F.col("blue"))).select("map_id", "r", "c")
-    rings = D.controls(spark, sf_dir).select(F.lit(0).alias("map_id"), F.col("i").alias("ring"), "x", "y", F.lit(9.0).alias("radius"))
-    q = X.ring_quality(rings, mask)
+    p = F.col("point")
+    rings = D.controls(spark, sf_dir).select("map_id", p.alias("ring"), (F.col("x") + p % 3 / 4).alias("x"), (F.col("y") - 1 + p % 5 / 2).alias("y"), (5 + p % 13).cast("double").alias("radius"))
+    q = X.ring_quality(rings, mask, D.images(spark, sf_dir))
     return q.select("ring", *[F.round(n, 6).alias(n) for n in ("rim", "fill", "hollow")])
 
 
-@query("nms_rings")
+def greedy_sql(order: str, least: float) -> str:
+    """Kept rows of cd (g, x, y, ...) by a pass in ``order``: kp (g, n), n the place in it."""
+    return f"""rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS n FROM cd), gr(g, n, kept) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(x DOUBLE, y DOUBLE, n BIGINT)[]) FROM rk GROUP BY g UNION ALL
+SELECT gr.g, gr.n + 1, CASE WHEN len(list_filter(kept, LAMBDA k: (k.x - c.x) * (k.x - c.x) + (k.y - c.y) * (k.y - c.y) < {least * least})) > 0 THEN kept ELSE list_append(kept, {{'x': c.x, 'y': c.y, 'n': c.n}}) END FROM gr JOIN rk c ON c.g = gr.g AND c.n = gr.n + 1),
+kp AS (SELECT g, unnest(kept).n AS n FROM (SELECT g, arg_max(kept, n) AS kept FROM gr GROUP BY g))"""
+
+
+@query("nms_rings", f"WITH RECURSIVE {D.DETECTIONS}, cd AS (SELECT course AS g, seq, x, y, score FROM det), {greedy_sql('score DESC, seq', 60.0)} SELECT rk.g AS course, seq, x, y, score FROM rk JOIN kp USING (g, n)")
 def nms_rings(spark, sf_dir):
+    _checkpoints(spark)
     return X.suppress(D.detections(spark, sf_dir).select("course", "seq", "x", "y", "score"), 60.0)
 
 
+HOUGH = """mm AS MATERIALIZED (SELECT * FROM mk), fu AS (SELECT map_id, r + a AS r, c + b AS c FROM mm, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(a, b) GROUP BY ALL HAVING count(*) = 4), ed AS MATERIALIZED (SELECT * FROM mm ANTI JOIN fu USING (map_id, r, c)), ox AS MATERIALIZED (SELECT a, b, CAST(floor(sqrt(a * a + b * b) + 0.5) AS INT) AS radius FROM (SELECT CAST(unnest(range(-18, 19)) AS INT) AS a), (SELECT CAST(unnest(range(-18, 19)) AS INT) AS b)),
+vt AS (SELECT map_id, r + a AS r, c + b AS c, radius, count(*) AS votes FROM ed, ox WHERE radius BETWEEN 11 AND 18 GROUP BY ALL), vi AS MATERIALIZED (SELECT vt.* FROM vt JOIN im USING (map_id) WHERE r >= 0 AND c >= 0 AND r < height AND c < width AND votes >= 8),
+tl AS (SELECT map_id, r + i AS r, c + j AS c, radius + k AS radius, max({'v': votes, 'r': -r, 'c': -c, 'd': -radius}) AS w FROM vi, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k) GROUP BY ALL),
+hc AS MATERIALIZED (SELECT map_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(radius AS INT) AS radius, w.v AS votes FROM tl WHERE w.r = -r AND w.c = -c AND w.d = -radius)"""
+
+
+@query("hough_circles", f"WITH {D.LABEL}, {D.RING_MASK}, {HOUGH} SELECT map_id, r, c, radius, votes FROM hc")
+def hough_circles(spark, sf_dir):
+    """Where edges of the drawn rings, lines and specks of all maps vote for a circle."""
+    h = X.hough_circles(D.ring_mask(spark, sf_dir), D.images(spark, sf_dir))
+    return h.select("map_id", "ring.r", "ring.c", "ring.radius", "votes")
+
+
+@query("control_rings", f"WITH RECURSIVE {D.LABEL}, {D.RING_MASK}, {HOUGH}, pk AS (SELECT * FROM mk), rq AS (SELECT map_id, {{'r': r, 'c': c, 'd': radius}} AS ring, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, CAST(radius AS DOUBLE) AS radius FROM hc), {QUALITY}, cd AS (SELECT map_id AS g, x, y, radius, rim, fill, hollow, round(hollow * rim, 9) AS score FROM rq JOIN qu USING (map_id, ring) WHERE rim >= 0.45 AND fill <= 0.35 AND hollow >= 0.40), {greedy_sql('score DESC, y, x, radius', 16.0)} SELECT rk.g AS map_id, x, y, radius, round(rim, 6) AS rim, round(fill, 6) AS fill, round(score, 6) AS score FROM rk JOIN kp USING (g, n)")
+def control_rings(spark, sf_dir):
+    """The rings of all maps: votes, quality, suppression."""
+    _checkpoints(spark)
+    got = X.control_rings(D.ring_mask(spark, sf_dir), D.images(spark, sf_dir))
+    return got.select("map_id", "x", "y", "radius", *[F.round(n, 6).alias(n) for n in ("rim", "fill", "score")])
+
+
 @query("merge_hits")
 def merge_hits(spark, sf_dir):
     b = boxes(spark, sf_dir)
@@ -133,7 +176,7 @@ def ring_near_digit(spark, sf_dir):
     return X.ring_near_digit(digits, rings(spark, sf_dir), 60.0)
 
 
-@query("ring_arbitration", f"WITH {D.DETECTIONS}, {RINGS}, b AS (SELECT course AS image, seq AS ring, CAST(10 + seq * 7 % 50 AS INT) AS bn, seq * 13 % 101 / 100 AS bc FROM det WHERE seq % 3 <> 0), a AS (SELECT course AS image, seq AS ring, CAST(10 + seq * CASE WHEN seq % 4 = 1 THEN 7 ELSE 11 END % 50 AS INT) AS an, seq * 29 % 101 / 100 AS ac FROM det WHERE seq % 5 <> 0), j AS (SELECT rg.*, bn, bc, an, ac, CASE WHEN bn IS NULL THEN false WHEN an IS NULL THEN true WHEN bn = an THEN bc >= ac WHEN bc >= 0.9 THEN true WHEN ac >= 0.95 AND ac >= bc + 0.15 THEN false ELSE bc >= ac END AS first FROM rg LEFT JOIN b USING (image, ring) LEFT JOIN a USING (image, ring) WHERE bn IS NOT NULL OR an IS NOT NULL), h AS (SELECT image, ring, x, y, radius, hollow, CASE WHEN first THEN bn ELSE an END AS number, CASE WHEN first THEN bc ELSE ac END AS conf FROM j) SELECT image, ring, number, x, y, round(conf * (0.55 + 0.45 * least(hollow, 1.0)), 6) AS score FROM h WHERE NOT ((hollow < 0.55 AND conf < 0.9) OR (radius > 17.5 AND hollow < 0.7) OR conf * (0.55 + 0.45 * least(hollow, 1.0)) < 0.45)")
+@query("ring_arbitration", f"WITH {D.DETECTIONS}, {RINGS}, b AS (SELECT course AS image, seq AS ring, CAST(10 + seq * 7 % 50 AS INT) AS bn, seq * 13 % 101 / 100 AS bc FROM det WHERE seq % 3 <> 0), a AS (SELECT course AS image, seq AS ring, CAST(10 + seq * CASE WHEN seq % 4 = 1 THEN 7 ELSE 11 END % 50 AS INT) AS an, seq * 29 % 101 / 100 AS ac FROM det WHERE seq % 5 <> 0), j AS (SELECT rg.*, bn, bc, an, ac, CASE WHEN bn IS NULL THEN false WHEN an IS NULL OR bc >= 0.9 THEN true WHEN bn = an THEN bc >= ac WHEN ac >= 0.95 AND ac >= bc + 0.15 THEN false ELSE bc >= ac END AS first FROM rg LEFT JOIN b USING (image, ring) LEFT JOIN a USING (image, ring) WHERE bn IS NOT NULL OR an IS NOT NULL), h AS (SELECT image, ring, x, y, radius, hollow, CASE WHEN first THEN bn ELSE an END AS number, CASE WHEN first THEN bc ELSE ac END AS conf FROM j) SELECT image, ring, number, x, y, round(conf * (0.55 + 0.45 * least(hollow, 1.0)), 6) AS score FROM h WHERE NOT ((hollow < 0.55 AND conf < 0.9) OR (radius > 17.5 AND hollow < 0.7) OR conf * (0.55 + 0.45 * least(hollow, 1.0)) < 0.45)")
 def ring_arbitration(spark, sf_dir):
     return _arbitrated(spark, sf_dir).withColumn("score", F.round("score", 6))
 
@@ -151,20 +194,21 @@ def placed_controls(spark, sf_dir):
     return X.placed_controls(_arbitrated(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-TILES = "tl AS (SELECT course AS image, CAST(seq % 6 AS INT) AS tile, seq, CAST(10 + seq * 3 % 60 AS INT) AS number, 300 * (seq % 6 % 3) + x / 1000 * 400 AS px, 300 * floor(seq % 6 / 3) + y / 700 * 400 AS py, score FROM det WHERE seq % 2 = 0 AND score >= 0.35)"
+TILES = "tl AS (SELECT course AS image, CAST(seq % 6 AS INT) AS tile, seq, CAST(10 + seq * 3 % 60 AS INT) AS number, 300 * (seq % 6 % 3) + x / 1000 * 400 AS px, 300 * floor(seq % 6 / 3) + y / 700 * 400 AS py, score FROM det WHERE seq % 2 = 0 AND score >= 0.35 AND NOT (seq % 6 = 5 AND course % 4 = 0))"
 
 
 @query("vlm_merge", f"WITH {D.DETECTIONS}, {RINGS}, {TILES}, j AS (SELECT t.image, tile, t.seq, t.number, score, px, py, ring, x, y, hollow, round(2 * hollow - 0.35 * sqrt((x - px) ** 2 + (y - py) ** 2) / 36.0 - 0.35 * abs(radius - 15) / 15.0, 9) AS worth FROM tl t JOIN rg USING (image) WHERE radius BETWEEN 10 AND 20 AND sqrt((x - px) ** 2 + (y - py) ** 2) <= 33.0), b AS (SELECT image, tile, seq, x, y, hollow FROM (SELECT *, row_number() OVER (PARTITION BY image, tile, seq ORDER BY worth DESC, ring) AS n FROM j) WHERE n = 1), s AS (SELECT image, tile, seq, number, coalesce(b.x, px) AS x, coalesce(b.y, py) AS y, CASE WHEN b.x IS NULL THEN score ELSE score * (0.55 + 0.45 * least(hollow, 1.0)) END AS score, CASE WHEN b.x IS NULL THEN 'vlm' ELSE 'circle' END AS source FROM tl LEFT JOIN b USING (image, tile, seq)) SELECT image, number, round(x, 6) AS x, round(y, 6) AS y, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY image, number ORDER BY score DESC, tile, seq) AS n FROM s) WHERE n = 1".replace("/ 36.0", "/ 33.0"))
 def vlm_merge(spark, sf_dir):
-    """Even events as hits in six tiles an image."""
+    """Even events as hits in six tiles an image, the last too narrow in every fourth."""
     s, t = F.col("seq"), (F.col("seq") % 6).cast("int")
-    hits = D.detections(spark, sf_dir).where("seq % 2 = 0").select(F.col("course").alias("image"), t.alias("tile"), (300 * (t % 3)).alias("x0"), (300 * F.floor(t / 3)).alias("y0"), F.lit(400).alias("width"), F.lit(400).alias("height"), "seq", (10 + s * 3 % 60).cast("int").alias("number"), (F.col("x") / 1000).alias("x"), (F.col("y") / 700).alias("y"), "score")
+    hits = D.detections(spark, sf_dir).where("seq % 2 = 0").select(F.col("course").alias("image"), t.alias("tile"), (300 * (t % 3)).alias("x0"), (300 * F.floor(t / 3)).alias("y0"), F.when((t == 5) & (F.col("course") % 4 == 0), 31).otherwise(400).alias("width"), F.lit(400).alias("height"), "seq", (10 + s * 3 % 60).cast("int").alias("number"), (F.col("x") / 1000).alias("x"), (F.col("y") / 700).alias("y"), "score")
     r = rings(spark, sf_dir).withColumnRenamed("x", "rx").withColumnRenamed("y", "ry")
     return X.merged_tiles(hits, r, 15.0).select("image", "number", *[F.round(n, 6).alias(n) for n in ("x", "y", "score")], "source")
 
 
-@query("glyph_clusters")
+@query("glyph_clusters", f"WITH RECURSIVE {BOXES}, gb AS (SELECT *, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS cx, greatest(y1 - y0, 1.0) AS h FROM bx), go AS (SELECT *, row_number() OVER (ORDER BY course, cy, cx, id) AS n FROM gb), gp AS MATERIALIZED (SELECT a.n, b.n AS other FROM go a JOIN go b ON a.course = b.course AND abs(a.cy - b.cy) <= 0.45 * (a.h + b.h) / 2 AND greatest(0, b.x0 - a.x1, a.x0 - b.x1) <= 0.55 * (a.h + b.h) / 2), gl(n, least) USING KEY (n) AS (SELECT n, n FROM go UNION SELECT w.n, w.least FROM (SELECT gp.n, min(gl.least) AS least FROM gl JOIN gp ON gp.other = gl.n GROUP BY gp.n) w JOIN recurring.gl k ON k.n = w.n WHERE w.least < k.least) SELECT g.course AS image, f.id AS cluster, count(*) AS n, min(g.x0) AS x0, min(g.y0) AS y0, max(g.x1) AS x1, max(g.y1) AS y1 FROM gl JOIN go g ON g.n = gl.n JOIN go f ON f.n = gl.least GROUP BY ALL")
 def glyph_clusters(spark, sf_dir):
+    _checkpoints(spark)
     b = boxes(spark, sf_dir)
     return X.clustered_glyphs(b.select(F.col("course").alias("image"), "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
 
@@ -191,24 +235,29 @@ def vlm_json_parse(spark, sf_dir):
     return X.parse_replies(D.table(spark, sf_dir, "events").select("event_id", fenced.alias("reply"))).withColumn("x", F.round("x", 6))
 
 
-@query("detector_compare", f"WITH {D.DETECTIONS}, a AS (SELECT number, min(x) AS x, min(y) AS y FROM det WHERE course = 1 GROUP BY number), b AS (SELECT number, min(x) AS x, min(y) AS y FROM det WHERE course = 2 GROUP BY number), c AS (SELECT number, min(x) AS x, min(y) AS y FROM det WHERE course = 3 GROUP BY number) SELECT number, a.x IS NOT NULL AS in_a, b.x IS NOT NULL AS in_b, c.x IS NOT NULL AS in_c, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d_ab, round(sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2), 6) AS d_ac, round(sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2), 6) AS d_bc FROM a FULL JOIN b USING (number) FULL JOIN c USING (number)")
+THREE = "dt AS (SELECT course // 3 AS image, course % 3 AS who, number, min(x) AS x, min(y) AS y FROM det GROUP BY ALL)"
+
+
+@query("detector_compare", f"WITH {D.DETECTIONS}, {THREE}, a AS (SELECT * FROM dt WHERE who = 0), b AS (SELECT * FROM dt WHERE who = 1), c AS (SELECT * FROM dt WHERE who = 2) SELECT image, number, a.x IS NOT NULL AS in_a, b.x IS NOT NULL AS in_b, c.x IS NOT NULL AS in_c, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d_ab, round(sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2), 6) AS d_ac, round(sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2), 6) AS d_bc FROM a FULL JOIN b USING (image, number) FULL JOIN c USING (image, number)")
 def detector_compare(spark, sf_dir):
-    d = D.detections(spark, sf_dir)
-    return X.compared(*[d.where(F.col("course") == k).groupBy("number").agg(F.min("x").alias("x"), F.min("y").alias("y")) for k in (1, 2, 3)])
+    """All courses, each three as three detectors' findings on one image."""
+    d = D.detections(spark, sf_dir).withColumn("image", F.floor(F.col("course") / 3))
+    return X.compared(*[d.where(F.col("course") % 3 == k).groupBy("image", "number").agg(F.min("x").alias("x"), F.min("y").alias("y")) for k in range(3)])
 
 
-@query("unused_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS}, cs AS (SELECT DISTINCT course FROM det) SELECT course, i, number FROM cs, controls c WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.course = cs.course AND d.number = c.number)")
+@query("unused_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS} SELECT course, i, number FROM controls c WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.course = c.course % 50 AND d.number = c.number)")
 def unused_controls(spark, sf_dir):
-    """The controls that each course doesn't use."""
-    d = D.detections(spark, sf_dir).select("course", "number")
-    all_ = D.controls(spark, sf_dir).agg(F.collect_list(F.struct("i", "number")).alias("c"))  # one course's controls
-    each = d.select("course").distinct().withColumn("k", F.lit(1)).join(all_.withColumn("k", F.lit(1)), "k").select("course", F.explode("c").alias("c")).select("course", "c.i", "c.number")
-    return each.join(d, ["course", "number"], "left_anti").select("course", "i", "number")
+    """Each course's controls that its image doesn't show."""
+    seen = D.detections(spark, sf_dir).select(F.col("course").alias("image"), "number").distinct()
+    c = D.controls(spark, sf_dir).select("course", "i", "number", (F.col("course") % 50).cast("long").alias("image"))
+    return c.join(seen, ["image", "number"], "left_anti").select("course", "i", "number")
 
 
-@query("selected_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS} SELECT i, number FROM controls WHERE number IN (SELECT number FROM det WHERE course < 25)")
+@query("selected_controls", f"WITH {D.CONTROLS}, {D.DETECTIONS} SELECT course, i, number FROM controls c WHERE EXISTS (SELECT 1 FROM det d WHERE d.course = c.course % 50 AND d.number = c.number)")
 def selected_controls(spark, sf_dir):
-    return D.controls(spark, sf_dir).join(D.detections(spark, sf_dir).where("course < 25").select("number"), "number", "left_semi").select("i", "number")
+    seen = D.detections(spark, sf_dir).select(F.col("course").alias("image"), "number").distinct()
+    c = D.controls(spark, sf_dir).select("course", "i", "number", (F.col("course") % 50).cast("long").alias("image"))
+    return c.join(seen, ["image", "number"], "left_semi").select("course", "i", "number")
 
 
 @query("parse_digits", "SELECT p_partkey, CASE WHEN regexp_full_match(trim(split_part(p_brand, '#', 2)), '\\d{1,3}') AND CAST(trim(split_part(p_brand, '#', 2)) AS INT) <= 199 THEN CAST(trim(split_part(p_brand, '#', 2)) AS INT) END AS number FROM part")
@@ -309,6 +358,6 @@ def sampler_draws(spark, sf_dir):
     return B.drawn(w, "lang", "doc_id", F.col("draw") * 618033989)
 
 
-@query("plan_json", f"WITH {D.CONTROLS} SELECT i, '{{\"number\":' || number || ',\"x\":' || printf('%.1f', x) || ',\"y\":' || printf('%.1f', y) || '}}' AS json FROM controls")
+@query("plan_json", f"WITH {D.CONTROLS} SELECT course, i, '{{\"number\":' || number || ',\"x\":' || printf('%.1f', x) || ',\"y\":' || printf('%.1f', y) || '}}' AS json FROM controls")
 def plan_json(spark, sf_dir):
-    return D.controls(spark, sf_dir).select("i", F.to_json(F.struct("number", "x", "y")).alias("json"))
+    return D.controls(spark, sf_dir).select("course", "i", F.to_json(F.struct("number", "x", "y")).alias("json"))

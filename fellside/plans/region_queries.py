@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import regions as G
 from ..sources import derived as D
 from .detect_queries import BOXES, boxes
+from .registry import checkpoints as _checkpoints
 from .registry import query
-from .route_queries import ROUTES, STEP, _checkpoints, cells, dijkstra_times, steps, times_sql
+from .route_queries import STEP, cells, starts, steps, times_sql
 
-MASK = f"{D.LABEL}, mk AS (SELECT map_id, r, c, CAST(r AS BIGINT) * 1048576 + c AS id FROM label WHERE class_id IN (6, 10))"
+MASK = f"{D.LABEL}, mk AS (SELECT map_id, r, c, CAST(r AS BIGINT) * 2147483648 + c AS id FROM label WHERE class_id IN (6, 10))"
 REGION = """mv(a, b) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), sh AS (SELECT id AS other, map_id, r + a AS r, c + b AS c FROM mk, mv), nb AS (SELECT mk.id, sh.other FROM mk JOIN sh USING (map_id, r, c)),
 rg(id, region) USING KEY (id) AS (SELECT id, id FROM mk UNION SELECT w.id, w.region FROM (SELECT nb.id, min(rg.region) AS region FROM rg JOIN nb ON nb.other = rg.id GROUP BY nb.id) w JOIN recurring.rg k ON k.id = w.id WHERE w.region < k.region)"""
-HOLES = """px AS (SELECT region, r, c FROM rg JOIN mk USING (id)), di(a, b) AS (SELECT x, y FROM (SELECT unnest(range(-2, 3)) AS x), (SELECT unnest(range(-2, 3)) AS y) WHERE abs(x) + abs(y) <= 2), gw AS (SELECT DISTINCT region, r + a AS r, c + b AS c FROM px, di),
-cl AS (SELECT region, r + a AS r, c + b AS c FROM gw, di GROUP BY ALL HAVING count(*) = 13), sq AS (SELECT region, r - i AS qr, c - j AS qc, sum(1 << (2 * i + j)) AS bits FROM cl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL),
+HOLES = """px AS MATERIALIZED (SELECT region, r, c FROM rg JOIN mk USING (id)), di(a, b) AS (SELECT x, y FROM (SELECT unnest(range(-2, 3)) AS x), (SELECT unnest(range(-2, 3)) AS y) WHERE abs(x) + abs(y) <= 2), gw AS (SELECT DISTINCT region, r + a AS r, c + b AS c FROM px, di),
+cl AS MATERIALIZED (SELECT region, r + a AS r, c + b AS c FROM gw, di GROUP BY ALL HAVING count(*) = 13), sq AS (SELECT region, r - i AS qr, c - j AS qc, sum(1 << (2 * i + j)) AS bits FROM cl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL),
 ho AS (SELECT region, CAST(1 - sum(CASE WHEN bits IN (1, 2, 4, 8) THEN 1 WHEN bits IN (7, 11, 13, 14) THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4 AS INT) AS holes FROM sq GROUP BY region)"""
 
 
@@ -29,17 +30,45 @@ def connected_regions(spark, sf_dir):
     return G.label_regions(mask(spark, sf_dir)).select("r", "c", "region")
 
 
-@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, {HOLES}, s AS (SELECT region, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1, avg(c) AS cx, avg(r) AS cy FROM px GROUP BY region HAVING count(*) >= 8), im AS (SELECT (max(r) + 1) * (max(c) + 1) AS size FROM label), k AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM s JOIN ho USING (region)), a AS (SELECT *, area / (w * h) AS fill, greatest(w, h) / least(w, h) AS aspect, least(w, h) AS lo, greatest(w, h) AS hi FROM k) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fill, 6) AS fill, lo / 2 AS radius, holes, CASE WHEN (aspect >= 4 AND fill < 0.35 AND area < 0.02 * size) OR (aspect >= 3 AND lo <= 6 AND hi >= 40) THEN 'line' WHEN abs(w - h) <= 0.4 * hi AND lo >= 26 AND area >= 220 AND holes > 0 THEN 'circle' WHEN area BETWEEN 12 AND 8000 AND aspect <= 3.5 AND fill >= 0.15 AND hi <= 120 THEN 'digit' ELSE 'noise' END AS kind FROM a, im")
+#: The outer border of each closed region, a side at a time from its first pixel's top, with 8-connected pixels: bd (region, straight, slant, a2).
+BORDER = """sd(s, dr, dc, br, bc) AS (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)), ck AS (SELECT region, r, c, s, dr, dc, br, bc FROM cl, sd WHERE NOT EXISTS (SELECT 1 FROM cl o WHERE o.region = cl.region AND o.r = cl.r + br AND o.c = cl.c + bc)),
+nx AS MATERIALIZED (SELECT ck.region, ck.r, ck.c, s, CASE WHEN g.r IS NOT NULL THEN g.r WHEN f.r IS NOT NULL THEN f.r ELSE ck.r END AS nr, CASE WHEN g.r IS NOT NULL THEN g.c WHEN f.r IS NOT NULL THEN f.c ELSE ck.c END AS nc, CASE WHEN g.r IS NOT NULL THEN (s + 3) % 4 WHEN f.r IS NOT NULL THEN s ELSE (s + 1) % 4 END AS ns FROM ck
+  LEFT JOIN cl g ON g.region = ck.region AND g.r = ck.r + dr + br AND g.c = ck.c + dc + bc LEFT JOIN cl f ON f.region = ck.region AND f.r = ck.r + dr AND f.c = ck.c + dc),
+f0 AS (SELECT region, arg_min({'r': r, 'c': c}, {'r': r, 'c': c}) AS p FROM cl GROUP BY region), wk(region, r, c, s) AS (SELECT region, p.r, p.c, 0 FROM f0 UNION SELECT nx.region, nr, nc, ns FROM wk JOIN nx USING (region, r, c, s)),
+bd AS (SELECT region, count(*) FILTER ((r <> nr) <> (c <> nc)) AS straight, count(*) FILTER (r <> nr AND c <> nc) AS slant, sum(c * nr - nc * r) AS a2 FROM wk JOIN nx USING (region, r, c, s) GROUP BY region)"""
+
+
+@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, {HOLES}, {BORDER}, s AS (SELECT region, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1, avg(c) AS cx, avg(r) AS cy FROM px GROUP BY region HAVING count(*) >= 8), im AS (SELECT (max(r) + 1) * (max(c) + 1) AS size FROM label), k AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, straight + slant * sqrt(CAST(2 AS DOUBLE)) AS perimeter FROM s JOIN ho USING (region) JOIN bd USING (region)), a AS (SELECT *, area / (w * h) AS fill, greatest(w, h) / least(w, h) AS aspect, least(w, h) AS lo, greatest(w, h) AS hi, CASE WHEN perimeter > 1e-3 THEN 4 * pi() * area / (perimeter * perimeter) ELSE 0.0 END AS roundness FROM k) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fill, 6) AS fill, lo / 2 AS radius, holes, round(perimeter, 6) AS perimeter, round(roundness, 6) AS roundness, CASE WHEN (aspect >= 4 AND fill < 0.35 AND area < 0.02 * size) OR (aspect >= 3 AND lo <= 6 AND hi >= 40) THEN 'line' WHEN abs(w - h) <= 0.4 * hi AND lo >= 26 AND area >= 220 AND (holes > 0 OR (fill BETWEEN 0.15 AND 0.65 AND roundness > 0.35) OR (fill BETWEEN 0.2 AND 0.55 AND roundness > 0.55)) THEN 'circle' WHEN area BETWEEN 12 AND 8000 AND aspect <= 3.5 AND fill >= 0.15 AND hi <= 120 THEN 'digit' ELSE 'noise' END AS kind FROM a, im")
 def region_stats(spark, sf_dir):
     _checkpoints(spark)
-    images = D.label(spark, sf_dir).groupBy("map_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
-    s = G.region_stats(G.label_regions(mask(spark, sf_dir)), images)
-    return s.select("region", "area", "x0", "x1", "y0", "y1", *[F.round(n, 6).alias(n) for n in ("cx", "cy", "fill")], "radius", "holes", "kind")
+    s = G.region_stats(G.label_regions(mask(spark, sf_dir)), D.images(spark, sf_dir))
+    return s.select("region", "area", "x0", "x1", "y0", "y1", *[F.round(n, 6).alias(n) for n in ("cx", "cy", "fill")], "radius", "holes", *[F.round(n, 6).alias(n) for n in ("perimeter", "roundness")], "kind")
+
+
+@query("contours", f"WITH RECURSIVE {MASK}, {REGION}, cl AS MATERIALIZED (SELECT region, r, c FROM rg JOIN mk USING (id)), {BORDER} SELECT region, straight + slant AS points, round(straight + slant * sqrt(CAST(2 AS DOUBLE)), 6) AS perimeter, CAST(abs(a2) / 2 AS DOUBLE) AS area FROM bd")
+def contours(spark, sf_dir):
+    """The outer border of every region."""
+    _checkpoints(spark)
+    return G.contours(G.label_regions(mask(spark, sf_dir))).where("outer").select("region", "points", F.round("perimeter", 6).alias("perimeter"), F.col("area").cast("double").alias("area"))
+
+
+@query("start_triangles")
+def start_triangles(spark, sf_dir):
+    """Even triangles among the drawn ones and specks of all maps, where no control is near."""
+    _checkpoints(spark)
+    t = G.start_triangles(D.start_mask(spark, sf_dir), D.images(spark, sf_dir), D.controls(spark, sf_dir).where("i = 1"), 24.0, 9.0)
+    return t.select("map_id", *[F.round(n, 6).alias(n) for n in ("x", "y", "side", "score")])
+
+
+@query("best_start")
+def best_start(spark, sf_dir):
+    _checkpoints(spark)
+    return G.best_start(G.start_triangles(D.start_mask(spark, sf_dir), D.images(spark, sf_dir), size=24.0)).select("map_id", *[F.round(n, 6).alias(n) for n in ("x", "y", "side", "score")])
 
 
-@query("annulus_centre", f"WITH {D.LABEL}, {D.CONTROLS}, m AS (SELECT r, c FROM label WHERE map_id = 0 AND class_id IN (8, 13)) SELECT i AS ring, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy, count(*) AS n FROM controls JOIN m ON 100 * ((c - CAST(x AS INT)) * (c - CAST(x AS INT)) + (r - CAST(y AS INT)) * (r - CAST(y AS INT))) BETWEEN 49 * 81 AND 169 * 81 GROUP BY i HAVING count(*) >= 12")
+@query("annulus_centre", f"WITH {D.LABEL}, {D.CONTROLS}, m AS (SELECT map_id, r, c FROM label WHERE class_id IN (8, 13)) SELECT point AS ring, round(avg(c), 6) AS cx, round(avg(r), 6) AS cy, count(*) AS n FROM controls JOIN m ON m.map_id = controls.map_id AND 100 * ((c - CAST(x AS INT)) * (c - CAST(x AS INT)) + (r - CAST(y AS INT)) * (r - CAST(y AS INT))) BETWEEN 49 * 81 AND 169 * 81 GROUP BY point HAVING count(*) >= 12")
 def annulus_centre(spark, sf_dir):
-    rings = D.controls(spark, sf_dir).select(F.lit(0).alias("map_id"), F.col("i").alias("ring"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.lit(9).alias("radius"))
+    rings = D.controls(spark, sf_dir).select("map_id", F.col("point").alias("ring"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.lit(9).alias("radius"))
     m = D.label(spark, sf_dir).where("class_id IN (8, 13)")
     return G.annulus_centres(rings, m).select("ring", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n")
 
@@ -62,33 +91,31 @@ def path_steps(spark, sf_dir):
     return j.select("route", "seq", F.round((F.col("time_s") + F.col("t0")) / 2 * f, 6).alias("step_s"), F.round(f * 4.0, 6).alias("step_m"))
 
 
-@query("wave_normalise", times_sql("SELECT i, cr, cc, round((row_number() OVER (PARTITION BY i ORDER BY round(t, 9), cc, cr) - 1) / greatest(count(*) OVER (PARTITION BY i) - 1, 1), 6) AS wave FROM tm"))
+@query("wave_normalise", times_sql("SELECT s AS course, cr, cc, round((row_number() OVER (PARTITION BY s ORDER BY round(t, 9), cc, cr) - 1) / greatest(count(*) OVER (PARTITION BY s) - 1, 1), 6) AS wave FROM tm"))
 def wave_normalise(spark, sf_dir):
     w = Window.partitionBy("i")
-    return dijkstra_times9(spark, sf_dir).select("i", "cr", "cc", F.round((F.row_number().over(w.orderBy("t", "cc", "cr")) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)), 6).alias("wave"))
+    return dijkstra_times9(spark, sf_dir).select(F.col("i").alias("course"), "cr", "cc", F.round((F.row_number().over(w.orderBy("t", "cc", "cr")) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)), 6).alias("wave"))
 
 
 def dijkstra_times9(spark, sf_dir):
     from ..operators import graph
-    from .route_queries import snapped
 
     cs = cells(spark, sf_dir)
-    return graph.times_from(cs, snapped(spark, sf_dir, cs)).select("i", "cr", "cc", F.round("time_s", 9).alias("t"))
+    return graph.times_from(cs, starts(spark, sf_dir, cs)).select("i", "cr", "cc", F.round("time_s", 9).alias("t"))
 
 
-@query("backtrack", times_sql(""", pr AS (SELECT m.i, m.cr, m.cc, arg_min(struct_pack(r := e.cr, c := e.cc), {'d': round(p.t + e.w, 9), 'r': e.cr, 'c': e.cc}) AS up FROM tm m JOIN ed e ON e.nr = m.cr AND e.nc = m.cc JOIN tm p ON p.i = m.i AND p.cr = e.cr AND p.cc = e.cc WHERE m.t > 0 GROUP BY ALL) SELECT i, cr, cc, up.r AS pr, up.c AS pc FROM pr""".replace(", pr AS", "SELECT * FROM (WITH pr AS") + ")"))
+@query("backtrack", times_sql(""", pr AS (SELECT m.s, m.cr, m.cc, arg_min(struct_pack(r := e.cr, c := e.cc), {'d': round(p.t + e.w, 9), 'r': e.cr, 'c': e.cc}) AS up FROM tm m JOIN ed e ON e.map_id = m.map_id AND e.nr = m.cr AND e.nc = m.cc JOIN tm p ON p.map_id = m.map_id AND p.s = m.s AND p.cr = e.cr AND p.cc = e.cc WHERE m.t > 0 GROUP BY ALL) SELECT s AS course, cr, cc, up.r AS pr, up.c AS pc FROM pr""".replace(", pr AS", "SELECT * FROM (WITH pr AS") + ")"))
 def backtrack(spark, sf_dir):
     """Each cell's canonical parent: the neighbour through which it is reached soonest, the smaller row and column of equals."""
     from ..operators import graph
-    from .route_queries import snapped
 
     cs = cells(spark, sf_dir)
-    t = graph.times_from(cs, snapped(spark, sf_dir, cs)).select("map_id", "i", "cr", "cc", "time_s")
+    t = graph.times_from(cs, starts(spark, sf_dir, cs)).select("map_id", "i", "cr", "cc", "time_s")
     e = graph.edges(cs)
     up = t.select("map_id", "i", F.col("cr"), F.col("cc"), F.col("time_s").alias("from_s")).join(e, ["map_id", "cr", "cc"])
     best = up.groupBy("map_id", "i", "nr", "nc").agg(F.min(F.struct(F.round(F.col("from_s") + F.col("w"), 9).alias("d"), "cr", "cc")).alias("b"))
     goal = t.where("time_s > 0").select("map_id", "i", F.col("cr").alias("nr"), F.col("cc").alias("nc"))
-    return best.join(goal, ["map_id", "i", "nr", "nc"], "left_semi").select("i", F.col("nr").alias("cr"), F.col("nc").alias("cc"), F.col("b.cr").alias("pr"), F.col("b.cc").alias("pc"))
+    return best.join(goal, ["map_id", "i", "nr", "nc"], "left_semi").select(F.col("i").alias("course"), F.col("nr").alias("cr"), F.col("nc").alias("cc"), F.col("b.cr").alias("pr"), F.col("b.cc").alias("pc"))
 
 
 @query("detection_union", f"WITH {D.DETECTIONS} SELECT DISTINCT CAST(floor(course / 2) AS BIGINT) AS pair, number FROM det")

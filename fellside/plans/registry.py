@@ -16,3 +16,14 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+def checkpoints(spark) -> None:
+    """A folder of our own for checkpoints only where none is set and the master is local (tests)."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fellside-checkpoints-"))

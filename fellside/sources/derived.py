@@ -70,10 +70,70 @@ def detections(spark, sf_dir: str) -> DataFrame:
 DETECTIONS = """det AS (SELECT user_id % 50 AS course, event_id AS seq, CAST(10 + event_id % 190 AS INT) AS number, CAST(event_id * 37 % 1000 AS DOUBLE) AS x, CAST(event_id * 91 % 700 AS DOUBLE) AS y, (event_id * 17 % 100) / 100 AS score FROM events)"""
 
 
-def controls(spark, sf_dir: str, n: int = 7) -> DataFrame:
-    """i (1..n), number, x, y: control points of one course, in pixels."""
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").where(k < n).select((k + 1).cast("int").alias("i"), (31 + 7 * k).cast("int").alias("number"), (k * 13 % 29 * 3 + 2).cast("double").alias("x"), (k * 5 % 7 * 2 + 1).cast("double").alias("y"))
+COURSE = 7
+#: Courses of ten rows each that a map has room for.
+COURSES_A_MAP = MAP_PIXELS // WIDTH // 10 - 1
 
 
-CONTROLS = "controls AS (SELECT CAST(s_suppkey + 1 AS INT) AS i, CAST(31 + 7 * s_suppkey AS INT) AS number, CAST(s_suppkey * 13 % 29 * 3 + 2 AS DOUBLE) AS x, CAST(s_suppkey * 5 % 7 * 2 + 1 AS DOUBLE) AS y FROM supplier WHERE s_suppkey < 7)"
+def controls(spark, sf_dir: str) -> DataFrame:
+    """course, map_id, i (1..7 in a course), point (no two alike), number, x, y: control points in pixels, one for each supplier, a course for every seven."""
+    k, course = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / COURSE)
+    return table(spark, sf_dir, "supplier").select(
+        course.cast("int").alias("course"), F.floor(course / COURSES_A_MAP).cast("int").alias("map_id"), (k % COURSE + 1).cast("int").alias("i"), (course * 8 + k % COURSE + 1).cast("int").alias("point"), (31 + 7 * (k % 24)).cast("int").alias("number"),
+        (k * 13 % 29 * 3 + 2).cast("double").alias("x"), (course % COURSES_A_MAP * 10 + k * 5 % 7 * 2 + 1).cast("double").alias("y"))
+
+
+CONTROLS = f"""controls AS (SELECT CAST(k // {COURSE} AS INT) AS course, CAST(k // {COURSE} // {COURSES_A_MAP} AS INT) AS map_id, CAST(k % {COURSE} + 1 AS INT) AS i, CAST(k // {COURSE} * 8 + k % {COURSE} + 1 AS INT) AS point, CAST(31 + 7 * (k % 24) AS INT) AS number,
+  CAST(k * 13 % 29 * 3 + 2 AS DOUBLE) AS x, CAST(k // {COURSE} % {COURSES_A_MAP} * 10 + k * 5 % 7 * 2 + 1 AS DOUBLE) AS y FROM (SELECT s_suppkey AS k FROM supplier))"""
+
+STRIDE = 12
+CELL_ROWS = MAP_PIXELS // WIDTH // 4
+
+
+def walks(spark, sf_dir: str) -> DataFrame:
+    """route, map_id, seq (0..11), cr, cc: a walk of twelve cells for each customer, on a diagonal, along a row, or down and then along a row; forty start in each row of cells."""
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(STRIDE - 1))).alias("seq"))
+    k, s, kind, row = F.col("k"), F.col("seq"), F.col("k") % 3, F.floor(F.col("k") / 40)
+    down, along = F.when(kind == 0, s).when(kind == 1, 0).otherwise(F.least(s, F.lit(6))), F.when(kind < 2, s).otherwise(F.greatest(s - 6, F.lit(0)))
+    return n.select(k.cast("int").alias("route"), F.floor(row / CELL_ROWS).cast("int").alias("map_id"), s.cast("int").alias("seq"), (row % CELL_ROWS + down).cast("int").alias("cr"), (k % 13 + along).cast("int").alias("cc"))
+
+
+WALKS = f"""steps AS (SELECT CAST(k AS INT) AS route, CAST(k // 40 // {CELL_ROWS} AS INT) AS map_id, CAST(seq AS INT) AS seq, CAST(k // 40 % {CELL_ROWS} + CASE k % 3 WHEN 0 THEN seq WHEN 1 THEN 0 ELSE least(seq, 6) END AS INT) AS cr,
+  CAST(k % 13 + CASE WHEN k % 3 < 2 THEN seq ELSE greatest(seq - 6, 0) END AS INT) AS cc FROM (SELECT c_custkey AS k FROM customer), (SELECT unnest(range({STRIDE})) AS seq))"""
+
+
+def images(spark, sf_dir: str) -> DataFrame:
+    """map_id, height, width of the label maps."""
+    return label(spark, sf_dir).groupBy("map_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
+
+
+def _marks(spark, sf_dir: str) -> DataFrame:
+    """course, map_id, x, y: a place for each course, three side by side."""
+    course = F.floor(F.col("s_suppkey") / COURSE)
+    j = course % COURSES_A_MAP
+    return table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % COURSE == 0).select(course.cast("int").alias("course"), F.floor(course / COURSES_A_MAP).cast("int").alias("map_id"), (18 + j % 3 * 32).cast("int").alias("x"), (16 + F.floor(j / 3) * 30).cast("int").alias("y"))
+
+
+def _drawn(spark, sf_dir: str, classes: str, inside) -> DataFrame:
+    """map_id, r, c: pixels of some classes, and a mark around the place of each course, inside the maps."""
+    span = F.explode(F.sequence(F.lit(-16), F.lit(16)))
+    px = _marks(spark, sf_dir).select("*", span.alias("a")).select("*", span.alias("b")).where(inside).select("map_id", (F.col("y") + F.col("a")).alias("r"), (F.col("x") + F.col("b")).alias("c"))
+    px = px.join(images(spark, sf_dir), "map_id").where("r >= 0 AND c >= 0 AND r < height AND c < width").select("map_id", "r", "c")
+    return label(spark, sf_dir).where(classes).select("map_id", "r", "c").union(px).distinct()
+
+
+def ring_mask(spark, sf_dir: str) -> DataFrame:
+    """Rings of radius 11 to 14 with a rim of three pixels, crossed by lines, among specks."""
+    radius, d2 = 11 + F.col("course") % 4, F.col("a") * F.col("a") + F.col("b") * F.col("b")
+    return _drawn(spark, sf_dir, "class_id IN (13, 15)", d2.between((radius - 1) * (radius - 1), (radius + 1) * (radius + 1)))
+
+
+def start_mask(spark, sf_dir: str) -> DataFrame:
+    """Triangles that stand on a side of 20 to 26 pixels, among specks."""
+    half = 10 + F.col("course") % 4
+    return _drawn(spark, sf_dir, "class_id = 15", (F.col("a") <= half) & (F.col("a") >= -10) & (26 * F.abs("b") <= 15 * (F.col("a") + 10)))
+
+
+MARKS = f"""im AS (SELECT map_id, max(r) + 1 AS height, max(c) + 1 AS width FROM label GROUP BY map_id), mp AS (SELECT course, map_id, CAST(18 + j % 3 * 32 AS INT) AS x, CAST(16 + j // 3 * 30 AS INT) AS y FROM (SELECT CAST(s_suppkey // {COURSE} AS INT) AS course, CAST(s_suppkey // {COURSE} // {COURSES_A_MAP} AS INT) AS map_id, s_suppkey // {COURSE} % {COURSES_A_MAP} AS j FROM supplier WHERE s_suppkey % {COURSE} = 0)),
+sp AS (SELECT CAST(unnest(range(-16, 17)) AS INT) AS a), sq AS (SELECT p.a AS a, q.a AS b FROM sp p, sp q)"""
+RING_MASK = f"""{MARKS}, mk AS (SELECT map_id, r, c FROM label WHERE class_id IN (13, 15) UNION SELECT map_id, r, c FROM (SELECT map_id, y + a AS r, x + b AS c FROM mp, sq WHERE a * a + b * b BETWEEN (10 + course % 4) * (10 + course % 4) AND (12 + course % 4) * (12 + course % 4)) JOIN im USING (map_id) WHERE r >= 0 AND c >= 0 AND r < height AND c < width)"""

@@ -1,8 +1,10 @@
 """Hand-checked cases."""
 
 import itertools
+import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,12 +191,208 @@ def test_suppression_of_rings(spark):
     assert {r.seq for r in got.collect()} == {4, 1, 5}
 
 
+def ring_of(mask, x, y, radius, height=100, width=100):
+    """The plain rule for one ring: rim, fill, hollow."""
+    rim = 0
+    for k in range(48):
+        a = 2 * math.pi * k / 48
+        rim += any((round(y + s * max(radius, 1) * math.sin(a)), round(x + s * max(radius, 1) * math.cos(a))) in mask for s in (0.85, 1.0, 1.15))
+    half = max(1, round(0.5 * radius))
+    disk = [(r, c) for r in range(max(0, int(y) - half), min(height, int(y) + half + 1)) for c in range(max(0, int(x) - half), min(width, int(x) + half + 1)) if (r - y) ** 2 + (c - x) ** 2 <= half * half]
+    fill = sum(p in mask for p in disk) / len(disk) if disk else 1.0
+    return rim / 48, fill, rim / 48 - fill
+
+
 def test_quality_of_rings(spark):
-    """A full circle of radius 10 is all rim and no filling; a disk is both."""
-    on = {(r, c) for r in range(40) for c in range(40) if 8**2 <= (r - 20) ** 2 + (c - 20) ** 2 <= 12**2} | {(r, c) for r in range(40) for c in range(60, 100) if (r - 20) ** 2 + (c - 80) ** 2 <= 12**2}
+    """A full circle of radius 10 is all rim and no filling; a disk is both. Half of 7 is 4, of 11 it's 6: marks between count as filling. Pixels outside the image don't count."""
+    on = {(r, c) for r in range(40) for c in range(40) if 8**2 <= (r - 20) ** 2 + (c - 20) ** 2 <= 12**2} | {(r, c) for r in range(40) for c in range(60, 100) if (r - 20) ** 2 + (c - 80) ** 2 <= 12**2} | {(60 + d, 60) for d in (-4, 4)} | {(60, 56), (60, 64)} | {(90, c) for c in range(8)}
+    mask = spark.createDataFrame([(0, r, c) for r, c in on], "map_id int, r int, c int")
+    images = spark.createDataFrame([(0, 100, 100)], "map_id int, height int, width int")
+    rings = {1: (20.0, 20.0, 10.0), 2: (80.0, 20.0, 10.0), 3: (200.0, 20.0, 10.0), 4: (60.0, 60.0, 7.0), 5: (60.0, 60.0, 11.0), 6: (1.25, 90.5, 7.0), 7: (80.5, 20.25, 15.0), 8: (0.0, 99.0, 0.5)}
+    got = {r.ring: (r.rim, r.fill, r.hollow) for r in detect.ring_quality(spark.createDataFrame([(0, k, *v) for k, v in rings.items()], "map_id int, ring int, x double, y double, radius double"), mask, images).collect()}
+    assert got[1] == (1.0, 0.0, 1.0) and got[2] == (1.0, 1.0, 0.0) and got[3] == (0.0, 1.0, -1.0)
+    assert got[4][1] == 4 / 49 and got[5][1] == 4 / 113
+    for k, ring in rings.items():
+        assert got[k] == pytest.approx(ring_of(on, *ring)), k
+
+
+def test_sure_readings_beside_a_ring_stand(spark):
+    """At 0.90 or more the wide window isn't read, even where it has the same number and is surer: 0.92 * (0.55 + 0.45 * 0.8) = 0.8372."""
+    rings = spark.createDataFrame([(1, 1, 5.0, 5.0, 12.0, 0.8), (1, 2, 50.0, 5.0, 12.0, 0.8)], "image int, ring int, x double, y double, radius double, hollow double")
+    read = lambda rows: spark.createDataFrame(rows, "image int, ring int, number int, conf double")
+    got = {r.ring: (r.number, round(r.score, 6)) for r in detect.arbitrated(rings, read([(1, 1, 31, 0.92), (1, 2, 31, 0.85)]), read([(1, 1, 31, 0.97), (1, 2, 31, 0.97)])).collect()}
+    assert got == {1: (31, 0.8372), 2: (31, round(0.97 * 0.91, 6))}
+
+
+def test_narrow_tiles_are_not_asked(spark):
+    tiles = [(1, 1, 0, 0, 31, 400, 1, 31, 0.5, 0.5, 0.9), (1, 2, 0, 0, 400, 31, 2, 32, 0.5, 0.5, 0.9), (1, 3, 0, 0, 32, 32, 3, 33, 0.5, 0.5, 0.9)]
+    replies = spark.createDataFrame(tiles, "image int, tile int, x0 int, y0 int, width int, height int, seq int, number int, x double, y double, score double")
+    rings = spark.createDataFrame([], "image int, ring int, rx double, ry double, radius double, hollow double")
+    assert [(r.number, r.x, r.y) for r in detect.merged_tiles(replies, rings, 15.0).collect()] == [(33, 16.0, 16.0)]
+
+
+def test_suppression_equals_a_greedy_pass(spark):
+    """100,000 rings of one course, crowded places and ties among them."""
+    rng = np.random.default_rng(5)
+    n = 100_000
+    xy = np.concatenate([rng.integers(0, 3000, (n - 4000, 2)), rng.integers(0, 12, (4000, 2)) + 500]).astype(float)
+    score = rng.integers(0, 5000, n) / 5000
+    got = {r.seq for r in detect.suppress(spark.createDataFrame(pd.DataFrame({"course": 1, "seq": np.arange(n), "x": xy[:, 0], "y": xy[:, 1], "score": score})), 20.0).select("seq").collect()}
+    kept, cells = set(), {}
+    for i in np.lexsort((np.arange(n), -score)).tolist():
+        x, y = xy[i]
+        a, b = int(x // 20), int(y // 20)
+        if all((x - xy[k][0]) ** 2 + (y - xy[k][1]) ** 2 >= 400 for p in (-1, 0, 1) for q in (-1, 0, 1) for k in cells.get((a + p, b + q), ())):
+            kept.add(i)
+            cells.setdefault((a, b), []).append(i)
+    assert got == kept
+
+
+def test_glyph_clusters_equal_a_plain_closure(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    x, y, w, h = rng.integers(0, 500, n), rng.integers(0, 500, n), rng.integers(1, 40, n), rng.integers(0, 60, n)
+    x[50:60], y[50:60], w[50:60], h[50:60] = x[49], y[49], w[49], h[49]  # copies
+    box = np.stack([x, y, x + w, y + h], 1).astype(float)
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    order = sorted(range(n), key=lambda i: ((box[i][1] + box[i][3]) / 2, (box[i][0] + box[i][2]) / 2, i))
+    rank = {i: k for k, i in enumerate(order)}
+    for a in range(n):
+        for b in range(a):
+            mean = (max(1, box[a][3] - box[a][1]) + max(1, box[b][3] - box[b][1])) / 2
+            if abs(box[a][1] + box[a][3] - box[b][1] - box[b][3]) / 2 <= 0.45 * mean and max(0, box[b][0] - box[a][2], box[a][0] - box[b][2]) <= 0.55 * mean:
+                p, q = sorted((top(a), top(b)), key=rank.get)
+                up[q] = p
+    want = {}
+    for i in range(n):
+        want.setdefault(top(i), []).append(i)
+    df = spark.createDataFrame([(1, i, *box[i].tolist()) for i in range(n)], "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    got = {r.cluster: (r.n, r.x0, r.y0, r.x1, r.y1) for r in detect.clustered_glyphs(df).collect()}
+    assert got == {k: (len(v), *box[v].min(0)[:2], *box[v].max(0)[2:]) for k, v in want.items()}
+
+
+def test_planted_rings_are_found(spark):
+    """Rings of known centres, one crossed by a line, beside a full disk and specks: each within a pixel, and nothing else."""
+    rng = np.random.default_rng(7)
+    planted = {(30, 30): 12, (30, 90): 15, (95, 40): 17}
+    on = {(r, c) for (y, x), k in planted.items() for r in range(140) for c in range(140) if (k - 1) ** 2 <= (r - y) ** 2 + (c - x) ** 2 <= (k + 1) ** 2}
+    on |= {(r, c) for r in range(140) for c in range(140) if (r - 100) ** 2 + (c - 100) ** 2 <= 15**2} | {(30, c) for c in range(140)} | {tuple(p) for p in rng.integers(0, 140, (60, 2)).tolist()}
+    got = detect.control_rings(spark.createDataFrame([(2, r, c) for r, c in on], "map_id int, r int, c int"), spark.createDataFrame([(2, 140, 140)], "map_id int, height int, width int")).collect()
+    near = {p: [g for g in got if math.hypot(g.y - p[0], g.x - p[1]) <= 1 and abs(g.radius - k) <= 1] for p, k in planted.items()}
+    assert all(len(v) == 1 for v in near.values()) and len(got) == 3
+
+
+def traced(px):
+    """Plain Moore tracing of the outer border: the pixels in order."""
+    start = min(px)
+    around = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+    at, back, out = start, 0, [start]
+    while True:
+        for k in range(1, 9):
+            j = (back + k) % 8
+            p = (at[0] + around[j][0], at[1] + around[j][1])
+            if p in px:
+                break
+        else:
+            return out
+        nxt = (p, around.index((at[0] + around[(j - 1) % 8][0] - p[0], at[1] + around[(j - 1) % 8][1] - p[1])))
+        if p == start and len(out) > 1 and nxt[1] in (0, 1, 2) or len(out) > 4 * len(px) + 8:
+            return out
+        out.append(p)
+        at, back = nxt
+
+
+def test_borders_of_regions(spark):
+    shapes = {1: {(r, c) for r in range(5) for c in range(8)}, 2: {(3, 3)}, 3: {(r, c) for r in range(9) for c in range(9) if 9 <= (r - 4) ** 2 + (c - 4) ** 2 <= 18}, 4: {(k, k) for k in range(6)}, 5: {(0, 1), (1, 0), (1, 2), (2, 1)}}
+    df = spark.createDataFrame([(0, k, r, c) for k, v in shapes.items() for r, c in v], "map_id int, region long, r int, c int")
+    rows = regions.contours(df).collect()
+    got = {r.region: r for r in rows if r.outer}
+    assert (got[1].perimeter, got[1].area, got[1].cx, got[1].cy, got[1].points) == (22.0, 28.0, 3.5, 2.0, 22)
+    assert (got[2].perimeter, got[2].points, got[2].cx) == (0.0, 0, None)
+    assert got[4].perimeter == pytest.approx(10 * 2**0.5) and got[4].area == 0
+    assert got[5].perimeter == pytest.approx(4 * 2**0.5)
+    assert sum(not r.outer for r in rows) == 2 and {r.region for r in rows if not r.outer} == {3, 5}
+    line = traced(shapes[3])
+    assert got[3].perimeter == pytest.approx(sum(math.dist(a, b) for a, b in zip(line, [*line[1:], line[0]], strict=True)))
+    order = [(r.r, r.c) for r in regions.ordered(regions.loops(regions.cracks(df.where("region = 1")))).orderBy("place").collect()]
+    assert order == [*[(0, c) for c in range(7)], *[(r, 7) for r in range(4)], *[(4, c) for c in range(7, 0, -1)], *[(r, 0) for r in range(4, 0, -1)]]
+
+
+def test_kinds_of_round_regions(spark):
+    """An open ring is no hole, but round enough for its filling; a square frame with a gap isn't."""
+    arc = {(r, c) for r in range(40) for c in range(40) if 13**2 <= (r - 20) ** 2 + (c - 20) ** 2 <= 16**2 and not (c > 20 and abs(r - 20) < 4)}
+    full = {(r, c) for r in range(40) for c in range(60, 100) if (r - 20) ** 2 + (c - 80) ** 2 <= 15**2}
+    px = spark.createDataFrame([(0, r, c) for r, c in arc | full], "map_id int, r int, c int")
+    s = {r.x0 < 50: r for r in regions.region_stats(regions.label_regions(px), spark.createDataFrame([(0, 400, 400)], "map_id int, height int, width int")).collect()}
+    assert s[True].holes == 0 and s[True].roundness < 0.35 and s[True].kind == "digit"
+    assert s[False].fill > 0.65 and s[False].roundness > 0.7 and s[False].kind == "digit"
+    line = spark.createDataFrame([(0, 5, c) for c in range(60)] + [(0, r, c) for r in range(20, 30) for c in range(20, 30)], "map_id int, r int, c int")
+    lab = regions.label_regions(line)
+    left = regions.without_lines(lab, regions.region_stats(lab, spark.createDataFrame([(0, 400, 400)], "map_id int, height int, width int")))
+    assert left.count() == 100 and left.where("r < 20").count() == 0
+
+
+def test_planted_triangles_are_starts(spark):
+    tri = lambda y, x, n: {(y + a, x + b) for a in range(n) for b in range(-n, n + 1) if 26 * abs(b) <= 15 * a}
+    on = tri(10, 30, 22) | tri(60, 80, 24) | {(r, c) for r in range(60, 80) for c in range(20, 40)} | {(r, c) for r in range(20, 45) for c in range(70, 95) if (r - 32) ** 2 + (c - 82) ** 2 <= 144}
     mask = spark.createDataFrame([(0, r, c) for r, c in on], "map_id int, r int, c int")
-    rings = spark.createDataFrame([(0, 1, 20.0, 20.0, 10.0), (0, 2, 80.0, 20.0, 10.0), (0, 3, 200.0, 20.0, 10.0)], "map_id int, ring int, x double, y double, radius double")
-    assert {r.ring: (r.rim, r.fill, r.hollow) for r in detect.ring_quality(rings, mask).collect()} == {1: (1.0, 0.0, 1.0), 2: (1.0, 1.0, 0.0), 3: (0.0, 0.0, 0.0)}
+    images = spark.createDataFrame([(0, 120, 120)], "map_id int, height int, width int")
+    got = {(round(r.x), round(r.y)) for r in regions.start_triangles(mask, images, size=24.0).collect()}
+    assert len(got) == 2 and all(any(math.hypot(x - a, y - b) <= 2 for x, y in got) for a, b in ((30, 24.7), (80, 76)))
+    taken = spark.createDataFrame([(0, 31.0, 30.0)], "map_id int, x double, y double")
+    assert [round(r.x) for r in regions.start_triangles(mask, images, taken, 24.0).collect()] == [80]
+    assert round(regions.best_start(regions.start_triangles(mask, images, size=24.0)).first().x) in (30, 80)
+
+
+def test_tiles_give_the_same_times(spark, monkeypatch):
+    """Walls, walls that only a diagonal passes, ways that leave a tile and come back, unreachable cells; several tile sides."""
+    rng = np.random.default_rng(8)
+    grid = rng.integers(1, 9, (37, 29)).astype(float)
+    grid[rng.random(grid.shape) < 0.3] = np.inf
+    grid[0, 0] = grid[20, 11] = 1.0
+    c = spark.createDataFrame([(3, r, k, None if grid[r, k] == np.inf else float(grid[r, k])) for r in range(37) for k in range(29)], "map_id int, cr int, cc int, time_s double")
+    sources = spark.createDataFrame([(3, 1, 0, 0), (3, 2, 20, 11)], "map_id int, i int, cr int, cc int")
+    want = {(i, int(r), int(k)): t[r, k] for i, at in ((1, (0, 0)), (2, (20, 11))) for t in [graph.search(grid, at)[0]] for r, k in np.argwhere(t < np.inf)}
+    for side in (5, 16, 64):
+        rows = graph.tiled_times(c, sources, side=side).collect()
+        got = {(r.i, r.cr, r.cc): r.time_s for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    monkeypatch.setattr(graph, "SIDE", 8)
+    pair = lambda large: {(r.i, r.j): round(r.time_s, 9) for r in graph.time_matrix(c, sources, large).collect()}
+    assert pair(100) == pair(10_000) and len(pair(100)) >= 2
+
+
+def test_exchanges_come_before_turned_stretches(spark):
+    """A plain local search that tries every exchange before it turns a stretch ends at the same tours."""
+    rng = np.random.default_rng(9)
+    for _ in range(3):
+        n = 6
+        m = rng.integers(5, 60, (n + 1, n + 1)).astype(float)
+        worth = [int(v) for v in rng.integers(1, 6, n)]
+        budget = float(rng.integers(90, 200))
+        rows = spark.createDataFrame([(0, i, j, 0.0 if i == j else float(m[i, j])) for i in range(n + 1) for j in range(n + 1)], "problem int, i int, j int, time_s double")
+        got = [r.i for r in tour.heuristic(rows, spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(worth)], "problem int, i int, points int"), budget).orderBy("place").collect()]
+        length = lambda o: sum(0.0 if a == b else m[a, b] for a, b in zip([0, *o], [*o, 0], strict=True))
+        value = lambda o: sum(worth[i - 1] for i in o)
+        assert length(got) <= budget + 1e-6
+        for a in range(len(got)):  # nothing is left to gain by one exchange or one turned stretch
+            for b in range(a + 1, len(got)):
+                swapped = list(got)
+                swapped[a], swapped[b] = swapped[b], swapped[a]
+                for new in (swapped, got[:a] + got[a : b + 1][::-1] + got[b + 1 :]):
+                    assert not (length(new) <= budget and value(new) == value(got) and length(new) < length(got) - 1e-9)
+
+
+def test_improvements_beyond_a_million_seconds(spark):
+    rows = [(0, 1, 1, 1, 10.0, 5), (0, 2, 2, 1, 3_000_000.0, 6), (0, 3, 1, 2, 20.0, 5), (1, 1, 1, 1, 9.0, 5), (1, 70, 1, 2, 8.0, 5), (1, 71, 1, 2, 8.0, 5)]
+    got = tour.improvements(spark.createDataFrame(rows, "problem int, mask long, last int, size int, total_s double, points long"))
+    assert sorted((r.problem, r.mask) for r in got.collect()) == [(0, 1), (0, 2), (1, 1), (1, 70)]
 
 
 def test_routes_differ_and_start_with_the_fastest(spark):
@@ -224,8 +422,8 @@ def test_smoothing(spark, runs, want):
 def test_small_tour(spark, tmp_path, budget, want):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     t = {(0, 1): 10.0, (0, 2): 10.0, (1, 2): 5.0}
-    m = spark.createDataFrame([(i, j, 0.0 if i == j else t[min(i, j), max(i, j)]) for i in range(3) for j in range(3)], "i int, j int, time_s double")
-    p = spark.createDataFrame([(1, 3), (2, 5)], "i int, points int")
+    m = spark.createDataFrame([(4, i, j, 0.0 if i == j else t[min(i, j), max(i, j)]) for i in range(3) for j in range(3)], "problem int, i int, j int, time_s double")
+    p = spark.createDataFrame([(4, 1, 3), (4, 2, 5)], "problem int, i int, points int")
     top = tour.best(tour.tours(tour.exact_states(m, budget), m, p, budget)).first()
     assert (top and (top.points, top.total_s)) == want
 
@@ -237,11 +435,11 @@ def test_tour_is_the_best_and_bounds_the_heuristic(spark, tmp_path):
     d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
     worth = {i: int(rng.integers(1, 9)) for i in range(1, 7)}
     best = max(((sum(worth[i] for i in o), -sum(d[a, b] for a, b in zip((0, *o), (*o, 0), strict=True))) for k in range(1, 7) for o in itertools.permutations(range(1, 7), k) if sum(d[a, b] for a, b in zip((0, *o), (*o, 0), strict=True)) <= 220))
-    m = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(7) for j in range(7)], "i int, j int, time_s double")
-    p = spark.createDataFrame(list(worth.items()), "i int, points int")
+    m = spark.createDataFrame([(0, i, j, float(d[i, j])) for i in range(7) for j in range(7)], "problem int, i int, j int, time_s double")
+    p = spark.createDataFrame([(0, *w) for w in worth.items()], "problem int, i int, points int")
     top = tour.best(tour.tours(tour.exact_states(m, 220.0), m, p, 220.0)).first()
     assert (top.points, -top.total_s) == pytest.approx(best)
-    h = tour.heuristic(m.withColumn("problem", F.lit(0)), p.withColumn("problem", F.lit(0)), 220.0).first()
+    h = tour.heuristic(m, p, 220.0).first()
     assert h.total_points <= top.points and h.total_s <= 220 + 1e-6
 
 
