@@ -178,14 +178,21 @@ def _common(a, b):
 
 def _rounds(seqs: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """Rows of subtries that fit a task, and for each round the beginnings (key, above, above_conv, base, upto, n, low, lens, ends) of those that didn't."""
+    spark = seqs.sparkSession
     units = F.size("seq") - F.col("base") + 1
-    root = F.unhex(F.lit("00" * 16))
-    now = seqs.select(root.alias("key"), F.lit(0).alias("base"), F.lit(None).cast("binary").alias("above"), F.lit(None).cast("long").alias("above_conv"), "seq", "lens", "n", "low", "ends")
-    small, large = None, []
+    key = lambda before, upto: _digest(F.concat(before, upto.cast("string").cast("binary"), F.element_at("seq", upto + 1)))
+    n, low, ends = seqs.agg(F.sum("n"), F.min("low"), F.max(F.when(F.size("seq") == 0, F.col("ends")))).first()
+    if n is None:
+        return seqs.select(F.lit(b"").alias("key"), F.lit(0).alias("base"), F.lit(b"").alias("above"), F.lit(0).cast("long").alias("above_conv"), *seqs.columns), []
+    top = b"\x00" * 16  # the root, which isn't dealt: every sequence goes on by its first turn
+    large = [spark.createDataFrame([(top, None, None, 0, 0, n, low, [0], ends or NOBODY)], "key binary, above binary, above_conv long, base int, upto int, n long, low long, lens array<long>, ends string")]
+    now = seqs.where(F.size("seq") > 0).select(key(F.lit(top), F.lit(0)).alias("key"), F.lit(1).alias("base"), F.lit(top).alias("above"), F.lit(low).cast("long").alias("above_conv"), "seq", "lens", "n", "low", "ends")
+    now, _ = written(now, "subtries")
+    small = None
+    names = ["key", "base", "above", "above_conv"]
     while True:
         facts = now.groupBy("key").agg(F.sum(units).alias("units"))
-        big = facts.where(F.col("units") > LIMIT) if large else facts
-        big, _ = written(big.select("key", F.lit(True).alias("big")), "large-subtries")
+        big, _ = written(facts.where(F.col("units") > LIMIT).select("key", F.lit(True).alias("big")), "large-subtries")
         count = big.count()
         if not count:
             break
@@ -193,20 +200,14 @@ def _rounds(seqs: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
         rest = marked.where(F.col("big").isNull()).drop("big")
         small = rest if small is None else small.unionByName(rest)
         rows = marked.where(F.col("big")).drop("big")
-        names = ["key", "base", "above", "above_conv"]
-        if large:
-            found = rows.groupBy(*names).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.min(F.struct("seq", "lens")).alias("first"), F.max("seq").alias("last"))
-            found = found.select(*names, "n", "low", _common(F.col("first.seq"), F.col("last")).alias("upto"), F.col("first.lens").alias("lens"))
-        else:  # the root alone: every sequence, so no beginning is looked for
-            found = rows.groupBy(*names).agg(F.sum("n").alias("n"), F.min("low").alias("low")).select(*names, "n", "low", F.lit(0).alias("upto"), F.array().cast("array<long>").alias("lens"))
-        found, _ = written(found.withColumn("lens", F.when(F.col("base") > 0, _cut("lens", F.greatest("base", F.lit(1)), F.col("upto") - F.col("base") + 1)).otherwise(F.array(F.lit(0).cast("long")))), "beginnings")
+        found = rows.groupBy(*names).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.min(F.struct("seq", "lens")).alias("first"), F.max("seq").alias("last"))
+        found = found.select(*names, "n", "low", _common(F.col("first.seq"), F.col("last")).alias("upto"), F.col("first.lens").alias("lens"))
+        found, _ = written(found.withColumn("lens", _cut("lens", F.col("base"), F.col("upto") - F.col("base") + 1)), "beginnings")
         facts = found.select("key", "upto", F.col("low").alias("least"))
         dealt = rows.join(F.broadcast(facts) if count <= MARKED else facts, "key")
         ended = dealt.where(F.size("seq") == F.col("upto")).select("key", "ends")  # at most one sequence a beginning
         large.append(written(found.join(ended, "key", "left").withColumn("ends", F.coalesce("ends", F.lit(NOBODY))), "spines")[0])
-        turn = F.element_at("seq", F.col("upto") + 1)
-        onward = dealt.where(F.size("seq") > F.col("upto")).select(
-            _digest(F.concat("key", F.col("upto").cast("string").cast("binary"), turn)).alias("key"), (F.col("upto") + 1).alias("base"), F.col("key").alias("above"), F.col("least").alias("above_conv"), "seq", "lens", "n", "low", "ends")
+        onward = dealt.where(F.size("seq") > F.col("upto")).select(key(F.col("key"), F.col("upto")).alias("key"), (F.col("upto") + 1).alias("base"), F.col("key").alias("above"), F.col("least").alias("above_conv"), "seq", "lens", "n", "low", "ends")
         now, _ = written(onward, "subtries")
     return (now if small is None else small.unionByName(now)), large
 

@@ -75,7 +75,7 @@ def test_long_common_beginnings_cost_one_round(spark, monkeypatch):
     convs = {c: tuple(("u", f"t{d}") for d in range(300)) + (("u", f"x{c % 3}"),) for c in range(6)} | {9: tuple(("u", f"t{d}") for d in range(250))}
     rows = [(c, d, *turn) for c, path in convs.items() for d, turn in enumerate(path)]
     seqs = trie.sequences(spark.createDataFrame(rows, SCHEMA))
-    assert len(trie._rounds(trie.distinct_sequences(seqs))[1]) <= 4
+    assert len(trie._rounds(trie.distinct_sequences(seqs))[1]) <= 3
     assert rows_of(trie.prefix_trie(seqs)) == plain_trie(convs)
 
 
