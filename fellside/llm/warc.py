@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, scratch, ship, table, written
+from .common import picked, scratch, ship, table, with_facts, written
 
 SPLIT_BYTES = 1 << 25
 CHUNK = 1 << 18
@@ -88,8 +88,8 @@ def with_revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     rows = picked(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     digest = F.sha1("html")
     light = rows.where(F.octet_length("html") >= revisit_from).select("page_id", digest.alias("_digest"))
-    groups = light.groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).where((F.col("_n") > 1) & F.col("refers_to").isNotNull()).drop("_n")
-    others = light.join(groups, "_digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).distinct().select(F.col("page_id").alias("_other"), F.col("_digest").alias("_same"), "refers_to")
+    groups, _ = written(light.groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).where((F.col("_n") > 1) & F.col("refers_to").isNotNull()), "page-digests")
+    others = with_facts(light, groups, "_digest", "_n", pages.count()).where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).distinct().select(F.col("page_id").alias("_other"), F.col("_digest").alias("_same"), "refers_to")
     full = rows.withColumn("_digest", digest)
     joined = full.join(others, full["page_id"].eqNullSafe(others["_other"]) & (full["_digest"] == others["_same"]), "left")
     return joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))

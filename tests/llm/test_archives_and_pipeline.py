@@ -215,3 +215,13 @@ def test_pipeline_on_odd_tables(spark):
                 assert sorted((r.doc_id is None, r.doc_id or 0) for r in after.collect()) == [(False, 1), (False, 1), (False, 6), (True, 0)]
             elif name == "near-dedup":
                 assert 1 <= after.count() <= before.count()
+
+
+def test_one_page_is_half_of_all(spark):
+    """A digest that half of all pages share is broadcast, not met in one task; the others go by a join."""
+    rows = [(i, f"u{i}", "<p>same</p>" if i % 2 else f"<p>{i // 8}</p>") for i in range(8000)]
+    got = {r.page_id: r.refers_to for r in warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).select("page_id", "refers_to").collect()}
+    last = {}
+    for i, _, html in rows:
+        last[html] = max(i, last.get(html, i))
+    assert got == {i: None if last[html] == i else last[html] for i, _, html in rows}
