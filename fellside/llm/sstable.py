@@ -14,8 +14,8 @@ keys sort as identifiers do and null comes first. A value is the ids' width in b
 little-endian. :class:`Shard` looks a key up: filter, binary search of the index, binary search of the block's restarts.
 
 *Writing.* Documents are dealt out by ranges of (identifier, hash of the text), so a repeated identifier
-doesn't burden one task, and sorted in each range. A task encodes and writes its range under a name of its own and renames it
-when complete, so an attempt that is lost or repeated leaves no half shard. The driver sees one row for each shard.
+doesn't burden one task, and sorted in each range. There are as many ranges as their texts have times ``RANGE_BYTES``, so neither a task nor what it keeps for a shard's filter
+grows with the input. A task encodes and writes its range under a name of its attempt alone; the manifest names the attempts that count, and files of lost ones stay unread. The driver sees one row for each shard.
 
 *Reading.* A task for each shard; ids before a shard are the sums of the shards before it.
 
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 
 from .common import picked, scratch, ship, table, text_or_empty, tokenizer_path
 from .tokens import coder, encoded
+from .warc import _place
 
 BLOCK_BYTES = 1 << 16
 RESTART = 16
+RANGE_BYTES = 1 << 26
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"FSSTv1\r\n"
@@ -226,12 +228,6 @@ class Shard:
         return found
 
 
-def _place(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes the shards under ``path``; their manifest, in order."""
     ship(docs.sparkSession)
@@ -257,7 +253,8 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, i
 
     rows = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    dealt = rows.repartitionByRange(size // RANGE_BYTES + 1, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
     made = dealt.mapInArrow(write, "part long, file string, docs long, ids long").collect()  # a row for each shard
     return [r.asDict() for r in sorted(made, key=lambda r: r["part"])]
 

@@ -549,3 +549,14 @@ def test_token_counts(spark, corpus, head):
     for data, table in ((rows[:60], df.where(F.col("doc_id").isin([i for i, _ in rows[:60]]))), (odd, docs(spark, odd, True))):
         got = as_set(token_counts.count_tokens(table, tokenizer_path(BYTE), head=head).select("doc_id", "n_bytes", "n_tokens").collect())
         assert got == as_set((i, len((t or "").encode()), len(ids)) for (i, t), ids in zip(data, ids_of(BYTE, [t for _, t in data]), strict=True))
+
+
+def test_shards_follow_the_size(spark, monkeypatch):
+    """More text makes more shards, not larger ones, and their starts still add up."""
+    monkeypatch.setattr(sstable, "RANGE_BYTES", 2000)
+    rows = [(i, "one two three " * (1 + i % 9)) for i in range(400)]
+    path = scratch(spark, "test-sst")
+    made = sstable.write_tables(docs(spark, rows).repartition(3), path, tokenizer_path(WORD))
+    assert len(made) > 8 and sum(m["docs"] for m in made) == 400 and max(m["docs"] for m in made) < 120
+    got = sstable.read_tables(spark, path, made).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(400)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
