@@ -68,7 +68,28 @@ def placed_controls(candidates: DataFrame, near: float = 14.0) -> DataFrame:
     return candidates.groupBy("image").applyInPandas(run, candidates.schema)
 
 
-def ring_near_digit(digits: DataFrame, rings: DataFrame, search: float, tile: float = 90.0) -> DataFrame:
+#: Fixed values of the digits' assist: numbers, least share of mask unless surely read, least hollowness, what a ring found so is worth, distance between centres.
+ASSISTED, ON_MASK, SURE, ASSIST_HOLLOW, ASSIST_WORTH, CENTRES_APART = (10, 199), 0.02, 0.7, 0.35, 0.95, 14.0
+
+
+def digit_assist(hits: DataFrame, rings: DataFrame, placed: DataFrame, expected: float = 14.5) -> DataFrame:
+    """Numbers without a control of their own that stand beside a ring: image, number, x, y, score, by reading. ``hits``: image, digit, number, conf, overlap (share of the box that is mask), cx, cy, x0, y0, x1, y1;
+    ``rings``: image, ring, x, y, radius, hollow; ``placed``: image, number, x, y (the controls so far). Every number has its best ring; from the surest reading down (then digit) a number is taken once, at a
+    centre that is free. Found in rounds, as suppression is: a reading stays if it's the best of its number and of its neighbourhood."""
+    high = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+    open_ = hits.where(F.col("number").between(*ASSISTED) & ((F.col("overlap") >= ON_MASK) | (F.col("conf") >= SURE))).join(placed.select("image", "number"), ["image", "number"], "left_anti")
+    near = ring_near_digit(open_, rings, F.greatest(3.2 * high, F.lit(36.0), F.lit(2.2 * expected))).select("image", "digit", "ring")
+    found = open_.select("image", "digit", "number", "conf").join(near, ["image", "digit"]).join(rings.select("image", "ring", "x", "y", "hollow"), ["image", "ring"]).where(F.col("hollow") >= ASSIST_HOLLOW)
+    side = lambda c: F.floor(F.col(c) / CENTRES_APART)
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    old = placed.select("image", F.col("x").alias("px"), F.col("y").alias("py"), around.alias("a")).select("*", around.alias("b")).select("image", "px", "py", (side("px") + F.col("a")).alias("tx"), (side("py") + F.col("b")).alias("ty"))
+    taken = found.withColumn("tx", side("x")).withColumn("ty", side("y")).join(old, ["image", "tx", "ty"]).where(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) < CENTRES_APART).select("image", "digit").distinct()
+    free = found.join(taken, ["image", "digit"], "left_anti").select(F.col("image").alias("course"), "digit", "number", "x", "y", F.col("conf").alias("score"), "hollow")
+    kept = suppress(free, CENTRES_APART, "digit", once="number")
+    return kept.select(F.col("course").alias("image"), "number", "x", "y", (F.col("score") * (0.55 + 0.45 * F.col("hollow")) * ASSIST_WORTH).alias("score"))
+
+
+def ring_near_digit(digits: DataFrame, rings: DataFrame, search: float | Column, tile: float = 90.0) -> DataFrame:
     """``digits``: image, digit, cx, cy, x0, y0, x1, y1 (a number's box); ``rings``: image, ring, x, y, radius, hollow. The best ring of each digit: of a fitting size, near
     but not on the digit; nearness counts more than how hollow it is. Met by tiles of the farthest reach, so an equi-join."""
     h = F.col("y1") - F.col("y0")
@@ -160,9 +181,9 @@ def overlapping(boxes: DataFrame, tile: float) -> DataFrame:
     return pairs.select("course", "a_id", "b_id", iou("a", "b").alias("iou")).where("iou > 0")
 
 
-def suppress(rings: DataFrame, least: float, *ties: str) -> DataFrame:
+def suppress(rings: DataFrame, least: float, *ties: str, once: str | None = None) -> DataFrame:
     """``rings``: course, seq, x, y, score, and more. What a greedy pass keeps: by score, then ``ties`` ascending (``seq`` if none are given; all of them
-    together tell a course's rings apart), a ring stays if no kept one of its course is nearer than ``least``.
+    together tell a course's rings apart), a ring stays if no kept one of its course is nearer than ``least``, or has the same value of ``once``.
 
     In rounds, without a pass: the best undecided ring of each square of half of ``least`` is its leader; a leader stays if no undecided ring near it is better, and what is near
     a leader that stays goes. A ring meets the leaders of the squares around, so a crowded place costs no pairs among its own. The best ring of all is decided in each round, and with scores in no order of
@@ -171,19 +192,26 @@ def suppress(rings: DataFrame, least: float, *ties: str) -> DataFrame:
     side = least / 2
     key = ["course", *dict.fromkeys(ties)]
     rank = F.struct(F.col("score").alias("s"), *[(-F.col(t)).alias(f"t{n}") for n, t in enumerate(ties)])
-    todo = rings.select(*dict.fromkeys([*key, "x", "y"]), rank.alias("rank"), F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty")).transform(cut)
+    own = dict.fromkeys([*key, "x", "y", *([once] if once else [])])
+    todo = rings.select(*own, rank.alias("rank"), F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty")).transform(cut)
     around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
     kept = None
     while not todo.isEmpty():
-        lead = todo.groupBy("course", "tx", "ty").agg(F.max_by(F.struct(*dict.fromkeys([*key, "x", "y"])), "rank").alias("l"), F.max("rank").alias("l_rank"))
+        lead = todo.groupBy("course", "tx", "ty").agg(F.max_by(F.struct(*own), "rank").alias("l"), F.max("rank").alias("l_rank"))
         lead = lead.select("*", around.alias("a")).select("*", around.alias("b")).select("course", (F.col("tx") + F.col("a")).alias("tx"), (F.col("ty") + F.col("b")).alias("ty"), "l", "l_rank")
         met = todo.join(lead, ["course", "tx", "ty"]).where(F.pow(F.col("x") - F.col("l.x"), 2) + F.pow(F.col("y") - F.col("l.y"), 2) < least * least)
         # a leader meets itself, so each is in here
-        stays = met.groupBy("course", "l", "l_rank").agg(F.max("rank").alias("top")).where(F.col("top") <= F.col("l_rank")).select("course", "l").transform(cut)
+        stays = met.groupBy("course", "l", "l_rank").agg(F.max("rank").alias("top")).where(F.col("top") <= F.col("l_rank")).select("course", "l", "l_rank")
+        if once:
+            stays = stays.withColumn(once, F.col(f"l.{once}")).join(todo.groupBy("course", once).agg(F.max("rank").alias("l_rank")), ["course", once, "l_rank"], "left_semi")
+        stays = stays.select("course", "l").transform(cut)
         kept = stays if kept is None else kept.union(stays)
         near = stays.select("course", "l", F.floor(F.col("l.x") / side).alias("tx"), F.floor(F.col("l.y") / side).alias("ty")).select("*", around.alias("a")).select("*", around.alias("b")).select("course", (F.col("tx") + F.col("a")).alias("tx"), (F.col("ty") + F.col("b")).alias("ty"), "l")
         gone = todo.join(near, ["course", "tx", "ty"]).where(F.pow(F.col("x") - F.col("l.x"), 2) + F.pow(F.col("y") - F.col("l.y"), 2) < least * least).select(*key)
-        todo = todo.join(gone, key, "left_anti").transform(cut)
+        todo = todo.join(gone, key, "left_anti")
+        if once:
+            todo = todo.join(stays.select("course", F.col(f"l.{once}").alias(once)), ["course", once], "left_anti")
+        todo = todo.transform(cut)
     if kept is None:
         return rings.limit(0)
     return rings.join(kept.select(*[F.col(f"l.{k}").alias(k) for k in key]), key, "left_semi")

@@ -119,10 +119,10 @@ def ring_quality(spark, sf_dir):
     return q.select("ring", *[F.round(n, 6).alias(n) for n in ("rim", "fill", "hollow")])
 
 
-def greedy_sql(order: str, least: float) -> str:
-    """Kept rows of cd (g, x, y, ...) by a pass in ``order``: kp (g, n), n the place in it."""
-    return f"""rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS n FROM cd), gr(g, n, kept) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(x DOUBLE, y DOUBLE, n BIGINT)[]) FROM rk GROUP BY g UNION ALL
-SELECT gr.g, gr.n + 1, CASE WHEN len(list_filter(kept, LAMBDA k: (k.x - c.x) * (k.x - c.x) + (k.y - c.y) * (k.y - c.y) < {least * least})) > 0 THEN kept ELSE list_append(kept, {{'x': c.x, 'y': c.y, 'n': c.n}}) END FROM gr JOIN rk c ON c.g = gr.g AND c.n = gr.n + 1),
+def greedy_sql(order: str, least: float, once: str = "n") -> str:
+    """Kept rows of cd (g, x, y, ...) by a pass in ``order``: kp (g, n), n the place in it. No two have the same ``once``."""
+    return f"""rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS n FROM cd), gr(g, n, kept) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(x DOUBLE, y DOUBLE, n BIGINT, o BIGINT)[]) FROM rk GROUP BY g UNION ALL
+SELECT gr.g, gr.n + 1, CASE WHEN len(list_filter(kept, LAMBDA k: (k.x - c.x) * (k.x - c.x) + (k.y - c.y) * (k.y - c.y) < {least * least} OR k.o = c.{once})) > 0 THEN kept ELSE list_append(kept, {{'x': c.x, 'y': c.y, 'n': c.n, 'o': c.{once}}}) END FROM gr JOIN rk c ON c.g = gr.g AND c.n = gr.n + 1),
 kp AS (SELECT g, unnest(kept).n AS n FROM (SELECT g, arg_max(kept, n) AS kept FROM gr GROUP BY g))"""
 
 
@@ -176,6 +176,25 @@ def ring_near_digit(spark, sf_dir):
     return X.ring_near_digit(digits, rings(spark, sf_dir), 60.0)
 
 
+ASSIST = """pl AS (SELECT course AS image, CAST(10 + seq * 3 % 60 AS INT) AS number, x, y FROM det WHERE seq % 11 = 1), hh AS (SELECT dg.*, CAST(10 + digit * 7 % 120 AS INT) AS number, digit * 13 % 101 / 100 AS conf, digit % 5 / 100 AS overlap, y1 - y0 AS h FROM dg),
+op AS (SELECT * FROM hh WHERE (overlap >= 0.02 OR conf >= 0.7) AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.image = hh.image AND pl.number = hh.number)),
+nj AS (SELECT op.image, digit, number, conf, ring, rg.x, rg.y, hollow, radius, h, sqrt((rg.x - cx) ** 2 + (rg.y - cy) ** 2) AS away, floor(least(greatest(3.2 * h, 36.0, 2.2 * CAST(14.5 AS DOUBLE), 2.2 * h), 3.5 * h, 90.0)) AS reach, greatest(2.0, floor(0.15 * h)) AS pad, x0, y0, x1, y1 FROM op JOIN rg USING (image)),
+nk AS (SELECT *, round(hollow - 1.25 * away / greatest(reach, 1.0), 9) AS worth FROM nj WHERE radius BETWEEN 0.45 * h AND 0.95 * h AND away <= reach AND NOT (x BETWEEN x0 - pad AND x1 + pad AND y BETWEEN y0 - pad AND y1 + pad)),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, digit ORDER BY worth DESC, ring) AS k FROM nk) WHERE k = 1 AND hollow >= 0.35),
+cd AS (SELECT image AS g, digit, number, conf, hollow, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM nb WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.image = nb.image AND sqrt((pl.x - nb.x) ** 2 + (pl.y - nb.y) ** 2) < 14))"""
+
+
+@query("digit_assist", f"WITH RECURSIVE {D.DETECTIONS}, {RINGS}, {ASSIST}, {greedy_sql('conf DESC, digit', 14.0, 'number')} SELECT rk.g AS image, number, x, y, round(conf * (0.55 + 0.45 * hollow) * 0.95, 9) AS score FROM rk JOIN kp USING (g, n)")
+def digit_assist(spark, sf_dir):
+    """Even events as readings, odd ones as rings, one in eleven as a control that is there already."""
+    _checkpoints(spark)
+    s = F.col("seq")
+    d = D.detections(spark, sf_dir)
+    h = d.where("seq % 2 = 0").select(F.col("course").alias("image"), s.alias("digit"), (F.col("x") + 5 + s % 9).alias("cx"), (F.col("y") + 8 + s % 7).alias("cy"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10 + 2 * (s % 9)).alias("x1"), (F.col("y") + 16 + 2 * (s % 7)).alias("y1"), (10 + s * 7 % 120).cast("int").alias("number"), (s * 13 % 101 / 100).alias("conf"), (s % 5 / 100).alias("overlap"))
+    placed = d.where("seq % 11 = 1").select(F.col("course").alias("image"), (10 + s * 3 % 60).cast("int").alias("number"), "x", "y")
+    return X.digit_assist(h, rings(spark, sf_dir), placed).withColumn("score", F.round("score", 9))
+
+
 @query("ring_arbitration", f"WITH {D.DETECTIONS}, {RINGS}, b AS (SELECT course AS image, seq AS ring, CAST(10 + seq * 7 % 50 AS INT) AS bn, seq * 13 % 101 / 100 AS bc FROM det WHERE seq % 3 <> 0), a AS (SELECT course AS image, seq AS ring, CAST(10 + seq * CASE WHEN seq % 4 = 1 THEN 7 ELSE 11 END % 50 AS INT) AS an, seq * 29 % 101 / 100 AS ac FROM det WHERE seq % 5 <> 0), j AS (SELECT rg.*, bn, bc, an, ac, CASE WHEN bn IS NULL THEN false WHEN an IS NULL OR bc >= 0.9 THEN true WHEN bn = an THEN bc >= ac WHEN ac >= 0.95 AND ac >= bc + 0.15 THEN false ELSE bc >= ac END AS first FROM rg LEFT JOIN b USING (image, ring) LEFT JOIN a USING (image, ring) WHERE bn IS NOT NULL OR an IS NOT NULL), h AS (SELECT image, ring, x, y, radius, hollow, CASE WHEN first THEN bn ELSE an END AS number, CASE WHEN first THEN bc ELSE ac END AS conf FROM j) SELECT image, ring, number, x, y, round(conf * (0.55 + 0.45 * least(hollow, 1.0)), 6) AS score FROM h WHERE NOT ((hollow < 0.55 AND conf < 0.9) OR (radius > 17.5 AND hollow < 0.7) OR conf * (0.55 + 0.45 * least(hollow, 1.0)) < 0.45)")
 def ring_arbitration(spark, sf_dir):
     return _arbitrated(spark, sf_dir).withColumn("score", F.round("score", 6))

@@ -248,6 +248,32 @@ def test_suppression_equals_a_greedy_pass(spark):
     assert got == kept
 
 
+def test_digits_are_matched_once(spark):
+    """Against the rule one after the other: the surest first, a number once, a centre once, none that is taken."""
+    rng = np.random.default_rng(11)
+    rings = [(1, i, float(x), float(y), 10.0, float(h)) for i, (x, y, h) in enumerate(zip(rng.integers(0, 400, 90), rng.integers(0, 400, 90), rng.integers(20, 100, 90) / 100, strict=True))]
+    hits = []
+    for i in range(160):
+        x, y = (float(v) for v in rng.integers(0, 400, 2))
+        hits.append((1, i, int(rng.integers(5, 60)), float(rng.integers(1, 99)) / 100, float(rng.integers(0, 5)) / 100, x + 6, y + 8, x, y, x + 12, y + 16))
+    placed = [(1, 20, 100.0, 100.0), (1, 21, 250.0, 300.0)]
+    df = spark.createDataFrame(hits, "image int, digit int, number int, conf double, overlap double, cx double, cy double, x0 double, y0 double, x1 double, y1 double")
+    got = {r.number: (r.x, r.y, round(r.score, 9)) for r in detect.digit_assist(df, spark.createDataFrame(rings, "image int, ring int, x double, y double, radius double, hollow double"), spark.createDataFrame(placed, "image int, number int, x double, y double")).collect()}
+    numbers, used, want = {20, 21}, [p[2:] for p in placed], {}
+    for _, i, number, conf, overlap, cx, cy, x0, y0, x1, y1 in sorted(hits, key=lambda h: (-h[3], h[1])):
+        if not 10 <= number <= 199 or number in numbers or (overlap < 0.02 and conf < 0.7):
+            continue
+        reach = int(min(max(max(3.2 * 16, 36.0, 2.2 * 14.5), 2.2 * 16), 3.5 * 16, 90.0))
+        fits = [(round(h - 1.25 * math.hypot(x - cx, y - cy) / reach, 9), -k, x, y, h) for _, k, x, y, r, h in rings if 0.45 * 16 <= r <= 0.95 * 16 and math.hypot(x - cx, y - cy) <= reach and not (x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2)]
+        if fits:
+            _, _, x, y, h = max(fits)
+            if h >= 0.35 and all(math.hypot(x - a, y - b) >= 14 for a, b in used):
+                numbers.add(number)
+                used.append((x, y))
+                want[number] = (x, y, round(conf * (0.55 + 0.45 * h) * 0.95, 9))
+    assert len(want) > 5 and got == want
+
+
 def test_glyph_clusters_equal_a_plain_closure(spark):
     rng = np.random.default_rng(6)
     n = 400
