@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .refine import refined_rings
 from .regions import spread_labels
 from .shared import cut
 
@@ -106,9 +107,10 @@ def ring_near_digit(digits: DataFrame, rings: DataFrame, search: float | Column,
     return j.groupBy("image", "digit").agg(F.max_by(F.struct("ring", score.alias("score")), F.struct(score, -F.col("ring"))).alias("b")).select("image", "digit", "b.*")
 
 
-def snapped(points: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
+def snapped(points: DataFrame, rings: DataFrame, radius: float, mask: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """``points``: image, seq, x, y, score; ``rings``: image, ring, rx, ry, radius, hollow (candidates). Each point at the ring that is best within reach, hollowness first, then
-    nearness and the expected ``radius``; its score falls with how filled the ring is, and source tells whether it was moved. Met by tiles, an equi-join."""
+    nearness and the expected ``radius``; its score falls with how filled the ring is, and source tells whether it was moved. Met by tiles, an equi-join. With ``mask`` (image, r, c)
+    and ``images`` (image, height, width) the centre is refined after the move, and how hollow it is there counts."""
     low = max(8, round(0.7 * radius))
     high = max(low + 2, round(1.35 * radius))
     reach = max(2.2 * radius, 1.5 * high)
@@ -118,7 +120,11 @@ def snapped(points: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
     fit = rings.where(F.col("radius").between(low, high)).withColumn("_tx", cell("rx")).withColumn("_ty", cell("ry"))
     away = F.hypot(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"))
     worth = F.round(2 * F.col("hollow") - 0.35 * away / max(reach, 1.0) - 0.35 * F.abs(F.col("radius") - radius) / max(radius, 1.0), 9)
-    best = p.join(fit, ["image", "_tx", "_ty"]).where(away <= reach).groupBy("image", "seq").agg(F.max_by(F.struct("rx", "ry", "hollow"), F.struct(worth, -F.col("ring"))).alias("b"))
+    best = p.join(fit, ["image", "_tx", "_ty"]).where(away <= reach).groupBy("image", "seq").agg(F.max_by(F.struct("rx", "ry", "hollow", "radius"), F.struct(worth, -F.col("ring"))).alias("b"))
+    if mask is not None:
+        put = best.select(F.col("image").alias("map_id"), F.struct("image", "seq").alias("ring"), F.col("b.rx").cast("double").alias("x"), F.col("b.ry").cast("double").alias("y"), F.greatest("b.radius", F.lit(0.9 * radius)).cast("double").alias("radius"))
+        fine = refined_rings(put, mask.withColumnRenamed("image", "map_id"), images.withColumnRenamed("image", "map_id"), max(4.0, 0.35 * radius))
+        best = fine.select("ring.image", "ring.seq", F.struct(F.col("x").alias("rx"), F.col("y").alias("ry"), "hollow").alias("b"))
     j = points.join(best, ["image", "seq"], "left")
     moved = F.col("b").isNotNull()
     score = F.when(moved, F.col("score") * (0.55 + 0.45 * F.least(F.col("b.hollow"), F.lit(1.0)))).otherwise(F.col("score"))
@@ -130,11 +136,11 @@ def snapped(points: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
 LEAST_SIDE = 32
 
 
-def merged_tiles(replies: DataFrame, rings: DataFrame, radius: float, least: float = 0.35) -> DataFrame:
+def merged_tiles(replies: DataFrame, rings: DataFrame, radius: float, least: float = 0.35, mask: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """``replies``: image, tile, x0, y0, width, height, seq, number, x, y, score (places as shares of the tile). Hits of all tiles of an image in its pixels, moved to rings;
-    of each number the best, the first of equals (by tile, then seq). Tiles with a side under ``LEAST_SIDE`` aren't asked."""
+    of each number the best, the first of equals (by tile, then seq). Tiles with a side under ``LEAST_SIDE`` aren't asked. ``mask`` and ``images``: as for ``snapped``."""
     sure = replies.where((F.col("score") >= least) & (F.col("width") >= LEAST_SIDE) & (F.col("height") >= LEAST_SIDE)).select("image", F.struct("tile", "seq").alias("seq"), "number", (F.col("x0") + F.col("x") * F.col("width")).alias("x"), (F.col("y0") + F.col("y") * F.col("height")).alias("y"), "score")
-    put = snapped(sure, rings, radius)
+    put = snapped(sure, rings, radius, mask, images)
     first = Window.partitionBy("image", "number").orderBy(F.desc("score"), "seq")
     return put.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("image", "number", "x", "y", "score", "source")
 

@@ -137,3 +137,12 @@ def start_mask(spark, sf_dir: str) -> DataFrame:
 MARKS = f"""im AS (SELECT map_id, max(r) + 1 AS height, max(c) + 1 AS width FROM label GROUP BY map_id), mp AS (SELECT course, map_id, CAST(18 + j % 3 * 32 AS INT) AS x, CAST(16 + j // 3 * 30 AS INT) AS y FROM (SELECT CAST(s_suppkey // {COURSE} AS INT) AS course, CAST(s_suppkey // {COURSE} // {COURSES_A_MAP} AS INT) AS map_id, s_suppkey // {COURSE} % {COURSES_A_MAP} AS j FROM supplier WHERE s_suppkey % {COURSE} = 0)),
 sp AS (SELECT CAST(unnest(range(-16, 17)) AS INT) AS a), sq AS (SELECT p.a AS a, q.a AS b FROM sp p, sp q)"""
 RING_MASK = f"""{MARKS}, mk AS (SELECT map_id, r, c FROM label WHERE class_id IN (13, 15) UNION SELECT map_id, r, c FROM (SELECT map_id, y + a AS r, x + b AS c FROM mp, sq WHERE a * a + b * b BETWEEN (10 + course % 4) * (10 + course % 4) AND (12 + course % 4) * (12 + course % 4)) JOIN im USING (map_id) WHERE r >= 0 AND c >= 0 AND r < height AND c < width)"""
+
+
+def given_rings(spark, sf_dir: str) -> DataFrame:
+    """map_id, ring, x, y, radius: the drawn rings of ``ring_mask``, some pixels off their centres."""
+    k = F.col("course")
+    return _marks(spark, sf_dir).select("map_id", k.alias("ring"), (F.col("x") + k % 5 - 2 + k % 2 / 2).alias("x"), (F.col("y") + k % 7 - 3).cast("double").alias("y"), (11 + k % 4).cast("double").alias("radius"))
+
+
+GIVEN_RINGS = "gv AS (SELECT map_id, course AS ring, CAST(x + course % 5 - 2 + (course % 2) / 2 AS DOUBLE) AS x, CAST(y + course % 7 - 3 AS DOUBLE) AS y, CAST(11 + course % 4 AS DOUBLE) AS radius FROM mp)"

@@ -5,12 +5,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fellside import dims
 from fellside.functions import scalars
-from fellside.operators import detect, graph, metrics, raster, regions, tiling, tour
+from fellside.operators import detect, graph, masks, metrics, raster, refine, regions, tiling, tour
 from fellside.plans import api
 from fellside.sources import files
 from fellside.streaming import live
@@ -574,3 +575,121 @@ def test_hooks(spark):
     assert [r.probs[0] for r in api.predict_tiles(tiles, lambda xs: [[len(x)] for x in xs]).orderBy("tile").collect()] == [2.0, 1.0]
     got = api.ask_tiles(tiles, lambda x: '{"controls":[{"number":31,"x":0.5,"y":0.5}]}').collect()
     assert [r.number for r in got] == [31, 31]
+
+
+def test_raster_in_bands(spark, tmp_path, monkeypatch):
+    """What is written is read again, band by band; places without a value hold the filling; a second write replaces the first."""
+    monkeypatch.setattr(files, "PART_BYTES", 60)  # three rows of five 4-byte numbers
+    rows = [(m, r, c, float(m * 100 + r * 10 + c)) for m in (1, 2) for r in range(8) for c in range(5) if (r + c) % 4]
+    values = spark.createDataFrame([*rows, (1, 99, 0, 5.0), (3, 0, 0, 1.0), (1, 0, 0, None)], "map_id int, r int, c int, value double").repartition(3)
+    images = spark.createDataFrame([(1, 8, 5), (2, 8, 5)], "map_id int, height int, width int")
+    path = f"file://{tmp_path}/costs"
+    for _ in range(2):
+        files.write_raster(values, images, path, fill=-1.0)
+    got = spark.read.format("raster_bands").load(path).collect()
+    want = {(m, r, c): -1.0 for m in (1, 2) for r in range(8) for c in range(5)} | {(m, r, c): v for m, r, c, v in rows}
+    assert len(got) == 80 and {(x.map_id, x.r, x.c): x.value for x in got} == want
+    assert len(list((tmp_path / "costs").glob("*.npy"))) == 6
+    files.whole_raster(spark, path, 2, f"file://{tmp_path}/two.npy")
+    two = np.load(tmp_path / "two.npy")
+    assert two.dtype == np.float32 and two.shape == (8, 5) and all(two[r, c] == want[2, r, c] for r in range(8) for c in range(5))
+
+
+def test_failed_write_leaves_no_bands(spark, tmp_path):
+    images = spark.createDataFrame([(1, 8, 5)], "map_id int, height int, width int")
+    values = spark.createDataFrame([(1, r, 0, float(r)) for r in range(8)], "map_id int, r int, c int, value double")
+    bad = values.withColumn("value", F.when(F.col("r") == 7, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_raster(bad, images, f"file://{tmp_path}/bad")
+    assert not list((tmp_path / "bad").glob("*")) if (tmp_path / "bad").exists() else True
+    writer = files.BandsWriter(f"file://{tmp_path}/part", "f4", 0.0)
+    batch = pa.RecordBatch.from_pydict({"map_id": [1], "first": [0], "last": [8], "width": [5], "r": [2], "c": [3], "value": [1.5]})
+    one, lost = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert one.files != lost.files
+    writer.commit([one, None])
+    assert [p.name for p in (tmp_path / "part").glob("*.npy")] == [one.files[0][-1]]
+    writer.abort([writer.write(iter([batch]))])
+    assert [p.name for p in (tmp_path / "part").glob("*.npy")] == [one.files[0][-1]]
+
+
+def plain_closing(on, height, width, kernel, order):
+    for grow in order:
+        inside = {(r, c) for r in range(height) for c in range(width)}
+        on = {(r + a, c + b) for r, c in on for a, b in kernel} & inside if grow else {(r, c) for r, c in inside if all((r + a, c + b) in on for a, b in kernel if (r + a, c + b) in inside)}
+    return on
+
+
+@pytest.mark.parametrize("kernel", [[(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)], [(0, 0), (0, 1), (1, 2)]])
+def test_morphology(spark, kernel):
+    """Against sets, with an uneven kernel too, and at the edges."""
+    rng = np.random.default_rng(8)
+    on = {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((12, 9)) < 0.6), strict=True)}
+    mask, images = spark.createDataFrame([(4, r, c) for r, c in on], "map_id int, r int, c int"), spark.createDataFrame([(4, 12, 9), (5, 3, 3)], "map_id int, height int, width int")
+    pixels = lambda d: sorted((r.r, r.c) for r in d.collect())
+    assert pixels(masks.opened(mask, images, kernel)) == sorted(plain_closing(on, 12, 9, kernel, (False, True)))
+    assert pixels(masks.closed(mask, images, kernel, 2)) == sorted(plain_closing(on, 12, 9, kernel, (True, True, False, False)))
+    assert masks.closed(mask.limit(0), images, kernel).count() == 0
+
+
+def test_equalised_by_hand(spark):
+    """An image of 8 x 8 pixels has a pixel a tile: its level is the only one, and stands at the limit of one, so a value becomes the share of levels up to it: all."""
+    px = spark.createDataFrame([(0, r, c, (r * 8 + c) * 4) for r in range(8) for c in range(8)], "map_id int, r int, c int, v int")
+    images = spark.createDataFrame([(0, 8, 8)], "map_id int, height int, width int")
+    got = masks.equalised(px, images).collect()
+    assert len(got) == 64
+    # between middles the four tiles around count alike: 255 for each one whose own value isn't above this one's
+    level = {(r.r, r.c): r.level for r in got}
+    at = {(r, c): (r * 8 + c) * 4 for r in range(8) for c in range(8)}
+    for (r, c), v in level.items():
+        around = [(max(min(r + a, 7), 0), max(min(c + b, 7), 0)) for a in (-1, 0) for b in (-1, 0)]
+        assert v == round(sum(255 * (at[p] <= at[r, c]) for p in around) / 4), (r, c)
+    grey = masks.byte_hsv(F.lit(255), F.lit(0), F.lit(128))
+    assert tuple(spark.range(1).select(*grey).first()) == (165, 255, 255)
+    back = masks.byte_rgb(F.lit(165), F.lit(255), F.lit(255))
+    assert tuple(spark.range(1).select(*back).first()) == (255, 0, 128)
+
+
+def plain_refined(mask, x, y, radius, height, width, search):
+    """The plain rule: a grid, a centroid, half a pixel."""
+    worth = lambda a, b: ring_of(mask, a, b, radius, height, width)
+    best, at = round(worth(x, y)[2], 9), (x, y)
+    for dy in range(-math.ceil(search), math.ceil(search) + 1):
+        for dx in range(-math.ceil(search), math.ceil(search) + 1):
+            rim, _, h = worth(x + dx, y + dy)
+            if rim >= 0.25 and round(h, 9) > best:
+                best, at = round(h, 9), (x + dx, y + dy)
+    rr, (bx, by) = max(radius, 1.0), at
+    own = [(r, c) for r, c in mask if 0.7 * rr <= math.hypot(c - bx, r - by) <= 1.3 * rr and max(abs(c - int(bx)), abs(r - int(by))) <= math.ceil(rr + 4)]
+    if len(own) >= 12:
+        cx, cy = sum(c for _, c in own) / len(own), sum(r for r, _ in own) / len(own)
+        h = round(worth(cx, cy)[2], 9)
+        if h + 0.02 >= best:
+            best, at = h, (cx, cy)
+    for dy in (-0.5, 0.0, 0.5):
+        for dx in (-0.5, 0.0, 0.5):
+            h = round(worth(at[0] + dx, at[1] + dy)[2], 9)
+            if h > best:
+                best, at = h, (at[0] + dx, at[1] + dy)
+    return (*at, best)
+
+
+def test_refined_rings(spark):
+    """Planted rings are found from some pixels off, at the edge of the image too; a ring without pixels stays."""
+    rng = np.random.default_rng(5)
+    centres = {1: (30, 30, 10.0), 2: (3, 80, 9.0), 3: (80, 20, 12.5)}
+    on = {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((100, 100)) < 0.02), strict=True)}
+    on |= {(r, c) for r in range(100) for c in range(100) for x, y, d in centres.values() if abs(math.hypot(c - x, r - y) - d) <= 1.2}
+    given = {k: (x + dx, y + dy, d) for (k, (x, y, d)), (dx, dy) in zip(centres.items(), ((3.0, -4.0), (1.5, 2.25), (-2.0, 5.0)), strict=True)}
+    rings = spark.createDataFrame([*[(0, k, *v) for k, v in given.items()], (9, 4, 5.0, 5.0, 8.0), (0, 5, None, 1.0, 2.0)], "map_id int, ring int, x double, y double, radius double")
+    mask, images = spark.createDataFrame([(0, r, c) for r, c in on], "map_id int, r int, c int"), spark.createDataFrame([(0, 100, 100), (9, 20, 20)], "map_id int, height int, width int")
+    got = {r.ring: (r.x, r.y, r.hollow) for r in refine.refined_rings(rings, mask, images, 6.0).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4] == (5.0, 5.0, 0.0)
+    for k, (x, y, d) in given.items():
+        assert got[k] == pytest.approx(plain_refined(on, x, y, d, 100, 100, 6.0)), k
+        # where most of a ring lies outside, the rule itself moves off
+        assert k == 2 or math.hypot(got[k][0] - centres[k][0], got[k][1] - centres[k][1]) <= 1.0
+    # moved points are refined on the mask: a candidate three pixels off leads to the planted centre
+    points = spark.createDataFrame([(0, 7, 40.0, 36.0, 0.8)], "image int, seq int, x double, y double, score double")
+    near = spark.createDataFrame([(0, 1, 33.0, 31.0, 10.0, 0.5)], "image int, ring int, rx double, ry double, radius double, hollow double")
+    put = detect.snapped(points, near, 10.0, mask.withColumnRenamed("map_id", "image"), images.withColumnRenamed("map_id", "image")).first()
+    assert math.hypot(put.x - 30, put.y - 30) <= 1.0 and put.source == "circle" and put.score > 0.8 * (0.55 + 0.45 * 0.5)
