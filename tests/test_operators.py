@@ -1,6 +1,7 @@
 """Hand-checked cases."""
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from fellside import dims
 from fellside.functions import scalars
-from fellside.operators import detect, graph, masks, metrics, raster, refine, regions, tiling, tour
+from fellside.operators import augment, detect, graph, masks, metrics, raster, refine, regions, tiling, tour
+from fellside.operators import settings as S
 from fellside.plans import api
 from fellside.sources import files
 from fellside.streaming import live
@@ -687,9 +689,59 @@ def test_refined_rings(spark):
     for k, (x, y, d) in given.items():
         assert got[k] == pytest.approx(plain_refined(on, x, y, d, 100, 100, 6.0)), k
         # where most of a ring lies outside, the rule itself moves off
-        assert k == 2 or math.hypot(got[k][0] - centres[k][0], got[k][1] - centres[k][1]) <= 1.0
+        assert k == 2 or math.dist(got[k][:2], centres[k][:2]) < math.dist((x, y), centres[k][:2]) / 2
     # moved points are refined on the mask: a candidate three pixels off leads to the planted centre
     points = spark.createDataFrame([(0, 7, 40.0, 36.0, 0.8)], "image int, seq int, x double, y double, score double")
     near = spark.createDataFrame([(0, 1, 33.0, 31.0, 10.0, 0.5)], "image int, ring int, rx double, ry double, radius double, hollow double")
     put = detect.snapped(points, near, 10.0, mask.withColumnRenamed("map_id", "image"), images.withColumnRenamed("map_id", "image")).first()
     assert math.hypot(put.x - 30, put.y - 30) <= 1.0 and put.source == "circle" and put.score > 0.8 * (0.55 + 0.45 * 0.5)
+
+
+def plain_merge(a, b):
+    return {**a, **{k: plain_merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+
+
+def test_settings_are_merged_at_any_depth(spark):
+    pairs = [
+        ({"a": {"b": {"c": 1, "d": [1, {"e": 2}]}}, "x": None}, {"a": {"b": {"c": None, "n": {"m": {}}}}, "x": {"y": "z"}}),
+        ({"a": 1}, {"a": {}}), ({"a": {}}, {"a": {}}), ({"a": {"b": 1}}, {"a": {}}), ({}, {}), ({"a": {"b": 1, "c": 2}}, {}), ({}, {"q\"u o.t\\e": {"ä": "\n"}}),
+        ({"a": {"b": 1}}, {"a": 5}), ({"a": {"b": {}}}, {"a": {"b": {"c": {}}}}), ({"a": [1, 2]}, {"a": [3]}), ({"a": {"b": {"c": 1}}, "a.b": 3}, {"a": {"b": 2}}),
+    ]
+    side = lambda n: S.leaves(spark.createDataFrame([(i, json.dumps(p[n])) for i, p in enumerate(pairs)] + ([(90, "no json"), (91, None), (92, "[1]")] if n else [(90, '{"k":1}')]), "id int, body string"))
+    got = {r.id: json.loads(r.body) for r in S.documents(S.merged(side(0), side(1))).collect()}
+    assert got == {**{i: plain_merge(a, b) for i, (a, b) in enumerate(pairs)}, 90: {"k": 1}, 91: {}, 92: {}}
+    assert S.leaves(spark.createDataFrame([], "id int, body string")).count() == 0
+    assert tuple(spark.range(1).select(S.resolved(F.lit("a/b"), "/r/"), S.resolved(F.lit("/c"), "/r")).first()) == ("/r/a/b", "/c")
+
+
+def test_moved_images(spark):
+    """No move leaves an image alone; a quarter turn about the middle and a whole pixel's shift are exact; what comes from outside is paper or nothing."""
+    px = [(0, r, c, 10 * r + c) for r in range(4) for c in range(4)]
+    image, images = spark.createDataFrame(px, "map_id int, r int, c int, red int"), spark.createDataFrame([(0, 4, 4)], "map_id int, height int, width int")
+    move = lambda *m: spark.createDataFrame([(0, *map(float, m))], "map_id int, tx double, ty double, scale double, angle double")
+    seen = lambda d, n: {(r.r, r.c): r[n] for r in d.collect()}
+    assert seen(augment.affine(image, images, move(0, 0, 1, 0)), "red") == {(r, c): v for _, r, c, v in px}
+    turned = seen(augment.affine(image, images, move(0, 0, 1, 90)), "red")
+    assert turned == {(c, 3 - r): v for _, r, c, v in px} or turned == {(3 - c, r): v for _, r, c, v in px}
+    shifted = seen(augment.affine(image, images, move(0.25, 0, 1, 0)), "red")
+    assert shifted == {(r, c): 10 * r + c - 1 if c else 255 for r in range(4) for c in range(4)}
+    half = seen(augment.affine(image, images, move(0.125, 0, 1, 0)), "red")
+    assert half[1, 1] == math.floor((10 + 11) / 2 + 0.5) and half[1, 0] == math.floor((255 + 10) / 2 + 0.5)
+    label = image.withColumnRenamed("red", "class_id")
+    assert seen(augment.affine_label(label, images, move(0.25, 0, 1, 0)), "class_id") == {(r, c): 10 * r + c - 1 if c else 0 for r in range(4) for c in range(4)}
+    many = spark.range(400).select(F.col("id").cast("int").alias("map_id"), F.lit(4).alias("height"), F.lit(4).alias("width"))
+    one, two = (sorted(map(tuple, augment.drawn(many.repartition(k), 7).collect())) for k in (1, 5))
+    moved = [m for m in one if m[1:] != (0.0, 0.0, 1.0, 0.0)]
+    assert one == two and 120 < len(moved) < 200 and all(abs(m[1]) <= 0.06 and abs(m[3] - 1) <= 0.1 + 1e-9 and abs(m[4]) <= 15 for m in moved)
+
+
+@pytest.mark.parametrize("shape", [(6, 7), (2, 9), (1, 1)])
+def test_blur_mirrors_at_edges(spark, shape):
+    h, w = shape
+    a = np.random.default_rng(2).integers(0, 256, shape)
+    image = spark.createDataFrame([(0, r, c, int(a[r, c])) for r in range(h) for c in range(w)], "map_id int, r int, c int, red int")
+    k = np.array(augment.bell(5))
+    at = lambda n, p: min(p % max(2 * (n - 1), 1), max(2 * (n - 1), 1) - p % max(2 * (n - 1), 1)) if n > 1 else 0
+    want = {(r, c): math.floor(round(sum(k[i] * k[j] * a[at(h, r + i - 2), at(w, c + j - 2)] for i in range(5) for j in range(5)), 6) + 0.5) for r in range(h) for c in range(w)}
+    got = augment.blurred(image, spark.createDataFrame([(0, h, w)], "map_id int, height int, width int"), augment.bell(5)).collect()
+    assert {(r.r, r.c): r.red for r in got} == want
