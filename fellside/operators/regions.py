@@ -233,10 +233,11 @@ def without_lines(labelled: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def annulus_centres(rings: DataFrame, mask: DataFrame, least: int = 12) -> DataFrame:
-    """``rings``: map_id, ring, x, y, radius (whole numbers). Mean of the mask's pixels between 0.7 and 1.3 radii, if there are ``least``."""
+    """``rings``: map_id, ring, x, y, radius (whole numbers). Mean of the mask's pixels between 0.7 and 1.3 radii, if there are ``least``. Rings are pixels before the join, hundreds
+    each, so it's asked to sort and merge: by the size of the rings' table they would be broadcast."""
     reach = F.ceil(F.col("radius") * 1.3).cast("int")
     p = rings.select("*", F.explode(F.sequence(-reach, reach)).alias("a"), reach.alias("k")).select("*", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("b"))
     d2 = F.col("a") * F.col("a") + F.col("b") * F.col("b")
     p = p.where((100 * d2 >= 49 * F.col("radius") * F.col("radius")) & (100 * d2 <= 169 * F.col("radius") * F.col("radius")))
-    p = p.select("map_id", "ring", (F.col("y") + F.col("a")).alias("r"), (F.col("x") + F.col("b")).alias("c")).join(mask.select("map_id", "r", "c"), ["map_id", "r", "c"])
+    p = p.select("map_id", "ring", (F.col("y") + F.col("a")).alias("r"), (F.col("x") + F.col("b")).alias("c")).hint("merge").join(mask.select("map_id", "r", "c"), ["map_id", "r", "c"])
     return p.groupBy("map_id", "ring").agg(F.avg("c").alias("cx"), F.avg("r").alias("cy"), F.count("*").alias("n")).where(F.col("n") >= least)

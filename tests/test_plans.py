@@ -14,3 +14,7 @@ def planned(df) -> str:
 @pytest.mark.parametrize("name", ["retime", "path_steps", "rle_segments", "route_similarity", "terrain_distance", "smooth_segments", "corridor_inflate"])
 def test_walks_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in planned(catalogue.QUERIES[name](spark, SF))
+
+
+def test_annuli_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in planned(catalogue.QUERIES["annulus_centre"](spark, SF))
