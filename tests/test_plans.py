@@ -18,3 +18,12 @@ def test_walks_are_not_broadcast(spark, name):
 
 def test_annuli_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in planned(catalogue.QUERIES["annulus_centre"](spark, SF))
+
+
+def test_votes_meet_sizes_before_they_are_cast(spark):
+    from fellside.operators import detect
+
+    mask = spark.createDataFrame([(0, 1, 1)], "map_id int, r int, c int")
+    images = spark.createDataFrame([(0, 9, 9)], "map_id int, height int, width int")
+    plan = planned(detect.circle_votes(mask, images))
+    assert plan.index("Generate explode") < plan.index("Join [map_id")
