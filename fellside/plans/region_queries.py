@@ -110,12 +110,7 @@ def backtrack(spark, sf_dir):
     from ..operators import graph
 
     cs = cells(spark, sf_dir)
-    t = graph.times_from(cs, starts(spark, sf_dir, cs)).select("map_id", "i", "cr", "cc", "time_s")
-    e = graph.edges(cs)
-    up = t.select("map_id", "i", F.col("cr"), F.col("cc"), F.col("time_s").alias("from_s")).join(e, ["map_id", "cr", "cc"])
-    best = up.groupBy("map_id", "i", "nr", "nc").agg(F.min(F.struct(F.round(F.col("from_s") + F.col("w"), 9).alias("d"), "cr", "cc")).alias("b"))
-    goal = t.where("time_s > 0").select("map_id", "i", F.col("cr").alias("nr"), F.col("cc").alias("nc"))
-    return best.join(goal, ["map_id", "i", "nr", "nc"], "left_semi").select(F.col("i").alias("course"), F.col("nr").alias("cr"), F.col("nc").alias("cc"), F.col("b.cr").alias("pr"), F.col("b.cc").alias("pc"))
+    return graph.parents_from(cs, starts(spark, sf_dir, cs)).select(F.col("i").alias("course"), "cr", "cc", "pr", "pc")
 
 
 @query("detection_union", f"WITH {D.DETECTIONS} SELECT DISTINCT CAST(floor(course / 2) AS BIGINT) AS pair, number FROM det")

@@ -1,7 +1,10 @@
 """How queries are planned: small files stand for many rows, so what is made of them isn't broadcast by a file's size."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from fellside.operators import graph
 from fellside.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +30,24 @@ def test_votes_meet_sizes_before_they_are_cast(spark):
     images = spark.createDataFrame([(0, 9, 9)], "map_id int, height int, width int")
     plan = planned(detect.circle_votes(mask, images))
     assert plan.index("Generate explode") < plan.index("Join [map_id")
+
+
+def test_many_sources_at_once_have_the_times_of_a_search():
+    """Mazes with walls, starts in neighbouring rows and in one cell, wide and high grids."""
+    rng = np.random.default_rng(5)
+    for h, w, walls in ((40, 9, 0.3), (9, 40, 0.3), (25, 25, 0.45), (1, 7, 0.0), (7, 1, 0.2)):
+        grid = rng.integers(1, 9, (h, w)).astype(float)
+        grid[rng.random((h, w)) < walls] = np.inf
+        free = np.argwhere(grid < np.inf)
+        starts = [tuple(int(v) for v in free[n % len(free)]) for n in (0, 0, 1, len(free) // 2, len(free) - 1)]
+        got = graph.sweep(grid, starts)
+        for n, s in enumerate(starts):
+            assert np.array_equal(got[:, :, n], graph.search(grid, s)[0])
+
+
+def test_a_map_is_told_once_for_many_courses(spark):
+    """Not once for each course or for every four: a task has many of a map's courses."""
+    cells = spark.createDataFrame([(0, r, 0, 1.0) for r in range(200)], "map_id int, cr int, cc int, time_s double")
+    ways = spark.createDataFrame([(0, t, p, t + p, 0) for t in range(100) for p in (0, 1)], "map_id int, tour int, place int, cr int, cc int")
+    sides = graph.legs(cells, ways)
+    assert sides.groupBy(F.spark_partition_id()).count().count() <= 2 and sides.count() == 200
