@@ -13,39 +13,39 @@ from .registry import query
 from .route_queries import STEP, cells, starts, steps, times_sql
 
 MASK = f"{D.LABEL}, mk AS (SELECT map_id, r, c, CAST(r AS BIGINT) * 2147483648 + c AS id FROM label WHERE class_id IN (6, 10))"
-REGION = """mv(a, b) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), sh AS (SELECT id AS other, map_id, r + a AS r, c + b AS c FROM mk, mv), nb AS (SELECT mk.id, sh.other FROM mk JOIN sh USING (map_id, r, c)),
-rg(id, region) USING KEY (id) AS (SELECT id, id FROM mk UNION SELECT w.id, w.region FROM (SELECT nb.id, min(rg.region) AS region FROM rg JOIN nb ON nb.other = rg.id GROUP BY nb.id) w JOIN recurring.rg k ON k.id = w.id WHERE w.region < k.region)"""
-HOLES = """px AS MATERIALIZED (SELECT region, r, c FROM rg JOIN mk USING (id)), di(a, b) AS (SELECT x, y FROM (SELECT unnest(range(-2, 3)) AS x), (SELECT unnest(range(-2, 3)) AS y) WHERE abs(x) + abs(y) <= 2), gw AS (SELECT DISTINCT region, r + a AS r, c + b AS c FROM px, di),
-cl AS MATERIALIZED (SELECT region, r + a AS r, c + b AS c FROM gw, di GROUP BY ALL HAVING count(*) = 13), sq AS (SELECT region, r - i AS qr, c - j AS qc, sum(1 << (2 * i + j)) AS bits FROM cl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL),
-ho AS (SELECT region, CAST(1 - sum(CASE WHEN bits IN (1, 2, 4, 8) THEN 1 WHEN bits IN (7, 11, 13, 14) THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4 AS INT) AS holes FROM sq GROUP BY region)"""
+REGION = """mv(a, b) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), sh AS (SELECT id AS other, map_id, r + a AS r, c + b AS c FROM mk, mv), nb AS (SELECT map_id, mk.id, sh.other FROM mk JOIN sh USING (map_id, r, c)),
+rg(map_id, id, region) USING KEY (map_id, id) AS (SELECT map_id, id, id FROM mk UNION SELECT w.map_id, w.id, w.region FROM (SELECT nb.map_id, nb.id, min(rg.region) AS region FROM rg JOIN nb ON nb.map_id = rg.map_id AND nb.other = rg.id GROUP BY nb.map_id, nb.id) w JOIN recurring.rg k ON k.map_id = w.map_id AND k.id = w.id WHERE w.region < k.region)"""
+HOLES = """px AS MATERIALIZED (SELECT map_id, region, r, c FROM rg JOIN mk USING (map_id, id)), di(a, b) AS (SELECT x, y FROM (SELECT unnest(range(-2, 3)) AS x), (SELECT unnest(range(-2, 3)) AS y) WHERE abs(x) + abs(y) <= 2), gw AS (SELECT DISTINCT map_id, region, r + a AS r, c + b AS c FROM px, di),
+cl AS MATERIALIZED (SELECT map_id, region, r + a AS r, c + b AS c FROM gw, di GROUP BY ALL HAVING count(*) = 13), sq AS (SELECT map_id, region, r - i AS qr, c - j AS qc, sum(1 << (2 * i + j)) AS bits FROM cl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j) GROUP BY ALL),
+ho AS (SELECT map_id, region, CAST(1 - sum(CASE WHEN bits IN (1, 2, 4, 8) THEN 1 WHEN bits IN (7, 11, 13, 14) THEN -1 WHEN bits IN (6, 9) THEN -2 ELSE 0 END) / 4 AS INT) AS holes FROM sq GROUP BY map_id, region)"""
 
 
 def mask(spark, sf_dir):
     return D.label(spark, sf_dir).where("class_id IN (6, 10)").select("map_id", "r", "c")
 
 
-@query("connected_regions", f"WITH RECURSIVE {MASK}, {REGION} SELECT r, c, region FROM rg JOIN mk USING (id)")
+@query("connected_regions", f"WITH RECURSIVE {MASK}, {REGION} SELECT r, c, region FROM rg JOIN mk USING (map_id, id)")
 def connected_regions(spark, sf_dir):
     _checkpoints(spark)
     return G.label_regions(mask(spark, sf_dir)).select("r", "c", "region")
 
 
-#: The outer border of each closed region, a side at a time from its first pixel's top, with 8-connected pixels: bd (region, straight, slant, a2).
-BORDER = """sd(s, dr, dc, br, bc) AS (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)), ck AS (SELECT region, r, c, s, dr, dc, br, bc FROM cl, sd WHERE NOT EXISTS (SELECT 1 FROM cl o WHERE o.region = cl.region AND o.r = cl.r + br AND o.c = cl.c + bc)),
-nx AS MATERIALIZED (SELECT ck.region, ck.r, ck.c, s, CASE WHEN g.r IS NOT NULL THEN g.r WHEN f.r IS NOT NULL THEN f.r ELSE ck.r END AS nr, CASE WHEN g.r IS NOT NULL THEN g.c WHEN f.r IS NOT NULL THEN f.c ELSE ck.c END AS nc, CASE WHEN g.r IS NOT NULL THEN (s + 3) % 4 WHEN f.r IS NOT NULL THEN s ELSE (s + 1) % 4 END AS ns FROM ck
-  LEFT JOIN cl g ON g.region = ck.region AND g.r = ck.r + dr + br AND g.c = ck.c + dc + bc LEFT JOIN cl f ON f.region = ck.region AND f.r = ck.r + dr AND f.c = ck.c + dc),
-f0 AS (SELECT region, arg_min({'r': r, 'c': c}, {'r': r, 'c': c}) AS p FROM cl GROUP BY region), wk(region, r, c, s) AS (SELECT region, p.r, p.c, 0 FROM f0 UNION SELECT nx.region, nr, nc, ns FROM wk JOIN nx USING (region, r, c, s)),
-bd AS (SELECT region, count(*) FILTER ((r <> nr) <> (c <> nc)) AS straight, count(*) FILTER (r <> nr AND c <> nc) AS slant, sum(c * nr - nc * r) AS a2 FROM wk JOIN nx USING (region, r, c, s) GROUP BY region)"""
+#: The outer border of each closed region, a side at a time from its first pixel's top, with 8-connected pixels: bd (map_id, region, straight, slant, a2).
+BORDER = """sd(s, dr, dc, br, bc) AS (VALUES (0, 0, 1, -1, 0), (1, 1, 0, 0, 1), (2, 0, -1, 1, 0), (3, -1, 0, 0, -1)), ck AS (SELECT map_id, region, r, c, s, dr, dc, br, bc FROM cl, sd WHERE NOT EXISTS (SELECT 1 FROM cl o WHERE o.map_id = cl.map_id AND o.region = cl.region AND o.r = cl.r + br AND o.c = cl.c + bc)),
+nx AS MATERIALIZED (SELECT ck.map_id, ck.region, ck.r, ck.c, s, CASE WHEN g.r IS NOT NULL THEN g.r WHEN f.r IS NOT NULL THEN f.r ELSE ck.r END AS nr, CASE WHEN g.r IS NOT NULL THEN g.c WHEN f.r IS NOT NULL THEN f.c ELSE ck.c END AS nc, CASE WHEN g.r IS NOT NULL THEN (s + 3) % 4 WHEN f.r IS NOT NULL THEN s ELSE (s + 1) % 4 END AS ns FROM ck
+  LEFT JOIN cl g ON g.map_id = ck.map_id AND g.region = ck.region AND g.r = ck.r + dr + br AND g.c = ck.c + dc + bc LEFT JOIN cl f ON f.map_id = ck.map_id AND f.region = ck.region AND f.r = ck.r + dr AND f.c = ck.c + dc),
+f0 AS (SELECT map_id, region, arg_min({'r': r, 'c': c}, {'r': r, 'c': c}) AS p FROM cl GROUP BY map_id, region), wk(map_id, region, r, c, s) AS (SELECT map_id, region, p.r, p.c, 0 FROM f0 UNION SELECT nx.map_id, nx.region, nr, nc, ns FROM wk JOIN nx USING (map_id, region, r, c, s)),
+bd AS (SELECT map_id, region, count(*) FILTER ((r <> nr) <> (c <> nc)) AS straight, count(*) FILTER (r <> nr AND c <> nc) AS slant, sum(c * nr - nc * r) AS a2 FROM wk JOIN nx USING (map_id, region, r, c, s) GROUP BY map_id, region)"""
 
 
-@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, {HOLES}, {BORDER}, s AS (SELECT region, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1, avg(c) AS cx, avg(r) AS cy FROM px GROUP BY region HAVING count(*) >= 8), im AS (SELECT (max(r) + 1) * (max(c) + 1) AS size FROM label), k AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, straight + slant * sqrt(CAST(2 AS DOUBLE)) AS perimeter FROM s JOIN ho USING (region) JOIN bd USING (region)), a AS (SELECT *, area / (w * h) AS fill, greatest(w, h) / least(w, h) AS aspect, least(w, h) AS lo, greatest(w, h) AS hi, CASE WHEN perimeter > 1e-3 THEN 4 * pi() * area / (perimeter * perimeter) ELSE 0.0 END AS roundness FROM k) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fill, 6) AS fill, lo / 2 AS radius, holes, round(perimeter, 6) AS perimeter, round(roundness, 6) AS roundness, CASE WHEN (aspect >= 4 AND fill < 0.35 AND area < 0.02 * size) OR (aspect >= 3 AND lo <= 6 AND hi >= 40) THEN 'line' WHEN abs(w - h) <= 0.4 * hi AND lo >= 26 AND area >= 220 AND (holes > 0 OR (fill BETWEEN 0.15 AND 0.65 AND roundness > 0.35) OR (fill BETWEEN 0.2 AND 0.55 AND roundness > 0.55)) THEN 'circle' WHEN area BETWEEN 12 AND 8000 AND aspect <= 3.5 AND fill >= 0.15 AND hi <= 120 THEN 'digit' ELSE 'noise' END AS kind FROM a, im")
+@query("region_stats", f"WITH RECURSIVE {MASK}, {REGION}, {HOLES}, {BORDER}, s AS (SELECT map_id, region, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1, avg(c) AS cx, avg(r) AS cy FROM px GROUP BY map_id, region HAVING count(*) >= 8), im AS (SELECT map_id, (max(r) + 1) * (max(c) + 1) AS size FROM label GROUP BY map_id), k AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, straight + slant * sqrt(CAST(2 AS DOUBLE)) AS perimeter FROM s JOIN ho USING (map_id, region) JOIN bd USING (map_id, region)), a AS (SELECT *, area / (w * h) AS fill, greatest(w, h) / least(w, h) AS aspect, least(w, h) AS lo, greatest(w, h) AS hi, CASE WHEN perimeter > 1e-3 THEN 4 * pi() * area / (perimeter * perimeter) ELSE 0.0 END AS roundness FROM k) SELECT region, area, x0, x1, y0, y1, round(cx, 6) AS cx, round(cy, 6) AS cy, round(fill, 6) AS fill, lo / 2 AS radius, holes, round(perimeter, 6) AS perimeter, round(roundness, 6) AS roundness, CASE WHEN (aspect >= 4 AND fill < 0.35 AND area < 0.02 * size) OR (aspect >= 3 AND lo <= 6 AND hi >= 40) THEN 'line' WHEN abs(w - h) <= 0.4 * hi AND lo >= 26 AND area >= 220 AND (holes > 0 OR (fill BETWEEN 0.15 AND 0.65 AND roundness > 0.35) OR (fill BETWEEN 0.2 AND 0.55 AND roundness > 0.55)) THEN 'circle' WHEN area BETWEEN 12 AND 8000 AND aspect <= 3.5 AND fill >= 0.15 AND hi <= 120 THEN 'digit' ELSE 'noise' END AS kind FROM a JOIN im USING (map_id)")
 def region_stats(spark, sf_dir):
     _checkpoints(spark)
     s = G.region_stats(G.label_regions(mask(spark, sf_dir)), D.images(spark, sf_dir))
     return s.select("region", "area", "x0", "x1", "y0", "y1", *[F.round(n, 6).alias(n) for n in ("cx", "cy", "fill")], "radius", "holes", *[F.round(n, 6).alias(n) for n in ("perimeter", "roundness")], "kind")
 
 
-@query("contours", f"WITH RECURSIVE {MASK}, {REGION}, cl AS MATERIALIZED (SELECT region, r, c FROM rg JOIN mk USING (id)), {BORDER} SELECT region, straight + slant AS points, round(straight + slant * sqrt(CAST(2 AS DOUBLE)), 6) AS perimeter, CAST(abs(a2) / 2 AS DOUBLE) AS area FROM bd")
+@query("contours", f"WITH RECURSIVE {MASK}, {REGION}, cl AS MATERIALIZED (SELECT map_id, region, r, c FROM rg JOIN mk USING (map_id, id)), {BORDER} SELECT region, straight + slant AS points, round(straight + slant * sqrt(CAST(2 AS DOUBLE)), 6) AS perimeter, CAST(abs(a2) / 2 AS DOUBLE) AS area FROM bd")
 def contours(spark, sf_dir):
     """The outer border of every region."""
     _checkpoints(spark)

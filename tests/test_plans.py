@@ -1,12 +1,16 @@
 """How queries are planned: small files stand for many rows, so what is made of them isn't broadcast by a file's size."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fellside.operators import graph
 from fellside.plans import catalogue
 
+from test_queries import rows
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -51,3 +55,15 @@ def test_a_map_is_told_once_for_many_courses(spark):
     ways = spark.createDataFrame([(0, t, p, t + p, 0) for t in range(100) for p in (0, 1)], "map_id int, tour int, place int, cr int, cc int")
     sides = graph.legs(cells, ways)
     assert sides.groupBy(F.spark_partition_id()).count().count() <= 2 and sides.count() == 200
+
+
+@pytest.mark.parametrize("name", ["connected_regions", "contours", "region_stats"])
+def test_regions_of_two_maps_are_apart(spark, tmp_path, name):
+    """The same pixels in two maps, of different sizes: SQL tells them apart as the query does."""
+    orders = pd.read_parquet(f"{SF}/orders.parquet")
+    again = orders.assign(o_orderkey=orders["o_orderkey"] + 1_000_000)
+    pd.concat([orders, again[again["o_orderkey"] % 2_000 < 1_200]]).to_parquet(tmp_path / "orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    want = rows(duck.execute(catalogue.ORACLE_SQL[name]).df())
+    assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == want
