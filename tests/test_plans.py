@@ -67,3 +67,23 @@ def test_regions_of_two_maps_are_apart(spark, tmp_path, name):
     duck.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
     want = rows(duck.execute(catalogue.ORACLE_SQL[name]).df())
     assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == want
+
+
+def test_copies_of_boxes_are_members_and_no_pairs(spark):
+    from fellside.operators import detect
+
+    boxes = [(0, i, 0.0, 0.0, 9.0, 9.0) for i in (3, 4, 5, 6)] + [(0, 7, 5.0, 5.0, 14.0, 14.0), (0, 1, 5.0, 5.0, 14.0, 14.0), (0, 9, 48.0, 48.0, 120.0, 52.0), (0, 8, 49.0, 40.0, 110.0, 51.0), (1, 2, 0.0, 0.0, 9.0, 9.0)]
+    got = detect.overlapping(spark.createDataFrame(boxes, "course int, id int, x0 double, y0 double, x1 double, y1 double"), 50.0).collect()
+    assert sorted((r.a_id, r.b_id) for r in got if r.copy) == [(1, 7), (3, 4), (3, 5), (3, 6)]
+    assert sorted((r.a_id, r.b_id) for r in got if not r.copy) == [(1, 3), (8, 9)]
+
+
+def test_equal_digits_meet_equal_rings_once(spark):
+    """A hundred equal boxes by a hundred equal rings: each has the hollowest, the first of equals, and few pairs are made."""
+    from fellside.operators import detect
+
+    digits = spark.createDataFrame([(0, i, 50.0, 50.0, 40.0, 40.0, 60.0, 60.0) for i in range(100)], "image int, digit int, cx double, cy double, x0 double, y0 double, x1 double, y1 double")
+    rings = spark.createDataFrame([(0, 100 + i, 75.0, 50.0, 12.0, (i % 10) / 10) for i in range(100)], "image int, ring int, x double, y double, radius double, hollow double")
+    got = detect.ring_near_digit(digits, rings, 60.0)
+    assert sorted((r.digit, r.ring) for r in got.collect()) == [(i, 109) for i in range(100)]
+    assert planned(got).count("Aggregate") > 2  # both sides are reduced before they meet
