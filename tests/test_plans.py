@@ -87,3 +87,15 @@ def test_equal_digits_meet_equal_rings_once(spark):
     got = detect.ring_near_digit(digits, rings, 60.0)
     assert sorted((r.digit, r.ring) for r in got.collect()) == [(i, 109) for i in range(100)]
     assert planned(got).count("Aggregate") > 2  # both sides are reduced before they meet
+
+
+def test_boxes_are_not_exchanged_as_pixels(spark):
+    from fellside.operators import detect
+
+    rng = np.random.default_rng(3)
+    on = rng.random((90, 90)) < 0.4
+    mask = spark.createDataFrame([(0, int(r), int(c)) for r, c in np.argwhere(on)], "map_id int, r int, c int")
+    boxes = [(i, 0, *(int(v) for v in rng.integers(0, 70, 2)), *(int(v) for v in rng.integers(1, 70, 2))) for i in range(60)] + [(60, 1, 3, 3, 5, 5), (61, 0, 0, 0, 32, 32)]
+    got = detect.mask_share(spark.createDataFrame(boxes, "id int, map_id int, x0 int, y0 int, w int, h int"), mask).collect()
+    want = {i: on[y : y + h, x : x + w].sum() / (w * h) if m == 0 else 0.0 for i, m, x, y, w, h in boxes}
+    assert len(got) == 62 and {r.id: r.share for r in got} == pytest.approx(want)
