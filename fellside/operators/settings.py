@@ -16,8 +16,10 @@ def _is_object(value: Column) -> Column:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """id, path (array of keys), value (JSON text) of every leaf. One round opens one level of all documents; ids are different. A document that names a key twice in an object isn't one."""
+    """id, path (array of keys), value (JSON text) of every leaf. One round opens one level of all documents; ids are different. A document that names a key twice in an object isn't one.
+    Documents are dealt out first: a small file is one task's, and what is made of it would stay there."""
     spark = docs.sparkSession
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     v = F.try_parse_json("body")
     empty = F.lit("{}")
     level = docs.select("id", F.array().cast("array<string>").alias("path"), F.when(_is_object(v), F.to_json(v)).otherwise(empty).alias("value"), F.coalesce(_is_object(v), F.lit(False)).alias("open")).transform(cut)

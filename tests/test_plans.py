@@ -99,3 +99,11 @@ def test_boxes_are_not_exchanged_as_pixels(spark):
     got = detect.mask_share(spark.createDataFrame(boxes, "id int, map_id int, x0 int, y0 int, w int, h int"), mask).collect()
     want = {i: on[y : y + h, x : x + w].sum() / (w * h) if m == 0 else 0.0 for i, m, x, y, w, h in boxes}
     assert len(got) == 62 and {r.id: r.share for r in got} == pytest.approx(want)
+
+
+def test_documents_of_one_file_are_dealt_out(spark):
+    from fellside.operators import settings
+
+    docs = spark.range(400).coalesce(1).select("id", F.format_string('{"a":{"b":%d}}', "id").alias("body"))
+    got = settings.leaves(docs)
+    assert got.count() == 400 and got.groupBy(F.spark_partition_id()).count().count() > 1
