@@ -70,7 +70,12 @@ def cracks(px: DataFrame) -> DataFrame:
     region's border with its pixel: next, nr, nc. Pixels that meet at a corner are joined there (regions are 8-connected). Pixels learn of their neighbours by one aggregation."""
     bit = {p: 1 << n for n, p in enumerate([(0, 0), *[p for p in NEAR]])}
     told = px.select("map_id", "region", "r", "c", F.explode(F.array(*[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(v).alias("bit")) for (a, b), v in bit.items()])).alias("m"))
-    code = told.groupBy("map_id", "region", (F.col("r") + F.col("m.a")).alias("r"), (F.col("c") + F.col("m.b")).alias("c")).agg(F.sum("m.bit").alias("code")).where(F.col("code").bitwiseAND(F.lit(1)) > 0)
+    return _sides_of(told.groupBy("map_id", "region", (F.col("r") + F.col("m.a")).alias("r"), (F.col("c") + F.col("m.b")).alias("c")).agg(F.sum("m.bit").alias("code")).where(F.col("code").bitwiseAND(F.lit(1)) > 0))
+
+
+def _sides_of(code: DataFrame) -> DataFrame:
+    """``code``: map_id, region, r, c, code: a bit for the pixel and each of its neighbours, in the order of ``NEAR``. As :func:`cracks`."""
+    bit = {p: 1 << n for n, p in enumerate([(0, 0), *NEAR])}
     has = lambda p: F.col("code").bitwiseAND(F.lit(bit[p])) > 0
     out = []
     for side, ((dr, dc), (br, bc)) in enumerate(SIDES):
@@ -100,17 +105,59 @@ def contours(px: DataFrame) -> DataFrame:
     return _measured(loops(cracks(px).transform(cut)))
 
 
-def _measured(on: DataFrame) -> DataFrame:
+def _measured(on: DataFrame, joined: bool = False) -> DataFrame:
+    """With ``joined``, all pixels of a map have the same region, and outer borders are told from holes' by the way they turn: along the pixels' own edges, the area on their right is positive."""
     moved = (F.col("r") != F.col("nr")) | (F.col("c") != F.col("nc"))
     slant = (F.col("r") != F.col("nr")) & (F.col("c") != F.col("nc"))
     cross = F.col("c").cast("long") * F.col("nr") - F.col("nc").cast("long") * F.col("r")
     sums = on.groupBy("map_id", "region", "loop").agg(
         F.sum((moved & ~slant).cast("long")).alias("straight"), F.sum(slant.cast("long")).alias("slant"), F.sum(cross).alias("a2"), F.sum((F.col("c") + F.col("nc")) * cross).alias("mx"), F.sum((F.col("r") + F.col("nr")) * cross).alias("my"),
-        F.min("c").alias("x0"), F.min("r").alias("y0"), (F.max("c") + 1).alias("x1"), (F.max("r") + 1).alias("y1"))
+        F.min("c").alias("x0"), F.min("r").alias("y0"), (F.max("c") + 1).alias("x1"), (F.max("r") + 1).alias("y1"), F.sum(_turn()).alias("turned"))
     first = on.groupBy("map_id", "region").agg(F.min("id").alias("first"))
     centre = lambda m: F.when(F.col("a2") != 0, F.col(m) / (3 * F.col("a2")))
-    out = sums.join(first, ["map_id", "region"])
-    return out.select("map_id", "region", "loop", (F.col("loop") == F.col("first")).alias("outer"), (F.col("straight") + F.col("slant")).alias("points"), (F.col("straight") + F.col("slant") * F.sqrt(F.lit(2.0))).alias("perimeter"), (F.abs("a2") / 2).alias("area"), centre("mx").alias("cx"), centre("my").alias("cy"), "x0", "y0", "x1", "y1")
+    out = sums if joined else sums.join(first, ["map_id", "region"])
+    return out.select("map_id", "region", "loop", (F.col("turned") > 0 if joined else F.col("loop") == F.col("first")).alias("outer"), (F.col("straight") + F.col("slant")).alias("points"), (F.col("straight") + F.col("slant") * F.sqrt(F.lit(2.0))).alias("perimeter"), (F.abs("a2") / 2).alias("area"), centre("mx").alias("cx"), centre("my").alias("cy"), "x0", "y0", "x1", "y1")
+
+
+def _turn():
+    """What a pixel's side adds to twice the area on its right."""
+    side = F.col("id").bitwiseAND(F.lit(3))
+    return F.when(side == 0, -F.col("r")).when(side == 1, F.col("c") + 1).when(side == 2, F.col("r") + 1).otherwise(-F.col("c")).cast("long")
+
+
+#: Pixels of a row that are the bits of one number, and bits on both sides for what lies beside them.
+BITS, MARGIN = 32, 16
+
+
+def _around(words: DataFrame, reach: int) -> DataFrame:
+    """``words``: map_id, r, q, bits (columns from ``BITS`` * q on). map_id, r, q, and rows r - ``reach`` to r + ``reach`` there as v0, v1, ..., with two pixels beside them on both sides."""
+    full = F.col("bits")
+    parts = [(0, F.shiftleft(full, MARGIN)), (1, F.shiftleft(F.shiftright(full, BITS - 2), MARGIN - 2)), (-1, F.shiftleft(full.bitwiseAND(F.lit(3)), MARGIN + BITS))]
+    each = words.select("map_id", "r", "q", F.explode(F.filter(F.array(*[F.struct(F.lit(d).alias("d"), v.alias("v")) for d, v in parts]), lambda p: p["v"] != 0)).alias("p"))
+    each = each.select("map_id", "r", (F.col("q") + F.col("p.d")).alias("q"), "p.v", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("k"))
+    rows = [F.coalesce(F.bit_or(F.when(F.col("k") == k, F.col("v"))), F.lit(0).cast("long")).alias(f"v{k + reach}") for k in range(-reach, reach + 1)]
+    return each.select("map_id", (F.col("r") - F.col("k")).alias("r"), "q", "k", "v").groupBy("map_id", "r", "q").agg(*rows)
+
+
+def _moved(v, by: int):
+    return F.shiftleft(v, by) if by > 0 else F.shiftright(v, -by) if by else v
+
+
+def closed_border(mask: DataFrame) -> DataFrame:
+    """``mask``: map_id, r, c. The mask closed as by :func:`closed_regions`, without telling regions apart, and of it the pixels with a side neighbour that isn't in it, as for :func:`_sides_of` (region 0).
+    Pixels are bits of numbers, so a number stands for ``BITS`` of them in each exchange and only border pixels become rows."""
+    words = mask.groupBy("map_id", "r", F.floor(F.col("c") / BITS).alias("q")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(c, {BITS}) AS INT))")).alias("bits"))
+    inside = F.lit((1 << BITS) - 1)
+    for grow in (True, False):
+        seen = [_moved(F.col(f"v{k + 2}"), by) for k in range(-2, 3) for by in range(abs(k) - 2, 3 - abs(k))]
+        all_ = seen[0]
+        for one in seen[1:]:
+            all_ = all_.bitwiseOR(one) if grow else all_.bitwiseAND(one)
+        words = _around(words, 2).select("map_id", "r", "q", F.shiftright(all_, MARGIN).bitwiseAND(inside).alias("bits")).where("bits <> 0")
+    edge = "v1 & ~(v0 & v2 & shiftleft(v1, 1) & shiftright(v1, 1))"
+    at = _around(words, 1).withColumn("p", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), p -> (shiftright({edge}, p + {MARGIN}) & 1L) = 1L)")))
+    code = " + ".join(f"(shiftright(v{a + 1}, p + {MARGIN + b}) & 1L) * {1 << n}L" for n, (a, b) in enumerate([(0, 0), *NEAR]))
+    return at.select("map_id", F.lit(0).cast("long").alias("region"), "r", (F.col("q") * BITS + F.col("p")).cast("int").alias("c"), F.expr(code).alias("code"))
 
 
 def ordered(on: DataFrame) -> DataFrame:
@@ -161,11 +208,10 @@ def start_triangles(mask: DataFrame, images: DataFrame, controls: DataFrame | No
     """``mask``: map_id, r, c; ``images``: map_id, height, width; ``controls``: map_id, x, y. Marks of three even sides: map_id, region, x, y, side (mean), score. The mask is closed, and the outer borders of its
     regions that are of a fitting area and filling are simplified, with more and more tolerance, until three corners stay. Sides are 0.55 to 2.2 of ``size``
     (without it 18 pixels to 0.12 of the image's shorter side); a triangle nearer than ``near`` to a control isn't a start. What stands in a hole is looked at as well."""
-    whole = closed_regions(mask.select("map_id", "r", "c").distinct().withColumn("region", F.lit(0).cast("long"))).select("map_id", "r", "c")
-    on = loops(cracks(label_regions(whole)).transform(cut)).transform(cut)
+    on = loops(_sides_of(closed_border(mask)).transform(cut)).transform(cut)
     low, high = (F.lit(0.55 * size), F.lit(2.2 * size)) if size else (F.lit(18.0), F.least("height", "width") * F.lit(0.12))
     third = 3**0.5 / 4
-    c = _measured(on).where("outer").join(images.select("map_id", low.alias("low"), high.alias("high")), "map_id")
+    c = _measured(on, True).where("outer").join(images.select("map_id", low.alias("low"), high.alias("high")), "map_id")
     fill = F.col("area") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     c = c.where(F.col("area").between(0.3 * third * F.col("low") * F.col("low"), 1.4 * third * F.col("high") * F.col("high")) & fill.between(*FILLED))
     # area and filling bound the box, and it the border, so a border fits a row
@@ -187,7 +233,8 @@ def start_triangles(mask: DataFrame, images: DataFrame, controls: DataFrame | No
     t = t.where(F.col("side").between(F.col("low"), F.col("high")) & (F.col("longest") <= UNEVEN * F.col("shortest")))
     # the upper corner is always the highest, so each has the quarter for it
     score = 2 * (1 - (F.col("longest") - F.col("shortest")) / F.col("side")) + 0.25 + F.least(F.lit(1.0), F.col("area") / F.greatest(1.4 * third * F.col("high") * F.col("high"), F.lit(1.0)))
-    t = t.select("map_id", "region", F.col("cx").alias("x"), F.col("cy").alias("y"), "side", score.alias("score"))
+    # an outer border begins at the top of its region's least pixel
+    t = t.select("map_id", F.shiftright("loop", 2).alias("region"), F.col("cx").alias("x"), F.col("cy").alias("y"), "side", score.alias("score"))
     if controls is None:
         return t
     tile = lambda d: d.withColumn("tx", F.floor(F.col("x") / near)).withColumn("ty", F.floor(F.col("y") / near))

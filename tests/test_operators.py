@@ -745,3 +745,16 @@ def test_blur_mirrors_at_edges(spark, shape):
     want = {(r, c): math.floor(round(sum(k[i] * k[j] * a[at(h, r + i - 2), at(w, c + j - 2)] for i in range(5) for j in range(5)), 6) + 0.5) for r in range(h) for c in range(w)}
     got = augment.blurred(image, spark.createDataFrame([(0, h, w)], "map_id int, height int, width int"), augment.bell(5)).collect()
     assert {(r.r, r.c): r.red for r in got} == want
+
+
+def test_start_triangles_need_no_labels(spark, monkeypatch):
+    """Borders come from closed bits of the mask, as from its closed, labelled pixels, holes and words' edges included; outer ones are told without labels."""
+    rng = np.random.default_rng(17)
+    on = {(int(r), int(c)) for r, c in np.argwhere(rng.random((50, 100)) < 0.18)} | {(r, c) for r in range(60, 90) for c in range(25, 70) if not (66 < r < 84 and 34 < c < 61)} | {(r, c) for r in range(72, 78) for c in range(44, 50)}
+    mask = spark.createDataFrame([(m, r, c) for m in (0, 1) for r, c in on], "map_id int, r int, c int")
+    whole = regions.closed_regions(mask.withColumn("region", F.lit(0).cast("long"))).select("map_id", "r", "c")
+    cracks = lambda d: sorted(tuple(r) for r in d.select("map_id", "id", "r", "c", "next", "nr", "nc").collect())
+    assert cracks(regions._sides_of(regions.closed_border(mask))) == cracks(regions.cracks(whole.withColumn("region", F.lit(0).cast("long"))))
+    monkeypatch.setattr(regions, "spread_labels", None)
+    tri = [(0, 10 + a, 30 + b) for a in range(22) for b in range(-22, 23) if 26 * abs(b) <= 15 * a]
+    assert regions.start_triangles(spark.createDataFrame(tri, "map_id int, r int, c int"), spark.createDataFrame([(0, 120, 120)], "map_id int, height int, width int"), size=24.0).count() == 1
