@@ -767,3 +767,13 @@ def test_an_images_many_hits_meet_those_around_them(spark):
     began = time.monotonic()
     assert detect.merge_hits(many).count() == 20_000
     assert time.monotonic() - began < 40
+
+
+def test_rounds_of_joins_grow_with_the_logarithm_of_ways(spark, monkeypatch):
+    """A corridor of 200 cells takes fewer written tables than cells; times are those of the corridor."""
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or plain(df))
+    c = spark.createDataFrame([(0, k, 0, 2.0) for k in range(200)], "map_id int, cr int, cc int, time_s double")
+    source = spark.createDataFrame([(0, 0, 3, 0)], "map_id int, i int, cr int, cc int")
+    assert {r.cr: r.time_s for r in graph.relax(c, source).collect()} == {k: 2.0 * abs(k - 3) for k in range(200)}
+    assert len(written) < 120
