@@ -107,3 +107,25 @@ def test_documents_of_one_file_are_dealt_out(spark):
     docs = spark.range(400).coalesce(1).select("id", F.format_string('{"a":{"b":%d}}', "id").alias("body"))
     got = settings.leaves(docs)
     assert got.count() == 400 and got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_circles_are_found_square_by_square_without_an_exchange_of_votes(spark, monkeypatch):
+    """Small squares, so that circles cross their borders: the peaks of all votes, and the rings' shares; a mask without circles has none."""
+    from fellside.operators import detect
+
+    monkeypatch.setattr(detect, "SQUARE", 32)
+    rng = np.random.default_rng(11)
+    on = {(r, c) for y, x, k in ((31, 32, 12), (60, 20, 15), (8, 61, 13), (75, 66, 17)) for r in range(-2, 90) for c in range(75) if (k - 1) ** 2 <= (r - y) ** 2 + (c - x) ** 2 <= (k + 1) ** 2}
+    on |= {(int(r), int(c)) for r, c in rng.integers(0, 75, (150, 2))}
+    mask = spark.createDataFrame([(m, r, c) for r, c in on for m in (0, 4)], "map_id int, r int, c int")
+    images = spark.createDataFrame([(0, 90, 75), (4, 80, 70)], "map_id int, height int, width int")
+    votes = {(v.map_id, v.r, v.c, v.radius): v.votes for v in detect.circle_votes(mask, images).where("votes >= 8").collect()}
+    near = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    want = {(m, r, c, k): v for (m, r, c, k), v in votes.items() if max((votes.get((m, r + i, c + j, k + d), 0), -i, -j, -d) for i, j, d in near) == (v, 0, 0, 0)}
+    got = detect.hough_circles(mask, images)
+    assert {(g.map_id, g.ring.r, g.ring.c, g.ring.radius): g.votes for g in got.collect()} == want and len(want) > 100
+    assert "Aggregate" not in planned(got)
+    shares = {(q.map_id, *q.ring): (q.rim, q.fill) for q in detect.ring_quality(got, mask, images).collect()}
+    found = detect._circles(mask, images, *detect.RADII, detect.LEAST_VOTES).collect()
+    assert len(found) == len(want) and all(shares[f.map_id, f.r, f.c, f.radius] == pytest.approx((f.rim, f.fill), abs=1e-12) for f in found)
+    assert detect.control_rings(mask.limit(1), images).count() == 0
