@@ -129,3 +129,27 @@ def test_circles_are_found_square_by_square_without_an_exchange_of_votes(spark,
     found = detect._circles(mask, images, *detect.RADII, detect.LEAST_VOTES).collect()
     assert len(found) == len(want) and all(shares[f.map_id, f.r, f.c, f.radius] == pytest.approx((f.rim, f.fill), abs=1e-12) for f in found)
     assert detect.control_rings(mask.limit(1), images).count() == 0
+
+
+def test_all_pairs_of_boxes_are_told_copies_too(spark, monkeypatch):
+    """Many copies, in lists of two ids; boxes over several tiles, touching ones, one without area."""
+    from fellside.operators import detect
+
+    monkeypatch.setattr(detect, "IDS_A_ROW", 2)
+    rng = np.random.default_rng(12)
+    kinds = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in zip(*rng.integers(0, 120, (2, 25)), *rng.integers(1, 70, (2, 25)), strict=True)] + [(3.0, 3.0, 3.0, 9.0)]
+    boxes = [(int(k % 2), int(n), *kinds[k]) for n, k in enumerate(rng.integers(0, len(kinds), 120))]
+    got = detect.paired(detect.overlapping_lists(spark.createDataFrame(boxes, "course int, id int, x0 double, y0 double, x1 double, y1 double"), 50.0)).collect()
+    want = {}
+    for c, a, *p in boxes:
+        for d, b, *q in boxes:
+            both = max(min(p[2], q[2]) - max(p[0], q[0]), 0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0)
+            if c == d and a < b and both > 0:
+                want[c, a, b] = both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both)
+    assert len(got) == len(want) and all(want[g.course, g.a_id, g.b_id] == pytest.approx(g.iou, abs=1e-12) for g in got)
+
+
+def test_bbox_iou_tells_every_pair(spark):
+    """No classes and members in place of pairs, in neither the query nor its SQL."""
+    got = catalogue.QUERIES["bbox_iou"](spark, SF)
+    assert got.columns == ["course", "a_id", "b_id", "iou"] and "copy" not in catalogue.ORACLE_SQL["bbox_iou"]
