@@ -93,15 +93,11 @@ def path_steps(spark, sf_dir):
 
 @query("wave_normalise", times_sql("SELECT s AS course, cr, cc, round((row_number() OVER (PARTITION BY s ORDER BY round(t, 9), cc, cr) - 1) / greatest(count(*) OVER (PARTITION BY s) - 1, 1), 6) AS wave FROM tm"))
 def wave_normalise(spark, sf_dir):
-    w = Window.partitionBy("i")
-    return dijkstra_times9(spark, sf_dir).select(F.col("i").alias("course"), "cr", "cc", F.round((F.row_number().over(w.orderBy("t", "cc", "cr")) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)), 6).alias("wave"))
-
-
-def dijkstra_times9(spark, sf_dir):
     from ..operators import graph
 
     cs = cells(spark, sf_dir)
-    return graph.times_from(cs, starts(spark, sf_dir, cs)).select("i", "cr", "cc", F.round("time_s", 9).alias("t"))
+    at = graph.visits_from(cs, starts(spark, sf_dir, cs))
+    return at.select(F.col("i").alias("course"), "cr", "cc", F.round(F.col("visit") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("wave"))
 
 
 @query("backtrack", times_sql(""", pr AS (SELECT m.s, m.cr, m.cc, arg_min(struct_pack(r := e.cr, c := e.cc), {'d': round(p.t + e.w, 9), 'r': e.cr, 'c': e.cc}) AS up FROM tm m JOIN ed e ON e.map_id = m.map_id AND e.nr = m.cr AND e.nc = m.cc JOIN tm p ON p.map_id = m.map_id AND p.s = m.s AND p.cr = e.cr AND p.cc = e.cc WHERE m.t > 0 GROUP BY ALL) SELECT s AS course, cr, cc, up.r AS pr, up.c AS pc FROM pr""".replace(", pr AS", "SELECT * FROM (WITH pr AS") + ")"))

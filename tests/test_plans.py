@@ -169,3 +169,16 @@ def test_routes_are_smoothed_many_at_once(spark):
         mine = [r for r in runs if r[0] == k]
         assert [r.run for r in own] == list(range(1, len(own) + 1)) and len(own) == 1 or all(r.distance_m >= 9.0 for r in own)
         assert [sum(r[i] for r in own) for i in ("distance_m", "time_s", "n_cells")] == [sum(r[i] for r in mine) for i in (3, 4, 5)]
+
+
+@pytest.mark.parametrize("name", ["wave_normalise", "visit_order"])
+def test_cells_are_numbered_where_they_are_reached(spark, name):
+    """No window over all cells of a course."""
+    assert "Window" not in planned(catalogue.QUERIES[name](spark, SF)).split("FlatMapCoGroupsInPandas")[0]
+
+
+def test_visits_go_by_time_column_and_row(spark):
+    c = spark.createDataFrame([(0, r, k, 1.0) for r in range(3) for k in range(3)] + [(0, 4, 4, 1.0)], "map_id int, cr int, cc int, time_s double")
+    got = graph.visits_from(c, spark.createDataFrame([(0, 5, 1, 1), (0, 6, 4, 4)], "map_id int, i int, cr int, cc int")).collect()
+    assert [(r.cr, r.cc, r.n) for r in sorted(got, key=lambda r: r.visit) if r.i == 5] == [(1, 1, 9), (1, 0, 9), (0, 1, 9), (2, 1, 9), (1, 2, 9), (0, 0, 9), (2, 0, 9), (0, 2, 9), (2, 2, 9)]
+    assert [(r.cr, r.cc, r.visit, r.n) for r in got if r.i == 6] == [(4, 4, 0, 1)]
