@@ -79,7 +79,7 @@ def visit_order(spark, sf_dir):
 
 @query("relaxed_times", times_sql("SELECT s AS course, cr, cc, round(t, 6) AS time_s FROM tm"))
 def relaxed_times(spark, sf_dir):
-    """The pure-join cross-check of the kernel."""
+    """The cross-check of the kernel, from the table of edges."""
     cs = cells(spark, sf_dir)
     return G.relax(cs, starts(spark, sf_dir, cs)).select(F.col("i").alias("course"), "cr", "cc", F.round("time_s", 6).alias("time_s"))
 

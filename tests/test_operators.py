@@ -777,3 +777,35 @@ def test_rounds_of_joins_grow_with_the_logarithm_of_ways(spark, monkeypatch):
     source = spark.createDataFrame([(0, 0, 3, 0)], "map_id int, i int, cr int, cc int")
     assert {r.cr: r.time_s for r in graph.relax(c, source).collect()} == {k: 2.0 * abs(k - 3) for k in range(200)}
     assert len(written) < 120
+
+
+@pytest.mark.parametrize(("reach", "most", "part"), [(256, 2048, 1024), (8, 2048, 2), (8, 60, 3)])
+def test_blocks_of_tiles_give_the_same_times(spark, monkeypatch, reach, most, part):
+    """One block, blocks joined further, blocks whose lines are passed in rounds; two maps, ways that leave a block and come back, sources on lines, in one cell, walled in and on a wall; few tables are written."""
+    monkeypatch.setattr(graph, "REACH", reach)
+    monkeypatch.setattr(graph, "MOST_PLACES", most)
+    monkeypatch.setattr(graph, "PART", part)
+    written, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or plain(df))
+    rng = np.random.default_rng(13)
+    grids, rows, at = {}, [], {3: [(1, 0, 0), (2, 20, 11), (7, 20, 11), (4, 7, 7), (5, 35, 3), (6, 5, 20)], 4: [(8, 2, 2), (9, 6, 9)]}
+    for m, shape in ((3, (37, 29)), (4, (7, 11))):
+        grid = rng.integers(1, 9, shape).astype(float)
+        grid[rng.random(shape) < 0.3] = np.inf
+        for _, r, k in at[m]:
+            grid[r, k] = 1.0
+        if m == 3:
+            grid[34:37, 2:5] = np.inf
+            grid[35, 3] = 2.0
+            grid[5, 20] = np.inf
+        grids[m] = grid
+        rows += [(m, r, k, None if grid[r, k] == np.inf else float(grid[r, k])) for r in range(shape[0]) for k in range(shape[1])]
+    c = spark.createDataFrame(rows, "map_id int, cr int, cc int, time_s double")
+    sources = spark.createDataFrame([(m, *s) for m, own in at.items() for s in own], "map_id int, i int, cr int, cc int")
+    want = {(m, i, int(r), int(k)): t[r, k] for m, own in at.items() for i, y, x in own for t in [graph.search(grids[m], (y, x))[0]] for r, k in np.argwhere(t < np.inf) if grids[m][y, x] < np.inf or (r, k) == (y, x)}
+    for times in (graph.tiled_times(c, sources, side=4), graph.relax(c, sources)):
+        got = times.collect()
+        found = {(g.map_id, g.i, g.cr, g.cc): g.time_s for g in got}
+        assert len(got) == len(found) and found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    if most > 60:
+        assert len(written) <= 26
