@@ -809,3 +809,20 @@ def test_blocks_of_tiles_give_the_same_times(spark, monkeypatch, reach, most, pa
         assert len(got) == len(found) and found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
     if most > 60:
         assert len(written) <= 26
+
+
+def test_steps_are_joined_in_blocks_not_table_by_table(spark, monkeypatch):
+    """Two blocks of a corridor take few written tables, and none has a row for each of a source's places."""
+    written, plain = [], graph.cut
+
+    def cut(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    c = spark.createDataFrame([(0, k, 0, 2.0) for k in range(300)], "map_id int, cr int, cc int, time_s double")
+    sources = spark.createDataFrame([(0, i, 30 * i, 0) for i in range(10)], "map_id int, i int, cr int, cc int")
+    got = {(r.i, r.cr): r.time_s for r in graph.relax(c, sources).collect()}
+    assert got == {(i, k): 2.0 * abs(k - 30 * i) for i in range(10) for k in range(300)}
+    assert len(written) <= 6 and max(written) <= 4
