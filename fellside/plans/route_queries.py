@@ -74,7 +74,7 @@ def dijkstra_times(spark, sf_dir):
 @query("visit_order", times_sql("SELECT s AS course, cr, cc, row_number() OVER (PARTITION BY s ORDER BY round(t, 9), cc, cr) - 1 AS visit FROM tm"))
 def visit_order(spark, sf_dir):
     cs = cells(spark, sf_dir)
-    return G.visits_from(cs, starts(spark, sf_dir, cs)).select(F.col("i").alias("course"), "cr", "cc", "visit")
+    return G.visits_from(cs, starts(spark, sf_dir, cs)).select(F.col("i").alias("course"), "cr", "cc", F.col("visit").cast("long").alias("visit"))
 
 
 @query("relaxed_times", times_sql("SELECT s AS course, cr, cc, round(t, 6) AS time_s FROM tm"))
